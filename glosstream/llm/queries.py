@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
+from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .line_dedup import line_dedup
 from .mixing import mixed_order
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": lambda s, d: contaminated(docs(s, d), _table(s, d, "benchmark")),
         "op3_quality_rank": lambda s, d: quality_scores(docs(s, d), _table(s, d, "labels")),
         "op4_pfair_mix": lambda s, d: mixed_order(docs(s, d)),
+        "op5_jaccard_join": lambda s, d: jaccard_components(docs(s, d)),
         "op7_line_dedup": lambda s, d: line_dedup(docs(s, d)),
         "op8_exact_dedup": lambda s, d: exact_dedup(docs(s, d)),
         "op10_language_id": lambda s, d: language_id(docs(s, d)),
@@ -34,7 +36,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
 ORACLE_SQL = {
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_words(f"translate(coalesce(text, ''), {UPPER_LOWER})")} AS l FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(l) = 0 THEN []::VARCHAR[] WHEN len(l) < 3 THEN [array_to_string(l, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) END AS g
+            FROM w
+        ), s AS (SELECT doc_id, unnest(g) AS g FROM sets),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs p JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * i >= 90 * (len(x.g) + len(y.g) - i)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a)
+        SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.g""",
     "op7_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, pos, line, translate(trim(line, {SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
