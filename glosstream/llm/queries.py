@@ -14,6 +14,7 @@ from .language_id import language_id
 from .line_dedup import line_dedup
 from .mixing import mixed_order
 from .quality_rank import quality_scores
+from .substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rank": lambda s, d: quality_scores(docs(s, d), _table(s, d, "labels")),
         "op4_pfair_mix": lambda s, d: mixed_order(docs(s, d)),
         "op5_jaccard_join": lambda s, d: jaccard_components(docs(s, d)),
+        "op6_substring_rlz": lambda s, d: substring_dedup(docs(s, d)).drop("spans"),
         "op7_line_dedup": lambda s, d: line_dedup(docs(s, d)),
         "op8_exact_dedup": lambda s, d: exact_dedup(docs(s, d)),
         "op10_language_id": lambda s, d: language_id(docs(s, d)),
@@ -56,6 +58,16 @@ ORACLE_SQL = {
         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.other = e.a)
         SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.g""",
+    "op6_substring_rlz": f"""
+        WITH w AS (SELECT doc_id, {_words("coalesce(text, '')")} AS l FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(l[i:i + 12], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 11)) AS i FROM w)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM windows) WHERE m < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM again),
+        kept AS (
+            SELECT x.doc_id, x.p, x.word, g.p IS NOT NULL AS gone
+            FROM (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS p FROM w) x LEFT JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p
+        ), joined AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS t, count(*) FILTER (gone) AS n FROM kept GROUP BY doc_id)
+        SELECT w.doc_id, len(l)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN joined USING (doc_id)""",
     "op7_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, pos, line, translate(trim(line, {SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
