@@ -12,6 +12,7 @@ from .html_extract import extract_pages
 from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .line_dedup import line_dedup
+from .lm_score import lm_score
 from .mixing import mixed_order
 from .quality_rank import quality_scores
 from .substring_dedup import substring_dedup
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_rlz": lambda s, d: substring_dedup(docs(s, d)).drop("spans"),
         "op7_line_dedup": lambda s, d: line_dedup(docs(s, d)),
         "op8_exact_dedup": lambda s, d: exact_dedup(docs(s, d)),
+        "op9_lm_score": lambda s, d: lm_score(docs(s, d)),
         "op10_language_id": lambda s, d: language_id(docs(s, d)),
     }
 
