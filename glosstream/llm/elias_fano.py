@@ -111,47 +111,48 @@ VALUES = np.concatenate([[0.0], 10 ** (LEAST + np.arange(LEVELS) / (LEVELS - 1)
 
 
 class Trie:
-    """Contexts (sorted hashes), Elias-Fano pointers into their successors, Elias-Fano successors and a code for each.
+    """Contexts (sorted hashes) with a code for each, Elias-Fano pointers into their successors, Elias-Fano successors and a code for each.
 
     The successors of context r are stored as r * 2**ID_BITS + id, which makes
     the level one non-decreasing sequence; a query looks for the successor of
     its id relative to its context.
     """
 
-    def __init__(self, contexts: np.ndarray, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.pointers, self.successors, self.codes = contexts, pointers, successors, codes
+    def __init__(self, contexts: np.ndarray, backs: np.ndarray, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
+        self.contexts, self.backs, self.pointers, self.successors, self.codes = contexts, backs, pointers, successors, codes
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray) -> Trie:
-        """From distinct (context, word id) sorted in that order."""
+    def of(cls, context: np.ndarray, word: np.ndarray, codes: np.ndarray, backs: np.ndarray) -> Trie:
+        """From distinct (context, word id) sorted in that order; backs has the code of each one's context."""
         new = np.ones(len(context), bool)
         new[1:] = context[1:] != context[:-1]
         rank = np.cumsum(new) - 1
         pointers = np.append(np.flatnonzero(new), len(context))
-        return cls(context[new], EliasFano.of(pointers), EliasFano.of(rank.astype(np.uint64) << np.uint64(ID_BITS) | word), codes)
+        return cls(context[new], backs[new], EliasFano.of(pointers), EliasFano.of(rank.astype(np.uint64) << np.uint64(ID_BITS) | word), codes)
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Code of each (context, word id), 0 where the trie has none."""
-        out = np.zeros(len(context), np.uint8)
+        """Rows of two: the code of each (context, word id) and that of its context, 0 where the trie has none."""
+        out = np.zeros((len(context), 2), np.uint8)
         if not len(self.contexts):
             return out
         r = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
         known = np.flatnonzero(self.contexts[r] == context)
+        out[known, 1] = self.backs[r[known]]
         key = r[known].astype(np.uint64) << np.uint64(ID_BITS) | word[known]
         at = self.successors.successor(key)
         end = self.pointers[r[known] + 1].astype(np.int64)
         at, inside = np.minimum(at, self.successors.n - 1), at < end
         found = inside & (self.successors[at] == key)
-        out[known[found]] = self.codes[at[found]]
+        out[known[found], 0] = self.codes[at[found]]
         return out
 
     def to_bytes(self) -> bytes:
-        return np.array([len(self.contexts), len(self.codes)], np.int64).tobytes() + self.contexts.tobytes() + self.codes.tobytes() + self.pointers.to_bytes() + self.successors.to_bytes()
+        return np.array([len(self.contexts), len(self.codes)], np.int64).tobytes() + self.contexts.tobytes() + self.backs.tobytes() + self.codes.tobytes() + self.pointers.to_bytes() + self.successors.to_bytes()
 
     @classmethod
     def open(cls, buffer) -> Trie:
         """From bytes, a memory map or any other buffer; nothing is copied."""
         n, m = np.frombuffer(buffer, np.int64, 2).tolist()
-        contexts, codes = np.frombuffer(buffer, np.uint64, n, 16), np.frombuffer(buffer, np.uint8, m, 16 + 8 * n)
-        pointers, at = EliasFano.open(buffer, 16 + 8 * n + m)
-        return cls(contexts, pointers, EliasFano.open(buffer, at)[0], codes)
+        contexts, backs, codes = np.frombuffer(buffer, np.uint64, n, 16), np.frombuffer(buffer, np.uint8, n, 16 + 8 * n), np.frombuffer(buffer, np.uint8, m, 16 + 9 * n)
+        pointers, at = EliasFano.open(buffer, 16 + 9 * n + m)
+        return cls(contexts, backs, pointers, EliasFano.open(buffer, at)[0], codes)

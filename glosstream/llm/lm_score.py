@@ -2,11 +2,13 @@
 
 The model is a bigram model with Dirichlet smoothing: with c the counts in the
 teaching texts, P1(w) = (c(w) + 1) / (N + V + 1) and
-P(w | v) = (c(v, w) + mass * P1(w)) / (c(v) + mass), which sums to 1.  Each word
-is followed by another or by the end, so that c(v) is also the count of its
-successors.  The part c(v, w) / (c(v) + mass) is quantised and kept in
-Elias-Fano tries, one for each shard of contexts; the rest follows from c(v)
-and c(w).  Frequent contexts are cut into pieces that go to different shards.
+P(w | v) = (c(v, w) + m(v) * P1(w)) / (c(v) + m(v)), where the prior's mass
+m(v) = MASS + SPREAD * (number of distinct successors of v).  Each word is
+followed by another or by the end, so that c(v) is also the count of its
+successors.  Both c(v, w) / (c(v) + m(v)) and m(v) / (c(v) + m(v)) are quantised
+and kept in Elias-Fano tries, one for each shard of contexts.  Frequent contexts
+are cut into pieces that go to different shards; each piece stands for its share
+of the distinct successors.
 The model grows with the corpus and is never in one place: batches of documents
 ask the shards for the counts of their words, then for the codes of their
 bigrams.
@@ -24,8 +26,8 @@ from .elias_fano import ID_BITS, VALUES, Trie, quantise
 from .exchange import PACKED, answers, dealt, gathered, packed, unpacked
 from .hashing import Words, mix, slices, text_buffer
 
-#: Prior mass of the unigram model in each context.
-MASS = 60.0
+#: Prior mass of the unigram model in each context, and for each distinct successor.
+MASS, SPREAD = 100.0, 2.0
 #: Occurrences of a context in one piece at most.
 PIECE = 100_000
 END, BEGIN = (np.uint64(x) for x in (0x8A5CD789635D2DFF, 0x121FD2155C472F96))
@@ -100,10 +102,10 @@ class Asked(Tokens):
         pieces = -(-self.total // piece)
         self.keys = mix(key + np.where(pieces > 1, ids % np.maximum(pieces, 1).astype(np.uint64), np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15))
         self.ids = ids
-        self.codes = np.zeros(len(self.keys), np.uint8)
+        self.codes = np.zeros((len(self.keys), 2), np.uint8)
         mine = np.flatnonzero(self.local & (self.total > 0))
         if len(mine):
-            self.codes[mine] = _trie(self.keys[mine], ids[mine], self.pair_counts[mine], self.total[mine], mass).find(self.keys[mine], ids[mine])
+            self.codes[mine] = _trie(self.keys[mine], ids[mine], self.pair_counts[mine], self.total[mine], mass, piece).find(self.keys[mine], ids[mine])
         self.out = np.flatnonzero(~self.local)
         self.out = self.out[np.lexsort((ids[self.out], self.keys[self.out]))]
 
@@ -157,7 +159,7 @@ def _opened(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(keys, runs), np.repeat(totals, runs), ids.view(np.uint64).ravel(), counts
 
 
-def _trie(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, totals: np.ndarray, mass: float) -> Trie:
+def _trie(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, totals: np.ndarray, mass: float, piece: int) -> Trie:
     """The trie of all bigrams that occur: counts of equal (key, id) are summed."""
     order = np.lexsort((ids, keys))
     keys, ids, counts, totals = keys[order], ids[order], counts[order], totals[order]
@@ -167,15 +169,18 @@ def _trie(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, totals: np.ndar
     total = np.add.reduceat(counts, at) if len(at) else counts
     seen = total > 0
     at, total = at[seen], total[seen]
-    return Trie.of(keys[at], ids[at], quantise(total / (totals[at] + mass)))
+    keys, ids, every = keys[at], ids[at], totals[at]
+    _, where, kinds = np.unique(keys, return_inverse=True, return_counts=True)
+    prior = mass + SPREAD * kinds[where] * -(-every // piece)
+    return Trie.of(keys, ids, quantise(total / (every + prior)), quantise(prior / (every + prior)))
 
 
-def _bigram_codes(mass: float):
+def _bigram_codes(mass: float, piece: int):
     def run(blobs: list[bytes]) -> list[bytes]:
         parts = [_opened(b) for b in blobs]
         keys, totals, ids, counts = (np.concatenate([p[i] for p in parts]) for i in range(4))
         # The levels are one flat buffer, as they would be mapped from a file.
-        trie = Trie.open(memoryview(_trie(keys, ids, counts, totals, mass).to_bytes()))
+        trie = Trie.open(memoryview(_trie(keys, ids, counts, totals, mass, piece).to_bytes()))
         del keys, totals, ids, counts
         return [trie.find(p[0], p[2]).tobytes() for p in parts]
 
@@ -206,10 +211,10 @@ def _scored(shards: int, docs_taught: int, n: int, v: int, mass: float, piece: i
             return _nothing(out.names, out)
         asked = Asked(left, right.filter(pc.equal(right["round"], 1)), shards, docs_taught, mass, piece)
         order = asked.request(shards)[1]
-        asked.codes[order] = gathered(right.filter(pc.equal(right["round"], 2)), np.arange(len(order)), np.dtype(np.uint8))
+        asked.codes[order] = gathered(right.filter(pc.equal(right["round"], 2)), np.arange(2 * len(order)), np.dtype(np.uint8)).reshape(-1, 2)
         p1 = (asked.counts + 1) / (n + v + 1)
-        total = asked.total.astype(float)
-        p = VALUES[asked.codes] + mass / (total + mass) * p1[asked.word]
+        back = np.where(asked.codes[:, 1] > 0, VALUES[asked.codes[:, 1]], 1.0)
+        p = VALUES[asked.codes[:, 0]] + back * p1[asked.word]
         first = asked.first
         known = np.concatenate([[0], np.cumsum((asked.counts > 0)[asked.word_at])])
         base, score = np.log10(p1)[asked.word_at], np.log10(p)[asked.pair_at]
@@ -264,7 +269,7 @@ def lm_scores(docs: DataFrame, held_out: F.Column, mass: float = MASS, piece: in
     x = x.withColumn("held_out", again).withColumn("teaches", ~again)
     by = x.groupBy("batch")
     counts = answers(by.applyInArrow(_word_requests(shards), PACKED), _word_counts)
-    codes = answers(by.cogroup(counts.groupBy("batch")).applyInArrow(_bigram_requests(shards, texts, mass, piece), PACKED), _bigram_codes(mass))
+    codes = answers(by.cogroup(counts.groupBy("batch")).applyInArrow(_bigram_requests(shards, texts, mass, piece), PACKED), _bigram_codes(mass, piece))
     both = counts.withColumn("round", F.lit(1)).unionByName(codes.withColumn("round", F.lit(2)))
     spark_kind = dict(docs.dtypes)["doc_id"]
     kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[spark_kind]
@@ -299,6 +304,6 @@ def model_shards(docs: DataFrame, mass: float = MASS, piece: int = PIECE) -> Dat
     def build(table: pa.Table) -> pa.Table:
         parts = [_opened(b.as_py()) for b in table["blob"]]
         keys, totals, ids, counted = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        return pa.table({"shard": table["shard"][:1], "trie": pa.array([_trie(keys, ids, counted, totals, mass).to_bytes()], pa.binary())})
+        return pa.table({"shard": table["shard"][:1], "trie": pa.array([_trie(keys, ids, counted, totals, mass, piece).to_bytes()], pa.binary())})
 
     return by.cogroup(counts.groupBy("batch")).applyInArrow(every, PACKED).groupBy("shard").applyInArrow(build, "shard int, trie binary")
