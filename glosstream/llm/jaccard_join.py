@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .exchange import packed, unpacked
 from .hashing import gram_starts, grams, mix, slices, text_buffer, Words
 from .storage import parts_for, stored, text_bytes
 
@@ -153,7 +154,7 @@ def _smallest_keys(rule: Rule, shards: int):
 
     def run(batches):
         for batch in batches:
-            sets, fps = [], []
+            sets, fps, least = [], [], []
             for at, n in slices(batch.column(0)):
                 hashes, first = shingle_sets(batch.column(0).slice(at, n), rule.k)
                 fp = fingerprints(hashes, first)
@@ -162,6 +163,7 @@ def _smallest_keys(rule: Rule, shards: int):
                 rank = np.arange(len(hashes)) - np.repeat(first[:-1], size)
                 sets.append((hashes[rank < np.repeat(take, size)], take))
                 fps.append(fp)
+                least.append(rule.overlap(rule.smallest(size)).astype(np.uint64))
             fps_all, where = np.unique(np.concatenate(fps), return_index=True) if fps else (np.zeros(0, np.uint64), np.zeros(0, int))
             if not len(fps_all):
                 continue
@@ -169,27 +171,40 @@ def _smallest_keys(rule: Rule, shards: int):
             mine = np.zeros(len(take), bool)  # copies within the batch add nothing
             mine[where] = True
             keys, owner = keys[np.repeat(mine, take)], np.repeat(np.arange(len(take)), np.where(mine, take, 0))
-            heads = np.concatenate(fps).view(np.uint8).reshape(-1, 8)
+            heads = np.stack([np.concatenate(fps), np.concatenate(least)], 1).view(np.uint8)
             yield _pack((keys % np.uint64(shards)).astype(np.int64), owner, keys, heads, shards)
 
     return run
 
 
-def _shared_keys(table: pa.Table) -> pa.Table:
-    """(fp, n): how many of a point's keys another point has too."""
-    keys, owner, heads = _unpack(table["blob"], 8)
-    fps = np.ascontiguousarray(heads).view(np.uint64).ravel()[owner]
-    order = np.lexsort((fps, keys))
-    keys, fps = keys[order], fps[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])
-    keys, fps = keys[new], fps[new]
-    same = keys[1:] == keys[:-1]
-    shared = np.zeros(len(keys), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    fp, n = np.unique(fps[shared], return_counts=True)
-    return pa.table({"fp": _signed(fp), "n": pa.array(n, pa.int64())})
+def _shared_keys(buckets: int):
+    """By bucket of points: how many of a point's keys here another point has too, and how many it needs in all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, owner, heads = _unpack(table["blob"], 16)
+        heads = np.ascontiguousarray(heads).view(np.uint64)
+        fps = heads[owner, 0]
+        order = np.lexsort((fps, keys))
+        keys, fps, owner = keys[order], fps[order], owner[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (fps[1:] != fps[:-1])
+        keys, fps, owner = keys[new], fps[new], owner[new]
+        same = keys[1:] == keys[:-1]
+        shared = np.zeros(len(keys), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        fp, at, n = np.unique(fps[shared], return_index=True, return_counts=True)
+        return packed(0, (fp % np.uint64(buckets)).astype(np.int64), [fp, n.astype(np.uint32), heads[owner[shared][at], 1].astype(np.uint32)], buckets)[0].select(["shard", "blob"])
+
+    return run
+
+
+def _enough(table: pa.Table) -> pa.Table:
+    """Points with as many shared keys as a neighbour would share."""
+    parts = [unpacked(b.as_py(), [np.uint64, np.uint32, np.uint32]) for b in table["blob"]]
+    fps, n, least = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    fp, at, inverse = np.unique(fps, return_index=True, return_inverse=True)
+    return pa.table({"fp": _signed(fp[np.bincount(inverse, n) >= least[at]])})
 
 
 def _set_rows(k: int):
@@ -479,10 +494,9 @@ def linked_points(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     shards = max(parts_for(text_bytes(docs), SHARD_TEXT), int(spark.conf.get("spark.sql.shuffle.partitions")))
     points = stored(docs.mapInArrow(_points(rule.k), f"doc_id {kind}, n_shingles long, point long"), "points")
     classes = points.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
-    shared = docs.select("text").mapInArrow(_smallest_keys(rule, shards), "shard int, blob binary").groupBy("shard").applyInArrow(_shared_keys, "fp long, n long")
-    counted = shared.groupBy("fp").agg(F.sum("n").alias("n"))
-    least = F.expr(f"greatest(1, cast(floor(ceil(size * {rule.num} / {rule.den}) / 5) as long))")
-    candidates = stored(counted.join(classes, counted["fp"] == classes["point"]).filter(F.col("n") >= least).select("rep", "size"), "candidates")
+    shared = docs.select("text").mapInArrow(_smallest_keys(rule, shards), "shard int, blob binary").groupBy("shard").applyInArrow(_shared_keys(shards), "shard int, blob binary")
+    near = shared.groupBy("shard").applyInArrow(_enough, "fp long")
+    candidates = stored(near.join(classes, near["fp"] == classes["point"]).select("rep", "size"), "candidates")
     n, most, total = candidates.agg(F.count(F.lit(1)), F.max("size"), F.sum("size")).first()
     ids = candidates.select(F.col("rep").alias("__rep")).distinct()
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash")
