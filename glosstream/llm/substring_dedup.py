@@ -29,6 +29,8 @@ from .exchange import PACKED, answers, dealt, gathered, packed, unpacked
 from .hashing import Words, gram_starts, grams, text_buffer
 
 WINDOW, ANCHOR = 13, 8
+#: Text of a batch: a Python worker needs about thirty times as much.
+BATCH_TEXT = 4 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -197,7 +199,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     one another; a null doc_id is later than every other; an empty table gives
     an empty table; other columns are ignored.
     """
-    x, shards = dealt(docs)
+    x, shards = dealt(docs, BATCH_TEXT)
     kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16()}[dict(docs.dtypes)["doc_id"]]
     by = x.groupBy("batch")
     alive = answers(by.applyInArrow(_anchor_requests(window, anchor, shards), PACKED), _anchors_alive)
