@@ -17,3 +17,147 @@ def median_ratio(pairs: DataFrame) -> DataFrame:
     s, t = F.length(T.strip(F.coalesce("source", F.lit("")))), F.length(T.strip(F.coalesce("target", F.lit(""))))
     ratios = pairs.select((t / F.when(s > 0, s)).alias("r"), s.alias("s"), t.alias("t")).filter("s >= 20 and t > 0")
     return ratios.agg(F.count(F.lit(1)).alias("n"), F.percentile("r", 0.5).alias("m")).select("n", F.when(F.col("n") >= 10, F.col("m")).alias("median_ratio"))
+
+
+def _norm(c: str) -> Column:
+    return T.audit_normalize(F.col(c))
+
+
+def duplicates(pairs: DataFrame, config: Config = Config()) -> DataFrame:
+    """(seq, others): rows whose target also stands for a clearly different source, with the sources of the others in its group.
+
+    Targets are compared in lower case with single spaces, from three characters
+    on; a group counts only if each source has three words.  Sources of a group
+    are compared in pairs of distinct texts, by their digest, not of rows.
+    """
+    from ..functions.similarity import matching_blocks_udf
+
+    key = F.lower(T.collapse(F.coalesce("target", F.lit(""))))
+    keyed = pairs.select("seq", "source", key.alias("key"), _norm("source").alias("s")).filter(F.length("key") >= 3)
+    groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.size(T.words(F.col("s"))) >= config.min_source_words).alias("long")).filter((F.col("n") >= 2) & F.col("long"))
+    inside = keyed.join(groups.select("key"), "key", "left_semi")
+    texts = inside.groupBy("key", "s").agg(F.min("seq").alias("first"))
+    a, b = texts.select("key", F.col("s").alias("a"), F.col("first").alias("fa")), texts.select("key", F.col("s").alias("b"), F.col("first").alias("fb"))
+    unlike = a.join(b, "key").filter("fa < fb").withColumn("alike", matching_blocks_udf("a", "b")).filter(F.col("alike") < config.dup_similarity)
+    marked = unlike.select("key", F.explode(F.array("a", "b")).alias("s")).distinct()
+    flagged = inside.join(marked, ["key", "s"], "left_semi").select("seq", "key")
+    # Two samples are shown: three of a group are enough to leave one's own out.
+    samples = inside.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", F.substring("source", 1, 40).alias("t")))), 1, 3).alias("all"))
+    joined = flagged.join(samples, "key")
+    return joined.select("seq", F.transform(F.slice(F.filter("all", lambda x: x["seq"] != F.col("seq")), 1, 2), lambda x: x["t"]).alias("others"))
+
+
+FINDING = "struct<code:string,explanation:string,location:string,confidence:int,severity:string>"
+
+
+def apply_rules(pairs: DataFrame, arabic_script: bool = False, config: Config = Config()) -> DataFrame:
+    """pairs(seq, source, target) with findings, hints and skip: what rules find before any model is asked.
+
+    An empty or copied target is skipped.  Foreign letters and brackets that
+    only the target leaves open are findings; an unusual length and a target
+    that stands for several sources are hints.
+    """
+    source, target = F.coalesce("source", F.lit("")), F.coalesce("target", F.lit(""))
+    empty = T.replace(target, "(?U)[\\s\\W_]+") == ""
+    copied = ~empty & (_norm("source") != "") & (_norm("source") == _norm("target"))
+    letters = T.foreign_letters(target)
+    open_ = T.unbalanced(target) & ~T.unbalanced(source)
+    make = lambda code, text, location=F.lit(""), confidence=100: F.struct(F.lit(code).alias("code"), text.alias("explanation"), location.alias("location"), F.lit(confidence).alias("confidence"), F.lit(None).cast("string").alias("severity"))
+    found = F.array_compact(
+        F.array(
+            F.when(empty, make("FRM-EMP", F.lit("the translation is empty"))),
+            F.when(copied, make("FRM-CPY", F.lit("the translation is a copy of the source"), F.substring(target, 1, 80))),
+            F.when(~empty & ~copied & F.lit(not arabic_script) & (letters != ""), make("FRM-ARB", F.concat(F.lit("source letters in the translation: "), F.substring(letters, 1, 20)), F.substring(letters, 1, 20))),
+            F.when(~empty & ~copied & open_, make("FRM-BRK", F.lit("a bracket is left open or closed without being opened"), confidence=90)),
+        )
+    )
+    ratio = F.length(T.strip(target)) / F.greatest(F.length(T.strip(source)), F.lit(1))
+    median = F.col("median_ratio")
+    long_enough = median.isNotNull() & (F.length(T.strip(source)) >= config.min_source_chars)
+    lost = F.bround((1 - ratio / median) * 100).cast("int")
+    short = F.when(long_enough & (ratio < median * config.short_ratio), F.concat(F.lit("shorter than usual by "), lost.cast("string"), F.lit("%")))
+    long = F.when(long_enough & (ratio > median * config.long_ratio) & ~target.rlike("[\\[(].{15,}[\\])]"), F.lit("much longer than usual"))
+    twice = F.when(F.col("others").isNotNull(), F.concat(F.lit("the same translation for other sources, such as: "), F.array_join("others", "; ")))
+    joined = pairs.join(duplicates(pairs, config), "seq", "left").crossJoin(F.broadcast(median_ratio(pairs).select("median_ratio")))  # one row
+    skip = F.when(empty, "empty").when(copied, "copy")
+    hints = F.when(skip.isNull(), F.array_compact(F.array(F.coalesce(short, long), twice))).otherwise(F.array().cast("array<string>"))
+    return joined.select(*pairs.columns, found.alias("findings"), hints.alias("hints"), skip.alias("skip"))
+
+
+def audit_rows(phrases: DataFrame, analysis: DataFrame, translations: DataFrame, *, has_key: bool, limit: int | None = None) -> DataFrame:
+    """Ordered translatable phrases with their targets, numbered by document from 1.
+
+    With an approved key, matched verses are left out; a phrase without an
+    analysis stays.
+    """
+    joined = phrases.filter("translatable").join(analysis.select("phrase_id", "kind", "reason_code"), "phrase_id", "left").join(translations.select("phrase_id", F.col("translation").alias("target")), "phrase_id", "left")
+    if has_key:
+        matched = (F.col("kind") == "quran") & ~F.coalesce(F.col("reason_code") == "unmatched_quran", F.lit(False))
+        joined = joined.filter(~F.coalesce(matched, F.lit(False)))
+    seq = F.row_number().over(Window.partitionBy("document_id").orderBy("group_id", "group_order"))
+    rows = joined.select("document_id", "phrase_id", seq.alias("seq"), F.col("text").alias("source"), F.coalesce("target", F.lit("")).alias("target"), F.when(F.col("text_type") == "naqhara", "transliteration").otherwise("text").alias("row_type"))
+    return rows if limit is None else rows.filter(F.col("seq") <= limit)
+
+
+def groups(rows: DataFrame, size: int = 20) -> DataFrame:
+    """Rows that are not skipped, in groups of ``size`` by document: adds group_key."""
+    n = F.row_number().over(Window.partitionBy("document_id").orderBy("seq")) - 1
+    return rows.filter("skip is null").withColumn("group_key", F.format_string("j%d-g%05d", F.col("document_id"), F.floor(n / size) + 1))
+
+
+def retries(calls: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """(group_key, attempts, status) of calls(group_key, attempt, ok): done once a call is, failed after the last."""
+    used = calls.filter(F.col("attempt") <= max_attempts).groupBy("group_key").agg(F.min(F.when(F.col("ok"), F.col("attempt"))).alias("won"), F.max("attempt").alias("last"))
+    return used.select("group_key", F.coalesce("won", "last").alias("attempts"), F.when(F.col("won").isNotNull(), "done").when(F.col("last") >= max_attempts, "failed").otherwise("pending").alias("status"))
+
+
+def merge_findings(rule: DataFrame, model: DataFrame) -> DataFrame:
+    """Rule findings keep their numbers; model findings, which replace earlier ones, are numbered behind them."""
+    last = rule.groupBy("row_id").agg(F.max("seq").alias("__last"))
+    place = F.row_number().over(Window.partitionBy("row_id").orderBy("seq"))
+    numbered = model.join(last, "row_id", "left").withColumn("seq", (F.coalesce("__last", F.lit(0)) + place).cast("int")).drop("__last")
+    return rule.unionByName(numbered)
+
+
+def run_verified(spark_rows: DataFrame, reply, size: int = 20, max_attempts: int = 3) -> DataFrame:
+    """Ask ``reply(list of row dicts) -> text`` once for each group and check its answer; failed groups are asked again.
+
+    Gives (document_id, seq, summary, errors, attempts, status); runs in the
+    groups' tasks, so that calls are spread over the cluster.
+    """
+    import json
+
+    import pandas as pd
+
+    from .parse import validate_group
+
+    def ask(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = frame.sort_values("seq").to_dict("records")
+        ids = [int(r["seq"]) for r in rows]
+        for attempt in range(1, max_attempts + 1):
+            try:
+                result = validate_group(reply(rows), ids)
+            except ValueError:
+                continue
+            return pd.DataFrame([{"document_id": r["document_id"], "seq": i, "summary": result[i]["summary"], "errors": json.dumps(result[i]["errors"], ensure_ascii=False), "attempts": attempt, "status": "done"} for r, i in zip(rows, ids)])
+        return pd.DataFrame([{"document_id": r["document_id"], "seq": i, "summary": None, "errors": None, "attempts": max_attempts, "status": "failed"} for r, i in zip(rows, ids)])
+
+    return groups(spark_rows, size).groupBy("group_key").applyInPandas(ask, "document_id long, seq int, summary string, errors string, attempts int, status string")
+
+
+def statistics(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """The general indicators of a job in one row, from rows(status, error_count, source, needs_review) and findings(sensitive)."""
+    from .stats import percent
+
+    n = rows.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "done").alias("checked"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"),
+        F.count_if(F.col("error_count") > 0).alias("with_errors"), F.count_if("needs_review").alias("human"),
+        F.coalesce(F.sum(F.when(F.col("status").isin("done", "skipped"), F.size(T.words(F.col("source"))))), F.lit(0)).alias("words"),
+    )
+    f = findings.agg(F.count(F.lit(1)).alias("errors"), F.count_if("sensitive").alias("sensitive"))
+    both = n.crossJoin(F.broadcast(f))  # one row each
+    considered = F.col("checked") + F.col("skipped")
+    per = lambda scale, whole: F.when(whole > 0, F.bround(scale * F.col("errors") / whole, 2)).otherwise(0.0)
+    return both.withColumns(
+        {"pending": F.col("total") - F.col("checked") - F.col("skipped") - F.col("failed"), "error_rows_pct": percent(F.col("with_errors"), considered), "errors_per_100_rows": per(100.0, considered), "errors_per_1000_words": per(1000.0, F.col("words"))}
+    )

@@ -1,0 +1,143 @@
+import pytest
+
+from glosstream.config import Config
+from glosstream.operators import classify as C
+from glosstream.operators import match as M
+from glosstream.operators import sequence as Q
+from glosstream.operators import speaker as P
+from glosstream.operators.glossary import Glossary, keep_listed, with_terms
+
+VERSES = [
+    ("الفاتحة", 1, 1, "بسم الله الرحمن الرحيم"), ("الفاتحة", 1, 2, "الحمد لله رب العالمين"), ("الفاتحة", 1, 3, "الرحمن الرحيم"), ("الفاتحة", 1, 4, "مالك يوم الدين"), ("الفاتحة", 1, 5, "إياك نعبد وإياك نستعين"),
+    ("الإخلاص", 112, 1, "قل هو الله أحد"), ("الإخلاص", 112, 2, "الله الصمد"), ("الإخلاص", 112, 3, "لم يلد ولم يولد"), ("الإخلاص", 112, 4, "ولم يكن له كفوا أحد"),
+    ("الشرح", 94, 5, "فإن مع العسر يسرا"), ("الشرح", 94, 6, "إن مع العسر يسرا"), ("الرحمن", 55, 13, "فبأي آلاء ربكما تكذبان"), ("الرحمن", 55, 15, "وخلق الجان من مارج من نار"), ("الرحمن", 55, 16, "فبأي آلاء ربكما تكذبان"),
+]
+RECORDS = [dict(surah=a, surah_no=b, ayah=n, text=t) for a, b, n, t in VERSES]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    return M.Corpus(RECORDS)
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.createDataFrame([(i, *v) for i, v in enumerate(VERSES)], "ref_id long, surah string, surah_no int, ayah int, text string")
+
+
+@pytest.fixture(scope="module")
+def passes(corpus):
+    glossary = Glossary([dict(arabic="الإخلاص", english="sincerity", dict="terms", note=""), dict(arabic="صبر", english="patience", dict="terms", note=""), dict(arabic="عمر", english="x", dict="alam", note="")])
+    return C.Passes(C.Classifier(corpus, None, glossary))
+
+
+def paras(*texts):
+    return [dict(para=i, text=t, heading=False, level=0, footnotes=None, verses=None) for i, t in enumerate(texts, 1)]
+
+
+def kinds(rows):
+    return [(r["kind"], r["source"]) for r in rows]
+
+
+def test_join_matches_as_memory_does(spark, corpus, table):
+    texts = ["فإن مع العسر يسرا", "مع العسر", "الصمد", "قل هو الله", "لا شيء هنا", "إياك نعبد وإياك نستعين اهدنا", "ٱلرَّحۡمَٰنِ ٱلرَّحِيمِ", ""]
+    for short in (False, True):
+        df = spark.createDataFrame([(i, t, short, "") for i, t in enumerate(texts)], "key int, text string, short boolean, prefer string")
+        got = {r["key"]: (r["ref_id"], round(r["score"], 9)) for r in M.match_texts(df, table).collect()}
+        want = {i: (m[0], round(m[1], 9)) for i, t in enumerate(texts) if (m := corpus.match(t, short))}
+        assert got == want
+
+
+def test_the_preferred_group_wins_within_the_margin(spark, corpus, table):
+    assert corpus.records[corpus.match("مع العسر يسرا")[0]]["ayah"] == 5
+    df = spark.createDataFrame([(0, "الرحمن الرحيم", False, "الفاتحة"), (1, "الرحمن الرحيم", False, "")], "key int, text string, short boolean, prefer string")
+    got = {r["key"]: r["ref_id"] for r in M.match_texts(df, table).collect()}
+    assert got == {0: corpus.match("الرحمن الرحيم", prefer="الفاتحة")[0], 1: corpus.match("الرحمن الرحيم")[0]}
+
+
+def test_document(passes):
+    rows = passes(paras("قال الله تعالى: ﴿فإن مع العسر يسرا﴾.", "قال تعالى: ﴿الله الصمد﴾ [الإخلاص: 2].", "فعليكم بالصبر والإخلاص في الأعمال كلها."))
+    assert kinds(rows) == [("attribution", ""), ("quran", "سورة الشرح — 5"), ("attribution", ""), ("quran", "سورة الإخلاص — 2"), ("citation", ""), ("term", "")]
+    assert [t["arabic"] for t in rows[-1]["terms"]] == ["صبر", "الإخلاص"]
+
+
+def test_chain(corpus):
+    verses = Q.Verses(corpus)
+    run = [Q.segment("text", "قل هو الله أحد الله الصمد", 1), Q.segment("text", "لم يلد ولم يولد", 1), Q.segment("text", "كلام آخر", 1)]
+    got = Q.chain_verses(run, verses)
+    assert kinds(got) == [("quran", f"سورة الإخلاص — {n}") for n in (1, 2, 3)] + [("text", "")]
+    one_off = Q.chain_verses([Q.segment("text", "قل هو الله احدا الله الصمد لم يلد ولم يولد", 1)], verses)
+    assert [r["score"] for r in one_off] == [0.9, 1.0, 1.0] and Q.VARIANT in one_off[0]["note"]
+    alone = [Q.segment("text", "الحمد لله رب العالمين على كل حال", 1)]
+    assert Q.chain_verses(list(alone), verses) == alone
+
+
+def test_short_and_repeated_verses(corpus):
+    rows = [Q.segment("quran", "قل هو الله أحد", 1, source="سورة الإخلاص — 1", score=1.0), Q.segment("text", "الله الصمد", 1), Q.segment("text", "الله الصمد", 2)]
+    assert [r["kind"] for r in Q.rescue_short_verses(rows, corpus)] == ["quran", "quran", "text"]
+    rows = [Q.segment("quran", "وخلق الجان من مارج من نار", 1, source="سورة الرحمن — 15", score=1.0), Q.segment("quran", "فبأي آلاء ربكما تكذبان", 1, source="سورة الرحمن — 13", score=1.0)]
+    assert Q.prefer_next_in_order(rows, corpus)[1]["source"] == "سورة الرحمن — 16"
+
+
+def test_footnotes(corpus):
+    rows = [Q.segment("text", "الكلمة الأولى هنا", 1), Q.segment("text", "والثانية «هناك» أيضا", 1)]
+    got = Q.attach_footnotes(rows, {1: [("الأولى", "حاشية أ"), ("هناك", "حاشية ب"), ("غائب", "حاشية ج"), ("", "د")]})
+    assert got[0]["content"] == "[4] الكلمة الأولى[1] هنا" and got[1]["content"] == "والثانية «هناك[2]» أيضا[3]"
+    assert [(r["para"], r["content"]) for r in got[2:]] == [(1.001, "[1] حاشية أ"), (1.002, "[2] حاشية ب"), (1.003, "[3] حاشية ج"), (1.004, "[4] د")]
+    assert Q.verse_window(corpus, "سورة الإخلاص — 3", "لم يلد ولم يولد") == "لم يلد ولم يولد"
+
+
+def test_speakers(spark):
+    assert P.speaker_of("فقال عمر رضي الله عنه:") == "companion"
+    assert P.speaker_of("عن أبي هريرة رضي الله عنه قال: سمعت رسول الله صلى الله عليه وسلم يقول:") == "prophet"
+    assert P.speaker_of("قال في مسجد النبي بعض الناس") is None
+    df = spark.createDataFrame([(1, 1.0, 1, "text", "فقال عمر رضي الله عنه:", "", False), (1, 1.0, 2, "hadith", "لا شيء", "m", False), (1, 2.0, 1, "hadith", "x", "", False)], "doc_id long, para double, ord int, kind string, content string, note string, reviewed boolean")
+    got = P.reattribute(df).orderBy("para", "ord").collect()
+    assert [r["kind"] for r in got] == ["text", "athar", "hadith"] and got[1]["reviewed"]
+
+
+def test_passes_on_a_table(spark, passes):
+    df = spark.createDataFrame([(7, 1, "قال الله تعالى: ﴿فإن مع العسر يسرا﴾.", False, 0), (8, 1, "عنوان", True, 1), (8, 2, "كلام.", False, 0)], "doc_id long, para int, text string, heading boolean, level int")
+    got = C.classify(df, passes).orderBy("doc_id", "para", "ord").collect()
+    assert [(r["doc_id"], r["kind"], r["ord"]) for r in got] == [(7, "attribution", 1), (7, "quran", 2), (8, "title", 1), (8, "text", 1)]
+
+
+def test_corrections(corpus):
+    words = C.editorial_words([Q.segment("quran", "الآية", 1, source="x", score=1.0)])
+    assert words[0]["kind"] == "text" and words[0]["score"] is None
+    first = C.verses_first([Q.segment("hadith", "قل هو الله أحد", 1)], corpus, 0.82)
+    assert first[0]["kind"] == "quran"
+    row = Q.segment("text", "x", 1)
+    assert C.apply_verdict(row, "quran", "9", {"1": {"source": "s"}})[1] == "fabricated" and row["kind"] == "text"
+    assert C.apply_verdict(row, "quran", "1", {"1": {"source": "s"}})[1] == "changed" and row["source"] == "s"
+
+
+def test_glossary(spark):
+    g = Glossary([dict(arabic="رحم", english="womb", dict="terms", note=""), dict(arabic="إخلاص", english="sincerity", dict="terms", note=""), dict(arabic="صلاة الجماعة", english="congregation", dict="terms", note=""), dict(arabic="صلاة", english="prayer", dict="terms", note="")])
+    assert [t["arabic"] for t in g.find("واعلموا رحمكم الله أن الإخلاص شرط")] == ["إخلاص"]
+    assert [t["arabic"] for t in g.find("بصلاة الجماعة ثم الصلاة والصلاة")] == ["صلاة الجماعة", "صلاة"]
+    df = spark.createDataFrame([(1, "الإخلاص والصلاة"), (2, None)], "number int, content string")
+    tagged = with_terms(df, g)
+    assert [len(r["terms"]) for r in tagged.orderBy("number").collect()] == [2, 0]
+    assert [[t["arabic"] for t in r["terms"]] for r in keep_listed(tagged, ["1.2", "9.9"]).orderBy("number").collect()] == [["صلاة"], []]
+    assert [len(r["terms"]) for r in keep_listed(tagged, None).orderBy("number").collect()] == [2, 0]
+
+
+def test_find_verses(spark):
+    from pyspark.sql import functions as F
+
+    from glosstream.functions.text import matching_forms
+
+    verses = spark.createDataFrame([(b, n, a, t) for a, b, n, t in VERSES], "surah_no int, ayah_no int, surah_name string, text_uthmani string")
+    verses = verses.withColumns(matching_forms(F.col("text_uthmani"), F.col("text_uthmani")))
+    phrases = spark.createDataFrame([("p1", "الحمد لله رب العالمين", "سورة الفاتحة — 2"), ("p2", "يَوْمِ الدِّينِ", ""), ("p3", "هذا ليس آية على الإطلاق", ""), ("p4", "الله الصمد", "سورة الفاتحة — 1")], "phrase_id string, text string, reference string")
+    got = {r["phrase_id"]: (r["surah_no"], r["ayah_no"], r["method"], r["exact_full"]) for r in M.find_verses(phrases, verses).collect()}
+    assert got == {"p1": (1, 2, "reference", True), "p2": (1, 4, "clean", False), "p4": (112, 2, "clean", True)}
+    near = M.nearby_verses(spark.createDataFrame([("الإخلاص", 3)], "surah string, ayah int"), verses.select(F.col("surah_name").alias("surah"), F.col("ayah_no").alias("ayah"), F.col("text_uthmani").alias("text")))
+    assert sorted(r["near_ayah"] for r in near.collect()) == [2, 3, 4]
+
+
+def test_size_checks(table):
+    with pytest.raises(ValueError):
+        M.Corpus.of(table, Config(broadcast_rows=3))
+    assert len(M.Corpus.of(table).records) == len(VERSES)
