@@ -12,8 +12,8 @@ RANK = {s: len(SEVERITIES) - i for i, s in enumerate(SEVERITIES)}
 
 def latest(rows: DataFrame, group: list[str], key: str, values: list[str]) -> DataFrame:
     """The row with the largest key of each group; combined before the shuffle, unlike a window."""
-    newest = F.max_by(F.struct(*values), key).alias("v")
-    return rows.groupBy(*group).agg(F.max(key).alias(key), newest).select(*group, key, "v.*")
+    newest = F.max_by(F.struct(*values), key).alias("__v")
+    return rows.groupBy(*group).agg(F.max(key).alias(key), newest).select(*group, key, "__v.*")
 
 
 def rank_of(severity: Column) -> Column:

@@ -35,7 +35,7 @@ def apply(diffed: DataFrame) -> DataFrame:
 def latest_wins(rows: DataFrame, key: list[str], version: str) -> DataFrame:
     """One row for each key, that of the highest version: an upsert as union and rank."""
     others = [c for c in rows.columns if c not in (*key, version)]
-    return rows.groupBy(*key).agg(F.max(version).alias(version), F.max_by(F.struct(*others), version).alias("v")).select(*key, version, "v.*") if others else rows.groupBy(*key).agg(F.max(version).alias(version))
+    return rows.groupBy(*key).agg(F.max(version).alias(version), F.max_by(F.struct(*others), version).alias("__v")).select(*key, version, "__v.*") if others else rows.groupBy(*key).agg(F.max(version).alias(version))
 
 
 def with_reasons(rows: DataFrame, rules: list[tuple[Column, str]], key: list[str], order: str) -> DataFrame:
