@@ -25,6 +25,8 @@ ORDER = 5
 TEXTS_PER_LANGUAGE = 1000
 #: A language's texts are cut from the list (never within a text) once they come to so many bytes.
 BYTES_PER_LANGUAGE = 4 << 20
+#: Languages that are learned at most.
+LANGUAGES = 1000
 #: Words whose costs a process keeps at a time.
 CACHED_WORDS = 200_000
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
@@ -214,9 +216,10 @@ def teaching_texts(docs: DataFrame, held_out: F.Column, texts: int = TEXTS_PER_L
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
     marks = rows.select("doc_id", "lang", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
-    # The smallest hashes by salted rank first, so that no language meets in one task.
-    salted = marks.withColumn("salt", F.pmod("h", F.lit(64))).withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "doc_id"))).filter(F.col("r") <= texts)
-    ranked = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    # Only about four times as many rows as are wanted are ranked, so that no language meets in one task.
+    share = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select(F.col("lang").alias("__lang"), (F.lit(2.0**64) * 4 * texts / F.col("rows") - 2.0**63).alias("bar"))
+    near = marks.join(F.broadcast(share.limit(LANGUAGES)), F.col("lang") == F.col("__lang")).filter(F.col("h") < F.col("bar"))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     ranked = ranked.withColumn("sum", F.sum("n").over(Window.partitionBy("lang").orderBy("r"))).filter((F.col("r") <= texts) & ((F.col("sum") <= size) | (F.col("r") == 1)))
     chosen = ranked.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
     found = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "doc_id", "text").toArrow()
