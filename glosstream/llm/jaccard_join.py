@@ -69,6 +69,10 @@ class Rule:
         """The most shingles that are in one of two linked sets only, with so many in the two together."""
         return both - 2 * -(-self.num * both // (self.num + self.den))
 
+    def differ_up_to(self, both):
+        """The most with no more than so many in the two together: ``differ`` grows only from one even or odd number to the next."""
+        return np.maximum(self.differ(both), self.differ(both - 1))
+
     @property
     def radius(self) -> float:
         return 1 - self.num / self.den
@@ -237,7 +241,7 @@ def signatures(items: np.ndarray, ring: int, bounds: np.ndarray, rule: Rule) ->
     least m - T agree.  The smallest cells may be left out as long as they are
     fewer than that.
     """
-    differ = int(rule.differ(2 * (bounds[ring + 2] - 1)))
+    differ = int(rule.differ_up_to(2 * (bounds[ring + 2] - 1)))
     cells = differ + 1 + differ // 2
     salt = mix(np.array([ring], np.uint64) + _C3)[0]
     cell = (mix(items ^ salt) % np.uint64(cells)).astype(np.int64)
