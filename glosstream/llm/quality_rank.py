@@ -153,8 +153,10 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-
         if np.abs(step).max() < 1e-6:
             break
     raw = z @ w
+    # The sigmoid: two numbers, by Newton's method, on targets a little inside 0 and 1 so that separable labels do not saturate it.
     a, b = 1.0, 0.0
-    for _ in range(50):  # the sigmoid: two numbers, by Newton's method
+    y = np.where(y == 1, (len(good) + 1) / (len(good) + 2), 1 / (len(poor) + 2))
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * raw + b, -40, 40)))
         v = np.maximum(p * (1 - p), 1e-9)
         g = np.array([((p - y) * raw).mean() + 1e-4 * a, (p - y).mean()])
@@ -186,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: F.Column | None = None,
 
     marked = docs.select("doc_id", "text").join(F.broadcast(marks), F.col("doc_id") == F.col("__id")).select("text", "q", "doc_id")
     found = marked.select("text", "q").mapInArrow(measure, "q int, x array<double>").toPandas()
-    x = np.array(found["x"].tolist(), float).reshape(len(found), -1)
+    x = np.array(found["x"].tolist(), float).reshape(len(found), len(NAMES))
     y = found["q"].to_numpy(float)
     order = np.lexsort((*x.T[:4], y)) if len(y) else np.zeros(0, int)  # the same fit, however the rows arrive
     return fit_ranker(x[order] if len(y) else np.zeros((0, len(NAMES))), y[order])
