@@ -58,16 +58,41 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-def coverage(query: list[str], reference: list[str], least: float = 80.0) -> float:
-    """The share of query words that some reference word resembles."""
+@lru_cache(100_000)
+def _letters(word: str) -> int:
+    """A bit for each kind of letter (folded to 64)."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+def alike(a: str, b: str, least: float) -> bool:
+    """Is the ratio of two words at least so much?  Letters that only one of them has rule most pairs out."""
+    total = len(a) + len(b)
+    if 200 * min(len(a), len(b)) < least * total or (_letters(a) ^ _letters(b)).bit_count() > total * (100 - least) / 100 + 1e-9:
+        return False
+    return ratio(a, b) >= least
+
+
+def coverage(query: list[str], reference: list[str], least: float = 80.0, enough: float = 0.0) -> float:
+    """The share of query words that some reference word resembles; 0 once it cannot reach ``enough``."""
     if not query:
         return 0.0
-    exact = set(reference)
-    return sum(w in exact or any(ratio(w, r) >= least for r in reference) for w in query) / len(query)
+    exact, hits = set(reference), 0
+    for i, w in enumerate(query):
+        if hits + len(query) - i < enough * len(query):
+            return 0.0
+        hits += w in exact or any(alike(w, r, least) for r in reference)
+    return hits / len(query)
 
 
-def combined(query: str, references: list[str], reference_words: list[str], least: float = 80.0) -> float:
-    """0 to 1: the best over the reference's forms; a query much longer than a form is measured whole, without coverage."""
+def combined(query: str, references: list[str], reference_words: list[str], least: float = 80.0, enough: float = 0.0) -> float:
+    """0 to 1: the best over the reference's forms; a query much longer than a form is measured whole, without coverage.
+
+    Scores below ``enough`` come out as 0: coverage, which bounds the score, is
+    worked out first.
+    """
     words, best = query.split(), 0.0
     share = None
     for form in references:
@@ -76,10 +101,10 @@ def combined(query: str, references: list[str], reference_words: list[str], leas
         if len(query) > 1.3 * len(form):
             score = ratio(query, form)
         else:
-            share = coverage(words, reference_words, least) if share is None else share
-            score = partial_ratio(query, form) * share
+            share = coverage(words, reference_words, least, enough) if share is None else share
+            score = partial_ratio(query, form) * share if share else 0.0
         best = max(best, score)
-    return best / 100
+    return best / 100 if best >= 100 * enough else 0.0
 
 
 def matching_blocks(a: str, b: str) -> float:
@@ -139,7 +164,11 @@ def matching_blocks_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else matching_blocks(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def combined_udf(query: pd.Series, forms: pd.Series, words: pd.Series) -> pd.Series:
+def combined_udf(enough: float = 0.0):
     """Score of a normalised query against a reference's normal forms and words."""
-    return pd.Series([None if q is None else combined(q, list(f), list(w)) for q, f, w in zip(query, forms, words)], dtype="float64")
+
+    @F.pandas_udf(DoubleType())
+    def score(query: pd.Series, forms: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([None if q is None else combined(q, list(f), list(w), enough=enough) for q, f, w in zip(query, forms, words)], dtype="float64")
+
+    return score

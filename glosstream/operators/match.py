@@ -36,7 +36,7 @@ def _grams(spellings: Column, n: int) -> Column:
     return F.explode(F.array_distinct(F.flatten(F.transform(spellings, lambda s: T.ngrams(T.words(s), n)))))
 
 
-def match_texts(queries: DataFrame, corpus: DataFrame, config: Config = Config(), *, every_record: bool = True, key: str = "key") -> DataFrame:
+def match_texts(queries: DataFrame, corpus: DataFrame, config: Config = Config(), *, every_record: bool = True, key: str = "key", least: float = 0.0) -> DataFrame:
     """(key, ref_id, score): the best reference of each query(key, text, short, prefer); queries without a candidate are left out.
 
     Candidates share 3-grams; those without any, 2-grams (of records of up to
@@ -44,32 +44,29 @@ def match_texts(queries: DataFrame, corpus: DataFrame, config: Config = Config()
     words of records of up to three.  The five with most hits (ties: smaller
     ref_id) are scored.  ``prefer`` names a group (column ``surah``): its best
     record wins within a margin.  Texts in the old spelling are also tried in
-    the new; the better attempt counts.
+    the new; the better attempt counts.  Matches that score below ``least`` are
+    left out, and cost little.
     """
     refs = reference_forms(corpus)
-    plain_form = T.normalize(F.col("text"))
-    attempts = queries.select(key, "short", "prefer", plain_form.alias("query"), F.lit(0).alias("attempt"))
-    other = queries.filter(T.has_old_spelling(F.col("text"))).select(key, "short", "prefer", T.normalize(T.expand_dagger(F.col("text"))).alias("query"), F.lit(1).alias("attempt"))
-    tries = attempts.unionByName(other).withColumn("qwords", T.words(F.col("query")))
+    first = F.struct(F.lit(0).alias("attempt"), T.normalize(F.col("text")).alias("query"))
+    second = F.when(T.has_old_spelling(F.col("text")), F.struct(F.lit(1).alias("attempt"), T.normalize(T.expand_dagger(F.col("text"))).alias("query")))
+    tries = queries.select(key, "short", "prefer", F.explode(F.array_compact(F.array(first, second))).alias("t")).select(key, "short", "prefer", "t.attempt", "t.query")
+    tries = tries.withColumn("qwords", T.words(F.col("query")))
     tries = tries.filter(F.size("qwords") >= F.when(F.col("short"), 1).otherwise(2))
-    tiers = [
-        (config.ngram, refs, tries),
-        (config.ngram_fallback, refs if every_record else refs.filter(F.col("n_words") <= config.fallback_max_words), tries),
-        (1, refs.filter(F.col("n_words") <= config.unigram_max_words), tries.filter(F.col("short") & (F.size("qwords") <= config.unigram_max_words))),
-    ]
-    found: list[DataFrame] = []
-    for n, records, asked in tiers:
-        for before in found:
-            asked = asked.join(before.select(key, "attempt").distinct(), [key, "attempt"], "left_anti")
-        index = small(records.select("ref_id", _grams(F.col("spellings"), n).alias("gram")))
-        # Each occurrence of a gram in the query counts.
-        grams = asked.select(key, "attempt", F.explode(T.ngrams(F.col("qwords"), n)).alias("gram"))
-        hits = grams.join(index, "gram").groupBy(key, "attempt", "ref_id").agg(F.count(F.lit(1)).alias("hits"))
-        rank = F.row_number().over(Window.partitionBy(key, "attempt").orderBy(F.desc("hits"), "ref_id"))
-        found.append(hits.withColumn("__r", rank).filter(F.col("__r") <= config.candidates).select(key, "attempt", "ref_id"))
-    pairs = reduce(DataFrame.unionByName, found).join(tries, [key, "attempt"])
+    # All sizes in one pass over the queries; the longest size with a hit counts.
+    sizes = {config.ngram: refs, config.ngram_fallback: refs if every_record else refs.filter(F.col("n_words") <= config.fallback_max_words), 1: refs.filter(F.col("n_words") <= config.unigram_max_words)}
+    index = small(reduce(DataFrame.unionByName, (records.select("ref_id", F.lit(n).alias("n"), _grams(F.col("spellings"), n).alias("gram")) for n, records in sizes.items())))
+    single = F.col("short") & (F.size("qwords") <= config.unigram_max_words)
+    nothing = F.array().cast("array<struct<n:int,gram:string>>")
+    tagged = lambda n: F.transform(T.ngrams(F.col("qwords"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    grams = tries.select(key, "attempt", F.explode(F.concat(tagged(config.ngram), tagged(config.ngram_fallback), F.when(single, tagged(1)).otherwise(nothing))).alias("g")).select(key, "attempt", "g.n", "g.gram")
+    hits = grams.join(index, ["n", "gram"]).groupBy(key, "attempt", "n", "ref_id").agg(F.count(F.lit(1)).alias("hits"))
+    rank = F.row_number().over(Window.partitionBy(key, "attempt").orderBy(F.desc("n"), F.desc("hits"), "ref_id"))
+    longest = F.max("n").over(Window.partitionBy(key, "attempt"))
+    top = hits.withColumns({"__r": rank, "__n": longest}).filter((F.col("n") == F.col("__n")) & (F.col("__r") <= config.candidates)).select(key, "attempt", "ref_id")
+    pairs = top.join(tries, [key, "attempt"])
     details = refs.select("ref_id", F.array("norm", "norm2").alias("forms"), "words", T.normalize(F.col("surah").cast("string")).alias("group"))
-    scored = pairs.join(small(details), "ref_id").withColumn("score", combined_udf("query", "forms", "words")).filter("score > 0")
+    scored = pairs.join(small(details), "ref_id").withColumn("score", combined_udf(least)("query", "forms", "words")).filter("score > 0")
     wanted = F.coalesce(T.normalize(F.col("prefer")), F.lit(""))
     best = F.max("score").over(Window.partitionBy(key, "attempt"))
     favoured = (wanted != "") & (F.col("group") == wanted) & (F.col("score") >= best - config.prefer_margin / 100)
@@ -102,7 +99,7 @@ def find_verses(phrases: DataFrame, verses: DataFrame, config: Config = Config()
     normal = forms.join(few, inside("normal", "normalized_imlaei", "normalized_uthmani") | inside("expanded", "normalized_imlaei", "normalized_uthmani")).select("phrase_id", "surah_no", "ayah_no", F.lit(3).alias("rank"))
     corpus = verses.select((F.col("surah_no") * 1000 + F.col("ayah_no")).alias("ref_id"), F.col("text_uthmani").alias("text"), F.col("surah_name").alias("surah"))
     asked = forms.select(F.col("phrase_id").alias("key"), T.quoted_part(F.col("text")).alias("text"), F.lit(False).alias("short"), F.lit("").alias("prefer"))
-    fuzzy = match_texts(asked, corpus, config).filter(F.col("score") >= FUZZY_ANCHOR)
+    fuzzy = match_texts(asked, corpus, config, least=FUZZY_ANCHOR)
     fuzzy = fuzzy.select(F.col("key").alias("phrase_id"), F.floor(F.col("ref_id") / 1000).cast("int").alias("surah_no"), (F.col("ref_id") % 1000).cast("int").alias("ayah_no"), F.lit(4).alias("rank"))
     anchors = reduce(DataFrame.unionByName, (a.withColumns({"surah_no": F.col("surah_no").cast("int"), "ayah_no": F.col("ayah_no").cast("int")}) for a in (by_name, clean, normal, fuzzy)))
     anchors = anchors.groupBy("phrase_id", "surah_no", "ayah_no").agg(F.min("rank").alias("rank"))

@@ -116,7 +116,7 @@ def fuzzy_match(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in the paragraphs: candidates by n-grams, verified by similarity and coverage."""
     paras = paragraphs_of(table(spark, folder, "documents")).select((F.col("doc_id") * 100000 + F.col("para")).alias("key"), plain_form(F.col("text")).alias("text"), F.lit(False).alias("short"), F.lit("").alias("prefer"))
     corpus = table(spark, folder, "benchmark").select(F.col("item_id").alias("ref_id"), plain_form(F.col("text")).alias("text"), F.lit("").alias("surah"))
-    return match.match_texts(paras, corpus, every_record=False).select("key", "ref_id", F.round("score", 6).alias("score"))
+    return match.match_texts(paras, corpus, every_record=False, least=match.FUZZY_ANCHOR).select("key", "ref_id", F.round("score", 6).alias("score"))
 
 
 @query(None)

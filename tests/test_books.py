@@ -13,7 +13,7 @@ def test_workbooks_read_back(spark, tmp_path):
 
 def test_learned_splitter():
     assert boundary.splitter({})("a b.") == []
-    weights = {boundary.hashed("pc=."): 5.0, boundary.hashed("depth=1"): -50.0}
+    weights = {boundary.hashed("pc=."): 5.0, boundary.hashed("depth=1"): -50.0, boundary.hashed("tag=p"): -3.0}
     split = boundary.splitter(weights)
     assert split("One two. Three «four. five» six. Seven") == ["One two.", "Three «four. five» six.", "Seven"]
     assert segment.split_units("One two. Three «four. five» six. Seven", split) == split("One two. Three «four. five» six. Seven")

@@ -1,7 +1,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glosstream.functions.similarity import combined, cosmetic_pair, coverage, lcs_length, partial_ratio, ratio, real_difference
+from glosstream.functions.similarity import alike, combined, cosmetic_pair, coverage, lcs_length, partial_ratio, ratio, real_difference
 
 texts = st.text("abcا ", max_size=14)
 
@@ -37,6 +37,15 @@ def test_partial_ratio_is_the_best_window(a, b):
         assert partial_ratio(a, b) == 100
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts, texts)
+def test_bounds_change_nothing(a, b):
+    assert alike(a, b, 80) == (ratio(a, b) >= 80)
+    query, words = " ".join(a.split()), b.split()
+    full = combined(query, [b], words)
+    assert combined(query, [b], words, enough=0.6) == (full if full >= 0.6 else 0.0)
+
+
 def test_cosmetic_pairs():
     for pair in ("مستهزءون,مستهزيون", "مستهزءون,مستهزون", "ءانذرتهم,اانذرتهم", "بياياته,باياته"):
         assert cosmetic_pair(*pair.split(","))
