@@ -21,7 +21,7 @@ def _select(bits: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary.
 
-    Takes 2 + log2(universe / n) bits a value, apart from a count for each
+    Takes about 2 + log2(universe / n) bits a value, apart from a count for each
     byte of the unary part, which is rebuilt on opening.
     """
 
@@ -38,8 +38,12 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) if n else 0
         low = max(0, (top // max(n, 1)).bit_length() - 1)
+        if low > 16:  # whole bytes: at most seven bits a value more, and quick to pack and read
+            low = -(-low // 8) * 8
         lows = np.zeros((n * low + 7) // 8 + 8, np.uint8)
-        if low and n:
+        if low % 8 == 0 and n:
+            lows[: n * low // 8] = values.view(np.uint8).reshape(n, 8)[:, : low // 8].ravel()
+        elif low and n:
             part = values & np.uint64((1 << low) - 1)
             bits = ((part[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
             packed = np.packbits(bits, bitorder="little")
@@ -56,7 +60,7 @@ class EliasFano:
         bit = i * self.low
         at = bit >> 3
         word = np.zeros(len(i), np.uint64)
-        for k in range(8):
+        for k in range(-(-self.low // 8) + (self.low % 8 > 0)):
             word |= self.lows[np.minimum(at + k, len(self.lows) - 1)].astype(np.uint64) << np.uint64(8 * k)
         word >>= (bit & 7).astype(np.uint64)
         return word & np.uint64((1 << self.low) - 1)

@@ -17,6 +17,7 @@ bigrams.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -45,20 +46,21 @@ class Tokens:
         end = np.zeros(len(token), bool)
         end[self.first[1:] - 1] = True
         token[end], token[~end] = END, words.hash
-        before = np.empty(len(token), np.uint64)
-        before[1:] = token[:-1]
-        before[self.first[:-1]] = BEGIN
         self.teaches = np.repeat(table["teaches"].to_numpy().astype(bool), n + 1)
-        self.words, self.word_at = np.unique(token, return_inverse=True)
-        self.word_counts = np.bincount(self.word_at, self.teaches, len(self.words)).astype(np.int64)
-        self.before_at = np.searchsorted(self.words, before)  # BEGIN has a place of its own
-        self.starts = before == BEGIN
+        code, words = pd.factorize(token)
+        order = np.argsort(words)
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        self.words, self.word_at = words[order], rank[code]
+        self.word_counts = np.bincount(self.word_at, self.teaches, len(words)).astype(np.int64)
 
     def bigrams(self) -> None:
-        """Distinct (context, word) by their places, their count here, and where each token's is."""
+        """Distinct (context, word) by their places, their count here, and where each token's is; BEGIN has the place behind all words."""
         size = np.int64(len(self.words))
-        context = np.where(self.starts, size, self.before_at)
-        pair, self.pair_at = np.unique(context * size + self.word_at, return_inverse=True)
+        context = np.empty(len(self.word_at), np.int64)
+        context[1:] = self.word_at[:-1]
+        context[self.first[:-1]] = size
+        self.pair_at, pair = pd.factorize(context * size + self.word_at)
         self.pair_counts = np.bincount(self.pair_at, self.teaches, len(pair)).astype(np.int64)
         self.context, self.word = pair // size, pair % size
 
@@ -182,7 +184,8 @@ def _bigram_codes(mass: float, piece: int):
         # The levels are one flat buffer, as they would be mapped from a file.
         trie = Trie.open(memoryview(_trie(keys, ids, counts, totals, mass, piece).to_bytes()))
         del keys, totals, ids, counts
-        return [trie.find(p[0], p[2]).tobytes() for p in parts]
+        # All codes, then all those of contexts: these repeat, and compress well on the way.
+        return [trie.find(p[0], p[2]).T.tobytes() for p in parts]
 
     return run
 
@@ -211,7 +214,9 @@ def _scored(shards: int, docs_taught: int, n: int, v: int, mass: float, piece: i
             return _nothing(out.names, out)
         asked = Asked(left, right.filter(pc.equal(right["round"], 1)), shards, docs_taught, mass, piece)
         order = asked.request(shards)[1]
-        asked.codes[order] = gathered(right.filter(pc.equal(right["round"], 2)), np.arange(2 * len(order)), np.dtype(np.uint8)).reshape(-1, 2)
+        replies = [np.frombuffer(b.as_py(), np.uint8).reshape(2, -1) for b in right.filter(pc.equal(right["round"], 2)).sort_by("shard")["blob"]]
+        if replies:
+            asked.codes[order] = np.concatenate(replies, 1).T
         p1 = (asked.counts + 1) / (n + v + 1)
         back = np.where(asked.codes[:, 1] > 0, VALUES[asked.codes[:, 1]], 1.0)
         p = VALUES[asked.codes[:, 0]] + back * p1[asked.word]
