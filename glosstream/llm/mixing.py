@@ -21,6 +21,8 @@ from .storage import stored
 
 BLOCK_ROWS = 64
 PERIOD = 4096
+#: Rows of a source that are numbered together, about.
+BUCKET_ROWS = 500
 #: The plan is broadcast up to this size, joined by a salted shuffle beyond it.
 BROADCAST_BYTES = 16 << 20
 TEMPERATURE = 0.7
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     order = F.xxhash64(F.lit(11), F.col("doc_id"))
     rows = docs.count()
-    buckets = max(1, -(-rows // 2000))
+    buckets = max(1, -(-rows // BUCKET_ROWS))
     keyed = docs.withColumn("__key", key).withColumn("__h", order).withColumn("__bucket", F.pmod(F.xxhash64("__h"), F.lit(buckets)))
     # A source's rows are numbered bucket by bucket, so that no source meets in one task.
     sizes = stored(keyed.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n")), "mix-sizes")

@@ -15,6 +15,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
     have = spark.conf.get("spark.checkpoint.dir", None)
     if not have:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         have = "file://" + (own := tempfile.mkdtemp(prefix="glosstream-"))
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", have)
