@@ -161,3 +161,21 @@ def statistics(rows: DataFrame, findings: DataFrame) -> DataFrame:
     return both.withColumns(
         {"pending": F.col("total") - F.col("checked") - F.col("skipped") - F.col("failed"), "error_rows_pct": percent(F.col("with_errors"), considered), "errors_per_100_rows": per(100.0, considered), "errors_per_1000_words": per(1000.0, F.col("words"))}
     )
+
+
+def job_status(done: Column, failed: Column, total: Column) -> Column:
+    """Of a job from its groups' counts; without groups there is nothing left to do."""
+    return F.when((total == 0) | (done == total), "done").when(done + failed == total, F.when(done > 0, "partial").otherwise("failed")).otherwise("running")
+
+
+def job_statuses(jobs: DataFrame, job_groups: DataFrame) -> DataFrame:
+    """(job_id, status) of every job, those without groups too."""
+    counted = job_groups.groupBy("job_id").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("status") == "done").alias("d"), F.count_if(F.col("status") == "failed").alias("f"))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    return jobs.select("job_id").join(counted, "job_id", "left").select("job_id", job_status(none(F.col("d")), none(F.col("f")), none(F.col("t"))).alias("status"))
+
+
+def export_findings(rows: DataFrame, findings: DataFrame) -> DataFrame:
+    """Findings with the texts and place of their rows, in the order of the sheet."""
+    placed = rows.select(F.col("id").alias("row_id"), F.col("seq").alias("excel_row"), "source_text", "target_text")
+    return findings.join(placed, "row_id").orderBy("excel_row", "seq")

@@ -197,3 +197,26 @@ def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(facet, value, n) for each column, in one pass."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns)))
     return rows.select(pairs.alias("p")).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_segments(phrase_rows: DataFrame, analysis: DataFrame, links: DataFrame, glossary: DataFrame) -> DataFrame:
+    """Segments back from their tables, terms in order; the stored reason stands for the note, which was never saved."""
+    back = {v: k for k, v in KIND.items() if k != "uncertain"}
+    terms = links.join(glossary.select(F.col("id").alias("glossary_id"), "ar", "en"), "glossary_id").groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct("ar", "en"))).alias("terms"))
+    joined = phrase_rows.join(analysis.withColumnRenamed("kind", "__kind"), "phrase_id", "left").join(terms, "phrase_id", "left")
+    return joined.select(
+        F.col("doc_id"), F.col("para_no").alias("para"), "ord", lookup(back, F.coalesce("__kind", F.lit("plain")), "text").alias("kind"), "content", F.coalesce("reference", F.lit("")).alias("source"),
+        (F.col("confidence") / 100).alias("confidence"), "reason_code", F.coalesce("terms", F.array().cast("array<struct<ar:string,en:string>>")).alias("terms"),
+    )
+
+
+def kind_label(content_type: Column, tag: Column) -> Column:
+    """The label of a phrase in the translation sheet."""
+    return F.when(tag.isin(*HEADINGS), "heading").when(tag == "footnote", "footnote").otherwise(content_type)
+
+
+def translation_sheet(phrase_rows: DataFrame, translations: DataFrame) -> DataFrame:
+    """Every phrase in order with its translation, empty where it lacks one."""
+    joined = phrase_rows.join(translations.select("phrase_id", F.trim("translation").alias("__t")), "phrase_id", "left")
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy("group_id", "group_order"))
+    return joined.select("document_id", place.alias("n"), "phrase_id", kind_label(F.col("content_type"), F.col("tag")).alias("kind"), "text", F.coalesce("__t", F.lit("")).alias("translation"), (F.col("translatable") & (F.coalesce("__t", F.lit("")) == "")).alias("missing"))

@@ -192,3 +192,21 @@ class Corpus:
         """Does the text have the name of a group as whole words?"""
         words, names = tuple(plain.normalize(text).split()), self.names()
         return any(words[i : i + n] in names for n in {len(x) for x in names} for i in range(len(words) - n + 1))
+
+
+def review_candidates(queries: DataFrame, corpora: dict[str, DataFrame], top: int = 4, key: str = "key") -> DataFrame:
+    """(key, kind, ref_id, score): the best candidates of several corpora together, by partial similarity with their normal form.
+
+    Only these may be chosen by a reviewer.
+    """
+    from .ngram import candidates
+
+    words = queries.select(key, T.normalize(F.col("text")).alias("query")).withColumn("words", T.words(F.col("query")))
+    found: list[DataFrame] = []
+    for kind, corpus in corpora.items():
+        refs = corpus.select("ref_id", T.normalize(F.col("text")).alias("norm")).withColumn("words", T.words(F.col("norm")))
+        hits = candidates(words.select(key, "words"), refs, key, "ref_id", 3, top).join(small(refs.select("ref_id", "norm")), "ref_id")
+        found.append(hits.join(words.select(key, "query"), key).select(key, F.lit(kind).alias("kind"), "ref_id", (partial_ratio_udf("query", "norm") / 100).alias("score")))
+    every = reduce(DataFrame.unionByName, found)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "kind", "ref_id"))
+    return every.withColumn("__r", rank).filter(F.col("__r") <= top).drop("__r")

@@ -340,15 +340,15 @@ def job_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 OR bool_and(o_orderstatus = 'F') THEN 'done' WHEN bool_or(o_orderstatus = 'P') AND bool_or(o_orderstatus = 'F') THEN 'partial' WHEN bool_or(o_orderstatus = 'P') THEN 'failed' ELSE 'running' END AS status
-    FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"""
+    """SELECT c_custkey, CASE WHEN count(o_orderkey) = 0 OR bool_and(o_orderstatus = 'F') THEN 'done' WHEN bool_or(o_orderstatus = 'O') THEN 'running' WHEN bool_or(o_orderstatus = 'F') THEN 'partial' ELSE 'failed' END AS status
+    FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 5 = 0 GROUP BY 1"""
 )
 def job_status(spark: SparkSession, folder: str) -> DataFrame:
-    counted = table(spark, folder, "orders").groupBy("o_custkey").agg(*(F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("F", "done"), ("P", "failed"), ("O", "pending"))))
-    joined = table(spark, folder, "customer").select("c_custkey").join(counted, F.col("o_custkey") == F.col("c_custkey"), "left")
-    none = lambda c: F.coalesce(c, F.lit(0))
-    done, failed, pending = (none(F.col(c)) for c in ("done", "failed", "pending"))
-    return joined.select("c_custkey", F.when((failed + pending) == 0, "done").when((failed > 0) & (done > 0), "partial").when(failed > 0, "failed").otherwise("running").alias("status"))
+    from ..operators.audit import job_statuses
+
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
+    groups = table(spark, folder, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("job_id"), status.alias("status"))
+    return job_statuses(table(spark, folder, "customer").select(F.col("c_custkey").alias("job_id")), groups).withColumnRenamed("job_id", "c_custkey")
 
 
 OLD = "old AS (SELECT p_partkey AS key, p_brand AS brand, p_size AS size FROM part WHERE p_partkey % 11 <> 0)"
