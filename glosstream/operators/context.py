@@ -74,7 +74,10 @@ def round_robin(rows: DataFrame, label: str, order: list[str], limit: int) -> Da
     return rows.withColumn("__round", F.row_number().over(ordered([label], order))).orderBy("__round", label).limit(limit).drop("__round")
 
 
-def first_processed(rows: DataFrame, order: list[str], limit: int, skipped: Column) -> DataFrame:
-    """Keeps skipped rows and the first ``limit`` of the others: the limit counts what is processed, not what is read."""
-    w = Window.partitionBy(F.lit(1)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__n", F.count_if(~skipped).over(w)).filter(skipped | (F.col("__n") <= limit)).drop("__n")
+def first_processed(rows: DataFrame, group: list[str], order: list[str], limit: int, skipped: Column) -> DataFrame:
+    """Keeps skipped rows and the first ``limit`` others of each group: the limit counts what is processed, not what is read.
+
+    Adds ``processed``, how many of a group's rows were processed so far.
+    """
+    w = ordered(group, order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("processed", F.count_if(~skipped).over(w)).filter(skipped | (F.col("processed") <= limit))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, context, export, match, parse, segment, upsert
@@ -99,9 +99,8 @@ def message_fold(spark: SparkSession, folder: str) -> DataFrame:
 )
 def processed_limit(spark: SparkSession, folder: str) -> DataFrame:
     """A limit on what is processed in each group, not on what is read."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    counted = table(spark, folder, "conversations").select("conv_id", "turn", "role", F.count_if(F.col("role") == "user").over(w).alias("processed"))
-    return counted.filter((F.col("role") != "user") | (F.col("processed") <= 2)).select("conv_id", "turn", "processed")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role")
+    return context.first_processed(turns, ["conv_id"], ["turn"], 2, F.col("role") != "user").drop("role")
 
 
 @query(None)
