@@ -91,6 +91,7 @@ class Asked(Tokens):
 
     def __init__(self, table: pa.Table, replies: pa.Table, shards: int, docs_taught: int, mass: float, piece: int):
         super().__init__(table)
+        self.piece = piece
         order = np.argsort(_shard(self.words, shards).astype(np.uint32), kind="stable")
         replied = gathered(replies, order, np.dtype(np.int64))
         self.counts = replied >> 1
@@ -112,9 +113,11 @@ class Asked(Tokens):
         self.out = self.out[np.lexsort((ids[self.out], self.keys[self.out]))]
 
     def request(self, shards: int) -> tuple[pa.Table, np.ndarray]:
-        """Contexts with their totals, how many words each asks about, and ids and counts of those.
+        """Contexts, how many words each asks about, and ids and counts of those.
 
-        Ids take five bytes; counts above 254 are sent apart.
+        Ids take five bytes; counts above 254 are sent apart.  A context that is
+        whole in one shard has the sum of its counts as its total; only those in
+        pieces bring theirs.
         """
         keys = self.keys[self.out]
         new = np.ones(len(keys), bool)
@@ -133,25 +136,29 @@ class Asked(Tokens):
         small, big = np.minimum(counts, 255).astype(np.uint8), counts[counts > 254]
         big_at = np.concatenate([[0], np.cumsum(counts > 254)])
         totals = self.total[self.out][at]
+        totals[totals <= self.piece] = 0
         ids_, blobs = [], []
         for s in np.flatnonzero(np.diff(bounds)):
             o = order[bounds[s] : bounds[s + 1]]
             a, b = ends[bounds[s]], ends[bounds[s + 1]]
+            cut = np.flatnonzero(totals[o])
             ids_.append(int(s))
             blobs.append(
-                np.array([len(o), b - a, big_at[b] - big_at[a]], np.int64).tobytes()
-                + keys[at[o]].tobytes() + totals[o].astype(np.int64).tobytes() + runs[o].astype(np.uint32).tobytes()
+                np.array([len(o), b - a, big_at[b] - big_at[a], len(cut)], np.int64).tobytes()
+                + keys[at[o]].tobytes() + cut.astype(np.int64).tobytes() + totals[o[cut]].tobytes() + runs[o].astype(np.uint32).tobytes()
                 + big[big_at[a] : big_at[b]].tobytes() + small[a:b].tobytes() + ids[a:b].tobytes()
             )
         return pa.table({"batch": pa.array(np.full(len(ids_), self.batch, np.int64)), "shard": pa.array(ids_, pa.int32()), "blob": pa.array(blobs, pa.binary())}), self.out[each]
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, ...]:
-    """keys, totals, ids and counts of each entry."""
-    n, m, b = np.frombuffer(blob, np.int64, 3).tolist()
-    at = 24
-    keys, totals, runs = np.frombuffer(blob, np.uint64, n, at), np.frombuffer(blob, np.int64, n, at + 8 * n), np.frombuffer(blob, np.uint32, n, at + 16 * n)
-    at += 20 * n
+    """keys, totals (0: the sum of the counts), ids and counts of each entry."""
+    n, m, b, c = np.frombuffer(blob, np.int64, 4).tolist()
+    keys, totals, at = np.frombuffer(blob, np.uint64, n, 32), np.zeros(n, np.int64), 32 + 8 * n
+    totals[np.frombuffer(blob, np.int64, c, at)] = np.frombuffer(blob, np.int64, c, at + 8 * c)
+    at += 16 * c
+    runs = np.frombuffer(blob, np.uint32, n, at)
+    at += 4 * n
     big = np.frombuffer(bytes(blob[at : at + 8 * b]), np.int64)
     at += 8 * b
     counts = np.frombuffer(blob, np.uint8, m, at).astype(np.int64)
@@ -169,6 +176,9 @@ def _trie(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, totals: np.ndar
     new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
     at = np.flatnonzero(new)
     total = np.add.reduceat(counts, at) if len(at) else counts
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else at
+    sums = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys)))) if len(keys) else totals
+    totals = np.where(totals > 0, totals, sums)
     seen = total > 0
     at, total = at[seen], total[seen]
     keys, ids, every = keys[at], ids[at], totals[at]
@@ -240,15 +250,16 @@ def corpus_size(docs: DataFrame, shards: int) -> tuple[int, int, int]:
     """(N, V, texts): tokens, distinct tokens and texts of ``docs(text)``, ends included."""
 
     def distinct(batches):
+        seen, n = np.zeros(0, np.uint64), 0
         for batch in batches:
-            for at, n in slices(batch.column(0), 8 << 20, 1 << 20):
-                words = Words(*text_buffer(batch.column(0).slice(at, n)), True)
-                seen = np.unique(words.hash)
-                request, _ = packed(len(words.hash), _shard(seen, shards), [seen], shards)
-                # The number of words travels with the first row.
-                sizes = np.zeros(request.num_rows, np.int64)
-                sizes[:1] = len(words.hash)
-                yield from request.drop_columns(["batch"]).append_column("n", pa.array(sizes)).to_batches()
+            for at, size in slices(batch.column(0), 8 << 20, 1 << 20):
+                words = Words(*text_buffer(batch.column(0).slice(at, size)), True).hash
+                n += len(words)
+                seen = np.union1d(seen, words)
+        request, _ = packed(0, _shard(seen, shards), [seen], shards)
+        sizes = np.zeros(request.num_rows, np.int64)
+        sizes[:1] = n  # the number of words travels with the first row
+        yield from request.drop_columns(["batch"]).append_column("n", pa.array(sizes)).to_batches()
 
     def count(table: pa.Table) -> pa.Table:
         seen = np.unique(np.concatenate([unpacked(b.as_py(), [np.uint64])[0] for b in table["blob"]]))
