@@ -13,15 +13,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import context, ngram, stats, upsert
+from ..sources.tables import read_table as table
+from ..sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def query(sql: str | None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = (f, sql)
@@ -33,7 +31,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 def paragraphs_of(docs: DataFrame) -> DataFrame:
     """(doc_id, para, text): non-empty lines, numbered from 1 in each document."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x)), lambda x: x != "")
-    return docs.select("doc_id", F.posexplode(lines).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).cast("long").alias("para"), "text")
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(lines).alias("pos", "text")).select("doc_id", (F.col("pos") + 1).cast("long").alias("para"), "text")
 
 
 PARAGRAPHS = """
@@ -65,7 +63,7 @@ def paragraph_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT doc_id, {plain_sql('text')} AS normal, len(string_split({plain_sql('text')}, ' '))::BIGINT AS n_words FROM documents")
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     normal = plain_form(F.col("text"))
-    return table(spark, folder, "documents").select("doc_id", normal.alias("normal"), F.size(F.split(normal, " ")).cast("long").alias("n_words"))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", normal.alias("normal"), F.size(F.split(normal, " ")).cast("long").alias("n_words"))
 
 
 @query(
@@ -134,7 +132,7 @@ def ngram_fallback(spark: SparkSession, folder: str) -> DataFrame:
 )
 def contains_join(spark: SparkSession, folder: str) -> DataFrame:
     needles = table(spark, folder, "benchmark").select("item_id", F.lower(F.array_join(F.slice(F.split("text", " "), 1, 6), " ")).alias("needle"))
-    return ngram.containing(table(spark, folder, "documents").select("doc_id", F.lower("text").alias("text")), needles, "doc_id", "item_id")
+    return ngram.containing(spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("text")), needles, "doc_id", "item_id")
 
 
 @query(
@@ -430,7 +428,7 @@ def top_types(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT word, count(*)::BIGINT AS df FROM (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word <> '' GROUP BY word HAVING count(*) >= 0.3 * (SELECT count(*) FROM documents)")
 def doc_frequency_cut(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("words"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.split(F.lower("text"), " ").alias("words"))
     return stats.common_words(docs, 0.3)
 
 
