@@ -127,6 +127,33 @@ class Ranker:
         return float(np.quantile(self.quantiles, quantile))
 
 
+def _sigmoid(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the sigmoid of scores, by Newton's method with step halving.
+
+    Targets lie a little inside 0 and 1, so that separable labels do not saturate it.
+    """
+    good, poor = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (good + 1) / (good + 2), 1 / (poor + 2))
+    x = np.stack([raw, np.ones(len(raw))], 1)
+
+    def loss(v: np.ndarray) -> float:
+        s = x @ v
+        return float((np.logaddexp(0, s) - target * s).mean())
+
+    v = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -40, 40)))
+        gradient = x.T @ (p - target) / len(y)
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(y) + 1e-9 * np.eye(2)
+        step, size = np.linalg.solve(curve, gradient), 1.0
+        while size > 1e-6 and loss(v - size * step) > loss(v):
+            size /= 2
+        v = v - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return float(v[0]), float(v[1])
+
+
 def fit_ranker(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-3, steps: int = 30) -> Ranker:
     """Newton's method on sum log(1 + exp(-w·(x_good - x_poor))) over random preference pairs.
 
@@ -153,19 +180,8 @@ def fit_ranker(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-
         if np.abs(step).max() < 1e-6:
             break
     raw = z @ w
-    # The sigmoid: two numbers, by Newton's method, on targets a little inside 0 and 1 so that separable labels do not saturate it.
-    a, b = 1.0, 0.0
-    y = np.where(y == 1, (len(good) + 1) / (len(good) + 2), 1 / (len(poor) + 2))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * raw + b, -40, 40)))
-        v = np.maximum(p * (1 - p), 1e-9)
-        g = np.array([((p - y) * raw).mean() + 1e-4 * a, (p - y).mean()])
-        h = np.array([[(v * raw * raw).mean() + 1e-4, (v * raw).mean()], [(v * raw).mean(), v.mean() + 1e-9]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - np.clip(da, -2, 2), b - np.clip(db, -5, 5)
-        if abs(da) + abs(db) < 1e-7:
-            break
-    ranker = Ranker(mean, scale, w, float(a), float(b), np.zeros(0))
+    slope, offset = _sigmoid(raw, y)
+    ranker = Ranker(mean, scale, w, slope, offset, np.zeros(0))
     ranker.quantiles = np.quantile(ranker.score(x), np.linspace(0, 1, 1001))
     return ranker
 
