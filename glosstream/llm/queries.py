@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table, spread
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
@@ -19,7 +20,7 @@ from .substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read_table(spark, sf_dir, name))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
