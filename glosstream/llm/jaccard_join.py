@@ -519,8 +519,9 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     component_id is the smallest doc_id reachable by links, the document's own
     included.  Defined cases: a null, empty or word-free text has no shingles
     and is linked with nothing; a text of fewer words than a shingle is one
-    shingle; rows with a null doc_id are linked like any other but never give
-    their id; rows that repeat are linked; an empty table gives an empty table.
+    shingle; rows with a null doc_id never give their id, and a text that only
+    such rows have is linked with nothing but its copies; rows that repeat are
+    linked; an empty table gives an empty table.
     """
     points, roots = linked_points(docs, rule)
     classes = points.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"))
