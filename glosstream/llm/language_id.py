@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, slices
+from .storage import stored
 
 ORDER = 5
 #: Bound on the texts that teach a language: those with the smallest hashes of doc_id.
 TEXTS_PER_LANGUAGE = 1000
 #: A language's texts are cut from the list (never within a text) once they come to so many bytes.
 BYTES_PER_LANGUAGE = 4 << 20
+#: The number of rows by language is broadcast up to so many languages.
+BROADCAST_LANGUAGES = 10_000
 #: Words whose costs a process keeps at a time.
 CACHED_WORDS = 200_000
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
@@ -216,7 +219,9 @@ def teaching_texts(docs: DataFrame, held_out: F.Column, texts: int = TEXTS_PER_L
     marks = rows.select("doc_id", "lang", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
     # Only about four times as many rows as are wanted are ranked, so that no language meets in one task.
     share = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select(F.col("lang").alias("__lang"), (F.lit(2.0**64) * 4 * texts / F.col("rows") - 2.0**63).alias("bar"))
-    near = marks.join(share, F.col("lang") == F.col("__lang")).filter(F.col("h") < F.col("bar"))
+    share = stored(share, "language-shares")
+    few = share.count() <= BROADCAST_LANGUAGES
+    near = marks.join(F.broadcast(share) if few else share, F.col("lang") == F.col("__lang")).filter(F.col("h") < F.col("bar"))
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
     ranked = ranked.withColumn("sum", F.sum("n").over(Window.partitionBy("lang").orderBy("r"))).filter((F.col("r") <= texts) & ((F.col("sum") <= size) | (F.col("r") == 1)))
     chosen = ranked.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
