@@ -1,19 +1,26 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source form blocks.  Block j of a source with share w is released
-at slot floor(j / w) and due by ceil((j + 1) / w); in each slot the released
-block with the earliest deadline goes next, so that at every slot each source
-is less than one block away from its share of what went before.  Shares are
-whole numbers out of a period, after which the schedule repeats: it is worked
-out once for a period and looked up for all blocks in parallel.  When a source
-runs dry a new phase begins, with the shares of those left.
+Documents of a source form blocks.  In the ideal mix all sources flow at once,
+each at its weight's share of those that are not yet used up.  Block j of a
+source is released in the slot in which the ideal reaches j blocks and due when
+it reaches j + 1; in each slot the released block with the earliest deadline
+goes next, so that at every slot, also after sources have run dry, each source
+is less than one block away from the ideal.  Times are worked out from the exact
+weights in whole numbers, for all blocks of the plan; blocks are then looked up
+in parallel.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import bisect_right
 from collections.abc import Mapping
+from fractions import Fraction
+from itertools import accumulate
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +30,15 @@ BLOCK_ROWS = 64
 PERIOD = 4096
 #: Rows of a source that are numbered together, about.
 BUCKET_ROWS = 500
-#: The plan is broadcast up to this size, joined by a salted shuffle beyond it.
+#: The plan is broadcast up to this size, joined by a shuffle beyond it.
 BROADCAST_BYTES = 16 << 20
+#: Blocks of a source in a row of the plan.
+PLAN_BLOCKS = 512
 TEMPERATURE = 0.7
 
 
 def whole_shares(weights: list[float], period: int) -> list[int]:
-    """Shares of at least 1 that sum to the period, by largest remainder."""
+    """Shares of at least 1 that sum to the period, by largest remainder; too coarse for a plan, which takes weights as they are."""
     total = sum(weights)
     free = period - len(weights)
     exact = [w / total * free for w in weights]
@@ -39,47 +48,68 @@ def whole_shares(weights: list[float], period: int) -> list[int]:
     return [k + 1 for k in out]
 
 
-def edf_period(shares: list[int], period: int) -> list[list[int]]:
-    """For each source the slots of its blocks in one period: earliest deadline first among the released."""
-    slots: list[list[int]] = [[] for _ in shares]
-    waiting = [(0, i) for i in range(len(shares))]
-    heapq.heapify(waiting)
+def edf(blocks: list[int], shares: list[int]) -> list[array]:
+    """For each source the slots of its blocks: earliest deadline first among the released.
+
+    The ideal has min(n, a * v) blocks of a source of n blocks and share a at
+    virtual time v; block j of it begins when the ideal of all sources comes to
+    the sum of min(n, a * v) for v = j / share.
+    """
+    order = sorted(range(len(blocks)), key=lambda i: Fraction(blocks[i], shares[i]))
+    dry = [Fraction(blocks[i], shares[i]) for i in order]
+    used = [0, *accumulate(blocks[i] for i in order)]
+    flow = [*accumulate((shares[i] for i in reversed(order)), initial=0)][::-1]
+
+    dried = [0] * len(blocks)
+
+    def begins(j: int, i: int) -> int:
+        """When the ideal reaches j blocks of source i, times its share; j must not decrease."""
+        at = dried[i]
+        if at < len(dry) and dry[at].numerator * shares[i] <= j * dry[at].denominator:
+            at = dried[i] = bisect_right(dry, Fraction(j, shares[i]), at)
+        return used[at] * shares[i] + j * flow[at]
+
+    slots = [array("q") for _ in blocks]
+    waiting = [(0, i) for i, n in enumerate(blocks) if n]
     ready: list[tuple[int, int]] = []
-    for t in range(period):
+    due = [begins(1, i) for i in range(len(blocks))]
+    for t in range(sum(blocks)):
         while waiting and waiting[0][0] <= t:
             _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * period // shares[i]), i))
+            heapq.heappush(ready, (-(-due[i] // shares[i]), i))
         deadline, i = heapq.heappop(ready)
         assert t < deadline
         slots[i].append(t)
-        if len(slots[i]) < shares[i]:
-            heapq.heappush(waiting, (len(slots[i]) * period // shares[i], i))
+        if len(slots[i]) < blocks[i]:
+            heapq.heappush(waiting, (due[i] // shares[i], i))
+            due[i] = begins(len(slots[i]) + 1, i)
     return slots
 
 
+def edf_period(shares: list[int], period: int) -> list[list[int]]:
+    """For each source the slots of its blocks in one period, to which the shares sum."""
+    return [list(s) for s in edf(shares, shares)]
+
+
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """The plan: in each phase, by source, the first block and slot, the share and the slots of a period.
+    """The plan: for each source the first block and slot, the number of blocks and their slots from there.
 
-    Needs only the number of blocks of each source; its work grows with the
-    square of the number of sources, not with the data.
+    Sources of positive weight are one phase, those without weight another one
+    behind it, in equal shares.  Needs only the number of blocks of each source;
+    work and memory grow with the number of blocks.  ``period`` has no effect:
+    the schedule of exact weights does not repeat.
     """
-    period = max(period, 4 * len(blocks))
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done, start, plan = dict.fromkeys(left, 0), 0, []
-    while left:
-        names = sorted(left)
-        shares = whole_shares([max(weights.get(s, 0.0), 1e-12) for s in names], period)
-        table = edf_period(shares, period)
-        ends = [((left[s] - 1) // k) * period + t[(left[s] - 1) % k] for s, k, t in zip(names, shares, table)]
-        length = min(ends) + 1
-        for s, k, t in zip(names, shares, table):
-            whole, part = divmod(length, period)
-            n = whole * k + sum(x < part for x in t)
-            plan.append({"source": s, "base": done[s], "start": start, "share": k, "period": period, "slots": t})
-            done[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
-        start += length
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    start, plan = 0, []
+    for weighted in (True, False):
+        mine = [s for s in names if (weights.get(s, 0.0) > 0) == weighted]
+        exact = [Fraction(weights[s]) if weighted else Fraction(1) for s in mine]
+        scale = lcm(*(w.denominator for w in exact))
+        counts = [blocks[s] for s in mine]
+        total = sum(counts)
+        for s, n, t in zip(mine, counts, edf(counts, [int(w * scale) for w in exact])):
+            plan.append({"source": s, "base": 0, "start": start, "share": n, "period": total, "slots": t})
+        start += total
     return plan
 
 
@@ -89,7 +119,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     Ordered by (mix_slot, mix_place), sources alternate by weight; within a
     source the order is that of a hash of doc_id.  ``weights`` names the sources
     (default: number of documents to the power ``temperature``); a source
-    without a weight only goes when all others are done.  Defined cases: null is
+    without a weight only goes when all others are done.  ``period`` has no
+    effect.  Defined cases: null is
     a source of its own; null doc_id and text are ordinary rows; rows that
     repeat get places of their own; an empty table gives an empty table; columns
     named mix_* are replaced.
@@ -112,23 +143,15 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     else:
         wanted = {"n" if s is None else f"s{s}": w for s, w in weights.items()}
     plan = phases({s: -(-n // block_rows) for s, n in totals.items()}, wanted, period)
-    by: dict[str, dict] = {}
-    for p in plan:
-        mine = by.setdefault(p["source"], {"__key": p["source"], "__bases": [], "__starts": [], "__shares": [], "__slots": []})
-        for k, v in (("__bases", p["base"]), ("__starts", p["start"]), ("__shares", p["share"]), ("__slots", p["slots"])):
-            mine[k].append(v)
-    length = plan[0]["period"] if plan else period
-    table = spark.createDataFrame([tuple(m.values()) for m in by.values()], "__key string, __bases array<long>, __starts array<long>, __shares array<long>, __slots array<array<int>>")
+    parts = [(p["source"], at // PLAN_BLOCKS, p["start"], p["slots"][at : at + PLAN_BLOCKS]) for p in plan for at in range(0, len(p["slots"]), PLAN_BLOCKS)]
+    columns_of = zip(("__key", "__part", "__start", "__slots"), zip(*parts) if parts else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))
+    table = spark.createDataFrame(pa.table({name: pa.array(values, kind) for name, values, kind in columns_of}))
     numbered = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy("__h", "doc_id")) - 1).join(offsets, ["__key", "__bucket"])
     numbered = numbered.withColumn("__rank", F.col("__offset") + F.col("__r")).withColumn("mix_block", F.floor(F.col("__rank") / block_rows)).withColumn("mix_place", (F.col("__rank") % block_rows).cast("int"))
-    if sum(len(p["slots"]) for p in plan) * 4 <= BROADCAST_BYTES:
-        placed = numbered.join(F.broadcast(table), "__key")
-    else:
-        salts = 64
-        placed = numbered.withColumn("__salt", F.pmod("__h", F.lit(salts)).cast("int")).join(table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["__key", "__salt"])
-    phase = F.size(F.filter("__bases", lambda b: b <= F.col("mix_block"))) - 1
-    placed = placed.withColumn("__p", phase).withColumn("__i", F.col("mix_block") - F.get("__bases", F.col("__p"))).withColumn("__k", F.get("__shares", F.col("__p")))
-    slot = F.get("__starts", F.col("__p")) + F.floor(F.col("__i") / F.col("__k")) * length + F.get(F.get("__slots", F.col("__p")), (F.col("__i") % F.col("__k")).cast("int"))
+    numbered = numbered.withColumn("__part", F.floor(F.col("mix_block") / PLAN_BLOCKS))
+    small = sum(len(p["slots"]) for p in plan) * 8 <= BROADCAST_BYTES
+    placed = numbered.join(F.broadcast(table) if small else table, ["__key", "__part"])
+    slot = F.col("__start") + F.get("__slots", (F.col("mix_block") % PLAN_BLOCKS).cast("int"))
     return placed.select(*columns, slot.cast("long").alias("mix_slot"), "mix_place", F.col("mix_block").cast("long").alias("mix_block"))
 
 

@@ -425,3 +425,38 @@ def test_pipeline_against_brute_force(spark, docs):
         else:
             assert after == set(before)
         frame = out.select(*docs.columns)
+
+
+def slots_of(plan, blocks):
+    """By source the slots of all its blocks, as mix looks them up."""
+    out = {}
+    for s, n in blocks.items():
+        mine = [p for p in plan if p["source"] == s]
+        ends = [*(p["base"] for p in mine[1:]), n]
+        out[s] = [p["start"] + i // p["share"] * p["period"] + p["slots"][i % p["share"]] for p, end in zip(mine, ends) for i in range(end - p["base"])]
+    return out
+
+
+@pytest.mark.parametrize("sources", [1, 2, 20, 100, 1000])
+def test_plan_stays_within_a_block_of_the_target_weights(sources):
+    rng = random.Random(sources)
+    for drift in (False, True):
+        # A hot third against equal rest, long enough that no source runs dry first; then sizes by chance, so that they do.
+        weights = {f"s{i}": (rng.random() + 0.01 if drift else (sources - 1) / 2 or 1.0 if i == 0 else 1.0) for i in range(sources)}
+        blocks = {f"s{i}": rng.randint(1, 60_000 // sources) if drift else (20_000 if i == 0 else 40_000 // sources) for i in range(sources)}
+        plan = slots_of(X.phases(blocks, weights), blocks)
+        assert sorted(t for mine in plan.values() for t in mine) == list(range(sum(blocks.values())))
+        # The ideal: all sources flow by weight; the number of slots at virtual time v is the sum of min(n, w v).
+        n, w = (np.array([m[s] for s in plan], float) for m in (blocks, weights))
+        at = np.sort(np.concatenate([[0], n / w]))
+        slots = np.array([np.minimum(n, w * v).sum() for v in at])
+        for k, mine in enumerate(map(np.array, plan.values())):
+            ideal = lambda t, k=k: np.minimum(n[k], w[k] * np.interp(t, slots, at))
+            count = np.arange(len(mine))
+            assert (ideal(mine + 1) - count > -1e-6).all() and (count + 1 - ideal(mine + 1) < 1 + 1e-6).all() and (ideal(mine) - count < 1 + 1e-6).all()
+
+
+def test_sources_without_weight_go_last():
+    blocks = {"a": 5000, "b": 3, "c": 5}
+    plan = slots_of(X.phases(blocks, {"a": 0.5, "b": 0.0}), blocks)
+    assert sorted(plan["a"]) == list(range(5000)) and sorted(plan["b"] + plan["c"]) == list(range(5000, 5008))
