@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
@@ -49,6 +49,11 @@ def heavy_digests(digests: DataFrame, rows: int, counters: int = COUNTERS) -> Da
     return sketch.groupBy("digest").agg(F.sum("n").alias("n")).filter(F.col("n") * F.lit(counters + 1) > F.lit(rows)).select("digest")
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -58,7 +63,7 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     its whole group has none; an empty table gives an empty table; other
     columns of ``docs`` are ignored, whatever their names.
     """
-    digests = stored(docs.select(F.col("doc_id"), F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("digest")), "digests")
+    digests = stored(docs.select(F.col("doc_id"), text_digest(F.col("text")).alias("digest")), "digests")
     rows = digests.count()
     heavy = heavy_digests(digests, rows, counters)
     # Verified: exact sizes and winners of the candidates, combined before the shuffle.
@@ -74,5 +79,12 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay as they are."""
-    gone = exact_dedup(docs, counters).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["__gone_id"]), "left_anti")
+    gone = exact_dedup(docs, counters).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.unhex("text_sha256").alias("__gone_digest")).distinct()
+    return drop_rows(docs, gone)
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and text are in ``gone`` (__gone_id, __gone_digest); an id alone may have several texts."""
+    marked = docs.withColumn("__digest", text_digest(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
+    return marked.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__digest")

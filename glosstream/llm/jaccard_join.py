@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .exact_dedup import drop_rows, text_digest
 from .exchange import packed, unpacked
 from .hashing import gram_starts, grams, mix, slices, text_buffer, Words
 from .storage import parts_for, stored, text_bytes
@@ -110,14 +111,16 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _points(k: int):
-    """doc_id, n_shingles and point (a digest of the set) of every row."""
+    """n_shingles and point (a digest of the set) of every row, behind its columns other than the text, which is the second."""
 
     def run(batches):
         for batch in batches:
             for at, n in slices(batch.column(1)):
                 part = batch.slice(at, n)
                 hashes, first = shingle_sets(part.column(1), k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), _signed(fingerprints(hashes, first))], names=["doc_id", "n_shingles", "point"])
+                own = [i for i in range(part.num_columns) if i != 1]
+                columns = [*(part.column(i) for i in own), pa.array(np.diff(first)), _signed(fingerprints(hashes, first))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(part.schema.names[i] for i in own), "n_shingles", "point"])
 
     return run
 
@@ -490,13 +493,17 @@ def _regions_to_links(placed: DataFrame, rule: Rule) -> DataFrame:
     return binned.groupBy("bin").applyInArrow(_join_regions(rule), "a long, b long")
 
 
-def linked_points(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """(points, roots): each row's doc_id, n_shingles and point; and for points with links their component's root."""
+def linked_points(docs: DataFrame, rule: Rule, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(points, roots): each row's doc_id, n_shingles and point; and for points with links their component's root.
+
+    With ``digests`` points have the texts' digests too, as ``digest``.
+    """
     spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", *([text_digest(F.col("text")).alias("digest")] if digests else []))
     docs = docs.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
     shards = max(parts_for(text_bytes(docs), SHARD_TEXT), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    points = stored(docs.mapInArrow(_points(rule.k), f"doc_id {kind}, n_shingles long, point long"), "points")
+    points = stored(rows.mapInArrow(_points(rule.k), f"doc_id {kind}, {'digest binary, ' if digests else ''}n_shingles long, point long"), "points")
     classes = points.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
     shared = docs.select("text").mapInArrow(_smallest_keys(rule, shards), "shard int, blob binary").groupBy("shard").applyInArrow(_shared_keys(shards), "shard int, blob binary")
     near = shared.groupBy("shard").applyInArrow(_enough, "fp long")
@@ -523,15 +530,23 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     such rows have is linked with nothing but its copies; rows that repeat are
     linked; an empty table gives an empty table.
     """
-    points, roots = linked_points(docs, rule)
+    return _named(*linked_points(docs, rule))
+
+
+def _named(points: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and the columns ``more`` of every row of the points."""
     classes = points.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"))
     rooted = classes.join(roots, classes["point"] == roots["node"], "left").select("point", "rep", F.coalesce("root", "point").alias("root"))
     named = stored(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("point").alias("__fp"), "component_id"), "components")
     out = points.join(named, (points["point"] == named["__fp"]) & (points["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule = Rule(5, 80, 100)) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id; texts without words all stay."""
-    gone = jaccard_components(docs, rule).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    """``docs`` with one row of each component: that with the smallest doc_id; rows without doc_id and texts without words all stay.
+
+    Of rows that repeat a doc_id, only those go whose text is in another one's component.
+    """
+    linked = _named(*linked_points(docs, rule, digests=True), "digest")
+    gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone_digest")).distinct()
+    return drop_rows(docs, gone)

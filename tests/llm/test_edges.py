@@ -161,3 +161,16 @@ def test_pipeline_stages(spark, ugly, none, labels, benchmark, tmp_path):
                 assert out.columns == docs.columns
             assert out.count() <= docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "decontaminate", "mix"]
+
+
+def test_rows_that_share_an_id_go_one_by_one(spark):
+    other = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, PASSAGE), (2, PASSAGE), (2, other), (None, PASSAGE), (None, "a clean text without any copy"), (None, "another clean one"), (3, "two three four five six seven")]
+    kept = {(r["doc_id"], r["text"]) for r in drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {rows[i] for i in (1, 2, 4, 5, 6)}
+    # Rows with the same id, of which the first is a copy of a larger id's text.
+    kept = {(r["doc_id"], r["text"]) for r in drop_exact_copies(spark.createDataFrame([(1, PASSAGE), (1, other), (2, PASSAGE)], "doc_id long, text string")).collect()}
+    assert kept == {(1, other), (2, PASSAGE)}
+    near = [(1, LONG), (2, LONG + " tail"), (2, other), (None, "a clean text without any copy"), (3, None), (3, other + " more")]
+    kept = {(r["doc_id"], r["text"]) for r in drop_near_copies(spark.createDataFrame(near, "doc_id long, text string"), Rule(3, 90, 100)).collect()}
+    assert kept == {near[i] for i in (0, 2, 3, 4)}
