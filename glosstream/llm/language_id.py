@@ -24,8 +24,6 @@ from .storage import stored
 ORDER = 5
 #: Bound on the texts that teach a language: those with the smallest hashes of doc_id.
 TEXTS_PER_LANGUAGE = 1000
-#: A language's texts are cut from the list (never within a text) once they come to so many bytes.
-BYTES_PER_LANGUAGE = 4 << 20
 #: The number of rows by language is broadcast up to so many languages.
 BROADCAST_LANGUAGES = 10_000
 #: Words whose costs a process keeps at a time.
@@ -156,18 +154,13 @@ def _row(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray, missing: float)
     return out
 
 
-def train(texts: dict[str, pa.Array], order: int = ORDER) -> CharModels:
-    """Interpolated Kneser-Ney for each language; the last of every eight texts is held back to calibrate rejection."""
-    langs = sorted(texts)
+def fit(vocabulary: dict[str, tuple[pa.Array, np.ndarray]], order: int = ORDER) -> CharModels:
+    """Interpolated Kneser-Ney for each language, from its distinct words and how often each occurs; no limits yet."""
+    langs = sorted(vocabulary)
     per: list[list[tuple]] = []
     charset = 1
     for lang in langs:
-        column = texts[lang]
-        teach = column.filter(pa.array(np.arange(len(column)) % 8 != 7)) if len(column) >= 8 else column
-        words, index, _ = words_in(teach)
-        keep = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-        weight = np.bincount(index, minlength=len(words))[keep]
-        words = words.filter(pa.array(keep))
+        words, weight = vocabulary[lang]
         orders = []
         if len(words):
             flat, starts = _codes(words)
@@ -200,34 +193,86 @@ def train(texts: dict[str, pa.Array], order: int = ORDER) -> CharModels:
                     rows[np.searchsorted(keys, o[n][a]), k] = o[n][a + 1]
             keys_out.append(keys)
             rows_out.append(rows)
-    models = CharModels(langs, order, gram_keys, gram_parts, history_keys, history_weights, 1.0 / (charset + 1000))
-    limits = []
-    for k, lang in enumerate(langs):
-        held = texts[lang].filter(pa.array(np.arange(len(texts[lang])) % 8 == 7)) if len(texts[lang]) >= 8 else texts[lang]
-        nats, chars = models.entropies(held)
-        own = nats[chars > 0, k]
-        limits.append(float(np.quantile(own, 0.99)) + 0.25 if len(own) else 0.0)
-    models.limits = np.array(limits)
+    return CharModels(langs, order, gram_keys, gram_parts, history_keys, history_weights, 1.0 / (charset + 1000))
+
+
+def limits_of(own: list[np.ndarray]) -> np.ndarray:
+    """By language the limit of rejection, from the nats a character of its held-back texts."""
+    return np.array([float(np.quantile(x, 0.99)) + 0.25 if len(x) else 0.0 for x in own])
+
+
+def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words of the texts, and how often each occurs."""
+    words, index, _ = words_in(texts)
+    keep = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    return words.filter(pa.array(keep)), np.bincount(index, minlength=len(words))[keep]
+
+
+def train(texts: dict[str, pa.Array], order: int = ORDER) -> CharModels:
+    """Models from texts at hand; the last of every eight is held back to calibrate rejection."""
+    last = {lang: np.arange(len(column)) % 8 == 7 if len(column) >= 8 else None for lang, column in texts.items()}
+    models = fit({lang: counted(column if last[lang] is None else column.filter(pa.array(~last[lang]))) for lang, column in texts.items()}, order)
+    own = []
+    for k, lang in enumerate(models.langs):
+        nats, chars = models.entropies(texts[lang] if last[lang] is None else texts[lang].filter(pa.array(last[lang])))
+        own.append(nats[chars > 0, k])
+    models.limits = limits_of(own)
     return models
 
 
-def teaching_texts(docs: DataFrame, held_out: F.Column, texts: int = TEXTS_PER_LANGUAGE, size: int = BYTES_PER_LANGUAGE) -> dict[str, pa.Array]:
-    """By language at most ``texts`` texts, the smallest hashes of doc_id first, as far as they fit in ``size`` bytes."""
+def teaching_texts(docs: DataFrame, held_out: F.Column, texts: int = TEXTS_PER_LANGUAGE) -> DataFrame:
+    """(lang, text, teaches, calibrates): by language ``texts`` texts, the smallest hashes of doc_id first, whatever their length.
+
+    The last of every eight calibrates; of fewer than eight all do both.
+    """
     from pyspark.sql import Window
 
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    marks = rows.select("doc_id", "lang", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
+    marks = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     # Only about four times as many rows as are wanted are ranked, so that no language meets in one task.
     share = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select(F.col("lang").alias("__lang"), (F.lit(2.0**64) * 4 * texts / F.col("rows") - 2.0**63).alias("bar"))
     share = stored(share, "language-shares")
     few = share.count() <= BROADCAST_LANGUAGES
     near = marks.join(F.broadcast(share) if few else share, F.col("lang") == F.col("__lang")).filter(F.col("h") < F.col("bar"))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    ranked = ranked.withColumn("sum", F.sum("n").over(Window.partitionBy("lang").orderBy("r"))).filter((F.col("r") <= texts) & ((F.col("sum") <= size) | (F.col("r") == 1)))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= texts)
     chosen = ranked.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    found = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang"))).select("lang", "doc_id", "text").toArrow()
-    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-    return {lang: found.filter(pc.equal(found["lang"], lang))["text"].combine_chunks() for lang in found["lang"].unique().to_pylist()}
+    place = (F.row_number().over(Window.partitionBy("__lang").orderBy("__id")) - 1) % 8 == 7
+    few_texts = F.count(F.lit(1)).over(Window.partitionBy("__lang")) < 8
+    chosen = chosen.select("__id", "__lang", (few_texts | ~place).alias("__teaches"), (few_texts | place).alias("__calibrates"))
+    found = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
+    return stored(found.select("lang", "text", F.col("__teaches").alias("teaches"), F.col("__calibrates").alias("calibrates")), "teaching-texts")
+
+
+def learned(teaching: DataFrame) -> CharModels:
+    """Models and limits; words are counted where the texts are, and only distinct words come to the driver."""
+
+    def count(batches):
+        for batch in batches:
+            for lang in batch.column(0).unique().to_pylist():
+                mine = batch.column(1).filter(pc.equal(batch.column(0), lang))
+                for at, n in slices(mine, 1 << 20):
+                    words, weight = counted(mine.slice(at, n))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words.cast(pa.string()), pa.array(weight, pa.int64())], names=["lang", "word", "n"])
+
+    sums = teaching.filter("teaches").select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    vocabulary = {}
+    for r in teaching.select("lang").distinct().collect():
+        own = sums.filter(pc.equal(sums["lang"], r["lang"])).sort_by("word")
+        vocabulary[r["lang"]] = own["word"].cast(pa.large_string()).combine_chunks(), own["n"].to_numpy()
+    models = fit(vocabulary)
+
+    def weigh(batches):
+        for batch in batches:
+            for at, n in slices(batch.column(1), 1 << 20):
+                part = batch.slice(at, n)
+                nats, chars = models.entropies(part.column(1))
+                k = np.array([models.langs.index(x) for x in part.column(0).to_pylist()], np.int64)
+                own = pa.RecordBatch.from_arrays([part.column(0), pa.array(nats[np.arange(len(k)), k])], names=["lang", "nats"])
+                yield own.filter(pa.array(chars > 0))
+
+    own = teaching.filter("calibrates").select("lang", "text").mapInArrow(weigh, "lang string, nats double").toArrow() if models.langs else None
+    models.limits = limits_of([own.filter(pc.equal(own["lang"], lang))["nats"].to_numpy() for lang in models.langs])
+    return models
 
 
 def identify(docs: DataFrame, models: CharModels) -> DataFrame:
@@ -254,5 +299,5 @@ def language_id(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE) -> DataFrame:
     name; held_out is null for a null doc_id; repeated rows get repeated results.
     """
     remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    models = train(teaching_texts(docs, remainder == 2, texts))
+    models = learned(teaching_texts(docs, remainder == 2, texts))
     return identify(docs, models).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score", "rejected")

@@ -460,3 +460,16 @@ def test_sources_without_weight_go_last():
     blocks = {"a": 5000, "b": 3, "c": 5}
     plan = slots_of(X.phases(blocks, {"a": 0.5, "b": 0.0}), blocks)
     assert sorted(plan["a"]) == list(range(5000)) and sorted(plan["b"] + plan["c"]) == list(range(5000, 5008))
+
+
+def test_long_texts_do_not_end_the_teaching_list(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "x", f"short text number{'abcdefghij'[i % 10]} of many") for i in range(40)] + [(i, "x", "longish words " * 350_000) for i in range(40, 43)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = L.teaching_texts(docs, F.col("doc_id") < 0)
+    assert got.count() == 43 and got.filter("teaches").count() == 38 and got.filter("calibrates").count() == 5
+    models = L.learned(got)
+    whole = L.train({"x": pa.array([t for _, _, t in rows])})
+    assert models.langs == ["x"] and all((a == b).all() for a, b in zip(models.gram_keys, whole.gram_keys))
+    assert all(np.allclose(a, b) for a, b in zip(models.gram_parts, whole.gram_parts)) and np.allclose(models.limits, whole.limits)
