@@ -41,6 +41,10 @@ CONTAINER = frozenset("article main section div body td blockquote center html".
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side comment comments disqus respond replies reply menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login social share sharing related recommended recommendations widget pager pagination tags legal disclaimer copyright search skip toolbar alert contentinfo complementary".split()
 )
+#: Of these, names that also occur on an article's own paragraphs: inside an article its points and links decide.
+AMBIGUOUS = frozenset("alert banner copyright disclaimer foot footer header legal masthead notice notices page pager promo promotion respond search side skip tags toolbar widget".split())
+#: A block that reads like prose: so many characters, and at most this share of them in links.
+PROSE_CHARS, PROSE_LINKS = 40, 0.33
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text|blog)(?=$|[\s_-])", re.I)
 TAG = re.compile(r"<(?:!--(?:.*?(?:--!?>|\Z)|>)|[!?][^>]*(?:>|\Z)|/([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -51,11 +55,11 @@ WHITE = re.compile(r"\s+")
 class Node:
     """An element; ``kids`` holds nodes and decoded strings in page order."""
 
-    __slots__ = ("tag", "hint", "hidden", "parent", "kids", "score", "chars", "linked")
+    __slots__ = ("tag", "hint", "hidden", "parent", "kids", "score", "chars", "linked", "holds")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
-        self.hint, self.hidden, self.score, self.chars, self.linked = "", False, 0.0, 0, 0
+        self.hint, self.hidden, self.score, self.chars, self.linked, self.holds = "", False, 0.0, 0, 0, False
 
 
 def parse(source: str) -> Node:
@@ -132,8 +136,12 @@ def _close(here: Node, tag: str) -> Node:
     return here
 
 
-def _dropped(node: Node) -> bool:
-    """Menus, notices, adverts and the like, by element or by its class, id and role."""
+def _dropped(node: Node, inside: bool) -> bool:
+    """Menus, notices, adverts and the like, by element or by its class, id and role.
+
+    ``inside`` an article, a name that says little only counts against a block
+    that does not read like prose.
+    """
     if node.tag in DROPPED or node.hidden:
         return True
     if node.tag == "header":
@@ -143,25 +151,43 @@ def _dropped(node: Node) -> bool:
         return above is None  # the page's header, not an article's own headline
     if not node.hint or node.tag in ("html", "body", "article", "main"):
         return False
-    return any(map(_unlikely, node.hint.split())) and not any(n.tag in ("article", "main") for n in _order(node))
+    found = set().union(*map(_unlikely, node.hint.split()))
+    if not found or node.holds:
+        return False
+    return not (inside and found <= AMBIGUOUS and node.chars >= PROSE_CHARS and node.linked <= PROSE_LINKS * node.chars)
 
 
-def _unlikely(name: str) -> bool:
-    """``post-comments`` and ``adBox`` are; ``with-sidebar`` and ``article-header`` describe something else."""
+def _unlikely(name: str) -> set[str]:
+    """What in a name is not the article's: ``post-comments`` and ``adBox`` have something, ``with-sidebar`` and ``article-header`` describe something else."""
     parts = [p.lower() for p in PART.findall(name)]
     if not parts or parts[0] in ("has", "with", "no", "without"):
-        return False
+        return set()
     found = UNLIKELY.intersection(parts)
-    return bool(found) and not (found == {"header"} and {"article", "entry", "post", "story"}.intersection(parts))
+    return set() if found == {"header"} and {"article", "entry", "post", "story"}.intersection(parts) else set(found)
+
+
+def measure(nodes: list[Node]) -> None:
+    """Characters, those in links, and whether there is an article below, of every node; nodes in page order."""
+    for node in reversed(nodes):
+        node.chars = node.linked = 0
+        for kid in node.kids:
+            if isinstance(kid, str):
+                node.chars += len(kid.strip())
+            else:
+                node.chars += kid.chars
+                node.linked += kid.chars if kid.tag == "a" else kid.linked
+                node.holds |= kid.holds or kid.tag in ("article", "main")
 
 
 def prune(root: Node) -> None:
     """Cut what is never part of an article, without recursion: pages may nest deeply."""
-    todo = [root]
+    measure(_order(root))
+    todo = [(root, False)]
     while todo:
-        node = todo.pop()
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _dropped(k)]
-        todo += [k for k in node.kids if not isinstance(k, str)]
+        node, inside = todo.pop()
+        inside |= node.tag in ("article", "main")
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _dropped(k, inside)]
+        todo += [(k, inside) for k in node.kids if not isinstance(k, str)]
 
 
 def _order(root: Node) -> list[Node]:
@@ -177,13 +203,7 @@ def _order(root: Node) -> list[Node]:
 def score(root: Node) -> list[Node]:
     """Set chars, linked and score of every node; gives the nodes in page order."""
     nodes = _order(root)
-    for node in reversed(nodes):
-        for kid in node.kids:
-            if isinstance(kid, str):
-                node.chars += len(kid.strip())
-            else:
-                node.chars += kid.chars
-                node.linked += kid.chars if kid.tag == "a" else kid.linked
+    measure(nodes)
     for node in nodes:
         block = node.tag in PARAGRAPH or node.tag in CONTAINER and any(isinstance(k, str) and k.strip() for k in node.kids)
         if not block or not node.chars:
@@ -215,25 +235,35 @@ def _flat(node: Node) -> str:
 
 
 def choose(root: Node, nodes: list[Node]) -> list[Node]:
-    """The best container, with siblings that belong to it, in page order."""
-    named = [n for n in nodes if n.tag == "article" and n.score > 0]
+    """The best container, with siblings that belong to it, in page order.
+
+    The best one by score stands for the article around it, if there is one.
+    Another article beside it is text of its own, unless it scores like the best
+    and has hardly a link; other siblings belong if they score or read like it.
+    """
     best = max((n for n in nodes if n.tag in CONTAINER and n.score > 0), key=lambda n: n.score, default=None)
     if best is None:
         return [root]
-    node = best.parent
-    while node is not None:  # the whole article, not its longest section
-        if node.tag in ("article", "main"):
-            best = node
-            break
+    above, node = [best], best.parent
+    while node is not None:
+        above.append(node)
         node = node.parent
+    # The whole article, not its longest section.
+    best = next((n for n in above if n.tag == "article"), next((n for n in above if n.tag == "main"), best))
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
-    bar, out = max(10.0, best.score * 0.2), []
+    named, bar, out = best.tag == "article", max(10.0, best.score * 0.2), []
     for kid in best.parent.kids:
         if isinstance(kid, str):
             continue
         density = kid.linked / max(1, kid.chars)
-        if kid is best or kid.score >= bar and (kid.tag == best.tag or not named) or kid.tag in ("p", "h1", "h2") and kid.chars and density < 0.25 and (kid.tag != "p" or kid.chars > 80):
+        if kid is best:
+            belongs = True
+        elif named and kid.tag == "article":
+            belongs = kid.score >= best.score * 0.6 and density < 0.05
+        else:
+            belongs = not named and kid.score >= bar or kid.tag in ("p", "h1", "h2") and kid.chars and density < 0.25 and (kid.tag != "p" or kid.chars > 80)
+        if belongs:
             out.append(kid)
     return out
 

@@ -15,20 +15,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import mix, slices
 from .storage import stored
 
 ORDER = 5
-#: Bound on the texts that teach a language: those with the smallest hashes of doc_id.
+#: Bound on the texts that teach a language: those with the smallest hashes of doc_id and text.
 TEXTS_PER_LANGUAGE = 1000
 #: The number of rows by language is broadcast up to so many languages.
 BROADCAST_LANGUAGES = 10_000
 #: Words whose costs a process keeps at a time.
 CACHED_WORDS = 200_000
+#: The tables of all languages go to every executor up to this size; more languages than that need several calls.
+TABLE_BYTES = 512 << 20
 NOT_LETTERS = r"[^\p{L}\p{M}]+"
+LETTER = r"\p{L}"
 _SEED = np.uint64(0x51ED270B7F3A2C1D)
 
 
@@ -41,6 +44,11 @@ def words_in(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(), first
 
 
+def has_letter(words: pa.Array) -> np.ndarray:
+    """A word of marks alone is none."""
+    return pc.match_substring_regex(words, LETTER).to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
+
+
 def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the words, each between two boundaries (0), and where each begins."""
     text = words.to_pylist()
@@ -117,7 +125,7 @@ class CharModels:
         """Nats a character by language for each text, and its characters; texts without letters have 0 characters."""
         words, index, first = words_in(column)
         costs, size = self.cached_costs(words)
-        empty = pc.equal(words, "").to_numpy(zero_copy_only=False) if len(words) else np.zeros(0, bool)
+        empty = ~has_letter(words)
         size = np.where(empty, 0, size)
         costs[empty] = 0
         n = len(first) - 1
@@ -204,7 +212,7 @@ def limits_of(own: list[np.ndarray]) -> np.ndarray:
 def counted(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The distinct words of the texts, and how often each occurs."""
     words, index, _ = words_in(texts)
-    keep = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+    keep = has_letter(words)
     return words.filter(pa.array(keep)), np.bincount(index, minlength=len(words))[keep]
 
 
@@ -221,26 +229,26 @@ def train(texts: dict[str, pa.Array], order: int = ORDER) -> CharModels:
 
 
 def teaching_texts(docs: DataFrame, held_out: F.Column, texts: int = TEXTS_PER_LANGUAGE) -> DataFrame:
-    """(lang, text, teaches, calibrates): by language ``texts`` texts, the smallest hashes of doc_id first, whatever their length.
+    """(lang, text, teaches, calibrates): by language ``texts`` texts, the smallest hashes of doc_id and text first, whatever their length.
 
-    The last of every eight calibrates; of fewer than eight all do both.
+    A text that an id repeats counts once, so that a language of few ids and
+    many texts is learned like any other.  The last of every eight calibrates;
+    of fewer than eight all do both.
     """
-    from pyspark.sql import Window
-
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out)
-    marks = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    # Only about four times as many rows as are wanted are ranked, so that no language meets in one task.
-    share = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select(F.col("lang").alias("__lang"), (F.lit(2.0**64) * 4 * texts / F.col("rows") - 2.0**63).alias("bar"))
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    marks = rows.select("lang", "h").distinct()
+    # Only about four times as many texts as are wanted are ranked, so that no language meets in one task.
+    # Hashes of distinct texts are even: fewer than a quarter of those expected below the bar never are.
+    share = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("__lang"), (F.lit(2.0**64) * 4 * texts / F.col("n") - 2.0**63).alias("bar"))
     share = stored(share, "language-shares")
     few = share.count() <= BROADCAST_LANGUAGES
     near = marks.join(F.broadcast(share) if few else share, F.col("lang") == F.col("__lang")).filter(F.col("h") < F.col("bar"))
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= texts)
-    chosen = ranked.select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    place = (F.row_number().over(Window.partitionBy("__lang").orderBy("__id")) - 1) % 8 == 7
-    few_texts = F.count(F.lit(1)).over(Window.partitionBy("__lang")) < 8
-    chosen = chosen.select("__id", "__lang", (few_texts | ~place).alias("__teaches"), (few_texts | place).alias("__calibrates"))
-    found = rows.select("doc_id", "lang", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")))
-    return stored(found.select("lang", "text", F.col("__teaches").alias("teaches"), F.col("__calibrates").alias("calibrates")), "teaching-texts")
+    rank, size = F.row_number().over(Window.partitionBy("lang").orderBy("h")), F.count(F.lit(1)).over(Window.partitionBy("lang"))
+    ranked = near.select("lang", "h", rank.alias("r"), (size < 8).alias("few")).filter(F.col("r") <= texts)
+    place = F.col("r") % 8 == 0
+    chosen = ranked.select(F.col("lang").alias("__lang"), F.col("h").alias("__h"), (F.col("few") | ~place).alias("teaches"), (F.col("few") | place).alias("calibrates"))
+    found = rows.join(F.broadcast(chosen) if few else chosen, (F.col("h") == F.col("__h")) & (F.col("lang") == F.col("__lang")))
+    return stored(found.dropDuplicates(["lang", "h"]).select("lang", "text", "teaches", "calibrates"), "teaching-texts")
 
 
 def learned(teaching: DataFrame) -> CharModels:
@@ -260,6 +268,9 @@ def learned(teaching: DataFrame) -> CharModels:
         own = sums.filter(pc.equal(sums["lang"], r["lang"])).sort_by("word")
         vocabulary[r["lang"]] = own["word"].cast(pa.large_string()).combine_chunks(), own["n"].to_numpy()
     models = fit(vocabulary)
+    size = sum(a.nbytes for part in (models.gram_keys, models.gram_parts, models.history_keys, models.history_weights) for a in part)
+    if size > TABLE_BYTES:
+        raise ValueError(f"the tables of {len(models.langs)} languages take {size >> 20} MB, more than TABLE_BYTES: identify groups of languages in turn")
 
     def weigh(batches):
         for batch in batches:
@@ -293,11 +304,13 @@ def language_id(docs: DataFrame, texts: int = TEXTS_PER_LANGUAGE) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, rejected.
 
     Only texts with a language and with crc32(doc_id) mod 4 other than 2 teach.
-    Defined cases: ``und`` with score 0 if the text is null or has no letter, or
-    if nothing could be learned; ``rejected`` marks these and texts that no
-    model explains, whose score is halved; ties go to the first language by
-    name; held_out is null for a null doc_id; repeated rows get repeated results.
+    Defined cases: ``und`` with score 0 if the text is null or has no letter
+    (marks without a letter are none), or if nothing could be learned;
+    ``rejected`` marks these and texts that no model explains, whose score is
+    halved; ties go to the first language by name; a null doc_id is not held
+    out; a text that repeats with its doc_id teaches once; repeated rows get
+    repeated results; an empty table gives an empty table.
     """
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    models = learned(teaching_texts(docs, remainder == 2, texts))
-    return identify(docs, models).select("doc_id", (remainder == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    models = learned(teaching_texts(docs, held_out, texts))
+    return identify(docs, models).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")

@@ -229,12 +229,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     Only documents whose crc32(doc_id) mod 5 is not 0 teach.  Defined cases:
     null and empty texts have all features 0 and the score that follows from
     them; without labels of both kinds the score is the share of good ones;
-    held_out is null for a null doc_id; repeated rows get repeated results.
+    a null doc_id is not held out; repeated rows get repeated results; an empty
+    table gives an empty table.
     """
-    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    ranker = learn(docs, labels, remainder == 0, fit_rows)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    ranker = learn(docs, labels, held_out, fit_rows)
     scored = score_texts(docs, ranker)
-    return scored.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float | None = 0.3, quantile: float | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:

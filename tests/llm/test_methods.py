@@ -387,6 +387,23 @@ def test_articles():
     assert main_text(plain) == "Some words, here.\nMore words, there, and there."
 
 
+def test_points_and_links_decide_inside_an_article():
+    prose = "A sentence of the article, long enough, with commas, to read like prose."
+    page = f"""<body><main><article><h1>Title</h1><p class='legal'>{prose}</p><div class='search-results'><p>{prose}</p></div>
+    <div class='toolbar'><a href=1>Print this page now</a> <a href=2>Send this page to a friend</a></div><div class='comments'><p>{prose}</p></div><p class='notice'>Short.</p></article>
+    <article><h2><a href=3>Another story, teased</a></h2><p>Its first words.</p></article></main><p class='legal'>{prose}</p></body>"""
+    assert main_text(page).split("\n") == ["Title", prose, prose]
+
+
+def test_pages_without_article_or_main():
+    p = "Some words of prose, with commas, that go on for long enough to earn points."
+    links = "<ul>" + "".join(f"<li><a href={i}>Link number {i}, with words</a></li>" for i in range(30)) + "</ul>"
+    page = f"<body><div>{links}</div><div><div><h1>Head</h1><p>{p}</p><p>{p}</p></div><div><p>{p}</p></div></div><div>{links}</div></body>"
+    assert main_text(page).split("\n") == ["Head", p, p, p]
+    assert main_text(f"<table><tr><td>{links}</td><td><p>{p}</p><p>{p}</p></td></tr></table>").split("\n") == [p, p]
+    assert main_text("just text, no markup") == "just text, no markup" and main_text("<p>" + "x " * 300_000 + "</p>").count("x") == 300_000
+
+
 def test_pages_against_their_articles(spark):
     import html
 
