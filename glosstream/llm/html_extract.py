@@ -252,7 +252,7 @@ def choose(root: Node, nodes: list[Node]) -> list[Node]:
     best = next((n for n in above if n.tag == "article"), next((n for n in above if n.tag == "main"), best))
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
-    named, bar, out = best.tag == "article", max(10.0, best.score * 0.2), []
+    named, bar, out = best.tag == "article", best.score * 0.2, []
     for kid in best.parent.kids:
         if isinstance(kid, str):
             continue
