@@ -161,8 +161,21 @@ def test_substrings_against_brute_force(spark, seed):
 
 
 def test_factors():
-    assert factors(np.array([0, 1, 1, 0, 1, 0, 0, 0, 0, 1], bool), 3) == [(1, 7), (9, 12)]
-    assert factors(np.zeros(4, bool), 3) == []
+    # Two texts: windows of three words at 1, 2 (source 7 from 5 on), 4 (source 8, straddling), and 9, 10 in the second text, whose sources differ.
+    at, of = np.array([1, 2, 4, 9, 10]), np.array([0, 0, 0, 1, 1])
+    found = factors(at, of, np.array([7, 7, 8, 7, 9]), np.array([5, 6, 0, 2, 3], np.uint32), 3)
+    assert list(zip(*(x.tolist() for x in found))) == [(0, 1, 5, 7, 5), (0, 5, 7, 8, 1), (1, 9, 12, 7, 2), (1, 12, 13, 9, 5)]
+    assert all(len(x) == 0 for x in factors(*[np.zeros(0, np.int64)] * 4, 3))
+
+
+def test_factors_lead_to_their_sources(spark):
+    rows = [(d * 7 % 151, t) for d, t in random_docs(6, 150, 12)]
+    words = {d: WORD.findall(t) for d, t in rows}
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = [(r["doc_id"], s) for r in got for s in r["spans"]]
+    assert spans and all(s["source"] < d and words[d][s["start"] : s["stop"]] == words[s["source"]][s["source_start"] : s["source_start"] + s["stop"] - s["start"]] for d, s in spans)
+    with pytest.raises(TypeError):
+        substring_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_heavy_hitters(spark):
