@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import forget, split_join, stored
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    """Each pair (u, v) with m, the least of u and its partners.  Hot nodes are combined before the shuffle."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    return pairs.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
+def _least(pairs: DataFrame, rows: int) -> DataFrame:
+    """Each pair (u, v) with m, the least of u and its partners.  Hot nodes are combined before the shuffle, and split."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return split_join(pairs, least, "u", rows).select("u", "v", F.least("u", "m").alias("m"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges(a, b)``; root is the smallest node of its component."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges(a, b)``; root is the smallest node of its component.
+
+    Rounds go on until nothing changes.  A round at least halves the distance
+    of a node to its root along a path, and the number of edges never grows, so
+    that they end: after about the logarithm of the longest path, squared at worst.
+    """
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    before, rows = None, now.count()
+    while rows:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = _least(large)
-        now = stored(low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if before == tuple(state):
+        large = _least(both, 2 * rows).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = _least(large, rows)
+        then, now = now, stored(low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        forget(then)
+        state = tuple(now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
+        if before == state:
             break
-        before = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
+        before, rows = state, state[0]
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -56,9 +56,11 @@ class SeedIndex:
         self.of = of
 
     def overlaps(self, words: Words, min_tokens: int, min_identity: float) -> list[tuple]:
-        """(text, item, first token, tokens, matched) of the best verified overlap of each text and item."""
-        of = words.text_of()
-        found = []
+        """(text, item, first token, tokens, matched) of the best verified overlap of each text and item.
+
+        Of equally good ones the first diagonal counts.
+        """
+        of, found = words.text_of(), []
         for mask, keys, at, maybe in zip(self.masks, self.keys, self.at, self.maybe):
             if not len(keys):
                 continue
@@ -67,19 +69,78 @@ class SeedIndex:
             lo = np.searchsorted(keys, key[here], "left")
             n = np.searchsorted(keys, key[here], "right") - lo
             here, lo, n = here[n > 0], lo[n > 0], n[n > 0]
-            spots = np.repeat(here, n)
-            items = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            found.append(np.stack([of[spots], self.of[items], spots - items]))
-        if not found or not sum(f.shape[1] for f in found):
+            found.append(self._diagonals(words, of, here, at, lo, n))
+        if not found:
             return []
-        best: dict[tuple, tuple] = {}
-        for text, item, shift in np.unique(np.concatenate(found, 1), axis=1).T:
-            lo, hi = self.first[item], self.first[item + 1]
-            a, b = max(lo, words.first[text] - shift), min(hi, words.first[text + 1] - shift)
-            span = best_overlap(self.hash[a:b] == words.hash[a + shift : b + shift], min(min_tokens, hi - lo), min_identity)
-            if span and span[2] > best.get((text, item), (0, 0, 0))[2]:
-                best[text, item] = (int(a + shift + span[0] - words.first[text]), span[1] - span[0], span[2])
-        return [(int(t), int(i), *rest) for (t, i), rest in best.items()]
+        text, item, shift = (np.concatenate([f[i] for f in found]) for i in range(3))
+        order = np.lexsort((shift, item, text))
+        text, item, shift = text[order], item[order], shift[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] != shift[:-1])
+        text, item, shift = text[new], item[new], shift[new]
+        pair = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1])])) if len(text) else np.zeros(0, np.int64)
+        out = []
+        for a, b in zip(pair, np.append(pair[1:], len(text))):
+            best = self._best(words, int(text[a]), int(item[a]), shift[a:b], min_tokens, min_identity)
+            if best:
+                out.append(best)
+        return out
+
+    def _diagonals(self, words: Words, of: np.ndarray, here: np.ndarray, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, item, shift) of the hits of seeds at ``here`` with the index's entries lo .. lo + n.
+
+        Hits of seeds that a text and an item repeat are the product of both
+        counts.  Beyond their two lengths all diagonals of the pair stand for
+        them, so that work is bounded by the lengths.
+        """
+        # Distinct (text, seed) with how often the text has it, then (text, item) with the hits between them.
+        order = np.lexsort((lo, of[here]))
+        t, seed, length = of[here][order], lo[order], n[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (t[1:] != t[:-1]) | (seed[1:] != seed[:-1])
+        first = np.flatnonzero(new)
+        often = np.diff(np.append(first, len(order)))
+        t, seed, length = t[first], seed[first], length[first]
+        each = np.repeat(seed, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+        pair = np.repeat(t, length) * np.int64(len(self.ids)) + self.of[at[each]]
+        keys, inverse = np.unique(pair, return_inverse=True)
+        hits = np.bincount(inverse, np.repeat(often, length), len(keys))
+        texts, items = keys // len(self.ids), keys % len(self.ids)
+        sizes = np.diff(words.first)[texts] + np.diff(self.first)[items]
+        dense = keys[hits > 2 * sizes]
+        every = []
+        for k in dense.tolist():
+            x, i = divmod(k, len(self.ids))
+            shifts = self._all_shifts(words, x, i)
+            every.append((np.full(len(shifts), x), np.full(len(shifts), i), shifts))
+        # The others one by one: only seeds of which some pair is not dense.
+        is_dense = np.isin(pair, dense)
+        open_ = np.flatnonzero(~is_dense)
+        group = np.repeat(np.arange(len(first)), length)[open_]
+        times = often[group]
+        spots = here[order][np.repeat(first[group], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        places = np.repeat(at[each[open_]], times)
+        every.append((of[spots], self.of[places], spots - places))
+        return tuple(np.concatenate([e[i] for e in every]) for i in range(3))
+
+    def _all_shifts(self, words: Words, text: int, item: int) -> np.ndarray:
+        return np.arange(words.first[text] - self.first[item + 1] + 1, words.first[text + 1] - self.first[item])
+
+    def _best(self, words: Words, text: int, item: int, shifts: np.ndarray, min_tokens: int, min_identity: float) -> tuple | None:
+        """Diagonals with the most equal tokens first, as long as they may beat the best one."""
+        lo, hi = self.first[item], self.first[item + 1]
+        least, begin, end = min(min_tokens, hi - lo), words.first[text], words.first[text + 1]
+        a, b = np.maximum(lo, begin - shifts), np.minimum(hi, end - shifts)
+        same = lambda k: self.hash[a[k] : b[k]] == words.hash[a[k] + shifts[k] : b[k] + shifts[k]]
+        equal = np.fromiter((np.count_nonzero(same(k)) for k in range(len(shifts))), np.int64, len(shifts))
+        best, matched, at = None, 0, 0
+        for k in np.lexsort((shifts, -equal)):
+            if equal[k] < max(least * min_identity, matched, 1) or best and equal[k] == matched and shifts[k] > at:
+                break
+            span = best_overlap(same(k), least, min_identity)
+            if span and (span[2] > matched or span[2] == matched and shifts[k] < at):
+                best, matched, at = (text, item, int(a[k] + shifts[k] + span[0] - begin), span[1] - span[0], span[2]), span[2], shifts[k]
+        return best
 
 
 def best_overlap(same: np.ndarray, least: int, identity: float) -> tuple[int, int, int] | None:
@@ -92,22 +153,21 @@ def best_overlap(same: np.ndarray, least: int, identity: float) -> tuple[int, in
     if len(hits) < least * identity:
         return None
     gain = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - identity, -identity))])
+    before, behind = gain[hits], gain[hits + 1]
     # For each start, the last end with a sum that is no lower: starts matter only at new minima of gain.
-    starts = hits[np.flatnonzero(gain[hits] < np.concatenate([[np.inf], np.minimum.accumulate(gain[hits])[:-1]]))]
-    ends = hits + 1
-    top: tuple[int, int, int] | None = None
-    for s in starts:
-        fit = ends[(ends > s) & (gain[ends] >= gain[s] - 1e-9)]
-        if len(fit):
-            e = fit[-1]
-            matched = int(same[s:e].sum())
-            if e - s >= least and (top is None or matched > top[2]):
-                top = (int(s), int(e), matched)
-    return top
+    starts = np.flatnonzero(before < np.concatenate([[np.inf], np.minimum.accumulate(before)[:-1]]))
+    most = np.maximum.accumulate(behind[::-1])[::-1]  # of this end and all behind it; falls
+    ends = np.searchsorted(-most, -(before[starts] - 1e-9), "right") - 1
+    fits = (ends >= starts) & (hits[ends] + 1 - hits[starts] >= least)
+    if not fits.any():
+        return None
+    starts, ends = starts[fits], ends[fits]
+    k = int(np.argmax(ends - starts))
+    return int(hits[starts[k]]), int(hits[ends[k]] + 1), int(ends[k] - starts[k] + 1)
 
 
 def _blocks(benchmark: DataFrame, block_tokens: int):
-    """Items in blocks of a bounded number of tokens; the driver holds one at a time."""
+    """Items in blocks of a bounded number of tokens; the plan over all blocks holds the index of each."""
     ids, texts, size = [], [], 0
     for row in benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator():
         n = row["text"].count(" ") + row["text"].count("\n") + 1
@@ -128,7 +188,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
     characters as they are).  An overlap counts from ``min_tokens`` tokens (or
     the whole of a shorter item) with at least ``min_identity`` of them equal.
     A benchmark beyond ``block_tokens`` is worked off in blocks, each against
-    all documents.  Defined cases: null and empty texts and items, and items
+    all documents: the benchmark has to be small, at about 60 bytes a token.  Defined cases: null and empty texts and items, and items
     shorter than the shortest mask, overlap nothing; repeated rows give repeated
     results; empty tables give no rows; other columns are ignored.
     """

@@ -58,33 +58,58 @@ def exact_dedup(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical; null counts as empty.  Of equal texts the
-    largest doc_id stays.  Defined cases: all rows that repeat the winning
-    doc_id are kept; a null doc_id sorts below every other, and stays only if
-    its whole group has none; an empty table gives an empty table; other
-    columns of ``docs`` are ignored, whatever their names.
+    row with the largest doc_id stays.  Defined cases: of rows that repeat the
+    winning doc_id one is kept; a null doc_id sorts below every other, and one
+    stays if its whole group has none; an empty table gives an empty table;
+    other columns of ``docs`` are ignored, whatever their names.
     """
-    digests = stored(docs.select(F.col("doc_id"), text_digest(F.col("text")).alias("digest")), "digests")
+    # The row's number is stored with its digest, and only then used.
+    digests = stored(docs.select(F.col("doc_id"), text_digest(F.col("text")).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
     rows = digests.count()
     heavy = heavy_digests(digests, rows, counters)
+    best = F.max(F.struct("doc_id", "row"))
+    size = F.count(F.lit(1))
     # Verified: exact sizes and winners of the candidates, combined before the shuffle.
-    winners = stored(digests.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "winners")
+    winners = stored(digests.join(F.broadcast(heavy), "digest", "left_semi").groupBy("digest").agg(best.alias("best"), size.alias("group_size")), "winners")
     settled = digests.join(F.broadcast(winners), "digest", "inner")
     group = Window.partitionBy("digest")
-    rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "digest", "doc_id", F.max("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size")
-    )
-    both = settled.select("digest", "doc_id", "keep_id", "group_size").unionByName(rest)
-    return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    rest = digests.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select("digest", "doc_id", "row", best.over(group).alias("best"), size.over(group).alias("group_size"))
+    both = settled.select("digest", "doc_id", "row", "best", "group_size").unionByName(rest)
+    return both.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay as they are."""
-    gone = exact_dedup(docs, counters).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id"), F.unhex("text_sha256").alias("__gone_digest")).distinct()
-    return drop_rows(docs, gone)
+    """``docs`` without the rows that :func:`exact_dedup` does not keep; all columns stay as they are.
+
+    Of rows that agree in doc_id and text, that with the smallest hash of all columns stays.
+    """
+    marks = exact_dedup(docs, counters).select("doc_id", "kept", F.unhex("text_sha256").alias("digest"))
+    return keep_rows(docs, marks)
 
 
-def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id and text are in ``gone`` (__gone_id, __gone_digest); an id alone may have several texts."""
+def keep_rows(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each row of ``marks`` (doc_id, digest, kept) that is kept; ``marks`` has one for each row of docs.
+
+    Rows go by doc_id and text: an id alone may have several texts.
+    """
+    return keep_rows_counted(docs, marks.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"), F.count_if("kept").alias("stay")))
+
+
+def keep_rows_counted(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``docs`` where of each pair (doc_id, digest) with so many ``rows``, ``stay`` (0 or 1) stay; rows of other pairs all stay."""
+    each = stored(pairs.filter("stay < rows"), "marks")
     marked = docs.withColumn("__digest", text_digest(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__gone_id")) & (F.col("__digest") == F.col("__gone_digest"))
-    return marked.join(gone.hint("shuffle_hash"), same, "left_anti").drop("__digest")
+
+    def without(df: DataFrame, which: DataFrame, how: str) -> DataFrame:
+        which = which.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__same"))
+        return df.join(which.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__same")), how)
+
+    left = without(marked, each, "left_anti").drop("__digest")
+    repeated = each.filter("stay > 0")
+    if repeated.isEmpty():
+        return left
+    # Rows that repeat as a whole: one of each, combined before the shuffle.
+    columns = docs.columns
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    one = without(marked, repeated, "left_semi").groupBy("doc_id", "__digest").agg(F.min_by(F.struct(*columns), F.xxhash64(*hashed)).alias("__row"))
+    return left.unionByName(one.select(*(F.col("__row").getField(c).alias(c) for c in columns)))

@@ -24,8 +24,8 @@ SHARD_TEXT = 12 << 20
 PACKED = "batch long, shard int, blob binary"
 
 
-def dealt(docs: DataFrame, batch_text: int = BATCH_TEXT, shard_text: int = SHARD_TEXT) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text) partitioned by batch, and the number of shards that suits the texts.
+def dealt(docs: DataFrame, batch_text: int = BATCH_TEXT, shard_text: int = SHARD_TEXT) -> tuple[DataFrame, int, int]:
+    """(batch, doc_id, text) partitioned by batch, the number of batches, and that of shards that suits the texts.
 
     The hash covers doc_id, text and the task that reads the row: rows that
     repeat an id, or as a whole, spread too, and a task that runs again deals
@@ -35,7 +35,7 @@ def dealt(docs: DataFrame, batch_text: int = BATCH_TEXT, shard_text: int = SHARD
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     batches = parts_for(size, batch_text, least)
     at = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(batches))
-    return docs.select(at.alias("batch"), "doc_id", "text").repartition(max(least, batches // 2), "batch"), parts_for(size, shard_text, least)
+    return docs.select(at.alias("batch"), "doc_id", "text").repartition(max(least, batches // 2), "batch"), batches, parts_for(size, shard_text, least)
 
 
 def packed(batch: int, shard: np.ndarray, columns: list[np.ndarray], shards: int) -> tuple[pa.Table, np.ndarray]:

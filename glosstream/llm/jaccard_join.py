@@ -30,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exact_dedup import drop_rows, text_digest
+from .exact_dedup import keep_rows_counted, text_digest
 from .exchange import packed, unpacked
 from .hashing import gram_starts, grams, mix, slices, text_buffer, Words
-from .storage import parts_for, stored, text_bytes
+from .storage import forget, parts_for, split_join, stored, text_bytes
 
 #: Bytes of text whose keys one shard holds.
 SHARD_TEXT = 12 << 20
@@ -508,16 +508,25 @@ def linked_points(docs: DataFrame, rule: Rule, digests: bool = False) -> tuple[D
     shared = docs.select("text").mapInArrow(_smallest_keys(rule, shards), "shard int, blob binary").groupBy("shard").applyInArrow(_shared_keys(shards), "shard int, blob binary")
     near = shared.groupBy("shard").applyInArrow(_enough, "fp long")
     candidates = stored(near.join(classes, near["fp"] == classes["point"]).select("rep", "size"), "candidates")
-    n, most, total = candidates.agg(F.count(F.lit(1)), F.max("size"), F.sum("size")).first()
+    n, most, total, unnamed = candidates.agg(F.count(F.lit(1)), F.max("size"), F.sum("size"), F.count_if(F.col("rep").isNull())).first()
     ids = candidates.select(F.col("rep").alias("__rep")).distinct()
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash")
-    sets = stored(docs.join(ids, F.col("doc_id") == F.col("__rep"), "left_semi").select("text").mapInArrow(_set_rows(rule.k), "fp long, n long, items binary"), "sets")
+    named = docs.join(ids, F.col("doc_id") == F.col("__rep"), "left_semi").select("text")
+    if unnamed:  # texts that only rows without doc_id have
+        named = named.unionByName(docs.filter("doc_id is null").select("text").distinct())
+    sets = stored(named.mapInArrow(_set_rows(rule.k), "fp long, n long, items binary"), "sets")
+    if sets.count() > n + unnamed:  # rows that repeat an id
+        once = stored(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("items").alias("items")), "sets")
+        forget(sets)
+        sets = once
     bounds = rings(rule, int(most or 1))
     few = max(parts_for(8 * int(total or 0), 16 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = sets.filter("n > 0 and n <= %d" % int(most or 1)).mapInArrow(_cell_keys(rule, bounds, few), "shard int, blob binary")
     regions = components(keyed.groupBy("shard").applyInArrow(_meet(rule), "a long, b long"))
     placed = sets.join(regions, sets["fp"] == regions["node"]).select("fp", F.col("root").alias("region"), "items", "n")
-    return points, components(_regions_to_links(placed, rule))
+    roots = stored(components(_regions_to_links(placed, rule)), "roots")
+    forget(candidates, sets)
+    return points, roots
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -526,27 +535,43 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     component_id is the smallest doc_id reachable by links, the document's own
     included.  Defined cases: a null, empty or word-free text has no shingles
     and is linked with nothing; a text of fewer words than a shingle is one
-    shingle; rows with a null doc_id never give their id, and a text that only
-    such rows have is linked with nothing but its copies; rows that repeat are
-    linked; an empty table gives an empty table.
+    shingle; rows with a null doc_id are linked like others but never give
+    their id, and a component of such rows alone has the id null; rows that
+    repeat are linked; an empty table gives an empty table.
     """
     return _named(*linked_points(docs, rule))
 
 
 def _named(points: DataFrame, roots: DataFrame, *more: str) -> DataFrame:
     """doc_id, n_shingles, component_id and the columns ``more`` of every row of the points."""
-    classes = points.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"))
-    rooted = classes.join(roots, classes["point"] == roots["node"], "left").select("point", "rep", F.coalesce("root", "point").alias("root"))
-    named = stored(rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select(F.col("point").alias("__fp"), "component_id"), "components")
-    out = points.join(named, (points["point"] == named["__fp"]) & (points["n_shingles"] > 0), "left")
+    classes = points.filter("n_shingles > 0").groupBy("point").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    # Points without links are a component each; only those with links are joined by their root, and big components are split.
+    linked = stored(classes.join(roots, classes["point"] == roots["node"]).select("point", "root", "rep"), "linked")
+    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = split_join(linked.select("point", "root"), least, "root", linked.count()).select("point", "component_id")
+    alone = classes.join(roots, classes["point"] == roots["node"], "left_anti").select("point", F.col("rep").alias("component_id"))
+    every = stored(named.unionByName(alone).select(F.col("point").alias("__fp"), "component_id"), "components")
+    forget(linked, roots)
+    out = points.join(every, (points["point"] == every["__fp"]) & (points["n_shingles"] > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule = Rule(5, 80, 100)) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id; rows without doc_id and texts without words all stay.
+    """``docs`` with one row of each component: that with the smallest doc_id; texts without words all stay.
 
-    Of rows that repeat a doc_id, only those go whose text is in another one's component.
+    Defined cases: of rows without doc_id in a component of their own, that with
+    the smallest text digest stays; rows that repeat a doc_id go or stay by
+    their text, and of those in one component one stays; columns stay as they are.
     """
-    linked = _named(*linked_points(docs, rule, digests=True), "digest")
-    gone = linked.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id"), F.col("digest").alias("__gone_digest")).distinct()
-    return drop_rows(docs, gone)
+    points, roots = linked_points(docs, rule, digests=True)
+    marks = points.filter("n_shingles > 0").groupBy("point", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    placed = stored(marks.join(roots, marks["point"] == roots["node"], "left").select("doc_id", "digest", "rows", F.coalesce("root", "point").alias("root")), "placed")
+    # The first of each component; a null doc_id comes last.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest"))
+    least = placed.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = placed.count()
+    chosen = split_join(placed, least, "root", rows)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    forget(points, roots)
+    # As many marks as rows would be wasteful: a pair of doc_id and text has its number of rows.
+    return keep_rows_counted(docs, chosen.select("doc_id", "digest", "rows", stays.cast("long").alias("stay")))

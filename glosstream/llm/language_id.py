@@ -235,8 +235,8 @@ def teaching_texts(docs: DataFrame, held_out: F.Column, texts: int = TEXTS_PER_L
     many texts is learned like any other.  The last of every eight calibrates;
     of fewer than eight all do both.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    marks = rows.select("lang", "h").distinct()
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out).select("doc_id", "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    marks = rows.groupBy("lang", "h").agg(F.min("doc_id").alias("id"))
     # Only about four times as many texts as are wanted are ranked, so that no language meets in one task.
     # Hashes of distinct texts are even: fewer than a quarter of those expected below the bar never are.
     share = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("__lang"), (F.lit(2.0**64) * 4 * texts / F.col("n") - 2.0**63).alias("bar"))
@@ -244,9 +244,10 @@ def teaching_texts(docs: DataFrame, held_out: F.Column, texts: int = TEXTS_PER_L
     few = share.count() <= BROADCAST_LANGUAGES
     near = marks.join(F.broadcast(share) if few else share, F.col("lang") == F.col("__lang")).filter(F.col("h") < F.col("bar"))
     rank, size = F.row_number().over(Window.partitionBy("lang").orderBy("h")), F.count(F.lit(1)).over(Window.partitionBy("lang"))
-    ranked = near.select("lang", "h", rank.alias("r"), (size < 8).alias("few")).filter(F.col("r") <= texts)
-    place = F.col("r") % 8 == 0
-    chosen = ranked.select(F.col("lang").alias("__lang"), F.col("h").alias("__h"), (F.col("few") | ~place).alias("teaches"), (F.col("few") | place).alias("calibrates"))
+    ranked = near.select("lang", "h", "id", rank.alias("r"), (size < 8).alias("few")).filter(F.col("r") <= texts)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("id", "h")) % 8 == 0
+    ranked = ranked.withColumn("place", place)
+    chosen = ranked.select(F.col("lang").alias("__lang"), F.col("h").alias("__h"), (F.col("few") | ~F.col("place")).alias("teaches"), (F.col("few") | F.col("place")).alias("calibrates"))
     found = rows.join(F.broadcast(chosen) if few else chosen, (F.col("h") == F.col("__h")) & (F.col("lang") == F.col("__lang")))
     return stored(found.dropDuplicates(["lang", "h"]).select("lang", "text", "teaches", "calibrates"), "teaching-texts")
 

@@ -2,13 +2,13 @@
 
 The model is a bigram model with Dirichlet smoothing: with c the counts in the
 teaching texts, P1(w) = (c(w) + 1) / (N + V + 1) and
-P(w | v) = (c(v, w) + m(v) * P1(w)) / (c(v) + m(v)), where the prior's mass
-m(v) = MASS + SPREAD * (number of distinct successors of v).  Each word is
-followed by another or by the end, so that c(v) is also the count of its
-successors.  Both c(v, w) / (c(v) + m(v)) and m(v) / (c(v) + m(v)) are quantised
-and kept in Elias-Fano tries, one for each shard of contexts.  Frequent contexts
-are cut into pieces that go to different shards; each piece stands for its share
-of the distinct successors.
+P(w | v) = (c(v, w) + m(v) * P1(w)) / (c(v) + m(v)), where the prior's mass is
+m(v) = MASS + SHARE * c(v).  Each word is followed by another or by the end, so
+that c(v) is also the count of its successors.  Both c(v, w) / (c(v) + m(v)) and
+m(v) / (c(v) + m(v)) are quantised and kept in Elias-Fano tries, one for each
+shard of contexts.  Frequent contexts are cut into pieces that go to different
+shards; the smoothing needs a context's count only, so that pieces and wholes
+give the same probabilities.
 The model grows with the corpus and is never in one place: batches of documents
 ask the shards for the counts of their words, then for the codes of their
 bigrams.
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from .elias_fano import ID_BITS, VALUES, Trie, quantise
 from .exchange import PACKED, answers, dealt, gathered, packed, unpacked
-from .hashing import Words, mix, slices, text_buffer
+from .hashing import Words, mix, text_buffer
 
-#: Prior mass of the unigram model in each context, and for each distinct successor.
-MASS, SPREAD = 100.0, 2.0
+#: Prior mass of the unigram model in each context, and for each occurrence of the context.
+MASS, SHARE = 10.0, 0.7
 #: Occurrences of a context in one piece at most.
 PIECE = 100_000
 END, BEGIN = (np.uint64(x) for x in (0x8A5CD789635D2DFF, 0x121FD2155C472F96))
@@ -108,7 +108,7 @@ class Asked(Tokens):
         self.codes = np.zeros((len(self.keys), 2), np.uint8)
         mine = np.flatnonzero(self.local & (self.total > 0))
         if len(mine):
-            self.codes[mine] = _trie(self.keys[mine], ids[mine], self.pair_counts[mine], self.total[mine], mass, piece).find(self.keys[mine], ids[mine])
+            self.codes[mine] = _local(self.keys[mine], ids[mine], self.pair_counts[mine], self.total[mine], mass)
         self.out = np.flatnonzero(~self.local)
         self.out = self.out[np.lexsort((ids[self.out], self.keys[self.out]))]
 
@@ -168,7 +168,20 @@ def _opened(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.repeat(keys, runs), np.repeat(totals, runs), ids.view(np.uint64).ravel(), counts
 
 
-def _trie(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, totals: np.ndarray, mass: float, piece: int) -> Trie:
+def _codes(total: np.ndarray, every: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a bigram and of its context, from its count and the context's."""
+    prior = mass + SHARE * every
+    return quantise(total / (every + prior)), quantise(prior / (every + prior))
+
+
+def _local(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, totals: np.ndarray, mass: float) -> np.ndarray:
+    """The codes of distinct bigrams whose contexts no other batch has, in their order: what a trie of them would answer."""
+    out = np.stack(_codes(counts, totals, mass), 1)
+    out[counts == 0, 0] = 0
+    return out
+
+
+def _trie(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, totals: np.ndarray, mass: float) -> Trie:
     """The trie of all bigrams that occur: counts of equal (key, id) are summed."""
     order = np.lexsort((ids, keys))
     keys, ids, counts, totals = keys[order], ids[order], counts[order], totals[order]
@@ -181,18 +194,15 @@ def _trie(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, totals: np.ndar
     totals = np.where(totals > 0, totals, sums)
     seen = total > 0
     at, total = at[seen], total[seen]
-    keys, ids, every = keys[at], ids[at], totals[at]
-    _, where, kinds = np.unique(keys, return_inverse=True, return_counts=True)
-    prior = mass + SPREAD * kinds[where] * -(-every // piece)
-    return Trie.of(keys, ids, quantise(total / (every + prior)), quantise(prior / (every + prior)))
+    return Trie.of(keys[at], ids[at], *_codes(total, totals[at], mass))
 
 
-def _bigram_codes(mass: float, piece: int):
+def _bigram_codes(mass: float):
     def run(blobs: list[bytes]) -> list[bytes]:
         parts = [_opened(b) for b in blobs]
         keys, totals, ids, counts = (np.concatenate([p[i] for p in parts]) for i in range(4))
         # The levels are one flat buffer, as they would be mapped from a file.
-        trie = Trie.open(memoryview(_trie(keys, ids, counts, totals, mass, piece).to_bytes()))
+        trie = Trie.open(memoryview(_trie(keys, ids, counts, totals, mass).to_bytes()))
         del keys, totals, ids, counts
         # All codes, then all those of contexts: these repeat, and compress well on the way.
         return [trie.find(p[0], p[2]).T.tobytes() for p in parts]
@@ -216,12 +226,14 @@ def _bigram_requests(shards: int, docs_taught: int, mass: float, piece: int):
     return run
 
 
-def _scored(shards: int, docs_taught: int, n: int, v: int, mass: float, piece: int, kind: pa.DataType):
-    out = pa.schema([("doc_id", kind), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
+def _scored(shards: int, docs_taught: int, mass: float, piece: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        kinds = [left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        out = pa.schema(list(zip(names, kinds)))
         if not left.num_rows:
             return _nothing(out.names, out)
+        n, v = np.frombuffer(right.filter(pc.equal(right["round"], 3))["blob"][0].as_py(), np.int64).tolist()
         asked = Asked(left, right.filter(pc.equal(right["round"], 1)), shards, docs_taught, mass, piece)
         order = asked.request(shards)[1]
         replies = [np.frombuffer(b.as_py(), np.uint8).reshape(2, -1) for b in right.filter(pc.equal(right["round"], 2)).sort_by("shard")["blob"]]
@@ -246,28 +258,24 @@ def _exact(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, first[:-1])
 
 
-def corpus_size(docs: DataFrame, shards: int) -> tuple[int, int, int]:
-    """(N, V, texts): tokens, distinct tokens and texts of ``docs(text)``, ends included."""
+def _sizes(table: pa.Table) -> pa.Table:
+    """A shard's part of N and V, from what the batches ask about words."""
+    parts = [unpacked(b.as_py(), [np.uint64, np.int64]) for b in table["blob"]]
+    words, counts = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    return pa.table({"n": pa.array([int(counts.sum())]), "v": pa.array([len(np.unique(words[counts > 0]))])})
+
 
-    def distinct(batches):
-        seen, n = np.zeros(0, np.uint64), 0
-        for batch in batches:
-            for at, size in slices(batch.column(0), 8 << 20, 1 << 20):
-                words = Words(*text_buffer(batch.column(0).slice(at, size)), True).hash
-                n += len(words)
-                seen = np.union1d(seen, words)
-        request, _ = packed(0, _shard(seen, shards), [seen], shards)
-        sizes = np.zeros(request.num_rows, np.int64)
-        sizes[:1] = n  # the number of words travels with the first row
-        yield from request.drop_columns(["batch"]).append_column("n", pa.array(sizes)).to_batches()
+def _corpus_size(asked: DataFrame, batches: int) -> DataFrame:
+    """(batch, shard, blob) with N and V, the tokens and distinct tokens that teach, once for each batch."""
+    both = asked.groupBy("shard").applyInArrow(_sizes, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
 
-    def count(table: pa.Table) -> pa.Table:
-        seen = np.unique(np.concatenate([unpacked(b.as_py(), [np.uint64])[0] for b in table["blob"]]))
-        return pa.table({"n": pa.array([pc.sum(table["n"]).as_py()]), "v": pa.array([len(seen)])})
+    def rows(tables):
+        for t in tables:
+            for n, v in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                blob = np.array([n, v], np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(batches)), pa.array(np.zeros(batches, np.int32)), pa.array([blob] * batches, pa.binary())], names=["batch", "shard", "blob"])
 
-    parts = docs.select("text").mapInArrow(distinct, "shard int, blob binary, n long").groupBy("shard").applyInArrow(count, "n long, v long")
-    row, texts = parts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first(), docs.count()
-    return int(row["n"] or 0) + texts, int(row["v"] or 0) + (texts > 0), texts
+    return both.mapInArrow(rows, PACKED)
 
 
 def lm_scores(docs: DataFrame, held_out: F.Column, mass: float = MASS, piece: int = PIECE) -> DataFrame:
@@ -276,21 +284,21 @@ def lm_scores(docs: DataFrame, held_out: F.Column, mass: float = MASS, piece: in
     Rows that are not held out teach.  Defined cases: a null or empty text is
     one token, its end; rows that repeat teach each time; a null ``held_out``
     (from a null doc_id) teaches; if nothing teaches, every probability is that
-    of an unknown token, 1; an empty table gives an empty table.
+    of an unknown token, 1; doc_id may have any type; an empty table gives an
+    empty table.
     """
-    marked = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    x, shards = dealt(marked)
-    n, v, texts = corpus_size(marked.filter(~F.col("held_out")), shards)
-    again = F.coalesce(held_out, F.lit(False))
-    x = x.withColumn("held_out", again).withColumn("teaches", ~again)
+    teaches = ~F.coalesce(held_out, F.lit(False))
+    marked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    x, batches, shards = dealt(marked)
+    texts = docs.select("doc_id").filter(teaches).count()
+    x = x.withColumn("held_out", ~teaches).withColumn("teaches", teaches)
     by = x.groupBy("batch")
-    counts = answers(by.applyInArrow(_word_requests(shards), PACKED), _word_counts)
-    codes = answers(by.cogroup(counts.groupBy("batch")).applyInArrow(_bigram_requests(shards, texts, mass, piece), PACKED), _bigram_codes(mass, piece))
-    both = counts.withColumn("round", F.lit(1)).unionByName(codes.withColumn("round", F.lit(2)))
-    spark_kind = dict(docs.dtypes)["doc_id"]
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string()}[spark_kind]
-    schema = f"doc_id {spark_kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return by.cogroup(both.groupBy("batch")).applyInArrow(_scored(shards, texts, n, v, mass, piece, kind), schema)
+    asked = by.applyInArrow(_word_requests(shards), PACKED)
+    counts = answers(asked, _word_counts)
+    codes = answers(by.cogroup(counts.groupBy("batch")).applyInArrow(_bigram_requests(shards, texts, mass, piece), PACKED), _bigram_codes(mass))
+    every = counts.withColumn("round", F.lit(1)).unionByName(codes.withColumn("round", F.lit(2))).unionByName(_corpus_size(asked, batches).withColumn("round", F.lit(3)))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return by.cogroup(every.groupBy("batch")).applyInArrow(_scored(shards, texts, mass, piece), schema)
 
 
 def lm_score(docs: DataFrame) -> DataFrame:
@@ -303,9 +311,8 @@ def model_shards(docs: DataFrame, mass: float = MASS, piece: int = PIECE) -> Dat
 
     Contexts that one batch knows completely are part of these tries too.
     """
-    marked = docs.select("doc_id", "text")
-    x, shards = dealt(marked)
-    _, _, texts = corpus_size(marked, shards)
+    x, _, shards = dealt(docs.select("doc_id", "text"))
+    texts = docs.count()
     x = x.withColumn("held_out", F.lit(False)).withColumn("teaches", F.lit(True))
     by = x.groupBy("batch")
     counts = answers(by.applyInArrow(_word_requests(shards), PACKED), _word_counts)
@@ -320,6 +327,6 @@ def model_shards(docs: DataFrame, mass: float = MASS, piece: int = PIECE) -> Dat
     def build(table: pa.Table) -> pa.Table:
         parts = [_opened(b.as_py()) for b in table["blob"]]
         keys, totals, ids, counted = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        return pa.table({"shard": table["shard"][:1], "trie": pa.array([_trie(keys, ids, counted, totals, mass, piece).to_bytes()], pa.binary())})
+        return pa.table({"shard": table["shard"][:1], "trie": pa.array([_trie(keys, ids, counted, totals, mass).to_bytes()], pa.binary())})
 
     return by.cogroup(counts.groupBy("batch")).applyInArrow(every, PACKED).groupBy("shard").applyInArrow(build, "shard int, trie binary")

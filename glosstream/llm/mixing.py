@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-BLOCK_ROWS = 64
+#: Rows of a block at least; and blocks of the whole plan at most, beyond which blocks grow.
+BLOCK_ROWS, PLAN_LIMIT = 64, 2_000_000
 PERIOD = 4096
 #: Rows of a source that are numbered together, about.
 BUCKET_ROWS = 500
+#: Buckets that are added up together.
+SHELF = 4096
 #: The plan is broadcast up to this size, joined by a shuffle beyond it.
 BROADCAST_BYTES = 16 << 20
 #: Blocks of a source in a row of the plan.
@@ -113,14 +116,16 @@ def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int
     return plan
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, temperature: float = TEMPERATURE) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, temperature: float = TEMPERATURE, plan_limit: int = PLAN_LIMIT) -> DataFrame:
     """Every row of ``docs`` with all its columns and its place in the mix: ``mix_slot``, ``mix_place``, ``mix_block``.
 
     Ordered by (mix_slot, mix_place), sources alternate by weight; within a
     source the order is that of a hash of doc_id.  ``weights`` names the sources
     (default: number of documents to the power ``temperature``); a source
     without a weight only goes when all others are done.  ``period`` has no
-    effect.  Defined cases: null is
+    effect.  A table of more than ``plan_limit`` blocks gets larger blocks, so
+    that the plan on the driver is bounded whatever the number of rows; sources
+    then keep to less than one of those.  Defined cases: null is
     a source of its own; null doc_id and text are ordinary rows; rows that
     repeat get places of their own; an empty table gives an empty table; columns
     named mix_* are replaced.
@@ -131,12 +136,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     order = F.xxhash64(F.lit(11), F.col("doc_id"))
     rows = docs.count()
+    block_rows = max(block_rows, -(-rows // plan_limit))
     buckets = max(1, -(-rows // BUCKET_ROWS))
     keyed = docs.withColumn("__key", key).withColumn("__h", order).withColumn("__bucket", F.pmod(F.xxhash64("__h"), F.lit(buckets)))
     # A source's rows are numbered bucket by bucket, so that no source meets in one task.
     sizes = stored(keyed.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n")), "mix-sizes")
-    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__key", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    # Offsets by shelf, then inside each shelf: the buckets of a source do not meet in one task either.
+    shelved = sizes.withColumn("__shelf", F.floor(F.col("__bucket") / SHELF))
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    sums = shelved.groupBy("__key", "__shelf").agg(F.sum("__n").alias("__m"))
+    sums = sums.select("__key", "__shelf", F.coalesce(F.sum("__m").over(before("__key", "__shelf")), F.lit(0)).alias("__start_of_shelf"))
+    inside = F.coalesce(F.sum("__n").over(before("__key", "__shelf", "__bucket")), F.lit(0))
+    offsets = shelved.withColumn("__inside", inside).join(sums, ["__key", "__shelf"]).select("__key", "__bucket", (F.col("__inside") + F.col("__start_of_shelf")).alias("__offset"))
     totals = {r["__key"]: r["n"] for r in sizes.groupBy("__key").agg(F.sum("__n").alias("n")).collect()}
     if weights is None:
         wanted = {s: n**temperature for s, n in totals.items()}

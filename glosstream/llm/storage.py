@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -31,6 +32,34 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: all that was made from them is stored itself."""
+    for df in frames:
+        spark = df.sparkSession
+        folder = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for path in folder:
+            if uuid_of(path):
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def uuid_of(path: str) -> bool:
+    """Is this the folder of a stored table?"""
+    return bool(re.fullmatch(r"[a-z-]+-[0-9a-f]{32}", path.rsplit("/", 1)[-1]))
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: int, share: int = 1000) -> DataFrame:
+    """left joined with ``right``, which has one row for each key and in ``n`` how many rows of left have it.
+
+    Keys with more than rows / share of the ``rows`` of left are no more than
+    ``share``: these are broadcast, so that no task gets such a key whole.
+    """
+    heavy = right.filter(F.col("n") * share > rows)
+    rest = right.filter(F.col("n") * share <= rows)
+    light = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key)
+    return left.join(F.broadcast(heavy), key).unionByName(light).drop("n")
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, with 16 for each row."""
     row = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(column).cast("string")), F.lit(0)) + F.lit(16)).alias("n")).first()

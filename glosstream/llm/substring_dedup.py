@@ -231,7 +231,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     kind = dict(docs.dtypes)["doc_id"]
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"doc_id orders the documents and must be a whole number, not {kind}")
-    x, shards = dealt(docs, BATCH_TEXT)
+    x, _, shards = dealt(docs, BATCH_TEXT)
     by = x.groupBy("batch")
     alive = answers(by.applyInArrow(_anchor_requests(window, anchor, shards), PACKED), _anchors_alive)
     asked = by.cogroup(alive.groupBy("batch")).applyInArrow(_window_requests(window, anchor, shards), PACKED)

@@ -65,12 +65,13 @@ def test_pages(spark):
 def test_exact(ugly, none):
     got = exact_dedup(ugly).collect()
     assert ids(exact_dedup(ugly)) == ALL and exact_dedup(none).count() == 0
-    by = {(r["doc_id"], r["text_sha256"]): r for r in got}
+    by = {(r["doc_id"], r["text_sha256"]): r for r in sorted(got, key=lambda r: r["kept"])}
+    assert len({r["text_sha256"] for r in got}) == sum(r["kept"] for r in got)  # one of each text, repeated rows too
     empty, passage = hashlib.sha256(b"").hexdigest(), hashlib.sha256(PASSAGE.encode()).hexdigest()
     assert (by[1, empty]["keep_id"], by[1, empty]["group_size"], by[1, empty]["kept"], by[2, empty]["kept"]) == (2, 3, False, True)
     assert (by[7, passage]["keep_id"], by[7, passage]["group_size"], by[9, passage]["kept"], by[None, passage]["kept"]) == (9, 4, True, False)
     kept = drop_exact_copies(ugly)
-    assert kept.columns == ugly.columns and ids(kept) == [2, 3, 4, 5, 6, 8, 9, 9, 10, 11, 12, 13]
+    assert kept.columns == ugly.columns and ids(kept) == [2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13]
 
 
 def test_lines(spark, ugly, none):
@@ -90,7 +91,7 @@ def test_jaccard(ugly, none):
     assert got[1] == [(0, 1)] and got[3] == [(0, 3)] and got[4] == [(1, 4)] and got[6] == [(got[5][0][0] + 1, 5)]
     assert got[8] == got[7] == [(18, 7)] and got[9] == [(18, 7)] * 2 and (18, 7) in got[None] and (0, None) in got[None]
     kept = drop_near_copies(ugly, Rule(3, 90, 100))
-    assert kept.columns == ugly.columns and [i for i in ids(kept) if i is not None] == [1, 2, 3, 4, 5, 7, 10, 11, 12, 13]
+    assert kept.columns == ugly.columns and ids(kept) == [1, 2, 3, 4, 5, 7, 10, 11, 12, 13, None]
 
 
 def test_substrings(ugly, none):
@@ -174,3 +175,10 @@ def test_rows_that_share_an_id_go_one_by_one(spark):
     near = [(1, LONG), (2, LONG + " tail"), (2, other), (None, "a clean text without any copy"), (3, None), (3, other + " more")]
     kept = {(r["doc_id"], r["text"]) for r in drop_near_copies(spark.createDataFrame(near, "doc_id long, text string"), Rule(3, 90, 100)).collect()}
     assert kept == {near[i] for i in (0, 2, 3, 4)}
+    # Rows that repeat as a whole, with other columns that differ; and near copies that only rows without id have.
+    same = spark.createDataFrame([(2, PASSAGE, "x"), (2, PASSAGE, "y"), (1, PASSAGE, "z"), (None, LONG, "a"), (None, LONG + " tail", "b"), (None, LONG, "a")], "doc_id long, text string, more string")
+    exact = drop_exact_copies(same).collect()
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in exact) == [(0, len(LONG)), (0, len(LONG) + 5), (2, len(PASSAGE))]
+    kept = drop_near_copies(same).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:5]) for r in kept) == [(0, LONG[:5]), (1, PASSAGE[:5])]
+    assert {r["component_id"] for r in jaccard_components(same).filter("doc_id is null").collect()} == {None}

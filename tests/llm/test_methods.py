@@ -234,6 +234,37 @@ def test_spaced_seeds_find_substituted_passages(spark):
     assert truth <= got == want
 
 
+def plain_best(same, least, identity):
+    """All stretches from match to match."""
+    hits, best = np.flatnonzero(same), None
+    for i, s in enumerate(hits):
+        for j in range(i, len(hits)):
+            size, matched = hits[j] + 1 - s, j - i + 1
+            if size >= least and matched >= identity * size - 1e-9 and (best is None or matched > best[2]):
+                best = (int(s), int(hits[j] + 1), matched)
+    return best
+
+
+def test_best_overlap_against_all_stretches():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        same = rng.random(rng.integers(0, 60)) < rng.choice([0.3, 0.7, 0.85])
+        got, want = D.best_overlap(same, 12, 0.8), plain_best(same, 12, 0.8)
+        assert (got is None) == (want is None) and (got is None or got[2] == want[2])
+
+
+def test_repeated_seeds_take_bounded_work():
+    import time
+
+    item, text = "word " * 200, "word " * 5000
+    mixed = " ".join(("a b c" if i % 7 else "x") for i in range(3000))
+    index = D.SeedIndex([1, 2, 3], [item, mixed, "the quick brown fox jumps over the lazy dog and runs far away"])
+    began = time.perf_counter()
+    got = index.overlaps(Words(*text_buffer(pa.array([text, mixed, "start " + item])), True, D.TOKENS), 12, 0.8)
+    assert time.perf_counter() - began < 10
+    assert {(t, i): rest for t, i, *rest in got} == {(0, 0): [0, 200, 200], (1, 1): [0, 8142, 8142], (2, 0): [1, 200, 200]}
+
+
 def test_best_overlap():
     same = lambda s: np.array([c == "1" for c in s])
     assert D.best_overlap(same("111101111011110000000"), 12, 0.8) == (0, 14, 12)
@@ -273,6 +304,47 @@ def test_mix_follows_weights(spark):
     assert sorted({r["mix_slot"] for r in got}) == list(range(90))
 
 
+def test_mix_against_a_plain_schedule(spark):
+    """Earliest deadline first worked out slot by slot with fractions, on the rows in the order of their places."""
+    from fractions import Fraction
+    from math import ceil
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice("aaaabbc"), "t") for i in range(3000)]
+    weights = {"a": 5, "b": 2, "c": 1}
+    got = X.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5), weights, block_rows=10).collect()
+    assert len({r["doc_id"] for r in got}) == 3000
+    blocks = {s: -(-sum(x == s for _, x, _ in rows) // 10) for s in weights}
+    # Slots in which the ideal, which flows by weight among those not used up, reaches j blocks.
+    ideal = {s: [Fraction(0)] for s in weights}
+    at, level, left = Fraction(0), dict.fromkeys(weights, Fraction(0)), set(weights)
+    while left:
+        share = sum(weights[s] for s in left)
+        s, step = min(((s, (len(ideal[s]) - level[s]) / Fraction(weights[s], share)) for s in left), key=lambda x: (x[1], x[0]))
+        at += step
+        for o in left:
+            level[o] += step * Fraction(weights[o], share)
+        for o in sorted(left):
+            if level[o] == len(ideal[o]):
+                ideal[o].append(at)
+        left = {o for o in left if len(ideal[o]) <= blocks[o]}
+    done, want = dict.fromkeys(weights, 0), []
+    for t in range(sum(blocks.values())):
+        ready = [(ceil(ideal[s][done[s] + 1]), s) for s in sorted(weights) if done[s] < blocks[s] and ideal[s][done[s]] < t + 1]
+        s = min(ready)[1]
+        want.append((s, done[s]))
+        done[s] += 1
+    have = {r["mix_slot"]: (r["source"], r["mix_block"]) for r in got}
+    assert [have[t] for t in range(len(want))] == want
+
+
+def test_a_bounded_plan_grows_its_blocks(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "if(id % 3 = 0, 'x', 'y') as source", "'t' as text")
+    got = X.mix(df, plan_limit=50).collect()
+    assert len(got) == 5000 and len({r["mix_slot"] for r in got}) <= 52 and max(r["mix_place"] for r in got) == 99
+    assert len({(r["mix_slot"], r["mix_place"]) for r in got}) == 5000
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for values in (rng.integers(0, 10**7, 5000), rng.integers(0, 30, 500), [0], [], [5, 5, 5], [0, 2**60]):
@@ -299,6 +371,10 @@ def test_trie_from_a_memory_map(tmp_path):
         assert (got[:, 0] == codes).all() and (got[:, 1] == backs).all()
         assert (trie.find(keys, ids + np.uint64(1))[:, 0] == np.where(np.append((keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1] + 1), False), np.append(codes[1:], 0), 0)).all()
         assert not trie.find(contexts + np.uint64(1), np.zeros(300, np.uint64)).any()
+        shuffled = rng.permutation(len(keys))
+        assert (trie.find(keys[shuffled], ids[shuffled])[:, 0] == codes[shuffled]).all()
+        # No array of its own: every level lies in the map.
+        assert all(not a.flags.owndata for e in (trie.contexts, trie.pointers, trie.successors) for a in (e.lows, e.highs, e.ones))
 
 
 def test_lm_against_brute_force(spark, docs, texts, monkeypatch):
@@ -315,11 +391,10 @@ def test_lm_against_brute_force(spark, docs, texts, monkeypatch):
             c.update(t)
             pairs.update(zip(before, t))
             after.update(before)
-    kinds = Counter(v for v, _ in pairs)
     n, v = sum(c.values()), len(c)
     for d, t in tokens.items():
         p1 = [(c[w] + 1) / (n + v + 1) for w in t]
-        mass = [S.MASS + S.SPREAD * kinds[x] for x in ["<s>", *t[:-1]]]
+        mass = [S.MASS + S.SHARE * after[x] for x in ["<s>", *t[:-1]]]
         p = [(pairs[a, b] + m * q) / (after[a] + m) for a, b, m, q in zip(["<s>", *t[:-1]], t, mass, p1)]
         r = got[d]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(t), sum(c[w] > 0 for w in t), n, zlib.crc32(str(d).encode()) % 7 == 2)
@@ -329,13 +404,19 @@ def test_lm_against_brute_force(spark, docs, texts, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_pieces_of_frequent_contexts_change_little(spark, docs):
+def test_lm_pieces_of_frequent_contexts_change_nothing(spark, docs):
     from pyspark.sql import functions as F
 
     held = F.col("doc_id") % 5 == 0
     whole = {r["doc_id"]: r["score"] for r in S.lm_scores(docs, held).collect()}
     cut = {r["doc_id"]: r["score"] for r in S.lm_scores(docs, held, piece=50).collect()}
-    assert max(abs(cut[d] / whole[d] - 1) for d in whole) < 0.1
+    assert whole == pytest.approx(cut, rel=1e-12)
+
+
+def test_lm_takes_any_doc_id(spark):
+    rows = spark.createDataFrame([("a", "x y"), (None, "x z")], "doc_id string, text string")
+    assert {r["doc_id"] for r in S.lm_score(rows).collect()} == {"a", None}
+    assert S.lm_score(rows.selectExpr("cast(1.5 as decimal(9, 2)) doc_id", "text")).count() == 2
 
 
 def test_model_shards(spark, docs):
@@ -503,3 +584,53 @@ def test_long_texts_do_not_end_the_teaching_list(spark):
     whole = L.train({"x": pa.array([t for _, _, t in rows])})
     assert models.langs == ["x"] and all((a == b).all() for a, b in zip(models.gram_keys, whole.gram_keys))
     assert all(np.allclose(a, b) for a, b in zip(models.gram_parts, whole.gram_parts)) and np.allclose(models.limits, whole.limits)
+
+
+def test_a_language_of_one_id_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(5000, "fr", f"le chat numéro {i} est parti") for i in range(3000)] + [(i, "en", f"the cat number {i} has left") for i in range(200)] + [(7, None, "nothing"), (8, "en", None)] + [(9, "de", "die Katze ist weg")] * 50
+    got = Counter(r["lang"] for r in L.teaching_texts(spark.createDataFrame(rows, "doc_id long, lang string, text string"), F.lit(False), 100).collect())
+    assert got == {"fr": 100, "en": 100, "de": 1}
+
+
+def test_marks_without_letters_are_no_language(spark):
+    rows = [(1, "en", "some plain words"), (3, "fr", "quelques mots simples"), (4, None, "\u0301\u0301 \u0301"), (5, None, "e\u0301 mots"), (None, "en", "more words")]
+    got = {r["doc_id"]: r for r in L.language_id(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert (got[4]["lang_pred"], got[4]["score"]) == ("und", 0) and got[5]["lang_pred"] in ("en", "fr") and got[None]["held_out"] is False
+
+
+def test_kneser_ney_against_brute_force():
+    """Counts in dictionaries, one n-gram at a time."""
+    text, order = "abca bcab cabc abab baba caca bac", 4
+    models = L.train({"x": pa.array([text])}, order)
+    words = [["^", *w, "$"] for w in text.split()]
+    full = Counter(tuple(w[max(0, i - order + 1) : i + 1]) for w in words for i in range(1, len(w)))
+    levels = [full]
+    for _ in range(order - 1):  # continuation counts: how many longer n-grams end so
+        kinds = defaultdict(set)
+        n = order - len(levels)
+        for w in words:
+            for i in range(1, len(w)):
+                kinds[tuple(w[max(0, i - n + 1) : i + 1])].add(tuple(w[max(0, i - n) : i + 1]))
+        levels.append(Counter({g: len(k) for g, k in kinds.items()}))
+
+    def probability(history, c):
+        p = models.floor
+        for n in range(1, order + 1):
+            counts = levels[order - n]
+            ones, twos = (sum(v == k for v in counts.values()) for k in (1, 2))
+            d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            h = tuple(history[-(n - 1) :]) if n > 1 else ()
+            mine = {g: v for g, v in counts.items() if g[:-1] == h}
+            if mine:
+                total = sum(mine.values())
+                p = max(mine.get((*h, c), 0) - d, 0) / total + d * len(mine) / total * p
+        return p
+
+    asked = ["abca", "cab", "zab", "b"]
+    costs, size = models.word_costs(pa.array(asked))
+    for word, cost, n in zip(asked, costs[:, 0], size):
+        chars = ["^", *word, "$"]
+        want = -sum(np.log(probability(chars[max(0, i - order + 1) : i], chars[i])) for i in range(1, len(chars)))
+        assert n == len(word) + 1 and abs(cost - want) < 1e-9
