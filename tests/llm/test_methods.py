@@ -198,9 +198,15 @@ def test_line_runs(spark):
     for owner in range(5):
         runs.add(make([(owner, 1, 1), (owner, owner + 10, 0)]))
     assert {k: len(v) for k, v in runs.levels.items() if v} == {0: 1, 2: 1}
-    got = {r["h1"]: (r["n_docs"], r["owner"]) for r in runs.lines().collect()}
-    assert got[1] == (5, 4) and got[12] == (1, 2)
+    # Each line is in one run, and later sightings are kept apart.
+    assert sorted(r["h1"] for run in runs.runs() for r in run.collect()) == [1, 10, 11, 12, 13, 14]
+    assert sorted((r["h1"], r["n_docs"], r["owner"]) for part in runs.again for r in part.collect()) == [(1, 1, owner) for owner in range(1, 5)]
     assert [r["h1"] for r in runs.unseen(make([(9, 1, 1), (9, 77, 0)])).collect()] == [77]
+    # Merging a batch in shuffles none of the runs, nor the batch.
+    plan = runs.unseen(runs.runs()[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == len(runs.runs()) and "Exchange" not in plan
+    got = {r["h1"]: (r["n_docs"], r["owner"]) for r in runs.lines(1).collect()}
+    assert got[1] == (5, 4) and got[12] == (1, 2) and len(got) == 6
 
 
 def test_spaced_seeds_find_substituted_passages(spark):
