@@ -37,55 +37,60 @@ class LineRuns:
     """Levelled sorted runs and later sightings; rows are (h1, h2, n_docs, owner)."""
 
     def __init__(self, fanout: int = 4, partitions: int = 12):
-        self.fanout, self.partitions, self.levels, self.again = fanout, partitions, {}, []
+        self.fanout, self.partitions, self.levels, self.again, self.batches = fanout, partitions, {}, [], []
 
     def _run(self, df: DataFrame, what: str = "line-run") -> DataFrame:
         return bucketed(df, what, self.partitions, *KEY)
 
     def add(self, batch: DataFrame) -> None:
         """Add a batch of (owner, h1, h2), one row for each line of each document; a document is in one batch only."""
-        counted = self._run(batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("owner").alias("owner")), "line-batch")
+        counted = batch.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("owner").alias("owner"))
+        # New lines and later sightings are written together, and told apart by a mark.
+        marked = self._run(self.marked(counted), "line-batch")
+        new, seen = (marked.filter(f).select(*KEY, "n_docs", "owner") for f in ("not known", "known"))
         if self.runs():
-            self.again.append(stored(self.seen(counted), "line-again"))
-            new = self._run(self.unseen(counted))
-            forget(counted)
-        else:
-            new = counted
+            self.again.append(seen)
+        self.batches.append(marked)
         self.levels.setdefault(0, []).append(new)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            # Lines are in one run each: compaction only merges.  The filter holds for all rows; it keeps the union
-            # off Spark's columnar path, which claims to be in buckets but is not.
+            # Lines are in one run each: compaction only merges.  Runs are read through a filter (of the level below,
+            # or one that holds for all rows), which keeps the union off Spark's columnar path: that one claims to be
+            # in buckets but is not.
             full = self.levels.pop(level)
-            self.levels.setdefault(level + 1, []).append(self._run(reduce(DataFrame.unionByName, [run.filter("n_docs > 0") for run in full])))
+            self.levels.setdefault(level + 1, []).append(self._run(reduce(DataFrame.unionByName, full)).filter("n_docs > 0"))
             self.levels.setdefault(level, [])
-            forget(*full)
+            if level:
+                forget(*full)
             level += 1
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels.values() for run in level]
 
+    def marked(self, batch: DataFrame) -> DataFrame:
+        """The batch with ``known``: is the line in some run?  One merge with each run gives the anti-join and its complement."""
+        known = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            batch = batch.join(run.select(*KEY, F.lit(True).alias(f"in{i}")).hint("merge"), KEY, "left")
+            known = known | F.col(f"in{i}").isNotNull()
+        return batch.select(*KEY, "n_docs", "owner", known.alias("known"))
+
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of a batch whose line is in no run yet: a merge anti-join with each of them."""
         return reduce(lambda left, run: left.join(run.hint("merge"), KEY, "left_anti"), self.runs(), batch)
 
-    def seen(self, batch: DataFrame) -> DataFrame:
-        """The other rows: each line is in one run."""
-        return reduce(DataFrame.unionByName, [batch.join(run.hint("merge"), KEY, "left_semi") for run in self.runs()])
-
     def lines(self, min_docs: int) -> DataFrame:
         """Lines of at least so many documents.  Only those that were seen again are added up with what their run has."""
         runs = reduce(DataFrame.unionByName, self.runs())
         if not self.again:
             return runs.filter(F.col("n_docs") >= min_docs)
         later = stored(reduce(DataFrame.unionByName, self.again).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("owner").alias("owner")), "line-later")
-        forget(*self.again)
         first = reduce(DataFrame.unionByName, [run.join(later.select(F.col("h1"), F.col("h2"), F.col("n_docs").alias("more"), F.col("owner").alias("last")), KEY, "left") for run in self.runs()])
         summed = first.select(*KEY, (F.col("n_docs") + F.coalesce("more", F.lit(0))).alias("n_docs"), F.greatest("owner", "last").alias("owner"))
         return summed.filter(F.col("n_docs") >= min_docs)
 
     def forget(self) -> None:
-        forget(*self.runs())
+        forget(*self.runs(), *self.batches)
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2, with_text: bool = False) -> DataFrame:

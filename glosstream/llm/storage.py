@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables of so few rows are joined plainly, whatever their keys.
+FEW_ROWS = 20_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one."""
     have = spark.conf.get("spark.checkpoint.dir", None)
@@ -68,6 +72,8 @@ def split_join(left: DataFrame, right: DataFrame, key: str | list[str], rows: in
     ``share``: these are broadcast, so that no task gets such a key whole.
     """
     keys = [key] if isinstance(key, str) else key
+    if rows <= FEW_ROWS:
+        return left.join(right, keys).drop("n")
     heavy = right.filter(F.col("n") * share > rows)
     rest = right.filter(F.col("n") * share <= rows)
     light = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(rest, keys)
