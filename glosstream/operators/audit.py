@@ -119,30 +119,34 @@ def merge_findings(rule: DataFrame, model: DataFrame) -> DataFrame:
     return rule.unionByName(numbered)
 
 
-def run_verified(spark_rows: DataFrame, reply, size: int = 20, max_attempts: int = 3) -> DataFrame:
+def run_verified(spark_rows: DataFrame, reply, size: int = 20, max_attempts: int = 3, types: dict | None = None) -> DataFrame:
     """Ask ``reply(list of row dicts) -> text`` once for each group and check its answer; failed groups are asked again.
 
-    Gives (document_id, seq, summary, errors, attempts, status); runs in the
-    groups' tasks, so that calls are spread over the cluster.
+    Gives (document_id, seq, summary, errors, attempts, status).  Calls run in
+    the groups' tasks, spread over the cluster, which only look whether every
+    row is answered; answers become findings in SQL functions.
     """
-    import json
-
     import pandas as pd
 
-    from .parse import validate_group
+    from .parse import answered, item_errors, items_of
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = frame.sort_values("seq").to_dict("records")
+        rows, text, attempt, done = frame.sort_values("seq").to_dict("records"), None, 0, False
         ids = [int(r["seq"]) for r in rows]
-        for attempt in range(1, max_attempts + 1):
-            try:
-                result = validate_group(reply(rows), ids)
-            except ValueError:
-                continue
-            return pd.DataFrame([{"document_id": r["document_id"], "seq": i, "summary": result[i]["summary"], "errors": json.dumps(result[i]["errors"], ensure_ascii=False), "attempts": attempt, "status": "done"} for r, i in zip(rows, ids)])
-        return pd.DataFrame([{"document_id": r["document_id"], "seq": i, "summary": None, "errors": None, "attempts": max_attempts, "status": "failed"} for r, i in zip(rows, ids)])
-
-    return groups(spark_rows, size).groupBy("group_key").applyInPandas(ask, "document_id long, seq int, summary string, errors string, attempts int, status string")
+        while not done and attempt < max_attempts:
+            text, attempt = reply(rows), attempt + 1
+            done = set(ids) <= answered(text)
+        return pd.DataFrame({"document_id": [rows[0]["document_id"]], "seqs": [ids], "text": [text if done else None], "attempts": [attempt], "status": ["done" if done else "failed"]})
+
+    calls = groups(spark_rows, size).groupBy("group_key").applyInPandas(ask, "document_id long, seqs array<int>, text string, attempts int, status string")
+    # One lineage: an answer that is read twice would be asked for twice.
+    rows = calls.withColumn("items", items_of(F.col("text"))).select("document_id", F.explode("seqs").alias("seq"), "items", "attempts", "status")
+    item = F.try_element_at(F.filter("items", lambda x: F.trim(x["id"]).try_cast("long") == F.col("seq")), F.lit(-1))
+    answer = rows.withColumn("item", item)
+    done = F.col("status") == "done"
+    return answer.select(
+        "document_id", "seq", F.when(done, F.trim(F.coalesce("item.summary", F.lit("")))).alias("summary"), F.when(done, F.to_json(item_errors(F.col("item"), types))).alias("errors"), "attempts", "status"
+    )
 
 
 def statistics(rows: DataFrame, findings: DataFrame) -> DataFrame:

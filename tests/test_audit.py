@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from glosstream.config import Config
@@ -96,32 +95,37 @@ def test_statistics(spark):
 TYPES = {"SEM-WRG": {"code": "SEM-WRG", "category": "SEM", "category_name": "c", "name": "n", "severity": "كبير", "sensitive": False, "detection": "استدلالي", "action": "fix"}}
 
 
-def test_parsing():
-    assert parse.json_array('noise [1, [2]] tail') == [1, [2]]
-    assert parse.json_array('{"items": [1]}') == [1] and parse.json_array("```json\n[]\n```") == []
-    with pytest.raises(ValueError):
-        parse.json_array("none [")
-    assert [parse.confidence(x) for x in ("0.9", 1, "85%", None, -5, 400, "x")] == [90, 100, 85, 70, 0, 100, 70]
-    f = parse.finding({"code": "sem_wrg", "severity": "Critical", "sharia_sensitive": "نعم"}, TYPES)
-    assert (f["type_code"], f["severity"], f["sharia_sensitive"], f["needs_human_review"], f["required_action"]) == ("SEM-WRG", "حرج", True, True, "fix")
-    other = parse.finding({"code": "ZZZ", "confidence": "0.9"}, TYPES)
-    assert (other["type_code"], other["type_name"].endswith("(ZZZ)"), other["confidence"]) == ("OTHER", True, 90)
+def test_parsing(spark):
+    texts = ['noise [1, [{"id": 1}]] tail', '{"items": [{"id": "2"}]}', '```json\n[{"id": 3}]\n```', "none [", "[]", None, 'see [4] and [{"id": 4, "summary": "a [b] c"}]']
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = [r["i"] for r in df.select("n", parse.items_of(F.col("text")).alias("i")).orderBy("n").collect()]
+    assert [x and [y["id"] for y in x] for x in got] == [["1"], ["2"], ["3"], None, None, None, ["4"]] and got[6][0]["summary"] == "a [b] c"
+    assert [parse.answered(t) for t in texts] == [set(), {2}, {3}, set(), set(), set(), set()]
+    raw = spark.createDataFrame([({"code": "sem_wrg", "severity": "Critical", "sharia_sensitive": "نعم"},), ({"code": "ZZZ", "confidence": "0.9"},), ({"code": None, "severity": "low"},)], f"raw {parse.FINDING_IN}")
+    f, other, bare = (r["f"] for r in raw.select(parse.finding(F.col("raw"), TYPES).alias("f")).collect())
+    assert (f["type_code"], f["severity"], f["sharia_sensitive"], f["needs_human_review"], f["required_action"], f["type_name"], f["category"]) == ("SEM-WRG", "حرج", True, True, "fix", "n", "c")
+    assert (other["type_code"], other["type_name"].endswith("(ZZZ)"), other["confidence"], other["detection"]) == ("OTHER", True, 90, "استدلالي")
+    assert (bare["type_name"], bare["severity"], bare["confidence"]) == ("غير مصنَّف", "بسيط", 70)
 
 
-def test_groups_are_complete():
-    reply = json.dumps([{"id": 1, "findings": [{"code": "A", "location": str(i)} for i in range(9)]}, {"id": "2", "errors": None}, {"id": "x"}, {"id": 1, "errors": [{"code": "A"}, {"code": "A"}]}, {"id": 77}])
-    got = parse.validate_group(reply, [1, 2])
-    assert len(got[1]["errors"]) == 1 and got[2]["errors"] == [] and 77 in got
-    with pytest.raises(ValueError):
-        parse.validate_group(reply, [1, 2, 3])
+def test_groups_are_complete(spark):
+    reply = json.dumps([{"id": 1, "findings": [{"code": "A", "location": str(i)} for i in range(9)]}, {"id": "2", "errors": None}, {"id": "x"}, {"id": 1, "errors": [{"code": "A"}, {"code": "A"}]}, {"id": 77}, {"id": 5, "errors": [{"code": "B", "location": str(i)} for i in range(9)]}])
+    items = parse.validated(spark.createDataFrame([("g", reply)], "group_key string, text string"))
+    got = {r["id"]: r["errors"] for r in items.collect()}
+    assert len(got[1]) == 1 and got[2] == [] and 77 in got and [f["location"] for f in got[5]] == list("012345")
+    expected = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3)], "group_key string, id long")
+    assert [r["id"] for r in parse.missing_answers(items, expected).collect()] == [3]
+    assert parse.answered(reply) == {1, 2, 77, 5}
 
 
-def test_replies():
+def test_replies(spark):
     item = {"response": {"candidates": [{"content": {"parts": [{"text": "thought", "thought": True}, {"text": "[]"}]}}], "usageMetadata": {"promptTokenCount": 5, "candidatesTokenCount": 2}}}
-    assert parse.answer_text(item) == "[]" and parse.tokens_used(item) == (5, 2)
-    with pytest.raises(ValueError, match="SAFETY"):
-        parse.answer_text({"response": {"promptFeedback": {"blockReason": "SAFETY"}}})
-    assert parse.retry_delay('{"retryDelay": "7.5s"}', 1) == 7.5 and parse.retry_delay("", 3) == 8.0
+    replies = [item, {"response": {"promptFeedback": {"blockReason": "SAFETY"}}}, {"error": {"message": "no quota"}}, {"error": "down"}, {"response": {"candidates": [{"content": {"parts": []}}]}}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(replies)], "n int, reply string").select("n", parse.reply_parts(F.col("reply")).alias("r")).orderBy("n")
+    got = [tuple(r["r"]) for r in df.collect()]
+    assert got[0] == ("[]", None, 5, 2) and "SAFETY" in got[1][1] and got[2][1] == "no quota" and got[3][1] == "down" and got[4][1] == "empty reply"
+    delays = spark.createDataFrame([('{"retryDelay": "7.5s"}', 1), ("", 3), (None, 2)], "body string, attempt int")
+    assert [r[0] for r in delays.select(parse.retry_delay(F.col("body"), F.col("attempt"))).collect()] == [7.5, 8.0, 4.0]
 
 
 def test_confidence_column(spark):

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from glosstream.config import Config
 from glosstream.operators import classify as C
@@ -68,6 +69,11 @@ def test_chain(corpus):
     assert kinds(got) == [("quran", f"سورة الإخلاص — {n}") for n in (1, 2, 3)] + [("text", "")]
     one_off = Q.chain_verses([Q.segment("text", "قل هو الله احدا الله الصمد لم يلد ولم يولد", 1)], verses)
     assert [r["score"] for r in one_off] == [0.9, 1.0, 1.0] and Q.VARIANT in one_off[0]["note"]
+    # A verse with two of its words left out, behind the one before it; two words written as one; an extra word.
+    gaps = Q.chain_verses([Q.segment("text", "الله الصمد لم يلد ولم يولد ولم يكن أحد", 1)], verses)
+    assert [r["source"] for r in gaps] == [f"سورة الإخلاص — {n}" for n in (2, 3, 4)] and "كفوا" in gaps[2]["note"]
+    joined = Q.chain_verses([Q.segment("text", "قل هوالله أحد 1 الله هنا الصمد لم يلد ولم يولد", 1)], verses)
+    assert [r["score"] for r in joined] == [1.0, 0.9, 1.0] and joined[0]["content"] == "قل هوالله أحد 1" and "هنا" in joined[1]["note"]
     alone = [Q.segment("text", "الحمد لله رب العالمين على كل حال", 1)]
     assert Q.chain_verses(list(alone), verses) == alone
 
@@ -91,6 +97,9 @@ def test_speakers(spark):
     assert P.speaker_of("فقال عمر رضي الله عنه:") == "companion"
     assert P.speaker_of("عن أبي هريرة رضي الله عنه قال: سمعت رسول الله صلى الله عليه وسلم يقول:") == "prophet"
     assert P.speaker_of("قال في مسجد النبي بعض الناس") is None
+    intros = ["فقال عمر رضي الله عنه:", "عن أبي هريرة رضي الله عنه قال: سمعت رسول الله صلى الله عليه وسلم يقول:", "قال في مسجد النبي بعض الناس:", "قال الإمام أحمد رحمه الله:", "وفي مسجد النبي قال عمر:", "قال له النبي ﷺ:", "كلام بلا فعل:", "", None, "انتهى. قالت عائشة: «"]
+    columns = spark.createDataFrame([(i, t) for i, t in enumerate(intros)], "n int, t string").select("n", P.speaker(F.col("t")).alias("who")).orderBy("n").collect()
+    assert [r["who"] for r in columns] == [P.speaker_of(t) for t in intros] == ["companion", "prophet", None, "scholar", "companion", "prophet", None, None, None, "companion"]
     df = spark.createDataFrame([(1, 1.0, 1, "text", "فقال عمر رضي الله عنه:", "", False), (1, 1.0, 2, "hadith", "لا شيء", "m", False), (1, 2.0, 1, "hadith", "x", "", False)], "doc_id long, para double, ord int, kind string, content string, note string, reviewed boolean")
     got = P.reattribute(df).orderBy("para", "ord").collect()
     assert [r["kind"] for r in got] == ["text", "athar", "hadith"] and got[1]["reviewed"]
