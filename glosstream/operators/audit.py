@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +86,11 @@ def apply_rules(pairs: DataFrame, arabic_script: bool = False, config: Config =
     return joined.select(*pairs.columns, found.alias("findings"), hints.alias("hints"), skip.alias("skip"))
 
 
+def not_all(*conditions: Column) -> Column:
+    """Are they not all true?  What is unknown is not true."""
+    return ~F.coalesce(reduce(Column.__and__, conditions), F.lit(False))
+
+
 def audit_rows(phrases: DataFrame, analysis: DataFrame, translations: DataFrame, *, has_key: bool, limit: int | None = None) -> DataFrame:
     """Ordered translatable phrases with their targets, numbered by document from 1.
 
@@ -92,8 +99,7 @@ def audit_rows(phrases: DataFrame, analysis: DataFrame, translations: DataFrame,
     """
     joined = phrases.filter("translatable").join(analysis.select("phrase_id", "kind", "reason_code"), "phrase_id", "left").join(translations.select("phrase_id", F.col("translation").alias("target")), "phrase_id", "left")
     if has_key:
-        matched = (F.col("kind") == "quran") & ~F.coalesce(F.col("reason_code") == "unmatched_quran", F.lit(False))
-        joined = joined.filter(~F.coalesce(matched, F.lit(False)))
+        joined = joined.filter(not_all(F.col("kind") == "quran", not_all(F.col("reason_code") == "unmatched_quran")))
     seq = F.row_number().over(Window.partitionBy("document_id").orderBy("group_id", "group_order"))
     rows = joined.select("document_id", "phrase_id", seq.alias("seq"), F.col("text").alias("source"), F.coalesce("target", F.lit("")).alias("target"), F.when(F.col("text_type") == "naqhara", "transliteration").otherwise("text").alias("row_type"))
     return rows if limit is None else rows.filter(F.col("seq") <= limit)

@@ -76,10 +76,16 @@ def match_texts(queries: DataFrame, corpus: DataFrame, config: Config = Config()
     return tops.withColumn("__l", last).filter("__l = 1").select(key, "ref_id", "score")
 
 
+def reference_parts(text: Column, pattern: str = "(?U)" + REFERENCE) -> Column:
+    """(name, number) of a reference; an empty name and null if it is none."""
+    return F.struct(F.regexp_extract(text, pattern, 1).alias("name"), F.regexp_extract(text, pattern, 2).try_cast("int").alias("number"))
+
+
 def parse_references(rows: DataFrame, verses: DataFrame, column: str = "reference") -> DataFrame:
     """rows with surah_no and ayah_no of the verse that a reference names, null if there is none."""
     names = verses.select(T.normalize(F.col("surah_name")).alias("__name"), "surah_no", "ayah_no")
-    parsed = rows.withColumns({"__n": T.normalize(F.regexp_extract(column, "(?U)" + REFERENCE, 1)), "__a": F.regexp_extract(column, "(?U)" + REFERENCE, 2).try_cast("int")})
+    parts = reference_parts(F.col(column))
+    parsed = rows.withColumns({"__n": T.normalize(parts["name"]), "__a": parts["number"]})
     return parsed.join(small(names), (F.col("__n") == F.col("__name")) & (F.col("__a") == F.col("ayah_no")), "left").drop("__n", "__a", "__name")
 
 

@@ -57,10 +57,10 @@ def containing(texts: DataFrame, needles: DataFrame, key: str, item: str) -> Dat
 
     Blocked on a word that lies whole inside the needle: its longest inner word
     must be a word of the text, so that texts meet few needles.  Needles of
-    fewer than three words have no such word; they meet every text, in a join
-    that is broadcast only while they are few.
+    fewer than three words have no such word: every text would have to meet
+    each of them, so they may be no more than ``BROADCAST_ROWS`` (ValueError).
     """
-    parts = F.split("needle", " ")
+    parts = F.split("needle", "[ \\n]")
     inner = F.when(F.size(parts) >= 3, F.slice(parts, 2, F.size(parts) - 2))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     blocked = needles.withColumn("__w", F.when(longest != "", longest))
@@ -68,7 +68,10 @@ def containing(texts: DataFrame, needles: DataFrame, key: str, item: str) -> Dat
     # The word join carries no text: matching pairs fetch it afterwards, and only once for each.
     pairs = words.select(key, "__w").join(small(blocked.filter("__w is not null")), "__w").select(key, item, "needle")
     near = pairs.join(texts.select(key, "text"), key).filter(F.col("text").contains(F.col("needle"))).select(key, item)
-    rest = texts.join(small(blocked.filter("__w is null")), F.col("text").contains(F.col("needle"))).select(key, item)
+    short = blocked.filter("__w is null").select(item, "needle")
+    if short.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} needles of fewer than three words")
+    rest = texts.join(F.broadcast(short), F.col("text").contains(F.col("needle"))).select(key, item)
     return near.unionByName(rest).distinct()
 
 

@@ -46,12 +46,15 @@ def round_robin(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT item_id, array_to_string(list_sort(list_intersect(a, b)), ' ') AS common, len(list_filter(a, lambda x: NOT list_contains(b, x)))::BIGINT AS missing, len(list_distinct(list_concat(a, b)))::BIGINT AS whole
-    FROM (SELECT item_id, list_distinct(string_split(lower(text), ' ')[1:10]) AS a, list_distinct(string_split(lower(text), ' ')[6:20]) AS b FROM benchmark)"""
+    """WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark)
+    SELECT item_id, array_to_string(list_sort(list_intersect(a, b)), ' ') AS common, len(list_filter(a, lambda x: NOT list_contains(b, x)))::BIGINT AS missing, len(list_distinct(list_concat(a, b)))::BIGINT AS whole
+    FROM (SELECT item_id, list_distinct(w[1:len(w) // 2]) AS a, list_distinct(w[len(w) // 2 + 1:]) AS b FROM w)"""
 )
 def set_operations(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of the two halves of each passage."""
     words = F.split(F.lower("text"), " ")
-    sets = table(spark, folder, "benchmark").select("item_id", F.array_distinct(F.slice(words, 1, 10)).alias("a"), F.array_distinct(F.slice(words, 6, 15)).alias("b"))
+    half = F.floor(F.size(words) / 2).cast("int")
+    sets = table(spark, folder, "benchmark").select("item_id", F.array_distinct(F.slice(words, F.lit(1), half)).alias("a"), F.array_distinct(F.slice(words, half + 1, F.size(words))).alias("b"))
     return sets.select("item_id", F.array_join(F.array_sort(F.array_intersect("a", "b")), " ").alias("common"), F.size(F.array_except("a", "b")).cast("long").alias("missing"), F.size(F.array_union("a", "b")).cast("long").alias("whole"))
 
 
@@ -120,7 +123,9 @@ def fuzzy_match(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(None)
 def glossary_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """Nation and region names looked up in the paragraphs of documents and turns of conversations."""
-    names = [dict(arabic=r[0].lower(), english=r[0], dict="terms", note="") for r in table(spark, folder, "nation").select("n_name").collect()]
-    turns = table(spark, folder, "conversations").select("conv_id", "turn", F.lower("text").alias("content"))
-    return with_terms(turns, Glossary(names)).select("conv_id", "turn", F.size("terms").alias("n_terms"))
+    """Nation and region names looked up in the paragraphs of documents and the turns of conversations."""
+    named = table(spark, folder, "nation").select(F.col("n_name").alias("name")).unionByName(table(spark, folder, "region").select(F.col("r_name").alias("name")))
+    entries = named.select(F.lower("name").alias("arabic"), F.col("name").alias("english"), F.lit("terms").alias("dict"), F.lit("").alias("note"))
+    turns = table(spark, folder, "conversations").select(F.lit("turn").alias("place"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("part"), F.lower("text").alias("content"))
+    paras = paragraphs_of(table(spark, folder, "documents")).select(F.lit("paragraph").alias("place"), F.col("doc_id").alias("id"), F.col("para").alias("part"), F.lower("text").alias("content"))
+    return with_terms(turns.unionByName(paras), Glossary.of(entries)).select("place", "id", "part", F.size("terms").alias("n_terms"))
