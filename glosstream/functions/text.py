@@ -59,6 +59,12 @@ def light(text: Column) -> Column:
     return collapse(_bare(text))
 
 
+def diacritic_density(text: Column) -> Column:
+    """Diacritics for each other character of the Arabic block; 0 where there is none."""
+    letters = F.regexp_count(replace(text, DIACRITICS), F.lit("[\u0600-\u06ff]"))
+    return F.when(letters > 0, F.regexp_count(text, F.lit(DIACRITICS)) / letters).otherwise(0.0)
+
+
 def lexical(text: Column) -> Column:
     """Form for dictionary lookup: unified spelling, no punctuation; the feminine ending stays apart from the pronoun."""
     return collapse(replace(F.translate(_bare(text), SPELLING_FROM, SPELLING_TO), PUNCTUATION, " "))

@@ -42,14 +42,20 @@ def candidates(queries: DataFrame, items: DataFrame, key: str, item: str, n: int
 
 
 def tiered_candidates(queries: DataFrame, items: DataFrame, key: str, item: str, sizes: tuple[int, ...], top: int) -> DataFrame:
-    """Candidates by the first n of ``sizes`` that gives any; adds the column ``tier``."""
-    found: list[DataFrame] = []
-    left = queries
-    for n in sizes:
-        hits = candidates(left, items, key, item, n, top).withColumn("tier", F.lit(n).cast("long"))
-        found.append(hits)
-        left = left.join(hits.select(key).distinct(), key, "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    """Candidates by the first n of ``sizes`` that gives any; adds the column ``tier``.
+
+    One pass: grams of all sizes are joined together, and the first size with a
+    hit counts, so that neither side is read once for each size.
+    """
+    tiers = F.array(*map(F.lit, sizes))
+    tagged = lambda words, n: F.transform(F.array_distinct(ngrams(words, n)), lambda g: F.struct(F.lit(n).alias("tier"), g.alias("gram")))
+    grams = lambda words: F.explode(F.flatten(F.array(*(tagged(words, n) for n in sizes)))).alias("g")
+    index = small(items.select(item, grams(F.col("words"))).select(item, "g.tier", "g.gram"))
+    hits = queries.select(key, grams(F.col("words"))).select(key, "g.tier", "g.gram").join(index, ["tier", "gram"]).groupBy(key, "tier", item).agg(F.count(F.lit(1)).alias("hits"))
+    order = F.array_position(tiers, F.col("tier"))
+    first = F.min(order).over(Window.partitionBy(key))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(order, F.desc("hits"), F.asc(item)))
+    return hits.withColumns({"rn": rank.cast("long"), "__first": first}).filter((order == F.col("__first")) & (F.col("rn") <= top)).select(key, item, "hits", "rn", F.col("tier").cast("long").alias("tier"))
 
 
 def containing(texts: DataFrame, needles: DataFrame, key: str, item: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 # Severities from the highest.
@@ -95,3 +95,9 @@ def messages(rows: DataFrame, group: list[str], order: str, message: str, each:
     """Distinct messages in order, each and all together cut to a length."""
     listed = rows.filter(F.coalesce(message, F.lit("")) != "").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, F.substring(message, 1, each).alias("m")))).alias("l"))
     return listed.select(*group, F.substring(F.array_join(F.array_distinct(F.transform("l", lambda x: x["m"])), by), 1, most).alias("error_message"))
+
+
+def observed(rows: DataFrame, name: str, counts: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The statistics of a pass: rows as they are, and counts of conditions that are known once the rows have been read by an action."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(c).alias(k) for k, c in counts.items())), seen

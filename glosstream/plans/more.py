@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dates
 from ..operators import audit, context, export, match, parse, segment, upsert
 from ..operators.glossary import Glossary, with_terms
 from .relational import paragraphs_of, plain_form, query, table
@@ -71,7 +72,7 @@ def confidence_values(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT strftime(o_orderdate, '%d/%m/%Y') AS day, year(o_orderdate)::BIGINT AS year, month(o_orderdate)::BIGINT AS month, count(*)::BIGINT AS n, max(date_diff('day', o_orderdate::DATE, DATE '2000-01-01'))::BIGINT AS age FROM orders GROUP BY 1, 2, 3")
 def date_buckets(spark: SparkSession, folder: str) -> DataFrame:
     d = F.col("o_orderdate")
-    keyed = table(spark, folder, "orders").select(F.date_format(d, "dd/MM/yyyy").alias("day"), F.year(d).cast("long").alias("year"), F.month(d).cast("long").alias("month"), F.datediff(F.lit("2000-01-01"), d).cast("long").alias("age"))
+    keyed = table(spark, folder, "orders").select(dates.local_day(d).alias("day"), F.year(d).cast("long").alias("year"), F.month(d).cast("long").alias("month"), F.floor(dates.age_seconds(d.cast("date"), F.lit("2000-01-01")) / 86400).alias("age"))
     return keyed.groupBy("day", "year", "month").agg(F.count(F.lit(1)).alias("n"), F.max("age").alias("age"))
 
 
@@ -116,7 +117,7 @@ def sentence_units(spark: SparkSession, folder: str) -> DataFrame:
 @query(None)
 def fuzzy_match(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in the paragraphs: candidates by n-grams, verified by similarity and coverage."""
-    paras = paragraphs_of(table(spark, folder, "documents")).select((F.col("doc_id") * 100000 + F.col("para")).alias("key"), plain_form(F.col("text")).alias("text"), F.lit(False).alias("short"), F.lit("").alias("prefer"))
+    paras = paragraphs_of(table(spark, folder, "documents")).select((F.col("doc_id") * 1_000_000_000 + F.col("para")).alias("key"), plain_form(F.col("text")).alias("text"), F.lit(False).alias("short"), F.lit("").alias("prefer"))
     corpus = table(spark, folder, "benchmark").select(F.col("item_id").alias("ref_id"), plain_form(F.col("text")).alias("text"), F.lit("").alias("surah"))
     return match.match_texts(paras, corpus, every_record=False, least=match.FUZZY_ANCHOR).select("key", "ref_id", F.round("score", 6).alias("score"))
 

@@ -84,7 +84,7 @@ GRAMS = """grams({id}, g) AS (
     SELECT DISTINCT {id}, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) FROM (SELECT {id}, string_split({form}, ' ') AS w FROM {t})
 )"""
 CANDIDATES = f"""
-    WITH {PARAGRAPHS}, p AS (SELECT doc_id * 100000 + para AS key, text FROM paras),
+    WITH {PARAGRAPHS}, p AS (SELECT doc_id * 1000000000 + para AS key, text FROM paras),
     d_{GRAMS.format(id="key", n=3, form=plain_sql("text"), t="p")},
     b_{GRAMS.format(id="item_id", n=3, form=plain_sql("text"), t="benchmark")},
     hits AS (SELECT key, item_id, count(*)::BIGINT AS hits FROM d_grams JOIN b_grams USING (g) GROUP BY 1, 2),
@@ -92,7 +92,7 @@ CANDIDATES = f"""
 
 
 def _keyed_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs_of(table(spark, folder, "documents")).select((F.col("doc_id") * 100000 + F.col("para")).alias("key"), F.split(plain_form(F.col("text")), " ").alias("words"))
+    return paragraphs_of(table(spark, folder, "documents")).select((F.col("doc_id") * 1_000_000_000 + F.col("para")).alias("key"), F.split(plain_form(F.col("text")), " ").alias("words"))
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,7 +110,7 @@ def ngram_best(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PARAGRAPHS}, p AS (SELECT doc_id * 100000 + para AS key, text FROM paras WHERE len(string_split({plain_sql("text")}, ' ')) <= 3),
+    f"""WITH {PARAGRAPHS}, p AS (SELECT doc_id * 1000000000 + para AS key, text FROM paras WHERE len(string_split({plain_sql("text")}, ' ')) <= 3),
     d3_{GRAMS.format(id="key", n=3, form=plain_sql("text"), t="p")}, b3_{GRAMS.format(id="item_id", n=3, form=plain_sql("text"), t="benchmark")},
     h3 AS (SELECT key, item_id, count(*)::BIGINT AS hits, 3 AS tier FROM d3_grams JOIN b3_grams USING (g) GROUP BY 1, 2),
     d2_{GRAMS.format(id="key", n=2, form=plain_sql("text"), t="p")}, b2_{GRAMS.format(id="item_id", n=2, form=plain_sql("text"), t="benchmark")},

@@ -186,3 +186,14 @@ def test_sweep_can_be_repeated(spark, tmp_path):
     for _ in range(2):
         sweep.sweep(spark, source, "id int, status string", target, mark, lambda df: df)
     assert [r["id"] for r in spark.read.parquet(target).collect()] == [1]
+
+
+def test_pass_statistics_and_dates(spark):
+    from glosstream.functions import dates, text
+    from glosstream.operators import stats
+
+    rows, seen = stats.observed(spark.range(10), "pass", {"even": F.col("id") % 2 == 0, "big": F.col("id") > 6})
+    assert rows.count() == 10 and seen.get == {"rows": 10, "even": 5, "big": 3}
+    df = spark.sql("SELECT timestamp'2024-02-03 04:05:06' AS a, timestamp'2024-02-03 04:06:00' AS b, 'بِسْمِ الله' AS t, '' AS e")
+    got = df.select(dates.local_day(F.col("a")).alias("day"), dates.iso(F.col("a")).alias("iso"), dates.age_seconds(F.col("a"), F.col("b")).alias("age"), text.diacritic_density(F.col("t")).alias("d"), text.diacritic_density(F.col("e")).alias("z")).first()
+    assert got["day"] == "03/02/2024" and got["iso"].startswith("2024-02-03T04:05:06") and got["age"] == 54 and abs(got["d"] - 3 / 7) < 1e-9 and got["z"] == 0
