@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
+from .parse import FINDING_OUT, SEVERITIES, answered, finding, item_errors, items_of
+from .stats import percent, verdict_of
 
 
 def median_ratio(pairs: DataFrame) -> DataFrame:
@@ -105,10 +107,16 @@ def audit_rows(phrases: DataFrame, analysis: DataFrame, translations: DataFrame,
     return rows if limit is None else rows.filter(F.col("seq") <= limit)
 
 
+def with_groups(rows: DataFrame, size: int = 20) -> DataFrame:
+    """Adds group_key: rows that are not skipped, in groups of ``size`` by document; null for the others."""
+    asked = F.col("skip").isNull()
+    n = F.row_number().over(Window.partitionBy("document_id", asked).orderBy("seq")) - 1
+    return rows.withColumn("group_key", F.when(asked, F.format_string("j%d-g%05d", F.col("document_id"), F.floor(n / size) + 1)))
+
+
 def groups(rows: DataFrame, size: int = 20) -> DataFrame:
-    """Rows that are not skipped, in groups of ``size`` by document: adds group_key."""
-    n = F.row_number().over(Window.partitionBy("document_id").orderBy("seq")) - 1
-    return rows.filter("skip is null").withColumn("group_key", F.format_string("j%d-g%05d", F.col("document_id"), F.floor(n / size) + 1))
+    """Rows that are not skipped, with their groups; rows that have groups keep them."""
+    return (rows if "group_key" in rows.columns else with_groups(rows, size)).filter("group_key is not null")
 
 
 def retries(calls: DataFrame, max_attempts: int = 3) -> DataFrame:
@@ -134,8 +142,6 @@ def run_verified(spark_rows: DataFrame, reply, size: int = 20, max_attempts: int
     """
     import pandas as pd
 
-    from .parse import answered, item_errors, items_of
-
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         rows, text, attempt, done = frame.sort_values("seq").to_dict("records"), None, 0, False
         ids = [int(r["seq"]) for r in rows]
@@ -155,10 +161,69 @@ def run_verified(spark_rows: DataFrame, reply, size: int = 20, max_attempts: int
     )
 
 
+def row_result(errors: Column) -> dict[str, Column]:
+    """What the findings of a row come to: verdict, error_count, max_severity, sensitive, needs_review."""
+    scale = F.array(*map(F.lit, SEVERITIES))
+    rank = F.array_max(F.transform(errors, lambda f: len(SEVERITIES) + 1 - F.array_position(scale, f["severity"]))).cast("int")
+    worst = F.coalesce(F.get(scale, F.lit(len(SEVERITIES)) - rank), F.lit(""))
+    return {"verdict": verdict_of(rank), "error_count": F.size(errors), "max_severity": worst, "sensitive": F.exists(errors, lambda f: f["sharia_sensitive"]), "needs_review": F.exists(errors, lambda f: f["needs_human_review"])}
+
+
+def create_job(rows: DataFrame, arabic_script: bool = False, types: dict | None = None, config: Config = Config()) -> DataFrame:
+    """The rows of a new job over the audit_rows of one translation.
+
+    Findings of rules are in ``errors``.  Rows that rules settle are skipped and
+    have their verdict; the others are pending, in groups.  Without rows there
+    is no job: an error.
+    """
+    if rows.isEmpty():
+        raise ValueError("the translation has no rows to audit")
+    none = F.lit(None).cast("string")
+    raw = lambda f: F.struct(
+        f["code"].alias("code"), f["severity"].alias("severity"), none.alias("sharia_sensitive"), none.alias("detection"), f["confidence"].cast("string").alias("confidence"),
+        f["location"].alias("location"), f["explanation"].alias("explanation"), none.alias("required_action"), none.alias("suggested_fix"),
+    )
+    ruled = apply_rules(rows, arabic_script, config).withColumn("errors", F.transform("findings", lambda f: finding(raw(f), types, "rule"))).drop("findings")
+    skipped = F.col("skip").isNotNull()
+    result = {k: F.when(skipped, c) for k, c in row_result(F.col("errors")).items()}
+    return with_groups(ruled, config.group_size).withColumns({"status": F.when(skipped, "skipped").otherwise("pending"), "summary": F.coalesce("skip", F.lit("")), **result})
+
+
+def run_job(job: DataFrame, reply, types: dict | None = None, config: Config = Config()) -> DataFrame:
+    """The job's rows after its pending groups have been asked: write them before they are read twice, as each reading asks again.
+
+    Findings of a model replace earlier ones of a model and stand behind those
+    of rules.  Rows of a group that fails after its last attempt are failed.
+    Rows that are done, skipped or failed are not asked again, so that a run
+    over what an earlier one has written resumes it.
+    """
+    asked = run_verified(job.filter("status = 'pending'"), reply, config.group_size, config.max_attempts, types)
+    answers = asked.select("document_id", "seq", F.col("summary").alias("__summary"), F.from_json("errors", f"array<{FINDING_OUT}>").alias("__errors"), F.col("status").alias("__status"))
+    done = F.coalesce(F.col("__status") == "done", F.lit(False))
+    merged = job.join(answers, ["document_id", "seq"], "left").withColumn("errors", F.when(done, F.concat(F.filter("errors", lambda f: f["source"] == "rule"), "__errors")).otherwise(F.col("errors")))
+    result = {k: F.when(done, c).otherwise(F.col(k)) for k, c in row_result(F.col("errors")).items()}
+    return merged.withColumns({"status": F.coalesce("__status", "status"), "summary": F.when(done, F.col("__summary")).otherwise(F.col("summary")), **result}).select(*job.columns)
+
+
+def findings_of(job: DataFrame) -> DataFrame:
+    """(document_id, row_seq, seq, ...): the findings of a job's rows, numbered from 1 in each row."""
+    return job.select("document_id", F.col("seq").alias("row_seq"), F.posexplode("errors").alias("__pos", "__f")).select("document_id", "row_seq", (F.col("__pos") + 1).alias("seq"), "__f.*")
+
+
+def finalize(job: DataFrame) -> DataFrame:
+    """(document_id, status, findings, rows_<status>, groups_<status>): how the jobs stand, by their groups."""
+    states = ("pending", "done", "failed")
+    by_group = job.groupBy("document_id", "group_key").agg(F.max("status").alias("s"), F.sum(F.size("errors")).alias("f"), *(F.count_if(F.col("status") == s).alias(f"r_{s}") for s in (*states, "skipped")))
+    in_group = F.col("group_key").isNotNull()
+    counted = by_group.groupBy("document_id").agg(
+        F.sum("f").alias("findings"), *(F.sum(f"r_{s}").alias(f"rows_{s}") for s in (*states, "skipped")), *(F.count_if(in_group & (F.col("s") == s)).alias(f"groups_{s}") for s in states)
+    )
+    total = sum((F.col(f"groups_{s}") for s in states), F.lit(0))
+    return counted.withColumn("status", job_status(F.col("groups_done"), F.col("groups_failed"), total))
+
+
 def statistics(rows: DataFrame, findings: DataFrame) -> DataFrame:
     """The general indicators of a job in one row, from rows(status, error_count, source, needs_review) and findings(sensitive)."""
-    from .stats import percent
-
     n = rows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "done").alias("checked"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"),
         F.count_if(F.col("error_count") > 0).alias("with_errors"), F.count_if("needs_review").alias("human"),

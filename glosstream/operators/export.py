@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.dates import local_day
 from ..functions.identity import phrase_id
 from . import context
 
@@ -109,6 +110,55 @@ def saved(rows: DataFrame, glossary: DataFrame) -> tuple[DataFrame, DataFrame, D
     return rows.select("phrase_id", "doc_id", "para_no", "ord", "content", "tag", "text_type", "align", "content_type_id", "translatable"), analysis, links
 
 
+class DuplicateTitle(ValueError):
+    """A document of this title is stored already."""
+
+
+def save_documents(rows: DataFrame, glossary: DataFrame, path: str, version: int, *, replace: bool = False) -> None:
+    """Store documents (rows of :func:`phrases`) with their analyses and links, all of a version in one folder.
+
+    A title that an earlier version has is an error unless ``replace`` is set;
+    then :func:`stored_documents` reads the later version in its place.  A save
+    that is run again under its number replaces itself.  The title that clashes
+    is looked for with one semi-join; nothing else comes to the driver.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = rows.sparkSession
+    if not replace:
+        try:
+            earlier = spark.read.parquet(path).filter(F.col("version") != version).select("title")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            earlier = None  # nothing is stored yet
+        clash = earlier and rows.select("title").join(earlier, "title", "left_semi").first()
+        if clash:
+            raise DuplicateTitle(clash["title"])
+    kept, analysis, links = saved(rows, glossary)
+    titles = rows.select("phrase_id", "title")
+    linked = links.groupBy("phrase_id").agg(F.array_sort(F.collect_set("glossary_id")).alias("glossary_ids"))
+    whole = kept.join(titles, "phrase_id").join(analysis, "phrase_id").join(linked, "phrase_id", "left").withColumn("glossary_ids", F.coalesce("glossary_ids", F.array().cast("array<bigint>")))
+    whole.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The phrases of the latest version of every title."""
+    every = spark.read.parquet(path)
+    latest = every.groupBy("title").agg(F.max("version").alias("version"))
+    return every.join(latest, ["title", "version"], "left_semi")
+
+
+def file_name(title: Column, language: Column, iso: Column, number: Column, kind: str) -> Column:
+    """The name of an exported file; what file systems refuse in a title becomes a space."""
+    return F.concat(F.trim(F.regexp_replace(title, "[\\\\/:*?\"<>|]+", " ")), F.lit(" - "), language, F.lit(" ["), iso, number.cast("string"), F.lit(f"].{kind}"))
+
+
+def book_tag(iso: Column, number: Column, dated: Column, today: Column) -> Column:
+    """The tag of a book's first page, with the day where that is asked for."""
+    return F.concat(iso, number.cast("string"), F.when(dated, F.concat(F.lit(" - "), local_day(today))).otherwise(""))
+
+
 def row_type(tag: Column, text_type: Column) -> Column:
     return F.when(tag.isin(*HEADINGS), "title").when(tag == "footnote", "footnote").when(text_type == "naqhara", "naqhara").when(tag == "listparagraph", "listparagraph").otherwise("paragraph")
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from glosstream.config import Config
@@ -73,6 +74,36 @@ def test_run_with_a_fake_model(spark):
     assert {(r["status"], r["attempts"]) for r in failed} == {("failed", 2)}
 
 
+def test_a_job_from_its_rows_to_its_end(spark, tmp_path):
+    job = audit.create_job(audit.audit_rows(*fixture(spark), has_key=False), types=TYPES, config=Config(group_size=5))
+    start = {r["seq"]: r for r in job.collect()}
+    assert {s: start[s]["status"] for s in (2, 4)} == {2: "skipped", 4: "skipped"} and start[2]["summary"] == "empty" and start[2]["error_count"] == 1 and start[2]["group_key"] is None
+    assert start[1]["status"] == "pending" and start[1]["verdict"] is None and [f["type_name"] for f in start[7]["errors"]] == ["غير مصنَّف (FRM-ARB)"]
+    calls = spark.sparkContext.accumulator(0)
+
+    def reply(rows):
+        calls.add(1)
+        if any(r["seq"] == 12 for r in rows):
+            return "no answer"
+        bad = {"code": "SEM-WRG", "severity": "حرج", "location": "x"}
+        return json.dumps([{"id": r["seq"], "summary": "s", "errors": [bad] if r["seq"] in (3, 7) else []} for r in rows])
+
+    audit.run_job(job, reply, TYPES, Config(group_size=5, max_attempts=2)).write.parquet(f"{tmp_path}/job")
+    ran = spark.read.parquet(f"{tmp_path}/job")
+    assert calls.value == 3  # one group at once, the other twice
+    rows = {r["seq"]: r for r in ran.collect()}
+    assert [f["type_code"] for f in rows[7]["errors"]] == ["OTHER", "SEM-WRG"] and [f["source"] for f in rows[7]["errors"]] == ["rule", "model"]
+    assert (rows[3]["verdict"], rows[3]["max_severity"], rows[3]["needs_review"], rows[3]["error_count"]) == ("rejected", "حرج", True, 1)
+    assert (rows[1]["status"], rows[1]["verdict"], rows[1]["summary"]) == ("done", "accepted", "s") and rows[12]["status"] == "failed" and rows[12]["verdict"] is None
+    end = audit.finalize(ran).first()
+    assert (end["status"], end["findings"], end["rows_done"], end["rows_failed"], end["rows_skipped"], end["groups_done"], end["groups_failed"]) == ("partial", 5, 5, 5, 2, 1, 1)
+    assert sorted((r["row_seq"], r["seq"]) for r in audit.findings_of(ran).collect()) == [(2, 1), (3, 1), (4, 1), (7, 1), (7, 2)]
+    again = {r["seq"]: r for r in audit.run_job(ran, reply, TYPES).collect()}
+    assert calls.value == 3 and {s: r["status"] for s, r in again.items()} == {s: r["status"] for s, r in rows.items()}
+    with pytest.raises(ValueError):
+        audit.create_job(audit.audit_rows(*fixture(spark), has_key=False).limit(0))
+
+
 def test_retries(spark):
     calls = spark.createDataFrame([("a", 1, False), ("a", 2, True), ("b", 1, False), ("b", 2, False), ("c", 1, False)], "group_key string, attempt int, ok boolean")
     assert {r["group_key"]: (r["attempts"], r["status"]) for r in audit.retries(calls, 2).collect()} == {"a": (2, "done"), "b": (2, "failed"), "c": (1, "pending")}
