@@ -111,7 +111,7 @@ def with_groups(rows: DataFrame, size: int = 20) -> DataFrame:
     """Adds group_key: rows that are not skipped, in groups of ``size`` by document; null for the others."""
     asked = F.col("skip").isNull()
     n = F.row_number().over(Window.partitionBy("document_id", asked).orderBy("seq")) - 1
-    return rows.withColumn("group_key", F.when(asked, F.format_string("j%d-g%05d", F.col("document_id"), F.floor(n / size) + 1)))
+    return rows.withColumn("group_key", F.when(asked, F.format_string("j%d-g%05d", F.col("document_id"), F.floor(n / size))))
 
 
 def groups(rows: DataFrame, size: int = 20) -> DataFrame:

@@ -59,7 +59,7 @@ def recent_references(reference: Column, group: list[str], order: list[str], win
 def chunks(rows: DataFrame, job: str, order: list[str], size: int) -> DataFrame:
     """Adds ``chunk`` (from 0) and ``group_key`` (j<job>-g<nnnnn>, from 1): rows in order, ``size`` to a group."""
     n = F.row_number().over(ordered([job], order)) - 1
-    return rows.withColumn("chunk", F.floor(n / size).cast("long")).withColumn("group_key", F.format_string("j%s-g%05d", F.col(job).cast("string"), F.col("chunk") + 1))
+    return rows.withColumn("chunk", F.floor(n / size).cast("long")).withColumn("group_key", F.format_string("j%s-g%05d", F.col(job).cast("string"), F.col("chunk")))
 
 
 def csv_ids(rows: DataFrame, doc: str, para: str, order: str) -> DataFrame:

@@ -191,7 +191,7 @@ def split_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_custkey, o_orderkey, (n // 20)::BIGINT AS chunk, 'j' || o_custkey || '-g' || lpad((n // 20 + 1)::VARCHAR, 5, '0') AS group_key
+    """SELECT o_custkey, o_orderkey, (n // 20)::BIGINT AS chunk, 'j' || o_custkey || '-g' || lpad((n // 20)::VARCHAR, 5, '0') AS group_key
     FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)"""
 )
 def chunk_groups(spark: SparkSession, folder: str) -> DataFrame:

@@ -57,7 +57,7 @@ def test_job(spark):
     ruled = audit.apply_rules(rows)
     grouped = audit.groups(ruled, 5)
     by = {r["group_key"]: sorted(r["s"]) for r in grouped.groupBy("group_key").agg(F.collect_list("seq").alias("s")).collect()}
-    assert by == {"j1-g00001": [1, 3, 5, 6, 7], "j1-g00002": [8, 9, 10, 11, 12]}
+    assert by == {"j1-g00000": [1, 3, 5, 6, 7], "j1-g00001": [8, 9, 10, 11, 12]}
 
 
 def test_run_with_a_fake_model(spark):
