@@ -150,3 +150,27 @@ def test_size_checks(table):
     with pytest.raises(ValueError):
         M.Corpus.of(table, Config(broadcast_rows=3))
     assert len(M.Corpus.of(table).records) == len(VERSES)
+
+
+def test_review_pass():
+    def row(content, **more):
+        return {"kind": "text", "content": content, "source": "", "score": None, "note": "", "reviewed": False} | more
+
+    rows = [row("verse"), row("tradition"), row("known", kind="hadith"), row("mine", kind="quran", source="q", score=0.5), row("made up"), row("down"), row("weak"), row("sure", kind="quran", score=0.99), row("head", kind="title"), row("seen", reviewed=True)]
+    answers = {"verse": ("quran", "1"), "tradition": ("hadith", ""), "known": ("hadith", "2"), "mine": ("text", ""), "made up": ("quran", "9")}
+
+    def candidates_for(text):
+        return [{"kind": "quran", "source": "v", "score": 0.1 if text == "weak" else 0.8}, {"kind": "hadith", "source": "h", "score": 0.6}]
+
+    def ask(text, offered):
+        if text == "down":
+            raise OSError(text)
+        return answers[text]
+
+    seen = []
+    got = {r["content"]: r for r in C.reviewer(candidates_for, ask, count=seen.append)(rows)}
+    assert {k: seen.count(k) for k in ("asked", "changed", "fabricated", "failed", "skipped")} == {"asked": 5, "changed": 3, "fabricated": 1, "failed": 1, "skipped": 4}
+    assert (got["verse"]["kind"], got["verse"]["source"], got["verse"]["score"]) == ("quran", "v", 0.8) and got["verse"]["note"] == C.REVIEW_NOTES["quran"]
+    assert (got["tradition"]["kind"], got["tradition"]["source"], got["tradition"]["note"]) == ("hadith", "", C.REVIEW_NOTES["hadith"])
+    assert (got["mine"]["kind"], got["mine"]["source"], got["mine"]["score"]) == ("text", "", None)
+    assert got["made up"]["kind"] == got["down"]["kind"] == "text" and not got["known"]["reviewed"]

@@ -80,7 +80,7 @@ def test_context(spark):
 SEGMENTS = "doc_id long, para double, ord int, kind string, content string, source string, score double, note string, terms array<struct<arabic:string,english:string,kind:string,label:string,note:string,surface:string>>, level int, footnote boolean"
 
 
-def test_payload(spark):
+def test_payload(spark, tmp_path):
     term = [("صبر", "patience", "terms", "", "", "بالصبر")]
     rows = [(1, 1.0, 1, "title", "عنوان", "", None, "", [], 2, False), (1, 2.0, 1, "quran", "آية", "سورة الشرح — 5", 0.9876, "", [], 0, False), (1, 2.0, 2, "term", "بالصبر", "", None, "", term, 0, False), (1, 2.001, 1, "text", "[1] حاشية", "", None, "footnote", [], 0, True)]
     sheet = export.sheet_rows(spark.createDataFrame(rows, SEGMENTS))
@@ -93,6 +93,16 @@ def test_payload(spark):
     assert "terms" not in body["phrases"][0]["analysis"] and body["phrases"][2]["analysis"]["terms"][0]["category"] == "term"
     saved, analysis, links = export.saved(phrases, spark.createDataFrame([(9, "صبر")], "id int, ar string"))
     assert saved.count() == analysis.count() == 4 and links.count() == 1
+    path = f"{tmp_path}/documents"
+    export.save_documents(phrases, spark.createDataFrame([(9, "صبر")], "id int, ar string"), path, 1)
+    with pytest.raises(export.DuplicateTitle):
+        export.save_documents(phrases, spark.createDataFrame([(9, "صبر")], "id int, ar string"), path, 2)
+    export.save_documents(phrases.limit(1), spark.createDataFrame([(9, "صبر")], "id int, ar string"), path, 2, replace=True)
+    assert export.stored_documents(spark, path).count() == 1
+    export.save_documents(phrases, spark.createDataFrame([(9, "صبر")], "id int, ar string"), path, 2, replace=True)  # run again
+    assert [list(r["glossary_ids"]) for r in export.stored_documents(spark, path).orderBy("phrase_id").collect() if r["glossary_ids"]] == [[9]] and export.stored_documents(spark, path).count() == 4
+    names = phrases.select(export.file_name(F.lit(' a/b: "c" '), F.lit("Fr"), F.lit("fr"), F.lit(7), "docx").alias("n"), export.book_tag(F.lit("fr"), F.lit(7), F.lit(True), F.lit("2026-01-02").cast("date")).alias("t")).first()
+    assert tuple(names) == ("a b   c - Fr [fr7].docx", "fr7 - 02/01/2026")
     screen = export.screen_rows(spark.createDataFrame(rows, SEGMENTS)).orderBy("para", "ord").collect()
     assert [r["part"] for r in screen] == ["عنوان"] * 4 and [r["conf"] for r in screen] == ["100%", "99%", "60%", "40%"]
 
