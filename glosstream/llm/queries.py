@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table, spread
+from .collocations import collocations
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": lambda s, d: exact_dedup(docs(s, d)),
         "op9_lm_score": lambda s, d: lm_score(docs(s, d)),
         "op10_language_id": lambda s, d: language_id(docs(s, d)),
+        "op11_collocations": lambda s, d: collocations(docs(s, d)),
     }
 
 
@@ -86,6 +88,26 @@ ORACLE_SQL = {
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW g AS (PARTITION BY t)""",
+    "op11_collocations": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {UPPER_LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+        ), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS l FROM pieces),
+        totals AS (SELECT lang, sum(len(l))::HUGEINT AS n FROM w GROUP BY lang),
+        starts AS (SELECT lang, l, unnest(range(1, len(l) + 1)) AS i FROM w),
+        every AS (SELECT lang, k, array_to_string(l[i:i + k - 1], ' ') AS phrase FROM starts, range(1, 6) ks(k) WHERE i + k - 1 <= len(l)),
+        f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM every GROUP BY ALL HAVING count(*) >= 100),
+        cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS l FROM f WHERE k > 1),
+        cuts AS (SELECT lang, k, phrase, a, c, array_to_string(l[1:c], ' ') AS x, array_to_string(l[c + 1:], ' ') AS y FROM cand, range(1, 5) cs(c) WHERE c < k),
+        scored AS (
+            SELECT c.lang, c.phrase, c.k, c.a, c.c, p.f AS l, q.f AS r, t.n, (1000 * c.a * t.n) // (p.f * q.f) AS score
+            FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = c.x JOIN f q ON q.lang = c.lang AND q.phrase = c.y JOIN totals t ON t.lang = c.lang
+        ), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+        inner_parts AS (
+            SELECT lang, a AS longer, array_to_string(l[i:i + n - 1], ' ') AS phrase FROM cand, range(1, 5) ss(i), range(2, 5) ns(n) WHERE n < k AND i + n - 1 <= k
+        ), covered AS (SELECT lang, phrase, max(longer) AS longer FROM inner_parts GROUP BY ALL),
+        stay AS (SELECT s.* FROM lowest s LEFT JOIN covered v ON v.lang = s.lang AND v.phrase = s.phrase WHERE v.longer IS NULL OR 100 * v.longer < 100 * s.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+        FROM stay QUALIFY rank <= 2000""",
 }
 
 
