@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table, spread
+from .collision_search import nearest_to_fiftieths
 from .collocations import collocations
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
@@ -38,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_score": lambda s, d: lm_score(docs(s, d)),
         "op10_language_id": lambda s, d: language_id(docs(s, d)),
         "op11_collocations": lambda s, d: collocations(docs(s, d)),
+        "op12_collision_search": lambda s, d: nearest_to_fiftieths(_table(s, d, "embeddings")),
     }
 
 
