@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table, spread
 from .collision_search import nearest_to_fiftieths
 from .collocations import collocations
+from .conversation_repair import repair_damaged
 from .decontaminate import contaminated
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_score": lambda s, d: lm_score(docs(s, d)),
         "op10_language_id": lambda s, d: language_id(docs(s, d)),
         "op11_collocations": lambda s, d: collocations(docs(s, d)),
+        "op13_conversation_repair": lambda s, d: repair_damaged(_table(s, d, "conversations")),
         "op12_collision_search": lambda s, d: nearest_to_fiftieths(_table(s, d, "embeddings")),
     }
 
