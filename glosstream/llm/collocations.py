@@ -40,7 +40,9 @@ _ENDS = np.zeros(256, bool)
 _ENDS[list(ENDS_PIECE)] = True
 _PLAIN = bytes(10 if c in ENDS_PIECE else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _REQUEST = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())])
-_COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
+_PACKED_COUNTS = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("words", pa.list_(pa.int32())), ("f", pa.list_(pa.int64()))])
+#: Batches whose counts are added up in one task, before those sums are.
+SUMMED = 1024
 _FAR = np.uint64(65535)
 
 
@@ -168,14 +170,14 @@ def _phrase_requests(words: Sketch, phrases: Sketch, longest: int):
 def _counted(words: Sketch, phrases: Sketch, longest: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _COUNTED.empty_table()
+            return _PACKED_COUNTS.empty_table()
         b = Batch(left, longest)
         often = b.frequent_words(words, right.filter(pc.equal(right["round"], 1)))
         found = b.phrases(often)
         cells, of = np.unique(phrases.cells(np.concatenate([h for _, h in found])), return_inverse=True)
         hot = phrases.frequent(right.filter(pc.equal(right["round"], 2)), cells)[of] if len(cells) else np.zeros(0, bool)
         first = np.flatnonzero(often)
-        starts = [(1, first[np.unique(b.hash[first], return_index=True)[1]])]
+        starts = [(1, *_distinct(first, b.hash[first]))]
         shorter, done = often, 0
         for k, (at, h) in enumerate(found, 2):
             keep = hot[done : done + len(at)]
@@ -186,38 +188,55 @@ def _counted(words: Sketch, phrases: Sketch, longest: int):
             at, h = at[keep], h[keep]
             shorter = np.zeros(len(often), bool)
             shorter[at] = True
-            starts.append((k, at[np.unique(h, return_index=True)[1]]))
+            starts.append((k, *_distinct(at, h)))
         bounds = [i for i, lang in enumerate(b.langs) if i == 0 or lang != b.langs[i - 1]] + [len(b.langs)]
-        rows = [_of_language(b, lo, hi, starts) for lo, hi in zip(bounds, bounds[1:])]
-        return pa.concat_tables(rows)
+        return pa.concat_tables([_of_language(b, lo, hi, starts, phrases.shards) for lo, hi in zip(bounds, bounds[1:])])
 
     return run
 
 
-def _of_language(b: Batch, lo: int, hi: int, starts: list[tuple[int, np.ndarray]]) -> pa.Table:
-    """Exact counts in texts lo to hi, which are of one language: all words (phrase null), frequent words, and phrases by automaton."""
+def _distinct(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal hashes the first place, and the hashes."""
+    hashes, first = np.unique(h, return_index=True)
+    return at[first], hashes
+
+
+def _of_language(b: Batch, lo: int, hi: int, starts: list[tuple[int, np.ndarray, np.ndarray]], shards: int) -> pa.Table:
+    """Exact counts in texts lo to hi, which are of one language: all words (phrase null), frequent words, and phrases by automaton; one row a shard of the sums."""
     begin, end = int(b.words.first[lo]), int(b.words.first[hi])
     flat = guarded([t.as_py().encode() for t in b.texts[lo:hi]])
     each = Counter(flat.split(b" "))
-    names, sizes, counts = [None], [0], [end - begin]
+    names, sizes, counts, hashes = [None], [0], [end - begin], [np.zeros(1, np.uint64)]
     automaton, phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
-    for k, at in starts:
-        for i in at[(at >= begin) & (at < end)].tolist():
+    for k, at, h in starts:
+        mine = (at >= begin) & (at < end)
+        hashes.append(h[mine])
+        for i in at[mine].tolist():
             text = b" ".join([b.word(j) for j in range(i, i + k)])
+            names.append(text.decode())
+            sizes.append(k)
             if k == 1:
-                names.append(text.decode())
-                sizes.append(1)
                 counts.append(each[text])
             else:
-                automaton.add_word(f" {text.decode()} ", len(phrases))
-                phrases.append((text.decode(), k))
+                automaton.add_word(f" {names[-1]} ", len(phrases))
+                phrases.append(k)
     if phrases:
         automaton.make_automaton()
-        hits = np.bincount(np.fromiter((i for _, i in automaton.iter(flat.decode())), np.int64), minlength=len(phrases))
-        names += [p for p, _ in phrases]
-        sizes += [k for _, k in phrases]
-        counts += hits.tolist()
-    return pa.table([pa.array([b.langs[lo]] * len(names)), pa.array(names, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], schema=_COUNTED)
+        counts += np.bincount(np.fromiter((i for _, i in automaton.iter(flat.decode())), np.int64), minlength=len(phrases)).tolist()
+    shard = mix(np.concatenate(hashes)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    at = np.flatnonzero(np.diff(shard[order], prepend=shard[order[:1]] + np.uint64(1)))
+    offsets = pa.array(np.append(at, len(order)), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c, kind).take(pa.array(order))) for c, kind in ((names, pa.string()), (sizes, pa.int32()), (counts, pa.int64()))]
+    return pa.table([pa.array(shard[order[at]].astype(np.int32)), pa.array(np.full(len(at), b.batch // SUMMED)), pa.array([b.langs[lo]] * len(at)), *lists], schema=_PACKED_COUNTS)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """The counts of one shard over some batches."""
+    lists = [table[c].combine_chunks() for c in ("phrase", "words", "f")]
+    lang = table["lang"].combine_chunks().take(pc.list_parent_indices(lists[0]))
+    flat = pa.table({"lang": lang} | dict(zip(("phrase", "words", "f"), (c.flatten() for c in lists))))
+    return flat.group_by(["lang", "phrase", "words"]).aggregate([("f", "sum")]).select(["lang", "phrase", "words", "f_sum"]).rename_columns(["lang", "phrase", "words", "f"])
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, batch_text: int = BATCH_TEXT) -> DataFrame:
@@ -233,7 +252,8 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     frequent = answers(by.applyInArrow(_word_requests(words, longest), PACKED), words.answer)
     hot = answers(by.cogroup(frequent.groupBy("batch")).applyInArrow(_phrase_requests(words, phrases, longest), PACKED), phrases.answer)
     both = frequent.withColumn("round", F.lit(1)).unionByName(hot.withColumn("round", F.lit(2)))
-    counted = by.cogroup(both.groupBy("batch")).applyInArrow(_counted(words, phrases, longest), "lang string, phrase string, words int, f long")
+    packed = by.cogroup(both.groupBy("batch")).applyInArrow(_counted(words, phrases, longest), "shard int, part long, lang string, phrase array<string>, words array<int>, f array<long>")
+    counted = packed.groupBy("shard", "part").applyInArrow(_summed, "lang string, phrase string, words int, f long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | F.col("phrase").isNull())
 
 
