@@ -40,7 +40,7 @@ _ENDS = np.zeros(256, bool)
 _ENDS[list(ENDS_PIECE)] = True
 _PLAIN = bytes(10 if c in ENDS_PIECE else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _REQUEST = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("blob", pa.binary())])
-_PACKED_COUNTS = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("words", pa.list_(pa.int32())), ("f", pa.list_(pa.int64()))])
+_PACKED_COUNTS = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
 #: Batches whose counts are added up in one task, before those sums are.
 SUMMED = 1024
 _FAR = np.uint64(65535)
@@ -206,37 +206,36 @@ def _of_language(b: Batch, lo: int, hi: int, starts: list[tuple[int, np.ndarray,
     begin, end = int(b.words.first[lo]), int(b.words.first[hi])
     flat = guarded([t.as_py().encode() for t in b.texts[lo:hi]])
     each = Counter(flat.split(b" "))
-    names, sizes, counts, hashes = [None], [0], [end - begin], [np.zeros(1, np.uint64)]
-    automaton, phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS), []
+    names, counts, hashes = [None], [end - begin], [np.zeros(1, np.uint64)]
+    automaton, phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
     for k, at, h in starts:
         mine = (at >= begin) & (at < end)
         hashes.append(h[mine])
         for i in at[mine].tolist():
             text = b" ".join([b.word(j) for j in range(i, i + k)])
             names.append(text.decode())
-            sizes.append(k)
             if k == 1:
                 counts.append(each[text])
             else:
-                automaton.add_word(f" {names[-1]} ", len(phrases))
-                phrases.append(k)
+                automaton.add_word(f" {names[-1]} ", phrases)
+                phrases += 1
     if phrases:
         automaton.make_automaton()
-        counts += np.bincount(np.fromiter((i for _, i in automaton.iter(flat.decode())), np.int64), minlength=len(phrases)).tolist()
+        counts += np.bincount(np.fromiter((i for _, i in automaton.iter(flat.decode())), np.int64), minlength=phrases).tolist()
     shard = mix(np.concatenate(hashes)) % np.uint64(shards)
     order = np.argsort(shard, kind="stable")
     at = np.flatnonzero(np.diff(shard[order], prepend=shard[order[:1]] + np.uint64(1)))
     offsets = pa.array(np.append(at, len(order)), pa.int32())
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(c, kind).take(pa.array(order))) for c, kind in ((names, pa.string()), (sizes, pa.int32()), (counts, pa.int64()))]
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c, kind).take(pa.array(order))) for c, kind in ((names, pa.string()), (counts, pa.int64()))]
     return pa.table([pa.array(shard[order[at]].astype(np.int32)), pa.array(np.full(len(at), b.batch // SUMMED)), pa.array([b.langs[lo]] * len(at)), *lists], schema=_PACKED_COUNTS)
 
 
 def _summed(table: pa.Table) -> pa.Table:
     """The counts of one shard over some batches."""
-    lists = [table[c].combine_chunks() for c in ("phrase", "words", "f")]
-    lang = table["lang"].combine_chunks().take(pc.list_parent_indices(lists[0]))
-    flat = pa.table({"lang": lang} | dict(zip(("phrase", "words", "f"), (c.flatten() for c in lists))))
-    return flat.group_by(["lang", "phrase", "words"]).aggregate([("f", "sum")]).select(["lang", "phrase", "words", "f_sum"]).rename_columns(["lang", "phrase", "words", "f"])
+    phrase, f = (table[c].combine_chunks() for c in ("phrase", "f"))
+    lang = table["lang"].combine_chunks().take(pc.list_parent_indices(phrase))
+    flat = pa.table({"lang": lang, "phrase": phrase.flatten(), "f": f.flatten()})
+    return flat.group_by(["lang", "phrase"]).aggregate([("f", "sum")]).select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"])
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, batch_text: int = BATCH_TEXT) -> DataFrame:
@@ -252,9 +251,10 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     frequent = answers(by.applyInArrow(_word_requests(words, longest), PACKED), words.answer)
     hot = answers(by.cogroup(frequent.groupBy("batch")).applyInArrow(_phrase_requests(words, phrases, longest), PACKED), phrases.answer)
     both = frequent.withColumn("round", F.lit(1)).unionByName(hot.withColumn("round", F.lit(2)))
-    packed = by.cogroup(both.groupBy("batch")).applyInArrow(_counted(words, phrases, longest), "shard int, part long, lang string, phrase array<string>, words array<int>, f array<long>")
-    counted = packed.groupBy("shard", "part").applyInArrow(_summed, "lang string, phrase string, words int, f long")
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | F.col("phrase").isNull())
+    packed = by.cogroup(both.groupBy("batch")).applyInArrow(_counted(words, phrases, longest), "shard int, part long, lang string, phrase array<string>, f array<long>")
+    counted = packed.groupBy("shard", "part").applyInArrow(_summed, "lang string, phrase string, f long")
+    summed = counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= min_count) | F.col("phrase").isNull())
+    return summed.select("lang", "phrase", F.coalesce(F.size(F.split("phrase", " ")), F.lit(0)).alias("words"), "f")
 
 
 def scored_phrases(counts: DataFrame, longest: int = LONGEST, percent: int = 100) -> DataFrame:
