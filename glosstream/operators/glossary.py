@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import plain
 from ..functions import text as T
-from .ngram import small
+from ..functions.arrays import let
 
 # Honorific formulas, particles and dictionary labels.
 HONORIFICS = (
@@ -17,75 +17,115 @@ HONORIFICS = (
     "رضي الله عنه", "رضي الله عنها", "رضي الله عنهم", "رضي الله عنهما", "صلى الله عليه وسلم", "صلى الله عليه واله وسلم", "عليه السلام", "عليهم السلام", "عليهما السلام",
     "عليه الصلاة والسلام", "سبحانه وتعالى", "عز وجل", "جل جلاله", "تبارك وتعالى",
 )
-PARTICLES = frozenset(("وهم", "هم", "وهو", "هو", "وهي", "هي"))
+PARTICLES = ("وهم", "هم", "وهو", "هو", "وهي", "هي")
 LABELS = {"terms": "مصطلح", "alam": "عَلَم", "amaken": "مكان", "asmaa": "اسم وصفة", "feraq": "فرقة", "sefat": "صفة"}
 CATEGORIES = {"terms": "term", "alam": "person", "amaken": "place", "asmaa": "divine_name", "feraq": "sect", "sefat": "attribute"}
 TERMS = "array<struct<arabic:string,english:string,kind:string,label:string,note:string,surface:string>>"
 
 
-class Glossary:
-    """Entries by lexical form; later entries of a form replace earlier ones."""
-
-    def __init__(self, entries: list[dict], common: frozenset[str] = frozenset(), config: Config = Config()):
-        self.entries: dict[str, dict] = {}
-        for e in entries:
-            key = plain.lexical(e["arabic"])
-            if (not config.glossary_dicts or (e.get("dict") or "terms") in config.glossary_dicts) and e["arabic"] not in common and len(key.split()) >= config.term_min_words:
-                self.entries[key] = e
-        self.longest = min(config.phrase_max, max((len(k.split()) for k in self.entries), default=1))
-        self.honorifics = {tuple(plain.lexical(h).split()) for h in HONORIFICS}
-        self.longest_honorific = max(map(len, self.honorifics))
-
-    @classmethod
-    def of(cls, table: DataFrame, frequencies: DataFrame | None = None, config: Config = Config()) -> Glossary:
-        """From glossary(arabic, english, dict, note) and word frequencies(word, df, books); the table's size is checked."""
-        rows = table.limit(config.broadcast_rows + 1).collect()
-        if len(rows) > config.broadcast_rows:
-            raise ValueError(f"more than {config.broadcast_rows} glossary rows")
-        common = frozenset()
-        if frequencies is not None and config.term_df_max < 1:
-            common = frozenset(r[0] for r in frequencies.filter(F.col("df") / F.greatest("books", F.lit(1)) >= config.term_df_max).join(small(table.select(F.col("arabic").alias("word"))), "word", "left_semi").select("word").collect())
-        return cls([r.asDict() for r in rows], common, config)
-
-    def find(self, text: str) -> list[dict]:
-        """Terms of a text, each once, in order of first occurrence."""
-        words = plain.lexical(text).split()
-        blocked = set()
-        for i in range(len(words)):
-            n = next((n for n in range(self.longest_honorific, 1, -1) if tuple(words[i : i + n]) in self.honorifics), 0)
-            blocked.update(range(i, i + n))
-        out: dict[str, dict] = {}
-        i = 0
-        while i < len(words):
-            entry, n = (None, 1) if i in blocked else self._at(words, i, out)
-            if entry:
-                kind = entry.get("dict") or "terms"
-                out.setdefault(entry["arabic"], {"arabic": entry["arabic"], "english": entry.get("english"), "kind": kind, "label": LABELS.get(kind, LABELS["terms"]), "note": entry.get("note"), "surface": " ".join(words[i : i + n])})
-            i += n
-        return list(out.values())
-
-    def _at(self, words: list[str], i: int, seen: dict) -> tuple[dict | None, int]:
-        forms = plain.affix_forms(words[i])
-        for n in range(min(self.longest, len(words) - i), 1, -1):
-            tail = " ".join(words[i + 1 : i + n])
-            for form in forms:
-                if entry := self.entries.get(f"{form} {tail}"):
-                    return entry, n
-        if words[i] not in PARTICLES:
-            for form in forms:
-                if (entry := self.entries.get(form)) and entry["arabic"] not in seen:
-                    return entry, 1
-        return None, 1
-
-
-def with_terms(rows: DataFrame, glossary: Glossary, column: str = "content") -> DataFrame:
-    """rows with ``terms``; null texts have none."""
-
-    @F.pandas_udf(TERMS)
-    def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: glossary.find(t) if t else [])
-
-    return rows.withColumn("terms", find(column))
+def dictionary(entries: DataFrame, config: Config = Config(), frequencies: DataFrame | None = None) -> DataFrame:
+    """(form, head, n, entry) of glossary(arabic, english, dict, note): entries by lexical form, as far as the configuration lets them in.
+
+    Of entries of one form that with the greatest (arabic, english, dict, note)
+    stays.  Words that ``frequencies``(word, df, books) has in too many books
+    are left out.
+    """
+    kind = F.coalesce(F.col("dict"), F.lit("terms"))
+    named = entries.select("arabic", "english", kind.alias("kind"), "note", T.lexical(F.col("arabic")).alias("form")).filter("form <> ''")
+    if config.glossary_dicts:
+        named = named.filter(F.col("kind").isin(*config.glossary_dicts))
+    if frequencies is not None and config.term_df_max < 1:
+        common = frequencies.filter(F.col("df") / F.greatest("books", F.lit(1)) >= config.term_df_max).select(F.col("word").alias("arabic"))
+        named = named.join(common, "arabic", "left_anti")
+    kept = named.groupBy("form").agg(F.max(F.struct("arabic", "english", "kind", "note")).alias("entry"))
+    words = F.split("form", " ")
+    return kept.withColumns({"head": words[0], "n": F.size(words)}).filter(F.col("n").between(config.term_min_words, config.phrase_max))
+
+
+def _blocked(words: Column) -> Column:
+    """Places (from 0) of words that belong to an honorific formula."""
+    spelled = [h.translate(str.maketrans(T.SPELLING_FROM, T.SPELLING_TO)) for h in HONORIFICS]
+    formulas = {n: [h for h in spelled if len(h.split()) == n] for n in range(2, 7)}
+    nowhere = F.array().cast("array<int>")
+
+    def here(i: Column) -> Column:
+        found = reduce(lambda rest, n: F.when(F.array_join(F.slice(words, i + 1, n), " ").isin(*formulas[n]), F.sequence(i, i + n - 1)).otherwise(rest), (n for n in sorted(formulas) if formulas[n]), nowhere)
+        return F.when(F.get(words, i).isin(*{h.split()[0] for hs in formulas.values() for h in hs}), found).otherwise(nowhere)
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), here)))
+
+
+def term_hits(rows: DataFrame, entries: DataFrame, key: list[str], column: str = "content") -> DataFrame:
+    """(key, pos, n, form_order, word, entry, surface): every entry of a :func:`dictionary` that begins at a word of a text, with affixes off its first word.
+
+    Affixes are taken off the distinct words only; the forms that head some
+    entry go back to the texts with the lengths of the entries they head, and
+    phrases of those lengths are joined with the entries.
+    """
+    longest = Config().phrase_max
+
+    def places(words: Column) -> Column:
+        """Each word that is in no formula, with its place and the words behind it."""
+        shifted = [F.concat(F.slice(words, F.lit(i + 1), F.greatest(F.size(words) - i, F.lit(0))), F.array_repeat(F.lit(None).cast("string"), F.least(F.lit(i), F.size(words)))).alias(f"w{i}") for i in range(longest)]
+        zipped = F.arrays_zip(F.sequence(F.lit(0), F.size(words) - 1).alias("pos"), *shifted)
+        return let(_blocked(words), lambda out: F.filter(zipped, lambda w: ~F.array_contains(out, w["pos"])))
+
+    # The form is null where no word is left, and so is what is made of it.
+    form = F.nullif(T.lexical(F.col(column)), F.lit(""))
+    tokens = rows.select(*key, F.explode(let(F.split(form, " "), places)).alias("w"))
+    tokens = tokens.select(*key, "w.pos", F.col("w.w0").alias("word"), F.array_compact(F.array(*(f"w.w{i}" for i in range(1, longest)))).alias("rest"))
+    heads = entries.groupBy("head").agg(F.sort_array(F.collect_set("n")).alias("sizes"))
+    # Words without Arabic letters have no affixes.
+    reduced = F.when(F.col("word").rlike("[\u0600-\u06ff]"), T.affix_forms(F.col("word"))).otherwise(F.array("word"))
+    forms = tokens.select("word").distinct().select("word", F.posexplode(reduced).alias("form_order", "head"))
+    lead = forms.join(heads, "head")
+    sized = tokens.join(lead, "word").withColumn("n", F.explode("sizes")).filter(F.col("n") <= F.size("rest") + 1)
+    tail = F.array_join(F.slice("rest", F.lit(1), F.col("n") - 1), " ")
+    phrased = sized.select(*key, "pos", "n", "form_order", "word", F.when(F.col("n") > 1, F.concat_ws(" ", "head", tail)).otherwise(F.col("head")).alias("form"), F.when(F.col("n") > 1, F.concat_ws(" ", "word", tail)).otherwise(F.col("word")).alias("surface"))
+    return phrased.join(entries.select("form", "entry"), "form").select(*key, "pos", "n", "form_order", "word", "entry", "surface")
+
+
+def with_terms(rows: DataFrame, glossary: DataFrame, key: list[str], column: str = "content", config: Config = Config(), frequencies: DataFrame | None = None) -> DataFrame:
+    """rows with ``terms``: the longest entry first, from left to right, each entry once, in order of first occurrence.
+
+    ``key`` tells rows apart.  A text's hits are folded in their order: a phrase
+    of several words takes the words it covers; a single word counts unless it
+    is a particle, or all entries of its forms have been found before.  Texts
+    that are null or without a hit have no terms.  The glossary is joined, so
+    that it may have any size.
+    """
+    hits = term_hits(rows, dictionary(glossary, config, frequencies), key, column)
+    kind = F.when(F.col("entry.kind").isin(*LABELS), F.col("entry.kind")).otherwise("terms")
+    label = F.element_at(F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv)), kind)
+    term = F.struct(F.col("entry.arabic").alias("arabic"), F.col("entry.english").alias("english"), F.col("entry.kind").alias("kind"), label.alias("label"), F.col("entry.note").alias("note"), "surface")
+    # At each place the longest phrase, of equal ones by the least reduced form; else all single words, least reduced first.
+    choice = F.struct((-F.col("n")).alias("shorter"), "form_order", "n", term.alias("term"))
+    places = hits.filter((F.col("n") > 1) | ~F.col("word").isin(*PARTICLES)).groupBy(*key, "pos").agg(F.array_sort(F.collect_list(choice)).alias("choices"))
+    ordered = places.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "choices"))).alias("places"))
+    none = F.lit(None).cast(TERMS.replace("array<", "", 1)[:-1])
+    head = lambda place: F.get(place["choices"], F.lit(0))
+
+    def pick(done: Column, place: Column) -> Column:
+        """Which places count depends on the words taken before only, not on the terms."""
+        free = place["pos"] >= done["next"]
+        return F.when(free, F.struct((place["pos"] + head(place)["n"]).alias("next"), F.concat(done["picked"], F.array(place["pos"])).alias("picked"))).otherwise(done)
+
+    picked = F.aggregate("places", F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("picked")), pick, lambda done: done["picked"])
+    counted = let(picked, lambda taken: F.filter("places", lambda p: F.array_contains(taken, p["pos"])))
+
+    def news(places: Column) -> Column:
+        """A place that can give one entry only says nothing new after the first one that gives it."""
+        sure = F.transform(places, lambda p: F.when((head(p)["n"] > 1) | (F.size(p["choices"]) == 1), head(p)["term"]["arabic"]))
+        return let(sure, lambda names: F.filter(places, lambda p, i: F.coalesce(F.array_position(names, F.get(names, i)) == i + 1, F.lit(True))))
+
+    def take(terms: Column, place: Column) -> Column:
+        known = F.transform(terms, lambda t: t["arabic"])
+        new = F.get(F.filter(place["choices"], lambda c: ~F.array_contains(known, c["term"]["arabic"]) & ((c["n"] == head(place)["n"]) & (c["form_order"] == head(place)["form_order"]) | (head(place)["n"] == 1))), F.lit(0))["term"]
+        return F.array_compact(F.concat(terms, F.array(F.coalesce(new, none))))
+
+    terms = let(counted, lambda places: let(news(places), lambda some: F.aggregate(some, F.array().cast(TERMS), take)))
+    folded = ordered.select(*key, terms.alias("terms"))
+    return rows.join(folded, key, "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
 
 
 def keep_listed(rows: DataFrame, keep: list[str] | None, config: Config = Config()) -> DataFrame:

@@ -1,23 +1,21 @@
 """Matching against reference corpora: candidates, fuzzy verification, anchors.
 
-The join-based operators scale with both sides.  ``Corpus`` is the same matcher
-in memory, for passes that walk a document in order; it is built from a
-reference table whose size is checked first.
+All of them are joins on n-grams, words or keys, which scale with both sides;
+similarity runs on the pairs that are left.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import plain
 from ..functions import text as T
-from ..functions.similarity import combined, combined_udf, partial_ratio_udf, ratio_udf
-from .ngram import small
+from ..functions.similarity import combined_udf, partial_ratio_udf, ratio_udf
+from . import phrases as P
+from .ngram import small, top_hits
 
 # Patterns of references.
 REFERENCE = "سورة\\s+(.+?)\\s+[—–-]\\s+(\\d+)"
@@ -55,15 +53,14 @@ def match_texts(queries: DataFrame, corpus: DataFrame, config: Config = Config()
     tries = tries.filter(F.size("qwords") >= F.when(F.col("short"), 1).otherwise(2))
     # All sizes in one pass over the queries; the longest size with a hit counts.
     sizes = {config.ngram: refs, config.ngram_fallback: refs if every_record else refs.filter(F.col("n_words") <= config.fallback_max_words), 1: refs.filter(F.col("n_words") <= config.unigram_max_words)}
-    index = small(reduce(DataFrame.unionByName, (records.select("ref_id", F.lit(n).alias("n"), _grams(F.col("spellings"), n).alias("gram")) for n, records in sizes.items())))
+    index = reduce(DataFrame.unionByName, (records.select("ref_id", _grams(F.col("spellings"), n).alias("gram")).withColumn("gram", F.concat(F.lit(f"{n} "), "gram")) for n, records in sizes.items()))
     single = F.col("short") & (F.size("qwords") <= config.unigram_max_words)
     nothing = F.array().cast("array<struct<n:int,gram:string>>")
-    tagged = lambda n: F.transform(T.ngrams(F.col("qwords"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    tagged = lambda n: F.transform(T.ngrams(F.col("qwords"), n), lambda g: F.struct(F.lit(n).alias("n"), F.concat(F.lit(f"{n} "), g).alias("gram")))
     grams = tries.select(key, "attempt", F.explode(F.concat(tagged(config.ngram), tagged(config.ngram_fallback), F.when(single, tagged(1)).otherwise(nothing))).alias("g")).select(key, "attempt", "g.n", "g.gram")
-    hits = grams.join(index, ["n", "gram"]).groupBy(key, "attempt", "n", "ref_id").agg(F.count(F.lit(1)).alias("hits"))
-    rank = F.row_number().over(Window.partitionBy(key, "attempt").orderBy(F.desc("n"), F.desc("hits"), "ref_id"))
+    hits = top_hits(grams, index, [key, "attempt", "n"], "ref_id", config.candidates)
     longest = F.max("n").over(Window.partitionBy(key, "attempt"))
-    top = hits.withColumns({"__r": rank, "__n": longest}).filter((F.col("n") == F.col("__n")) & (F.col("__r") <= config.candidates)).select(key, "attempt", "ref_id")
+    top = hits.withColumn("__n", longest).filter(F.col("n") == F.col("__n")).select(key, "attempt", "ref_id")
     pairs = top.join(tries, [key, "attempt"])
     details = refs.select("ref_id", F.array("norm", "norm2").alias("forms"), "words", T.normalize(F.col("surah").cast("string")).alias("group"))
     scored = pairs.join(small(details), "ref_id").withColumn("score", combined_udf(least)("query", "forms", "words")).filter("score > 0")
@@ -89,6 +86,24 @@ def parse_references(rows: DataFrame, verses: DataFrame, column: str = "referenc
     return parsed.join(small(names), (F.col("__n") == F.col("__name")) & (F.col("__a") == F.col("ayah_no")), "left").drop("__n", "__a", "__name")
 
 
+def exact_anchors(forms: DataFrame, verses: DataFrame) -> DataFrame:
+    """(phrase_id, surah_no, ayah_no, rank): the verses that a phrase names (1), and those that contain its plain (2) or a normal form (3).
+
+    forms(phrase_id, reference, q) has the forms in q(clean, normal, expanded);
+    verses has the four derived columns.  Containment is looked up in an index
+    of positions (see phrases.py), without meeting all verses.
+    """
+    by_name = parse_references(forms.select("phrase_id", "reference"), verses).filter("surah_no is not null").select("phrase_id", "surah_no", "ayah_no", F.lit(1).alias("rank"))
+    fields = {"clean_imlaei": 2, "clean_uthmani": 2, "normalized_imlaei": 3, "normalized_uthmani": 3}
+    texts = verses.select("surah_no", "ayah_no", F.explode(F.array(*(F.struct(F.lit(rank).alias("rank"), F.lit(c).alias("field"), F.col(c).alias("text")) for c, rank in fields.items()))).alias("t"))
+    texts = texts.select("surah_no", "ayah_no", "t.field", "t.rank", "t.text")
+    wanted = F.explode(F.array_distinct(F.array(*(F.struct(F.lit(rank).alias("rank"), F.col(f"q.{form}").alias("needle")) for form, rank in (("clean", 2), ("normal", 3), ("expanded", 3))))))
+    needles = forms.select("phrase_id", wanted.alias("w")).select("phrase_id", "w.rank", "w.needle")
+    found = P.containing(texts, needles, ["surah_no", "ayah_no", "field"], ["phrase_id", "rank"], "rank")
+    anchors = by_name.unionByName(found.select(*by_name.columns))
+    return anchors.groupBy("phrase_id", "surah_no", "ayah_no").agg(F.min("rank").alias("rank"))
+
+
 def find_verses(phrases: DataFrame, verses: DataFrame, config: Config = Config()) -> DataFrame:
     """(phrase_id, surah_no, ayah_no, method, exact_full): the first anchor whose verse covers the phrase.
 
@@ -98,18 +113,11 @@ def find_verses(phrases: DataFrame, verses: DataFrame, config: Config = Config()
     """
     forms = phrases.select("phrase_id", "text", "reference", T.query_forms(F.col("text")).alias("q")).filter("q.normal <> ''")
     texts = verses.select("surah_no", "ayah_no", "clean_imlaei", "clean_uthmani", "normalized_imlaei", "normalized_uthmani")
-    by_name = parse_references(forms.drop("q"), verses).filter("surah_no is not null").select("phrase_id", "surah_no", "ayah_no", F.lit(1).alias("rank"))
-    few = small(texts)
-    inside = lambda form, *fields: reduce(Column.__or__, ((F.col(f"q.{form}") != "") & F.col(c).contains(F.col(f"q.{form}")) for c in fields))
-    clean = forms.join(few, inside("clean", "clean_imlaei", "clean_uthmani")).select("phrase_id", "surah_no", "ayah_no", F.lit(2).alias("rank"))
-    normal = forms.join(few, inside("normal", "normalized_imlaei", "normalized_uthmani") | inside("expanded", "normalized_imlaei", "normalized_uthmani")).select("phrase_id", "surah_no", "ayah_no", F.lit(3).alias("rank"))
-    corpus = verses.select((F.col("surah_no") * 1000 + F.col("ayah_no")).alias("ref_id"), F.col("text_uthmani").alias("text"), F.col("surah_name").alias("surah"))
+    corpus = verses.select(F.struct("surah_no", "ayah_no").alias("ref_id"), F.col("text_uthmani").alias("text"), F.col("surah_name").alias("surah"))
     asked = forms.select(F.col("phrase_id").alias("key"), T.quoted_part(F.col("text")).alias("text"), F.lit(False).alias("short"), F.lit("").alias("prefer"))
-    fuzzy = match_texts(asked, corpus, config, least=FUZZY_ANCHOR)
-    fuzzy = fuzzy.select(F.col("key").alias("phrase_id"), F.floor(F.col("ref_id") / 1000).cast("int").alias("surah_no"), (F.col("ref_id") % 1000).cast("int").alias("ayah_no"), F.lit(4).alias("rank"))
-    anchors = reduce(DataFrame.unionByName, (a.withColumns({"surah_no": F.col("surah_no").cast("int"), "ayah_no": F.col("ayah_no").cast("int")}) for a in (by_name, clean, normal, fuzzy)))
-    anchors = anchors.groupBy("phrase_id", "surah_no", "ayah_no").agg(F.min("rank").alias("rank"))
-    pairs = anchors.join(forms.select("phrase_id", "q"), "phrase_id").join(few, ["surah_no", "ayah_no"])
+    fuzzy = match_texts(asked, corpus, config, least=FUZZY_ANCHOR).select(F.col("key").alias("phrase_id"), "ref_id.surah_no", "ref_id.ayah_no", F.lit(4).alias("rank"))
+    anchors = exact_anchors(forms, verses).unionByName(fuzzy).groupBy("phrase_id", "surah_no", "ayah_no").agg(F.min("rank").alias("rank"))
+    pairs = anchors.join(forms.select("phrase_id", "q"), "phrase_id").join(small(texts), ["surah_no", "ayah_no"])
     wanted = F.array_distinct(F.filter(F.array("q.normal", "q.expanded"), lambda f: f != ""))
     each = pairs.withColumn("__form", F.explode(wanted)).withColumn("__text", F.explode(F.array("normalized_imlaei", "normalized_uthmani")))
     alike = F.when(F.length("__text") >= F.length("__form"), partial_ratio_udf("__form", "__text")).otherwise(ratio_udf("__form", "__text"))
@@ -127,79 +135,6 @@ def nearby_verses(rows: DataFrame, verses: DataFrame, before: int = 1, after: in
     return rows.join(small(near), (F.col("surah") == F.col("__s")) & F.col("near_ayah").between(F.col("ayah") - before, F.col("ayah") + after)).drop("__s")
 
 
-class Corpus:
-    """The matcher in memory: inverted indexes of 3-, 2- and 1-grams over at most a checked number of records."""
-
-    def __init__(self, records: list[dict], every_record: bool = True, config: Config = Config()):
-        self.records, self.config = records, config
-        self.norm = [plain.normalize(r["text"]) for r in records]
-        expanded = [plain.normalize(plain.expand_dagger(r["text"])) for r in records]
-        self.norm2 = [b if b != a else None for a, b in zip(self.norm, expanded)]
-        self.group = [plain.normalize(str(r.get("surah", ""))) for r in records]
-        self.words: list[list[str]] = []
-        self.index: dict[int, dict[str, set[int]]] = {n: defaultdict(set) for n in (1, 2, 3)}
-        for i, (a, b) in enumerate(zip(self.norm, expanded)):
-            size = len(a.split())
-            spellings = [s.split() for s in dict.fromkeys((a, b, plain.split_vocative(a), plain.split_vocative(b)))]
-            self.words.append(list(dict.fromkeys(w for s in spellings for w in s)))
-            for n in (3, 2, 1):
-                if n == 3 or n == 2 and (every_record or size <= config.fallback_max_words) or n == 1 and size <= config.unigram_max_words:
-                    for s in spellings:
-                        for j in range(len(s) - n + 1):
-                            self.index[n][" ".join(s[j : j + n])].add(i)
-
-    @classmethod
-    def of(cls, table: DataFrame, config: Config = Config(), every_record: bool = True) -> Corpus:
-        """From a reference table (text, surah, ayah, ...); refuses one that is too large to hold."""
-        rows = table.limit(config.broadcast_rows + 1).collect()
-        if len(rows) > config.broadcast_rows:
-            raise ValueError(f"more than {config.broadcast_rows} reference rows: use match_texts, which joins")
-        return cls([r.asDict() for r in rows], every_record, config)
-
-    def candidates(self, words: list[str], short: bool) -> list[int]:
-        for n in (3, 2, 1):
-            if n == 1 and not (short and len(words) <= self.config.unigram_max_words):
-                break
-            hits = Counter(i for j in range(len(words) - n + 1) for i in self.index[n].get(" ".join(words[j : j + n]), ()))
-            if hits:
-                return [i for i, _ in sorted(hits.items(), key=lambda x: (-x[1], x[0]))[: self.config.candidates]]
-        return []
-
-    def _attempt(self, text: str, short: bool, prefer: str) -> tuple[int, float] | None:
-        query = plain.normalize(text)
-        words = query.split()
-        if len(words) < (1 if short else 2):
-            return None
-        scored = [(combined(query, [self.norm[i], self.norm2[i]], self.words[i], self.config.covered), i) for i in self.candidates(words, short)]
-        scored = [(s, i) for s, i in scored if s > 0]
-        if not scored:
-            return None
-        best = max(scored, key=lambda x: (x[0], -x[1]))
-        mine = [x for x in scored if prefer and self.group[x[1]] == prefer and x[0] >= best[0] - self.config.prefer_margin / 100]
-        score, i = max(mine, key=lambda x: (x[0], -x[1])) if mine else best
-        return i, score
-
-    def match(self, text: str, short: bool = False, prefer: str = "") -> tuple[int, float] | None:
-        """(record, score) of the best match; texts in the old spelling are also tried in the new."""
-        prefer = plain.normalize(prefer) if prefer else ""
-        found = [self._attempt(text, short, prefer)]
-        if plain.has_old_spelling(text):
-            found.append(self._attempt(plain.expand_dagger(text), short, prefer))
-        return max((f for f in found if f), key=lambda f: f[1], default=None)
-
-    def source(self, i: int) -> str:
-        r = self.records[i]
-        return f"سورة {r['surah']} — {r['ayah']}" if "surah" in r else f"{r['source']} — {r['number']}"
-
-    def names(self) -> set[tuple[str, ...]]:
-        return {tuple(g.split()) for g in self.group if g}
-
-    def names_one(self, text: str) -> bool:
-        """Does the text have the name of a group as whole words?"""
-        words, names = tuple(plain.normalize(text).split()), self.names()
-        return any(words[i : i + n] in names for n in {len(x) for x in names} for i in range(len(words) - n + 1))
-
-
 def review_candidates(queries: DataFrame, corpora: dict[str, DataFrame], top: int = 4, key: str = "key") -> DataFrame:
     """(key, kind, ref_id, score): the best candidates of several corpora together, by partial similarity with their normal form.
 

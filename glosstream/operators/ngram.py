@@ -2,8 +2,8 @@
 
 An engine does not turn a fuzzy join into this shape by itself.  The reference
 side is broadcast only while its rows are few; beyond that the join shuffles on
-the gram.  Frequent grams of the reference are kept: dropping them would change
-the counts.
+the gram.  Frequent grams of the reference count like all others, but are not
+joined on (see :func:`top_hits`).
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from ..functions.text import ngrams
 
 #: A reference table of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
+#: Grams of more than so many items, and of more than this share of all rows, are heavy.
+HEAVY_LEAST, HEAVY_SHARE = 10_000, 1000
+SALTS = 32
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -29,16 +32,12 @@ def postings(items: DataFrame, key: str, n: int, words: str = "words") -> DataFr
     return items.select(key, F.explode(F.array_distinct(ngrams(F.col(words), n))).alias("gram"))
 
 
-def candidates(queries: DataFrame, items: DataFrame, key: str, item: str, n: int, top: int, hint: bool = True) -> DataFrame:
+def candidates(queries: DataFrame, items: DataFrame, key: str, item: str, n: int, top: int) -> DataFrame:
     """(key, item, hits, rn): the ``top`` items that share most n-grams; ties go to the smaller item.
 
     Queries and items have an array column ``words``; fewer than n words give no grams.
     """
-    index = postings(items, item, n)
-    grams = postings(queries, key, n).join(small(index) if hint else index, "gram")
-    counted = grams.groupBy(key, item).agg(F.count(F.lit(1)).alias("hits"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("hits"), F.asc(item)))
-    return counted.withColumn("rn", rank.cast("long")).filter(F.col("rn") <= top).select(key, item, "hits", "rn")
+    return top_hits(postings(queries, key, n), postings(items, item, n), [key], item, top)
 
 
 def tiered_candidates(queries: DataFrame, items: DataFrame, key: str, item: str, sizes: tuple[int, ...], top: int) -> DataFrame:
@@ -47,38 +46,54 @@ def tiered_candidates(queries: DataFrame, items: DataFrame, key: str, item: str,
     One pass: grams of all sizes are joined together, and the first size with a
     hit counts, so that neither side is read once for each size.
     """
-    tiers = F.array(*map(F.lit, sizes))
-    tagged = lambda words, n: F.transform(F.array_distinct(ngrams(words, n)), lambda g: F.struct(F.lit(n).alias("tier"), g.alias("gram")))
+    tagged = lambda words, n: F.transform(F.array_distinct(ngrams(words, n)), lambda g: F.struct(F.lit(n).alias("tier"), F.concat(F.lit(f"{n} "), g).alias("gram")))
     grams = lambda words: F.explode(F.flatten(F.array(*(tagged(words, n) for n in sizes)))).alias("g")
-    index = small(items.select(item, grams(F.col("words"))).select(item, "g.tier", "g.gram"))
-    hits = queries.select(key, grams(F.col("words"))).select(key, "g.tier", "g.gram").join(index, ["tier", "gram"]).groupBy(key, "tier", item).agg(F.count(F.lit(1)).alias("hits"))
-    order = F.array_position(tiers, F.col("tier"))
+    index = items.select(item, grams(F.col("words"))).select(item, "g.gram")
+    found = top_hits(queries.select(key, grams(F.col("words"))).select(key, "g.tier", "g.gram"), index, [key, "tier"], item, top)
+    order = F.array_position(F.array(*map(F.lit, sizes)), F.col("tier"))
     first = F.min(order).over(Window.partitionBy(key))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order, F.desc("hits"), F.asc(item)))
-    return hits.withColumns({"rn": rank.cast("long"), "__first": first}).filter((order == F.col("__first")) & (F.col("rn") <= top)).select(key, item, "hits", "rn", F.col("tier").cast("long").alias("tier"))
+    return found.withColumn("__first", first).filter(order == F.col("__first")).select(key, item, "hits", "rn", F.col("tier").cast("long").alias("tier"))
 
 
-def containing(texts: DataFrame, needles: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, item) where the text holds the item's needle.
+def top_hits(grams: DataFrame, index: DataFrame, keys: list[str], item: str, top: int, least: int = HEAVY_LEAST) -> DataFrame:
+    """(keys, item, hits, rn): for each key of grams(keys, gram) the ``top`` items of index(item, gram) that share most; ties go to the smaller item.
 
-    Blocked on a word that lies whole inside the needle: its longest inner word
-    must be a word of the text, so that texts meet few needles.  Needles of
-    fewer than three words have no such word: every text would have to meet
-    each of them, so they may be no more than ``BROADCAST_ROWS`` (ValueError).
+    Grams that stand in more than ``least`` items and in a thousandth of the
+    index's rows (so that they are a thousand at most) are heavy: joining on
+    them would meet nearly all items in one task.  They are left out of the join
+    and counted by comparing the short lists of heavy grams of a key and an item
+    that meet otherwise.  Items that a key meets by heavy grams alone count by
+    their list only: of items with the same list the ``top`` smallest can be
+    among the best, so that lists are joined and not items.  No gram is dropped.
     """
-    parts = F.split("needle", "[ \\n]")
-    inner = F.when(F.size(parts) >= 3, F.slice(parts, 2, F.size(parts) - 2))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    blocked = needles.withColumn("__w", F.when(longest != "", longest))
-    words = texts.select(key, "text", F.explode(F.array_distinct(F.split("text", "[ \\n]"))).alias("__w"))
-    # The word join carries no text: matching pairs fetch it afterwards, and only once for each.
-    pairs = words.select(key, "__w").join(small(blocked.filter("__w is not null")), "__w").select(key, item, "needle")
-    near = pairs.join(texts.select(key, "text"), key).filter(F.col("text").contains(F.col("needle"))).select(key, item)
-    short = blocked.filter("__w is null").select(item, "needle")
-    if short.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} needles of fewer than three words")
-    rest = texts.join(F.broadcast(short), F.col("text").contains(F.col("needle"))).select(key, item)
-    return near.unionByName(rest).distinct()
+    sizes = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    limit = max(least, sizes["rows"] // HEAVY_SHARE)
+    few = sizes["rows"] <= BROADCAST_ROWS
+    if sizes["most"] <= limit:
+        return _ranked(grams.join(F.broadcast(index) if few else index, "gram").groupBy(*keys, item).agg(F.count(F.lit(1)).alias("hits")), keys, item, top)
+    heavy = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("gram")  # HEAVY_SHARE rows at most
+    lists = lambda df, by: df.join(F.broadcast(heavy), "gram", "left_semi").groupBy(*by).agg(F.array_sort(F.collect_set("gram")).alias("heavy"))
+    mine, theirs = lists(grams, keys), lists(index, [item])
+    light = grams.join(F.broadcast(heavy), "gram", "left_anti").join(index.join(F.broadcast(heavy), "gram", "left_anti"), "gram").groupBy(*keys, item).agg(F.count(F.lit(1)).alias("hits"))
+    both = light.join(mine, keys, "left").join(theirs.withColumnRenamed("heavy", "other"), item, "left")
+    met = both.select(*keys, item, (F.col("hits") + F.coalesce(F.size(F.array_intersect("heavy", "other")), F.lit(0))).alias("hits"))
+    # Of each list the smallest items; then, for each list of a key, the best of all items by their lists.
+    smallest = theirs.withColumn("__r", F.row_number().over(Window.partitionBy("heavy").orderBy(item))).filter(F.col("__r") <= top)
+    kinds = smallest.groupBy(F.col("heavy").alias("theirs")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    asked = mine.select(F.col("heavy").alias("mine")).distinct()
+    shared = asked.select("mine", F.explode("mine").alias("gram")).join(kinds.select("theirs", F.explode("theirs").alias("gram")), "gram").groupBy("mine", "theirs").agg(F.count(F.lit(1)).alias("hits"))
+    each = shared.join(kinds, "theirs").select("mine", "hits", F.explode("items").alias(item))
+    best = _ranked(each, ["mine"], item, top).groupBy("mine").agg(F.collect_list(F.struct(item, "hits")).alias("best"))
+    # A list may be that of very many keys: they are dealt over salts.
+    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = mine.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    alone = keyed.join(salted, (F.col("heavy") == F.col("mine")) & (keyed["salt"] == salted["salt"])).select(*keys, F.inline("best"))
+    return _ranked(met.unionByName(alone.select(*keys, item, "hits")).groupBy(*keys, item).agg(F.max("hits").alias("hits")), keys, item, top)
+
+
+def _ranked(counted: DataFrame, keys: list[str], item: str, top: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("hits"), F.asc(item)))
+    return counted.withColumn("rn", rank.cast("long")).filter(F.col("rn") <= top).select(*keys, item, "hits", "rn")
 
 
 def coverage(query: Column, reference: Column) -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import audit, context, export, match, parse, segment, upsert
-from ..operators.glossary import Glossary, with_terms
 from .relational import paragraphs_of, plain_form, query, table
 
 
@@ -120,13 +119,3 @@ def fuzzy_match(spark: SparkSession, folder: str) -> DataFrame:
     paras = paragraphs_of(table(spark, folder, "documents")).select((F.col("doc_id") * 1_000_000_000 + F.col("para")).alias("key"), plain_form(F.col("text")).alias("text"), F.lit(False).alias("short"), F.lit("").alias("prefer"))
     corpus = table(spark, folder, "benchmark").select(F.col("item_id").alias("ref_id"), plain_form(F.col("text")).alias("text"), F.lit("").alias("surah"))
     return match.match_texts(paras, corpus, every_record=False, least=match.FUZZY_ANCHOR).select("key", "ref_id", F.round("score", 6).alias("score"))
-
-
-@query(None)
-def glossary_terms(spark: SparkSession, folder: str) -> DataFrame:
-    """Nation and region names looked up in the paragraphs of documents and the turns of conversations."""
-    named = table(spark, folder, "nation").select(F.col("n_name").alias("name")).unionByName(table(spark, folder, "region").select(F.col("r_name").alias("name")))
-    entries = named.select(F.lower("name").alias("arabic"), F.col("name").alias("english"), F.lit("terms").alias("dict"), F.lit("").alias("note"))
-    turns = table(spark, folder, "conversations").select(F.lit("turn").alias("place"), F.col("conv_id").alias("id"), F.col("turn").cast("long").alias("part"), F.lower("text").alias("content"))
-    paras = paragraphs_of(table(spark, folder, "documents")).select(F.lit("paragraph").alias("place"), F.col("doc_id").alias("id"), F.col("para").alias("part"), F.lower("text").alias("content"))
-    return with_terms(turns.unionByName(paras), Glossary.of(entries)).select("place", "id", "part", F.size("terms").alias("n_terms"))

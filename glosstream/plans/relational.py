@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import context, ngram, stats, upsert
+from ..operators import context, ngram, phrases, stats, upsert
 from ..sources.tables import read_table as table
 from ..sources.tables import spread
 
@@ -134,7 +134,7 @@ def contains_join(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a sentence of a benchmark passage, of three words or more."""
     sentences = F.filter(F.split(F.lower("text"), "[.] "), lambda x: F.size(F.split(x, " ")) >= 3)
     needles = table(spark, folder, "benchmark").select("item_id", F.explode(sentences).alias("needle"))
-    return ngram.containing(spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("text")), needles, "doc_id", "item_id")
+    return phrases.containing(spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.lower("text").alias("text")), needles, "doc_id", "item_id")
 
 
 @query(
