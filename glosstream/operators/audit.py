@@ -10,17 +10,21 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as T
 from .parse import FINDING_OUT, SEVERITIES, answered, finding, item_errors, items_of
+from .ranks import median
 from .stats import percent, verdict_of
+from .unlike import unlike_texts
 
 
 def median_ratio(pairs: DataFrame) -> DataFrame:
     """One row (n, median_ratio): target to source length where the source has 20 characters; null below ten pairs.
 
-    The median is exact: it is a percentile over one number for each pair.
+    The median is exact; it is found before the row is made, in a few passes of
+    histograms over one number for each pair.
     """
     s, t = F.length(T.strip(F.coalesce("source", F.lit("")))), F.length(T.strip(F.coalesce("target", F.lit(""))))
     ratios = pairs.select((t / F.when(s > 0, s)).alias("r"), s.alias("s"), t.alias("t")).filter("s >= 20 and t > 0")
-    return ratios.agg(F.count(F.lit(1)).alias("n"), F.percentile("r", 0.5).alias("m")).select("n", F.when(F.col("n") >= 10, F.col("m")).alias("median_ratio"))
+    n, middle = median(ratios, "r")
+    return pairs.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(middle if n >= 10 else None).cast("double").alias("median_ratio"))
 
 
 def _norm(c: str) -> Column:
@@ -31,22 +35,19 @@ def duplicates(pairs: DataFrame, config: Config = Config()) -> DataFrame:
     """(seq, others): rows whose target also stands for a clearly different source, with the sources of the others in its group.
 
     Targets are compared in lower case with single spaces, from three characters
-    on; a group counts only if each source has three words.  Sources of a group
-    are compared in pairs of distinct texts, by their digest, not of rows.
+    on; a group counts only if each source has three words.  Distinct sources of
+    a group are compared, as few pairs of them as settle it (see unlike.py).
     """
-    from ..functions.similarity import matching_blocks_udf
-
     key = F.lower(T.collapse(F.coalesce("target", F.lit(""))))
     keyed = pairs.select("seq", "source", key.alias("key"), _norm("source").alias("s")).filter(F.length("key") >= 3)
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.size(T.words(F.col("s"))) >= config.min_source_words).alias("long")).filter((F.col("n") >= 2) & F.col("long"))
     inside = keyed.join(groups.select("key"), "key", "left_semi")
     texts = inside.groupBy("key", "s").agg(F.min("seq").alias("first"))
-    a, b = texts.select("key", F.col("s").alias("a"), F.col("first").alias("fa")), texts.select("key", F.col("s").alias("b"), F.col("first").alias("fb"))
-    unlike = a.join(b, "key").filter("fa < fb").withColumn("alike", matching_blocks_udf("a", "b")).filter(F.col("alike") < config.dup_similarity)
-    marked = unlike.select("key", F.explode(F.array("a", "b")).alias("s")).distinct()
-    flagged = inside.join(marked, ["key", "s"], "left_semi").select("seq", "key")
+    flagged = inside.join(unlike_texts(texts, config.dup_similarity), ["key", "s"], "left_semi").select("seq", "key")
     # Two samples are shown: three of a group are enough to leave one's own out.
-    samples = inside.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("seq", F.substring("source", 1, 40).alias("t")))), 1, 3).alias("all"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+    first = inside.select("key", "seq", F.substring("source", 1, 40).alias("t")).withColumn("__r", rank).filter("__r <= 3")
+    samples = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("all"))
     joined = flagged.join(samples, "key")
     return joined.select("seq", F.transform(F.slice(F.filter("all", lambda x: x["seq"] != F.col("seq")), 1, 2), lambda x: x["t"]).alias("others"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 # Severities from the highest.
 SEVERITIES = ("critical", "major", "moderate", "minor")
 RANK = {s: len(SEVERITIES) - i for i, s in enumerate(SEVERITIES)}
@@ -59,9 +61,9 @@ def breakdown(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFram
 
 
 def most_common(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Values by falling count, ties by the values themselves, with their place."""
+    """Values by falling count, ties by the values themselves, with their place; numbered by ranges, however many values there are."""
     counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), *columns)).cast("long"))
+    return numbered(counted, [F.desc("n"), *(F.asc(c) for c in columns)])
 
 
 def gaps(rows: DataFrame, group: str, number: str) -> DataFrame:
