@@ -249,6 +249,20 @@ def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(pairs.alias("p")).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def faceted(rows: DataFrame, columns: dict[str, str], date: str | None = None) -> DataFrame:
+    """(facet, value, n): facets by name and column, of own and joined columns alike, and the years, months and days of ``date``.
+
+    One aggregation over grouping sets; the days are rolled up to months and
+    years in it.  Null values count as a value of their own.
+    """
+    parts = {name: F.col(c).cast("string") for name, c in columns.items()} | ({name: F.date_format(date, form) for name, form in (("year", "yyyy"), ("month", "yyyy-MM"), ("day", "yyyy-MM-dd"))} if date else {})
+    sets = [[F.col(name)] for name in columns] + ([[F.col(c) for c in ("year", "month", "day")[:n]] for n in (1, 2, 3)] if date else [])
+    counted = rows.select(*(c.alias(name) for name, c in parts.items())).groupingSets(sets, *parts).agg(F.count(F.lit(1)).alias("n"), *(F.grouping(name).alias(f"__{name}") for name in parts))
+    # The last name that a set holds is its facet: of year and month the month.
+    last = [F.when(F.col(f"__{name}") == 0, F.struct(F.lit(name).alias("facet"), F.col(name).alias("value"))) for name in reversed(parts)]
+    return counted.select(F.coalesce(*last).alias("f"), "n").select("f.facet", "f.value", "n")
+
+
 def stored_segments(phrase_rows: DataFrame, analysis: DataFrame, links: DataFrame, glossary: DataFrame) -> DataFrame:
     """Segments back from their tables, terms in order; the stored reason stands for the note, which was never saved."""
     back = {v: k for k, v in KIND.items() if k != "uncertain"}
