@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, audit, decide, export, stats
+from ..streaming import claims
 from .relational import PARAGRAPHS, paragraphs_of, plain_form, plain_sql, query, table
 
 #: Sentences of paragraphs as segments, and three notes for each paragraph.
@@ -129,3 +130,23 @@ def joined_facets(spark: SparkSession, folder: str) -> DataFrame:
     nations = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     found = export.search(orders.join(customers, "o_custkey", "left").join(nations, "c_nationkey", "left"), "Urgent", ["o_orderpriority", "n_name", "o_orderstatus"])
     return export.faceted(found, {"status": "o_orderstatus", "segment": "c_mktsegment", "nation": "n_name"}, date="o_orderdate")
+
+
+@query(
+    """WITH f AS (SELECT user_id, min({'at': ts, 'open': event_type NOT IN ('signup', 'purchase')}) AS f FROM events GROUP BY user_id)
+    SELECT user_id::VARCHAR AS id, 1 AS attempt FROM f WHERE f.open"""
+)
+def queued_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Users whose first event is still open: what the stream of claims queues, over the whole table."""
+    events = table(spark, folder, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("status"))
+    return claims.first_rows(events, ("signup", "purchase"))
+
+
+@query(
+    """WITH latest AS (SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey)
+    SELECT c_custkey AS id FROM customer LEFT JOIN latest ON id = c_custkey WHERE coalesce(status, '') <> 'F'"""
+)
+def resumed_work(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers whose last order is not finished: what a run that is started again has left to do."""
+    results = table(spark, folder, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("status"))
+    return claims.resumable(table(spark, folder, "customer").select(F.col("c_custkey").alias("id")), results, ("F",))
