@@ -31,8 +31,8 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 BATCH_TEXT = 8 << 20
-#: Cells of one shard of the sketch; there is a cell for every byte of text.
-CELLS = 12 << 20
+#: Cells of one shard of the sketch, and bytes of text for which there is one.
+CELLS, BYTES_PER_CELL = 4 << 20, 4
 ENDS_PIECE = b".,;:!?\n\x0b\x0c\r"
 _APART = np.zeros(256, bool)
 _APART[[9, 32, *ENDS_PIECE]] = True
@@ -43,7 +43,6 @@ _REQUEST = pa.schema([("batch", pa.int64()), ("shard", pa.int32()), ("blob", pa.
 _PACKED_COUNTS = pa.schema([("shard", pa.int32()), ("part", pa.int64()), ("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("f", pa.list_(pa.int64()))])
 #: Batches whose counts are added up in one task, before those sums are.
 SUMMED = 1024
-_FAR = np.uint64(65535)
 
 
 def guarded(texts: list[bytes]) -> bytes:
@@ -69,21 +68,24 @@ class Sketch:
         return pa.table([pa.array(np.full(len(at), batch, np.int64)), pa.array(shard[at].astype(np.int32)), pa.array(blobs, pa.binary())], schema=_REQUEST)
 
     def _packed(self, offsets: np.ndarray, counts: np.ndarray) -> bytes:
-        """Gaps in 16 bits and counts; a wider gap takes steps of no count."""
+        """The width of gaps (1 or 2 bytes), gaps and counts; a wider gap takes steps of no count."""
         gaps = np.diff(offsets, prepend=np.uint64(0))
-        steps = gaps // _FAR
+        width = 1 if offsets[-1] < 128 * len(offsets) else 2
+        far = np.uint64(256**width - 1)
+        steps = gaps // far
         at = np.arange(len(gaps)) + np.cumsum(steps).astype(np.int64)
         size = int(at[-1]) + 1
-        gap, count = np.full(size, _FAR, np.uint16), np.zeros(size, self.kind)
-        gap[at] = gaps - steps * _FAR
+        gap, count = np.full(size, far, f"u{width}"), np.zeros(size, self.kind)
+        gap[at] = gaps - steps * far
         count[at] = np.minimum(counts, self.most)
-        return gap.tobytes() + count.tobytes()
+        return bytes([width]) + gap.tobytes() + count.tobytes()
 
     def _opened(self, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        size = len(blob) // (2 + self.kind.itemsize)
-        count = np.frombuffer(blob, self.kind, size, 2 * size)
+        width = blob[0]
+        size = (len(blob) - 1) // (width + self.kind.itemsize)
+        count = np.frombuffer(blob, self.kind, size, 1 + width * size)
         real = count > 0
-        return np.cumsum(np.frombuffer(blob, np.uint16, size), dtype=np.int64)[real], count[real]
+        return np.cumsum(np.frombuffer(blob, f"u{width}", size, 1), dtype=np.int64)[real], count[real]
 
     def answer(self, blobs: list[bytes]) -> list[bytes]:
         """A bit for each cell asked for: can its count be ``most`` or more?"""
@@ -242,7 +244,7 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LO
     """(lang, phrase, words, f): all phrases of 1 to ``longest`` words with ``min_count`` or more occurrences in a language, and its number of words (phrase null, words 0)."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size, least = text_bytes(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batches, shards = parts_for(size, batch_text, least), parts_for(size, CELLS)
+    batches, shards = parts_for(size, batch_text, least), parts_for(size, CELLS * BYTES_PER_CELL)
     # The task that reads a row is part of the hash, so that rows that repeat spread too; a task that runs again deals them as before.
     at = F.pmod(F.xxhash64("lang", "text", F.spark_partition_id()), F.lit(batches))
     x = docs.select(at.alias("batch"), "lang", "text").repartition(max(least, batches // 2), "batch")
