@@ -2,8 +2,10 @@
 
 Each paragraph earns points for its length and commas and passes them to its
 ancestors (the parent all of them, the grandparent half, later ones less).  A
-container's score is discounted by its link density.  The best container and
-those of its siblings that score well or read like prose are the article.
+container's score is discounted by its link density.  The best container, or
+the outermost article around it, and those of its siblings that score well or
+read like prose are the article.  Names of classes weigh: they cut a block
+unless it carries much of the text, or is a paragraph that reads like prose.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is text, not markup, up to their own end tag.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 #: Never part of an article.
-DROPPED = frozenset("head script style noscript iframe template nav footer aside form button select option input textarea svg canvas object dialog menu math audio video title label fieldset datalist".split())
+DROPPED = frozenset("head script style noscript iframe template nav footer aside button select option input textarea svg canvas object dialog menu math audio video title label datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -41,8 +43,16 @@ CONTAINER = frozenset("article main section div body td blockquote center html".
 UNLIKELY = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side comment comments disqus respond replies reply menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe signup login social share sharing related recommended recommendations widget pager pagination tags legal disclaimer copyright search skip toolbar alert contentinfo complementary".split()
 )
-#: Of these, names that also occur on an article's own paragraphs: inside an article its points and links decide.
-AMBIGUOUS = frozenset("alert banner copyright disclaimer foot footer header legal masthead notice notices page pager promo promotion respond search side skip tags toolbar widget".split())
+#: Of these, names that say little inside an article: a block that reads like prose stays.
+WEAK = frozenset("copyright disclaimer foot footer header legal masthead page pager respond search side skip tags toolbar widget".split())
+#: Of these, names of what readers write.
+READERS = frozenset("comment comments disqus respond replies reply".split())
+#: Elements that are one paragraph: inside an article a name alone does not cut one that reads like prose.
+ONE_PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre span b i em strong a".split())
+#: A block of this share of the article's text, or of the page's where it has no article, is no notice.
+SHARE_OF_ARTICLE, SHARE_OF_PAGE = 1 / 3, 1 / 2
+#: A form around so many characters of prose, and half of the page's, is a page in a form.
+FORM_PROSE, LONG_TEXT = 200, 80
 #: A block that reads like prose: so many characters, and at most this share of them in links.
 PROSE_CHARS, PROSE_LINKS = 40, 0.33
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text|blog)(?=$|[\s_-])", re.I)
@@ -55,41 +65,95 @@ WHITE = re.compile(r"\s+")
 class Node:
     """An element; ``kids`` holds nodes and decoded strings in page order."""
 
-    __slots__ = ("tag", "hint", "hidden", "parent", "kids", "score", "chars", "linked", "holds")
+    __slots__ = ("tag", "hint", "hidden", "parent", "depth", "kids", "score", "chars", "linked", "prose", "holds", "readers")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
-        self.hint, self.hidden, self.score, self.chars, self.linked, self.holds = "", False, 0.0, 0, 0, False
+        self.depth = parent.depth + 1 if parent else 0
+        self.hint, self.hidden, self.score, self.chars, self.linked, self.prose, self.holds, self.readers = "", False, 0.0, 0, 0, 0, False, False
+
+
+class Tree:
+    """The open elements while a page is read, by tag as well, so that no tag makes for a walk up all of them."""
+
+    def __init__(self) -> None:
+        self.here = Node("#root", None)
+        self.open: dict[str, list[Node]] = {}
+        self.blocks: list[Node] = []
+
+    def enter(self, node: Node) -> None:
+        self.open.setdefault(node.tag, []).append(node)
+        if node.tag in BLOCK:
+            self.blocks.append(node)
+        self.here = node
+
+    def leave(self, upto: Node) -> None:
+        """Close all elements inside ``upto``, and that too."""
+        while True:
+            node = self.here
+            self.open[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+            self.here = node.parent
+            if node is upto:
+                return
+
+    def deepest(self, tags) -> int:
+        return max((self.open[t][-1].depth for t in tags if self.open.get(t)), default=0)
+
+    def make_way(self, tag: str) -> None:
+        """Leave the elements that a start tag ends."""
+        if tag in ENDS_P and self.blocks and self.blocks[-1].tag == "p":
+            self.leave(self.blocks[-1])
+        if tag in SIBLINGS:
+            ends, barrier = SIBLINGS[tag]
+            floor, last = self.deepest(barrier), None
+            for t in ends:
+                for node in reversed(self.open.get(t, ())):
+                    if node.depth <= floor:
+                        break
+                    last = node if last is None or node.depth < last.depth else last
+            if last is not None:
+                self.leave(last)
+
+    def close(self, tag: str) -> None:
+        """Leave the nearest open element of an end tag's name, if there is one; a stray one does not leave a table's cell."""
+        if not self.open.get(tag):
+            return
+        node = self.open[tag][-1]
+        inside_cell = self.deepest(("td", "th")) > node.depth
+        if not (inside_cell and tag in BLOCK and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html")):
+            self.leave(node)
 
 
 def parse(source: str) -> Node:
     """A tree of the page, lenient as browsers are: unclosed paragraphs, list items and cells end where the next begins."""
-    root = here = Node("#root", None)
-    at, n = 0, len(source)
+    tree = Tree()
+    root, at, n = tree.here, 0, len(source)
     while at < n:
         found = TAG.search(source, at)
         stop = found.start() if found else n
         if stop > at:
-            here.kids.append(html.unescape(source[at:stop]))
+            tree.here.kids.append(html.unescape(source[at:stop]))
         if not found:
             break
         at = found.end()
         if found[1]:
-            here = _close(here, found[1].lower())
+            tree.close(found[1].lower())
         elif found[2]:
             tag, attrs = found[2].lower(), found[3] or ""
             if not found[0].endswith(">"):
                 break  # the page ends inside a tag
-            here = _open(here, tag)
-            node = Node(tag, here)
-            here.kids.append(node)
+            tree.make_way(tag)
+            node = Node(tag, tree.here)
+            tree.here.kids.append(node)
             if attrs:
                 _describe(node, attrs)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = end.end() if end else n
             elif tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path")):
-                here = node
+                tree.enter(node)
     return root
 
 
@@ -104,90 +168,103 @@ def _describe(node: Node, attrs: str) -> None:
     node.hint = " ".join(hint)
 
 
-def _open(here: Node, tag: str) -> Node:
-    """Where a start tag goes: elements that it ends are left first."""
-    if tag in ENDS_P:
-        node = here
-        while node.parent is not None and node.tag not in BLOCK:
-            node = node.parent
-        if node.tag == "p":
-            here = node.parent
-    if tag in SIBLINGS:
-        ends, barrier = SIBLINGS[tag]
-        node, last = here, None
-        while node.parent is not None and node.tag not in barrier:
-            if node.tag in ends:
-                last = node
-            node = node.parent
-        if last is not None:
-            here = last.parent
-    return here
-
-
-def _close(here: Node, tag: str) -> Node:
-    """Where an end tag leads: out of the nearest open element of its name, if there is one."""
-    node = here
-    while node.parent is not None:
-        if node.tag == tag:
-            return node.parent
-        if node.tag in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html") and tag in BLOCK:
-            return here  # a stray end tag does not leave the cell
-        node = node.parent
-    return here
-
-
-def _dropped(node: Node, inside: bool) -> bool:
-    """Menus, notices, adverts and the like, by element or by its class, id and role.
+def _dropped(node: Node, article: Node | None, page: Node) -> bool:
+    """Menus, notices, adverts and the like, by element, or by names where place, text and links do not speak for it.
 
-    ``inside`` an article, a name that says little only counts against a block
-    that does not read like prose.
+    ``article`` is the outermost one around the node, if there is one.
     """
     if node.tag in DROPPED or node.hidden:
         return True
+    if node.tag == "form":
+        return not (node.holds or node.prose >= FORM_PROSE and 2 * node.prose >= page.prose)
     if node.tag == "header":
-        above = node.parent
-        while above is not None and above.tag not in ("article", "main"):
-            above = above.parent
-        return above is None  # the page's header, not an article's own headline
-    if not node.hint or node.tag in ("html", "body", "article", "main"):
-        return False
-    found = set().union(*map(_unlikely, node.hint.split()))
-    if not found or node.holds:
+        return article is None  # the page's header, not an article's own headline
+    if node.readers:
+        return not node.holds
+    found = set().union(*map(_unlikely, node.hint.split())) if node.hint and not node.holds and node.tag not in ("html", "body", "article", "main") else set()
+    if not found:
         return False
-    return not (inside and found <= AMBIGUOUS and node.chars >= PROSE_CHARS and node.linked <= PROSE_LINKS * node.chars)
+    if node.chars and node.linked > PROSE_LINKS * node.chars:
+        return True
+    if node.tag in ONE_PARAGRAPH or article is not None and found <= WEAK:
+        return article is None or node.chars < PROSE_CHARS
+    if article is not None:
+        return node.chars < SHARE_OF_ARTICLE * article.chars
+    return page.holds or node.prose < max(FORM_PROSE, SHARE_OF_PAGE * page.prose)
 
 
 def _unlikely(name: str) -> set[str]:
     """What in a name is not the article's: ``post-comments`` and ``adBox`` have something, ``with-sidebar`` and ``article-header`` describe something else."""
-    parts = [p.lower() for p in PART.findall(name)]
-    if not parts or parts[0] in ("has", "with", "no", "without"):
+    parts = _parts(name)
+    if _plain(name):
         return set()
     found = UNLIKELY.intersection(parts)
     return set() if found == {"header"} and {"article", "entry", "post", "story"}.intersection(parts) else set(found)
 
 
+def _parts(name: str) -> list[str]:
+    return [p.lower() for p in PART.findall(name)]
+
+
+def _plain(name: str) -> bool:
+    """Does a name only say what a block has or lacks?"""
+    parts = _parts(name)
+    return not parts or parts[0] in ("has", "with", "no", "without")
+
+
 def measure(nodes: list[Node]) -> None:
-    """Characters, those in links, and whether there is an article below, of every node; nodes in page order."""
+    """Characters, those in links and those of long paragraphs, of every node; nodes in page order."""
     for node in reversed(nodes):
-        node.chars = node.linked = 0
+        node.chars = node.linked = node.prose = own = 0
         for kid in node.kids:
             if isinstance(kid, str):
-                node.chars += len(kid.strip())
+                own += len(kid.strip())
             else:
                 node.chars += kid.chars
                 node.linked += kid.chars if kid.tag == "a" else kid.linked
-                node.holds |= kid.holds or kid.tag in ("article", "main")
+                node.prose += kid.prose
+        node.chars += own
+        if node.tag == "p" and node.chars - node.linked >= LONG_TEXT or node.tag in CONTAINER and own >= LONG_TEXT:
+            node.prose = max(node.prose, node.chars - node.linked if node.tag == "p" else node.prose + own)
+
+
+def mark(root: Node, nodes: list[Node]) -> None:
+    """Which nodes are what readers write, and which hold the page's article.
+
+    Articles named as comments, and those below a block of that name, are
+    readers' if there is an article besides; so is a discussion that has such
+    names inside.  Articles inside an article are parts of it.
+    """
+    named: dict[Node, bool] = {}
+    below: dict[Node | None, bool] = {None: False}
+    talk: dict[Node | None, Node | None] = {None: None}
+    for node in nodes:
+        names = {p for name in node.hint.split() if not _plain(name) for p in _parts(name)} if node.hint else set()
+        named[node] = bool(names & READERS)
+        below[node] = named[node] or below[node.parent]
+        if named[node] and (around := talk[node.parent]) is not None:
+            around.readers = True
+        talk[node] = node if "discussion" in names else talk[node.parent]
+        node.readers |= named[node] and node.tag not in ONE_PARAGRAPH and node.tag not in ("html", "body")
+    articles = [n for n in nodes if n.tag in ("article", "main")]
+    for node in [n for n in articles if not below[n]] or articles:
+        above: Node | None = node
+        while above is not None and not above.holds:
+            above.holds = True
+            above = above.parent
 
 
 def prune(root: Node) -> None:
     """Cut what is never part of an article, without recursion: pages may nest deeply."""
-    measure(_order(root))
-    todo = [(root, False)]
+    nodes = _order(root)
+    measure(nodes)
+    mark(root, nodes)
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
     while todo:
-        node, inside = todo.pop()
-        inside |= node.tag in ("article", "main")
-        node.kids = [k for k in node.kids if isinstance(k, str) or not _dropped(k, inside)]
-        todo += [(k, inside) for k in node.kids if not isinstance(k, str)]
+        node, article = todo.pop()
+        article = article or (node if node.tag in ("article", "main") else None)
+        node.kids = [k for k in node.kids if isinstance(k, str) or not _dropped(k, article, root)]
+        todo += [(k, article) for k in node.kids if not isinstance(k, str)]
 
 
 def _order(root: Node) -> list[Node]:
@@ -248,8 +325,8 @@ def choose(root: Node, nodes: list[Node]) -> list[Node]:
     while node is not None:
         above.append(node)
         node = node.parent
-    # The whole article, not its longest section.
-    best = next((n for n in above if n.tag == "article"), next((n for n in above if n.tag == "main"), best))
+    # The whole article, not its longest section; an article inside another is a part of it.
+    best = next((n for n in reversed(above) if n.tag == "article"), next((n for n in reversed(above) if n.tag == "main"), best))
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
     named, bar, out = best.tag == "article", best.score * 0.2, []
