@@ -230,3 +230,18 @@ def display(text: Column) -> Column:
 
 def safe_file_name(text: Column) -> Column:
     return collapse(replace(text, "[\\\\/:*?\"<>|]+", " "))
+
+
+def shorten(text: Column, width: int, placeholder: str = " [...]") -> Column:
+    """The text with single spaces; if it is longer than ``width``, as many of its first words as fit with the placeholder behind them, or that alone."""
+    found = words(collapse(text))
+    grown = F.aggregate(
+        found,
+        F.struct(F.lit("").alias("text"), F.lit(True).alias("fits")),
+        lambda done, w: F.when(
+            done["fits"] & (F.length(done["text"]) + F.length(w) + F.when(done["text"] == "", 0).otherwise(1) + len(placeholder) <= width),
+            F.struct(F.when(done["text"] == "", w).otherwise(F.concat(done["text"], F.lit(" "), w)).alias("text"), F.lit(True).alias("fits")),
+        ).otherwise(F.struct(done["text"].alias("text"), F.lit(False).alias("fits"))),
+        lambda done: done["text"],
+    )
+    return F.when(F.length(collapse(text)) <= width, collapse(text)).otherwise(F.when(grown == "", placeholder.strip()).otherwise(F.concat(grown, F.lit(placeholder))))
