@@ -107,8 +107,8 @@ def shortened(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT o_custkey AS document_id, o_orderkey AS seq, CASE o_orderkey % 7 WHEN 3 THEN 'empty' WHEN 4 THEN 'copy' END AS skip FROM orders),
-    g AS (SELECT *, CASE WHEN skip IS NULL THEN (row_number() OVER (PARTITION BY document_id, skip IS NULL ORDER BY seq) - 1) // 4 END AS g FROM o),
+    """WITH o AS (SELECT conv_id AS document_id, conv_id * 1000 + turn AS seq, CASE (conv_id * 1000 + turn) % 7 WHEN 3 THEN 'empty' WHEN 4 THEN 'copy' END AS skip FROM conversations),
+    g AS (SELECT *, CASE WHEN skip IS NULL THEN (row_number() OVER (PARTITION BY document_id, skip IS NULL ORDER BY seq) - 1) // 20 END AS g FROM o),
     f AS (SELECT *, bool_or(seq % 11 = 0) OVER (PARTITION BY document_id, g) AND skip IS NULL AS failed FROM g),
     r AS (SELECT *, CASE WHEN skip IS NOT NULL THEN 'skipped' WHEN failed THEN 'failed' ELSE 'done' END AS status FROM f),
     n AS (SELECT document_id, count(*) FILTER (status = 'done') AS rows_done, count(*) FILTER (status = 'failed') AS rows_failed, count(*) FILTER (status = 'skipped') AS rows_skipped,
@@ -116,18 +116,18 @@ def shortened(spark: SparkSession, folder: str) -> DataFrame:
     SELECT document_id, findings::BIGINT AS findings, rows_done, rows_failed, rows_skipped, groups_done, groups_failed, CASE WHEN groups_failed = 0 THEN 'done' WHEN groups_done > 0 THEN 'partial' ELSE 'failed' END AS status FROM n"""
 )
 def audit_job(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit jobs over the orders of each customer from their rows to their end, with a reply that is always the same."""
+    """Audit jobs over the turns of each conversation from their rows to their end, with a reply that is always the same."""
 
     def reply(rows: list[dict]) -> str:
         if any(r["seq"] % 11 == 0 for r in rows):
             return "no answer"
         return json.dumps([{"id": r["seq"], "summary": "seen", "errors": [{"code": "X", "location": "here"}] if r["seq"] % 3 == 0 else []} for r in rows])
 
-    key = F.col("o_orderkey")
-    source = F.concat(F.lit("order number "), key.cast("string"))
-    target = F.when(key % 7 == 3, "").when(key % 7 == 4, source).otherwise(F.concat(F.lit("bestellung "), key.cast("string")))
-    rows = table(spark, folder, "orders").select(F.col("o_custkey").alias("document_id"), key.cast("string").alias("phrase_id"), key.alias("seq"), source.alias("source"), target.alias("target"), F.lit("text").alias("row_type"))
-    config = audit.Config(group_size=4, max_attempts=2)
+    key = F.col("conv_id") * 1000 + F.col("turn")
+    source = F.concat(F.lit("turn number "), key.cast("string"))
+    target = F.when(key % 7 == 3, "").when(key % 7 == 4, source).otherwise(F.concat(F.lit("wende "), key.cast("string")))
+    rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("document_id"), key.cast("string").alias("phrase_id"), key.alias("seq"), source.alias("source"), target.alias("target"), F.lit("text").alias("row_type"))
+    config = audit.Config(max_attempts=2)
     # A job is stored before it runs, and after: its rows are read again.
     job = written(audit.create_job(rows, config=config), "job")
     ended = audit.finalize(written(audit.run_job(job, reply, config=config), "job-run"))
