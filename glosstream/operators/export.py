@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import written
 from ..functions.dates import local_day
 from ..functions.identity import phrase_id
 from . import context
@@ -135,6 +136,7 @@ def save_documents(rows: DataFrame, glossary: DataFrame, path: str, version: int
         clash = earlier and rows.select("title").join(earlier, "title", "left_semi").first()
         if clash:
             raise DuplicateTitle(clash["title"])
+    rows = written(rows, "documents")  # they are read several times, and must be the same each time
     kept, analysis, links = saved(rows, glossary)
     titles = rows.select("phrase_id", "title")
     linked = links.groupBy("phrase_id").agg(F.array_sort(F.collect_set("glossary_id")).alias("glossary_ids"))
