@@ -164,6 +164,11 @@ def matching_blocks_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else matching_blocks(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def coverage_udf(query: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([None if q is None or r is None else coverage(list(q), list(r)) for q, r in zip(query, reference)], dtype="float64")
+
+
 def combined_udf(enough: float = 0.0):
     """Score of a normalised query against a reference's normal forms and words."""
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from glosstream.plans import checked, forms, lookup, more, places, workflow  # noqa: F401
+from glosstream.plans import checked, forms, lookup, more, places, units, workflow  # noqa: F401
 from glosstream.plans.relational import QUERIES, entry
 
 FOLDER = "/root/testdata/sf0.001"
