@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import coverage_udf, matching_blocks_udf, partial_ratio_udf
-from ..operators import boundary, export, segment, speaker
+from ..operators import boundary, export, segment, speaker, verses
 from ..sources.scratch import shared_folder
 from .relational import PARAGRAPHS, paragraphs_of, query, table
 from .workflow import SHEET, _segments
@@ -175,3 +175,63 @@ def stored_versions(spark: SparkSession, folder: str) -> DataFrame:
     export.save_documents(rows.filter("doc_id % 3 = 0").withColumn("content", F.concat(F.lit("again "), "content")), glossary, path, 2, replace=True)
     stored = export.stored_documents(spark, path)
     return stored.select("title", F.col("version").cast("int").alias("version"), "phrase_id", "content", "reason_code", "confidence", F.array_join("glossary_ids", ",").alias("links"))
+
+
+VERSES = """v AS (SELECT p_brand AS surah, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS ayah, p_name AS text, p_partkey, p_size FROM part),
+    spots AS (SELECT text, list({'surah': surah, 'ayah': ayah} ORDER BY surah, ayah) AS spot FROM v GROUP BY text)"""
+
+
+def _verses(spark: SparkSession, folder: str) -> DataFrame:
+    """The names of parts as verses of their brand."""
+    place = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return table(spark, folder, "part").select(F.col("p_brand").alias("surah"), place.alias("ayah"), F.col("p_name").alias("text"), "p_partkey", "p_size")
+
+
+@query(
+    f"""WITH RECURSIVE {VERSES}, s AS (SELECT surah AS doc_id, ayah AS ord, text, spot, CASE WHEN p_partkey % 9 = 0 THEN {{'surah': surah, 'ayah': ayah}} ELSE spot[1] END AS own, row_number() OVER (PARTITION BY surah ORDER BY ayah) AS i FROM v JOIN spots USING (text) WHERE p_size % 6 > 0),
+    w AS (SELECT doc_id, ord, i, own AS place, false AS changed FROM s WHERE i = 1
+        UNION ALL SELECT s.doc_id, s.ord, s.i, CASE WHEN list_contains(s.spot, {{'surah': w.place.surah, 'ayah': w.place.ayah + 1}}) THEN {{'surah': w.place.surah, 'ayah': w.place.ayah + 1}} ELSE s.own END,
+            list_contains(s.spot, {{'surah': w.place.surah, 'ayah': w.place.ayah + 1}}) AND s.own <> {{'surah': w.place.surah, 'ayah': w.place.ayah + 1}} FROM w JOIN s ON s.doc_id = w.doc_id AND s.i = w.i + 1)
+    SELECT doc_id, ord, 'سورة ' || place.surah || ' — ' || place.ayah AS source, CASE WHEN changed THEN 'by the sequence around it' ELSE '' END AS note FROM w
+    UNION ALL SELECT surah, ayah, '', '' FROM v WHERE p_size % 6 = 0"""
+)
+def sequence_verses(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that many parts have: each takes the place behind the verse before, where its words stand there too."""
+    v = _verses(spark, folder)
+    least = v.groupBy("text").agg(F.min(F.struct("surah", "ayah")).alias("least"))
+    own = F.when(F.col("p_partkey") % 9 == 0, F.struct("surah", "ayah")).otherwise(F.col("least"))
+    quoted = F.col("p_size") % 6 > 0
+    rows = v.join(least, "text").select(
+        F.col("surah").alias("doc_id"), F.lit(1).alias("para"), F.col("ayah").cast("long").alias("ord"), F.when(quoted, "quran").otherwise("text").alias("kind"), F.concat("text", F.lit(" ١٢.")).alias("content"),
+        F.when(quoted, verses.source_name(own["surah"], own["ayah"])).otherwise("").alias("source"), F.lit(0.9).alias("score"), F.lit("").alias("note"),
+    )
+    return verses.prefer_sequence(rows, v.select("surah", "ayah", "text")).select("doc_id", F.col("ord").cast("int").alias("ord"), "source", "note")
+
+
+def _nearest_sql(ref: str) -> str:
+    """Of the places in the surah of ``ref`` the first behind it, else the first."""
+    return f"coalesce(list_filter(s.spot, lambda p: p.surah = {ref}.surah AND p.ayah > {ref}.ayah)[1], list_filter(s.spot, lambda p: p.surah = {ref}.surah)[1])"
+
+
+@query(
+    f"""WITH RECURSIVE {VERSES}, k AS (SELECT surah AS doc_id, ayah AS ord, CASE WHEN p_size % 8 = 1 THEN 'quran' WHEN p_size % 8 = 2 THEN 'citation' ELSE 'text' END AS kind, CASE WHEN p_size % 8 = 3 THEN NULL ELSE spot END AS spot,
+        CASE WHEN p_size % 8 = 1 AND p_partkey % 5 > 0 THEN {{'surah': CASE WHEN p_partkey % 2 = 0 THEN surah ELSE spot[1].surah END, 'ayah': ayah}} END AS ref FROM v JOIN spots USING (text)),
+    s AS (SELECT *, lead(kind) OVER o AS next_kind, lead(ref) OVER o AS next_ref FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY ord)),
+    w AS (SELECT doc_id, 0 AS ord, 'none' AS kind, NULL::STRUCT(surah VARCHAR, ayah INT) AS place, false AS changed FROM (SELECT DISTINCT doc_id FROM s)
+        UNION ALL SELECT doc_id, ord, CASE WHEN t THEN 'quran' ELSE kind END, CASE WHEN t THEN p ELSE ref END, t FROM (
+            SELECT s.doc_id, s.ord, s.kind, s.ref, s.kind = 'text' AND s.spot IS NOT NULL AND (w.kind = 'quran' OR coalesce(s.next_kind = 'quran', false)) AS t,
+                coalesce(CASE WHEN w.kind = 'quran' THEN {_nearest_sql('w.place')} END, CASE WHEN s.next_kind = 'quran' THEN {_nearest_sql('s.next_ref')} END, s.spot[1]) AS p
+            FROM w JOIN s ON s.doc_id = w.doc_id AND s.ord = w.ord + 1))
+    SELECT doc_id, ord, kind, CASE WHEN place IS NULL THEN '' ELSE 'سورة ' || place.surah || ' — ' || place.ayah END AS source, CASE WHEN changed THEN 'short verse among verses' ELSE '' END AS note FROM w WHERE ord > 0"""
+)
+def short_verses(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of parts among prose: those beside a verse, or beside one that has just become one, are verses as well."""
+    v, size = _verses(spark, folder), F.col("p_size") % 8
+    least = v.groupBy("text").agg(F.min(F.struct("surah", "ayah")).alias("least"))
+    surah = F.when(F.col("p_partkey") % 2 == 0, F.col("surah")).otherwise(F.col("least.surah"))
+    rows = v.join(least, "text").select(
+        F.col("surah").alias("doc_id"), F.lit(1).alias("para"), F.col("ayah").cast("long").alias("ord"), F.when(size == 1, "quran").when(size == 2, "citation").otherwise("text").alias("kind"),
+        F.when(size == 3, F.concat("text", F.lit(" and more"))).otherwise(F.concat("text", F.lit(" ٣ ."))).alias("content"), F.when((size == 1) & (F.col("p_partkey") % 5 > 0), verses.source_name(surah, F.col("ayah"))).otherwise("").alias("source"),
+        F.lit(0.5).alias("score"), F.lit("").alias("note"),
+    )
+    return verses.rescue_short(rows, v.select("surah", "ayah", "text")).select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", "source", "note")
