@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.similarity import ratio_udf
 from .match import reference_parts, small
+from .segment import renumber
 
 # Numbers of verses and signs around them, the notes, and the most words of a short verse.
 NUMBERS, SIGNS = "[\\s ]*[٠-٩0-9]+[\\s ]*", " .،؛"
@@ -121,3 +123,101 @@ def prefer_sequence(segments: DataFrame, verses: DataFrame) -> DataFrame:
         "score": F.when(hit, 1.0).otherwise(F.col("score")), "note": F.when(hit, F.concat(note, F.lit(SEQUENCE_NOTE))).otherwise(F.col("note")),
     }
     return out.withColumns(changes).select(*segments.columns)
+
+
+# Kinds of segments that may hold a chain, the least similarity of a word that differs, and the notes.
+CHAINED_KINDS = ("text", "term", "quran", "hadith", "athar")
+LEAST_ALIKE = 65.0
+CHAIN_NOTE, VARIANT_NOTE = "verses in a row", "verses in a row, one word differs"
+
+
+def _tokens(segments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Units in their runs, the words of each as written, and these as tokens in normal form with their places in the run."""
+    doc = Window.partitionBy("doc_id").orderBy("para", "ord")
+    able = F.col("kind").isin(*CHAINED_KINDS)
+    fresh = F.when(able & F.coalesce(F.lag(able).over(doc), F.lit(False)), 0).otherwise(1)
+    numbered = segments.withColumns({"run": F.sum(fresh).over(doc), "unit": F.row_number().over(doc)})
+    split = numbered.filter(able).select("doc_id", "run", "unit", F.posexplode(F.split("content", "(?U)\\s+")).alias("at", "raw")).filter("raw <> ''")
+    run = Window.partitionBy("doc_id", "run")
+    raw = split.withColumn("raw_no", F.row_number().over(run.orderBy("unit", "at"))).drop("at")
+    forms = T.words(T.normalize(F.regexp_replace("raw", NUMBERS, " ")))
+    words = raw.select("doc_id", "run", "unit", "raw_no", F.posexplode(forms).alias("k", "word"))
+    w = run.orderBy("raw_no", "k")
+    flags = {"pos": F.row_number().over(w), "behind": F.lead("word").over(w), "opens": F.coalesce(F.lag("unit").over(w) != F.col("unit"), F.lit(True)), "closes": F.coalesce(F.lead("unit").over(w) != F.col("unit"), F.lit(True))}
+    return numbered, raw, words.withColumns(flags).drop("k")
+
+
+def whole_verses(tokens: DataFrame, verses: DataFrame) -> DataFrame:
+    """(doc_id, run, pos, n, surah, ayah, first, variant): each place of a run where a whole verse stands.
+
+    A verse is looked up by its first two words (or its only one) and compared
+    word by word, all by equi-joins.  One word behind them may differ if it is
+    similar.  ``first`` is the place of its first word in the surah.
+    """
+    known = verses.select(F.col("surah").cast("string").alias("surah"), F.col("ayah").cast("int").alias("ayah"), T.words(T.normalize(F.col("text"))).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("surah").orderBy("ayah").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = known.withColumn("first", before).withColumn("key", F.array_join(F.slice("words", 1, 2), " "))
+    probes = tokens.select("doc_id", "run", "pos", F.explode(F.array("word", F.concat_ws(" ", "word", "behind"))).alias("key")).distinct()
+    at = ["doc_id", "run", "pos", "n", "surah", "ayah", "first"]
+    wanted = probes.join(small(starts), "key").select(*at, F.posexplode("words").alias("k", "word")).withColumn("place", F.col("pos") + F.col("k"))
+    met = wanted.join(tokens.select("doc_id", "run", F.col("pos").alias("place"), F.col("word").alias("said")), ["doc_id", "run", "place"])
+    differs = F.col("said") != F.col("word")
+    counts = met.groupBy(*at).agg(F.count(F.lit(1)).alias("seen"), F.count_if(differs).alias("differ"), F.max(F.when(differs, F.struct("said", "word"))).alias("pair"))
+    whole = counts.filter((F.col("seen") == F.col("n")) & (F.col("differ") <= 1))
+    alike = F.when(F.col("differ") == 0, F.lit(100.0)).otherwise(ratio_udf(F.coalesce("pair.said", F.lit("")), F.coalesce("pair.word", F.lit(""))))
+    return whole.withColumn("alike", alike).filter(F.col("alike") >= LEAST_ALIKE).select(*at, (F.col("differ") > 0).alias("variant"))
+
+
+def _disjoint(chains: DataFrame) -> DataFrame:
+    """Of chains(doc_id, run, start, stop, surah, shift, island) those that begin behind the last one taken; at one place the longest, then the first surah."""
+    order = F.struct("start", (-F.col("stop")).alias("back"), "surah", "shift", "island")
+    listed = chains.groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(order)).alias("l"))
+    kind = "array<struct<start:int,back:int,surah:string,shift:bigint,island:int>>"
+    taken = F.aggregate(F.col("l").cast(kind), F.array().cast(kind), lambda acc, x: F.when(F.coalesce(x["start"] < -F.try_element_at(acc, F.lit(-1))["back"], F.lit(False)), acc).otherwise(F.concat(acc, F.array(x))))
+    return listed.select("doc_id", "run", F.explode(taken).alias("c")).select("doc_id", "run", "c.surah", "c.shift", "c.island")
+
+
+def chain_verses(segments: DataFrame, verses: DataFrame) -> DataFrame:
+    """Two and more whole verses that follow one another, from a unit's beginning to a unit's end, become a segment each.
+
+    Needs the columns of :func:`rescue_short`.  A run of prose, verses,
+    traditions and reports is searched over its paragraphs.  On a diagonal (place
+    in the run less place in the surah) verses that follow one another touch, so
+    that a chain is an island of numbers there.  From the leftmost beginning the
+    longest chain counts, and none that overlaps it.  A verse keeps its words as
+    written, with the numbers and brackets behind them (and before the first);
+    the score is 1, or 0.9 where a word differs.  Other columns are those of the
+    segment in which the verse begins; ord is counted anew from 1.  A word more
+    or less ends a chain, as does a verse that does not follow by number; null
+    and empty contents hold none.
+    """
+    numbered, raw, tokens = _tokens(segments)
+    found = whole_verses(tokens, verses).withColumn("shift", F.col("pos") - F.col("first"))
+    edge = tokens.select("doc_id", "run", "pos", "opens", "closes", "unit")
+    found = found.join(edge.select("doc_id", "run", "pos", "opens", F.col("unit").alias("from_unit")), ["doc_id", "run", "pos"])
+    ends = edge.select("doc_id", "run", (F.col("pos") + 1).alias("stop"), "closes", F.col("unit").alias("to_unit"))
+    found = found.withColumn("stop", F.col("pos") + F.col("n")).join(ends, ["doc_id", "run", "stop"])
+    line = ["doc_id", "run", "surah", "shift"]
+    found = found.withColumn("island", F.col("ayah") - F.row_number().over(Window.partitionBy(*line).orderBy("ayah")))
+    whole = Window.partitionBy(*line, "island")
+    found = found.withColumns({"lo": F.min(F.when(F.col("opens"), F.col("ayah"))).over(whole), "hi": F.max(F.when(F.col("closes"), F.col("ayah"))).over(whole)}).filter("hi > lo AND ayah BETWEEN lo AND hi")
+    chains = found.groupBy(*line, "island").agg(F.min("pos").alias("start"), F.max("stop").alias("stop"))
+    taken = found.join(_disjoint(chains), [*line, "island"])
+    # Words as written go to the verse of their tokens, those without to the verse before, or to the first one.
+    mine = taken.select("doc_id", "run", *line[2:], "ayah", "variant", F.explode(F.sequence("pos", F.col("stop") - 1)).alias("pos"))
+    heads = tokens.join(mine, ["doc_id", "run", "pos"]).groupBy("doc_id", "run", "raw_no").agg(F.min(F.struct("pos", "surah", "ayah", "variant")).alias("v"))
+    units = taken.groupBy(*line, "island").agg(F.min("from_unit").alias("a"), F.max("to_unit").alias("b")).select("doc_id", "run", F.col("a").alias("chain"), F.explode(F.sequence("a", "b")).alias("unit"))
+    told = raw.join(units, ["doc_id", "run", "unit"]).join(heads, ["doc_id", "run", "raw_no"], "left")
+    w = Window.partitionBy("doc_id", "run", "chain").orderBy("raw_no")
+    told = told.withColumn("v", F.coalesce(F.last("v", ignorenulls=True).over(w), F.first("v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    verse = ["doc_id", "run", "chain", "v.surah", "v.ayah"]
+    texts = told.groupBy(*verse).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("raw_no", "raw"))), lambda x: x["raw"]), " ").alias("text"), F.min("unit").alias("unit"), F.min("raw_no").alias("part"), F.max("v.variant").alias("variant")
+    )
+    others = numbered.join(units.select("doc_id", "unit"), ["doc_id", "unit"], "left_anti").select(*segments.columns, F.lit(0).alias("part"))
+    changes = {
+        "kind": F.lit("quran"), "content": F.col("text"), "source": source_name(F.col("surah"), F.col("ayah")), "score": F.when(F.col("variant"), 0.9).otherwise(1.0),
+        "note": F.when(F.col("variant"), VARIANT_NOTE).otherwise(CHAIN_NOTE),
+    }
+    made = numbered.drop("run").join(texts.drop("run", "chain"), ["doc_id", "unit"]).withColumns(changes).select(*segments.columns, "part")
+    return renumber(others.unionByName(made)).select(*segments.columns)
