@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.similarity import ratio_udf
+from ..sources.scratch import written
 from .match import reference_parts, small
 from .segment import renumber
 
@@ -192,6 +193,8 @@ def chain_verses(segments: DataFrame, verses: DataFrame) -> DataFrame:
     and empty contents hold none.
     """
     numbered, raw, tokens = _tokens(segments)
+    # Tokens and chains are read several times: they are worked out once and stored.
+    tokens = written(tokens, "tokens")
     found = whole_verses(tokens, verses).withColumn("shift", F.col("pos") - F.col("first"))
     edge = tokens.select("doc_id", "run", "pos", "opens", "closes", "unit")
     found = found.join(edge.select("doc_id", "run", "pos", "opens", F.col("unit").alias("from_unit")), ["doc_id", "run", "pos"])
@@ -202,7 +205,7 @@ def chain_verses(segments: DataFrame, verses: DataFrame) -> DataFrame:
     whole = Window.partitionBy(*line, "island")
     found = found.withColumns({"lo": F.min(F.when(F.col("opens"), F.col("ayah"))).over(whole), "hi": F.max(F.when(F.col("closes"), F.col("ayah"))).over(whole)}).filter("hi > lo AND ayah BETWEEN lo AND hi")
     chains = found.groupBy(*line, "island").agg(F.min("pos").alias("start"), F.max("stop").alias("stop"))
-    taken = found.join(_disjoint(chains), [*line, "island"])
+    taken = written(found.join(_disjoint(chains), [*line, "island"]), "chains")
     # Words as written go to the verse of their tokens, those without to the verse before, or to the first one.
     mine = taken.select("doc_id", "run", *line[2:], "ayah", "variant", F.explode(F.sequence("pos", F.col("stop") - 1)).alias("pos"))
     heads = tokens.join(mine, ["doc_id", "run", "pos"]).groupBy("doc_id", "run", "raw_no").agg(F.min(F.struct("pos", "surah", "ayah", "variant")).alias("v"))

@@ -235,3 +235,33 @@ def short_verses(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0.5).alias("score"), F.lit("").alias("note"),
     )
     return verses.rescue_short(rows, v.select("surah", "ayah", "text")).select("doc_id", F.col("ord").cast("int").alias("ord"), "kind", "source", "note")
+
+
+@query(
+    f"""WITH RECURSIVE {VERSES}, n AS (SELECT surah AS doc_id, (ayah - 1) // 3 AS unit, ayah AS i, CASE WHEN p_size % 5 = 0 THEN 'strange thing' ELSE text END AS name FROM v),
+    u AS (SELECT doc_id, unit, unit // 4 AS para, string_agg(name, ' ١ ' ORDER BY i) AS content FROM n GROUP BY ALL),
+    w AS (SELECT doc_id, unit // 5 AS run, unit, i, unnest(string_split(name, ' ')) AS w, generate_subscripts(string_split(name, ' '), 1) AS k FROM n WHERE unit % 5 < 4),
+    t AS (SELECT *, row_number() OVER o AS pos, lead(w) OVER o AS nx, coalesce(lag(unit) OVER o <> unit, true) AS opens, coalesce(lead(unit) OVER o <> unit, true) AS closes FROM w WINDOW o AS (PARTITION BY doc_id, run ORDER BY i, k)),
+    m AS (SELECT t.doc_id, t.run, t.unit, t.i, t.pos, t.opens, e.closes, v.surah, v.ayah, t.pos - 2 * v.ayah AS shift FROM t JOIN v ON v.text = t.w || ' ' || t.nx JOIN t e ON e.doc_id = t.doc_id AND e.run = t.run AND e.pos = t.pos + 1),
+    g AS (SELECT *, ayah - row_number() OVER (PARTITION BY doc_id, run, surah, shift ORDER BY ayah) AS island FROM m),
+    b AS (SELECT *, min(ayah) FILTER (opens) OVER o AS lo, max(ayah) FILTER (closes) OVER o AS hi FROM g WINDOW o AS (PARTITION BY doc_id, run, surah, shift, island)),
+    f AS (SELECT * FROM b WHERE hi > lo AND ayah BETWEEN lo AND hi),
+    c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY start, stop DESC, surah, shift, island) AS r FROM (SELECT doc_id, run, surah, shift, island, min(pos) AS start, max(pos) + 2 AS stop FROM f GROUP BY ALL)),
+    x AS (SELECT doc_id, run, surah, shift, island, stop, r FROM c WHERE r = 1
+        UNION ALL SELECT c.doc_id, c.run, c.surah, c.shift, c.island, c.stop, c.r FROM x JOIN c ON c.doc_id = x.doc_id AND c.run = x.run AND c.start >= x.stop QUALIFY row_number() OVER (PARTITION BY c.doc_id, c.run ORDER BY c.r) = 1),
+    y AS (SELECT f.* FROM f JOIN x USING (doc_id, run, surah, shift, island)),
+    z AS (SELECT doc_id, y.unit // 4 AS para, y.unit, y.i, 'quran' AS kind, name || CASE WHEN y.i % 3 > 0 AND EXISTS (SELECT 1 FROM n l WHERE l.doc_id = y.doc_id AND l.i = y.i + 1) THEN ' ١' ELSE '' END AS content, 'سورة ' || surah || ' — ' || ayah AS source FROM y JOIN n USING (doc_id, i)
+        UNION ALL SELECT doc_id, para, unit, 0, CASE WHEN unit % 5 = 4 THEN 'title' ELSE 'text' END, content, '' FROM u WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.doc_id = u.doc_id AND y.unit = u.unit))
+    SELECT doc_id, para, row_number() OVER (PARTITION BY doc_id, para ORDER BY unit, i)::INT AS ord, kind, content, source FROM z"""
+)
+def verse_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of parts in units of three, some of them strange: names that follow one another in some brand, from unit to unit, are verses."""
+    v = _verses(spark, folder)
+    unit = F.floor((F.col("ayah") - 1) / 3)
+    name = F.when(F.col("p_size") % 5 == 0, "strange thing").otherwise(F.col("text"))
+    listed = v.groupBy(F.col("surah").alias("doc_id"), unit.alias("unit")).agg(F.array_sort(F.collect_list(F.struct("ayah", name.alias("name")))).alias("l"))
+    rows = listed.select(
+        "doc_id", F.floor(F.col("unit") / 4).alias("para"), F.col("unit").alias("ord"), F.when(F.col("unit") % 5 == 4, "title").otherwise("text").alias("kind"), F.array_join(F.transform("l", lambda x: x["name"]), " ١ ").alias("content"),
+        F.lit("").alias("source"), F.lit(0.5).alias("score"), F.lit("").alias("note"),
+    )
+    return verses.chain_verses(rows, v.select("surah", "ayah", "text")).select("doc_id", "para", "ord", "kind", "content", "source")
