@@ -21,6 +21,8 @@ MASKS = ("111111", "1101100101", "10110001101", "1100101000111")
 #: Tokens of the benchmark that one pass over the documents holds (about 60 bytes each with its seeds).
 BLOCK_TOKENS = 400_000
 MIN_TOKENS, MIN_IDENTITY = 12, 0.8
+#: Tokens of diagonals that are compared at once.
+DIAGONAL_TOKENS = 1 << 20
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -91,7 +93,8 @@ class SeedIndex:
 
         Hits of seeds that a text and an item repeat are the product of both
         counts.  Beyond their two lengths all diagonals of the pair stand for
-        them, so that work is bounded by the lengths.
+        them, so that work is bounded by the lengths; those without a seed are
+        passed over later, as they are for any other pair.
         """
         # Distinct (text, seed) with how often the text has it, then (text, item) with the hits between them.
         order = np.lexsort((lo, of[here]))
@@ -126,18 +129,43 @@ class SeedIndex:
     def _all_shifts(self, words: Words, text: int, item: int) -> np.ndarray:
         return np.arange(words.first[text] - self.first[item + 1] + 1, words.first[text + 1] - self.first[item])
 
+    def _equal(self, words: Words, a: np.ndarray, n: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+        """Equal tokens on each diagonal, whose n tokens begin at a; all are compared at once, in parts of bounded size."""
+        out = np.zeros(len(n), np.int64)
+        part = np.cumsum(n) // DIAGONAL_TOKENS
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(n)) if len(n) else []
+        for x, y in zip(bounds, bounds[1:]):
+            m = n[x:y]
+            at = np.repeat(a[x:y] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            hits = self.hash[at] == words.hash[at + np.repeat(shifts[x:y], m)]
+            out[x:y] = np.bincount(np.repeat(np.arange(y - x), m)[hits], minlength=y - x)
+        return out
+
+    def _seeded(self, same: np.ndarray) -> bool:
+        """Is there a mask all of whose compared places are equal somewhere on the diagonal?"""
+        for mask in self.masks:
+            places = [j for j, bit in enumerate(mask) if bit == "1"]
+            n = len(same) - len(mask) + 1
+            if n > 0 and np.logical_and.reduce([same[j : j + n] for j in places]).any():
+                return True
+        return False
+
     def _best(self, words: Words, text: int, item: int, shifts: np.ndarray, min_tokens: int, min_identity: float) -> tuple | None:
-        """Diagonals with the most equal tokens first, as long as they may beat the best one."""
+        """Diagonals with the most equal tokens first, as long as they may beat the best one; one counts if a seed lies on it."""
         lo, hi = self.first[item], self.first[item + 1]
         least, begin, end = min(min_tokens, hi - lo), words.first[text], words.first[text + 1]
         a, b = np.maximum(lo, begin - shifts), np.minimum(hi, end - shifts)
         same = lambda k: self.hash[a[k] : b[k]] == words.hash[a[k] + shifts[k] : b[k] + shifts[k]]
-        equal = np.fromiter((np.count_nonzero(same(k)) for k in range(len(shifts))), np.int64, len(shifts))
+        equal = self._equal(words, a, np.maximum(b - a, 0), shifts)
+        # Most diagonals have too few equal tokens for any overlap.
+        some = equal >= max(least * min_identity, 1)
+        shifts, a, b, equal = shifts[some], a[some], b[some], equal[some]
         best, matched, at = None, 0, 0
         for k in np.lexsort((shifts, -equal)):
             if equal[k] < max(least * min_identity, matched, 1) or best and equal[k] == matched and shifts[k] > at:
                 break
-            span = best_overlap(same(k), least, min_identity)
+            here = same(k)
+            span = best_overlap(here, least, min_identity) if self._seeded(here) else None
             if span and (span[2] > matched or span[2] == matched and shifts[k] < at):
                 best, matched, at = (text, item, int(a[k] + shifts[k] + span[0] - begin), span[1] - span[0], span[2]), span[2], shifts[k]
         return best
@@ -187,7 +215,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TO
     Tokens are runs of letters and digits in lower case (ASCII; other
     characters as they are).  An overlap counts from ``min_tokens`` tokens (or
     the whole of a shorter item) with at least ``min_identity`` of them equal.
-    A benchmark beyond ``block_tokens`` is worked off in blocks, each against
+    An overlap is looked for where a
+    seed lies on its diagonal, in the text and in the item.  A benchmark beyond ``block_tokens`` is worked off in blocks, each against
     all documents: the benchmark has to be small, at about 60 bytes a token.  Defined cases: null and empty texts and items, and items
     shorter than the shortest mask, overlap nothing; repeated rows give repeated
     results; empty tables give no rows; other columns are ignored.

@@ -259,6 +259,30 @@ def test_best_overlap_against_all_stretches():
         assert (got is None) == (want is None) and (got is None or got[2] == want[2])
 
 
+@pytest.mark.parametrize("kinds", [2, 4, 12])
+def test_diagonals_follow_one_rule_however_often_seeds_repeat(kinds):
+    """Best overlaps are those of all diagonals on which a seed lies, for texts of few and of many kinds of words."""
+    rnd = random.Random(kinds)
+    some = lambda n: [f"w{rnd.randrange(kinds)}" for _ in range(n)]
+    items, texts = [some(rnd.randrange(3, 40)) for _ in range(6)], [some(rnd.randrange(0, 120)) for _ in range(8)]
+    # Each text also holds an item with some of its words changed.
+    texts = [x + [w if rnd.random() < 0.9 else "changed" for w in items[t % 6]] + some(5) for t, x in enumerate(texts)]
+    want = []
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            least, best = min(12, len(item)), None
+            for shift in range(1 - len(item), len(text)):
+                a, b = max(0, -shift), min(len(item), len(text) - shift)
+                same = np.array([item[k] == text[k + shift] for k in range(a, b)], bool)
+                seeded = any(all(same[s + j] for j, bit in enumerate(m) if bit == "1") for m in D.MASKS for s in range(len(same) - len(m) + 1))
+                span = D.best_overlap(same, least, 0.8) if seeded else None
+                if span and (best is None or span[2] > best[4]):
+                    best = (t, i, a + shift + span[0], span[1] - span[0], span[2])
+            want += [best] if best else []
+    index = D.SeedIndex(list(range(len(items))), [" ".join(x) for x in items])
+    assert want and sorted(index.overlaps(Words(*text_buffer(pa.array([" ".join(x) for x in texts])), True, D.TOKENS), 12, 0.8)) == want
+
+
 def test_repeated_seeds_take_bounded_work():
     import time
 
