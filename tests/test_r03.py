@@ -17,3 +17,38 @@ def test_learned_units_of_a_colliding_word(spark, tmp_path):
     spark.createDataFrame([(1, "one two! aerntheble three! five")], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = __spark_entry__.queries()["learned_units"](spark, str(tmp_path)).orderBy("ord").collect()
     assert [r["unit"] for r in got] == ["one two!,", "aerntheble three!,", "five"]
+
+
+COLUMNS = "doc_id long, para long, ord long, kind string, content string, source string, score double, note string"
+
+
+def _explains(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_no_row_holds_all_places_of_a_verse(spark):
+    corpus = spark.range(1, 41).selectExpr("concat('S', id % 2) AS surah", "CAST(id AS int) AS ayah", "'one two' AS text")
+    given = spark.range(1, 31).selectExpr("1L AS doc_id", "1L AS para", "id AS ord", "'quran' AS kind", "'one two' AS content", "concat('سورة S1 — ', id % 7) AS source", "0.5D AS score", "'' AS note")
+    told = V.prefer_sequence(given, corpus)
+    assert "array_contains" not in _explains(told) and "collect_list" not in _explains(told)
+    # Odd numbers are of S1: behind place 6 comes 7, behind 7 none.
+    assert [r["source"] for r in told.orderBy("ord").collect()] == [f"سورة S1 — {i % 7 or 7}" for i in range(1, 31)]
+    short = given.withColumn("kind", V.F.when(V.F.col("ord") == 1, "quran").otherwise("text"))
+    told = V.rescue_short(short, corpus)
+    assert "collect_set" not in _explains(told) and [r["source"] for r in told.orderBy("ord").collect()] == [f"سورة S1 — {i}" for i in [1, *range(3, 40, 2), *range(1, 21, 2)]]
+
+
+def test_a_run_of_short_verses_goes_on_in_another_surah(spark):
+    corpus = spark.createDataFrame([("A", 1, "one"), ("A", 2, "two"), ("B", 1, "three"), ("B", 2, "four"), ("B", 3, "three"), ("A", 3, "four")], "surah string, ayah int, text string")
+    names = ["x", "two", "three", "four", "three", "one", "four"]
+    rows = [(1, 1, i, "text" if i else "quran", n, "" if i else "سورة A — 1", 0.5, "") for i, n in enumerate(names)]
+    got = V.rescue_short(spark.createDataFrame(rows, COLUMNS), corpus).orderBy("ord").collect()
+    assert [r["source"].removeprefix("سورة ") for r in got] == ["A — 1", "A — 2", "B — 1", "B — 2", "B — 3", "A — 1", "A — 3"]
+
+
+def test_a_long_sequence_is_followed_to_its_end(spark):
+    corpus = spark.range(1, 41).selectExpr("'A' AS surah", "CAST(id AS int) AS ayah", "if(id % 2 = 1, 'odd', 'even') AS text")
+    given = spark.range(1, 31).selectExpr("1L AS doc_id", "1L AS para", "id AS ord", "'quran' AS kind", "CASE WHEN id = 20 THEN 'x' WHEN id % 2 = 0 THEN 'odd' ELSE 'even' END AS content", "CASE WHEN id = 1 THEN 'سورة A — 6' ELSE 'سورة A — 1' END AS source", "0.5D AS score", "'' AS note")
+    got = [r["source"] for r in V.prefer_sequence(given, corpus).orderBy("ord").collect()]
+    # Row 20 is no verse: it keeps its place, and the others follow that.
+    assert got == [f"سورة A — {i}" for i in [*range(6, 25), 1, *range(2, 12)]]
