@@ -95,8 +95,9 @@ def exact_anchors(forms: DataFrame, verses: DataFrame) -> DataFrame:
     """
     by_name = parse_references(forms.select("phrase_id", "reference"), verses).filter("surah_no is not null").select("phrase_id", "surah_no", "ayah_no", F.lit(1).alias("rank"))
     fields = {"clean_imlaei": 2, "clean_uthmani": 2, "normalized_imlaei": 3, "normalized_uthmani": 3}
-    texts = verses.select("surah_no", "ayah_no", F.explode(F.array(*(F.struct(F.lit(rank).alias("rank"), F.lit(c).alias("field"), F.col(c).alias("text")) for c, rank in fields.items()))).alias("t"))
-    texts = texts.select("surah_no", "ayah_no", "t.field", "t.rank", "t.text")
+    # Fields of one rank that are equal are looked up once.
+    texts = verses.select("surah_no", "ayah_no", F.posexplode(F.array_distinct(F.array(*(F.struct(F.lit(rank).alias("rank"), F.col(c).alias("text")) for c, rank in fields.items())))).alias("field", "t"))
+    texts = texts.select("surah_no", "ayah_no", "field", "t.rank", "t.text")
     wanted = F.explode(F.array_distinct(F.array(*(F.struct(F.lit(rank).alias("rank"), F.col(f"q.{form}").alias("needle")) for form, rank in (("clean", 2), ("normal", 3), ("expanded", 3))))))
     needles = forms.select("phrase_id", wanted.alias("w")).select("phrase_id", "w.rank", "w.needle")
     found = P.containing(texts, needles, ["surah_no", "ayah_no", "field"], ["phrase_id", "rank"], "rank")

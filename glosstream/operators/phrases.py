@@ -16,6 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .ngram import BROADCAST_ROWS, small
+
 #: Letters of a word by which short needles are looked up in the vocabulary.
 LETTERS = 3
 
@@ -40,11 +43,18 @@ def _by_words(wanted: DataFrame, index: DataFrame, texts: DataFrame, key: list[s
     """Needles of three words or more."""
     inner = wanted.select("scope", "needle", F.posexplode(F.slice("parts", F.lit(2), F.size("parts") - 2)).alias("at", "unit"))
     # Only words of needles are counted and looked up.
-    mine = index.join(inner.select("scope", F.col("unit").alias("word")).distinct(), ["scope", "word"], "left_semi")
-    rarest = _rarest(inner, mine.groupBy("scope", F.col("word").alias("unit")).agg(F.count(F.lit(1)).alias("n")))
-    found = rarest.join(mine.select("scope", F.col("word").alias("unit"), *key, "pos"), ["scope", "unit"])
-    starts = found.withColumn("start", F.col("pos") - F.col("at") - 1).filter("start >= 0").select("scope", "needle", *key, "start")
-    both = starts.join(texts.select("scope", *key, F.split("text", " ", -1).alias("t")), ["scope", *key])
+    words = small(inner.select("scope", F.col("unit").alias("word")).distinct())
+    mine = index.select("scope", "word", *key, "pos").join(words, ["scope", "word"], "left_semi")
+    rarest = written(_rarest(inner, mine.groupBy("scope", F.col("word").alias("unit")).agg(F.count(F.lit(1)).alias("n"))), "rarest")
+    split = texts.filter("text is not null").select("scope", *key, F.split("text", " ", -1).alias("t"))
+    start = (F.col("pos") - F.col("at") - 1).alias("start")
+    if rarest.count() <= BROADCAST_ROWS:
+        # Each text is met with the needles where it is read, and goes no further.
+        each = split.select("scope", *key, "t", F.posexplode("t").alias("pos", "unit"))
+        both = each.join(F.broadcast(rarest), ["scope", "unit"]).select("scope", "needle", *key, "t", start).filter("start >= 0")
+    else:
+        found = rarest.join(mine.withColumnRenamed("word", "unit"), ["scope", "unit"])
+        both = found.select("scope", "needle", *key, start).filter("start >= 0").join(split, ["scope", *key])
     p = F.split("needle", " ", -1)
     n = F.size(p)
     here = F.slice("t", F.col("start") + 1, n)
@@ -73,17 +83,18 @@ def _by_letters(wanted: DataFrame, index: DataFrame, key: list[str]) -> DataFram
     # Of two words the longer one is looked up, at its inner edge: the end of the first, the beginning of the last.
     ends = (F.size("parts") == 2) & (F.length(first) >= F.length(last))
     begins = (F.size("parts") == 2) & ~ends
-    words = index.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = written(index.select("scope", "word").distinct(), "vocabulary")
     w = F.col("word")
     edges = [F.when(F.length(w) >= n, F.concat(F.lit("<"), F.substring(w, F.lit(1), F.lit(n)))) for n in range(1, LETTERS + 1)] + [F.when(F.length(w) >= n, F.concat(F.lit(">"), F.substring(w, F.length(w) - n + 1, F.lit(n)))) for n in range(1, LETTERS + 1)]
     grams = words.select("scope", "word", F.explode(F.concat(_letters(w), F.array_compact(F.array(*edges)))).alias("unit"))
     whole = F.transform(F.sequence(F.lit(1), F.greatest(F.length("needle") - LETTERS + 1, F.lit(1))), lambda i: F.substring(F.col("needle"), i, F.lit(LETTERS)))
     asked = F.when(ends, F.array(_edge(first, ">"))).when(begins, F.array(_edge(last, "<"))).otherwise(F.array_distinct(whole))
     units = wanted.select("scope", "needle", F.posexplode(asked).alias("at", "unit"))
-    chosen = _rarest(units, grams.join(units.select("scope", "unit").distinct(), ["scope", "unit"], "left_semi").groupBy("scope", "unit").agg(F.count(F.lit(1)).alias("n")))
+    chosen = small(written(_rarest(units, grams.join(small(units.select("scope", "unit").distinct()), ["scope", "unit"], "left_semi").groupBy("scope", "unit").agg(F.count(F.lit(1)).alias("n"))), "units"))
     near = chosen.drop("at").join(grams, ["scope", "unit"]).withColumn("parts", F.split("needle", " ", -1))
     fits = F.when(ends, w.endswith(first)).when(begins, w.startswith(last)).otherwise(w.contains(F.col("needle")))
-    found = near.filter(fits).select("scope", "needle", "parts", "word").join(index, ["scope", "word"])
+    # Words that fit are few beside the places of all words, which are not shuffled then.
+    found = small(written(near.filter(fits).select("scope", "needle", "parts", "word"), "fitting")).join(index, ["scope", "word"])
     beside = F.when(ends, F.col("after").startswith(last)).when(begins, F.col("before").endswith(first)).otherwise(True)
     return found.filter(F.coalesce(beside, F.lit(False))).select("scope", "needle", *key, (F.col("pos") - begins.cast("int")).alias("start"))
 
@@ -121,4 +132,4 @@ def containing(texts: DataFrame, needles: DataFrame, key: str | list[str], item:
     within = F.col(scope) if scope else F.lit("")
     named = needles.select(within.alias("scope"), *item, "needle")
     found = occurrences(texts.select(within.alias("scope"), *key, "text"), named, key).select("scope", "needle", *key).distinct()
-    return found.join(named, ["scope", "needle"]).select(*key, *item).distinct()
+    return found.join(small(named), ["scope", "needle"]).select(*key, *item).distinct()
