@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams
+from ..sources.scratch import written
 
 #: A reference table of at most so many rows is broadcast.
 BROADCAST_ROWS = 200_000
 #: Grams of more than so many items, and of more than this share of all rows, are heavy.
 HEAVY_LEAST, HEAVY_SHARE = 10_000, 1000
-SALTS = 32
+#: A list of heavy grams that more keys share is not joined on.
+OFTEN = 10_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -72,22 +74,28 @@ def top_hits(grams: DataFrame, index: DataFrame, keys: list[str], item: str, top
     if sizes["most"] <= limit:
         return _ranked(grams.join(F.broadcast(index) if few else index, "gram").groupBy(*keys, item).agg(F.count(F.lit(1)).alias("hits")), keys, item, top)
     heavy = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("gram")  # HEAVY_SHARE rows at most
+    near = F.broadcast if few else lambda df: df
     lists = lambda df, by: df.join(F.broadcast(heavy), "gram", "left_semi").groupBy(*by).agg(F.array_sort(F.collect_set("gram")).alias("heavy"))
-    mine, theirs = lists(grams, keys), lists(index, [item])
-    light = grams.join(F.broadcast(heavy), "gram", "left_anti").join(index.join(F.broadcast(heavy), "gram", "left_anti"), "gram").groupBy(*keys, item).agg(F.count(F.lit(1)).alias("hits"))
+    mine, theirs = written(lists(grams, keys), "heavy-lists"), near(lists(index, [item]))
+    light = grams.join(F.broadcast(heavy), "gram", "left_anti").join(near(index.join(F.broadcast(heavy), "gram", "left_anti")), "gram").groupBy(*keys, item).agg(F.count(F.lit(1)).alias("hits"))
     both = light.join(mine, keys, "left").join(theirs.withColumnRenamed("heavy", "other"), item, "left")
     met = both.select(*keys, item, (F.col("hits") + F.coalesce(F.size(F.array_intersect("heavy", "other")), F.lit(0))).alias("hits"))
     # Of each list the smallest items; then, for each list of a key, the best of all items by their lists.
     smallest = theirs.withColumn("__r", F.row_number().over(Window.partitionBy("heavy").orderBy(item))).filter(F.col("__r") <= top)
-    kinds = smallest.groupBy(F.col("heavy").alias("theirs")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    asked = mine.select(F.col("heavy").alias("mine")).distinct()
-    shared = asked.select("mine", F.explode("mine").alias("gram")).join(kinds.select("theirs", F.explode("theirs").alias("gram")), "gram").groupBy("mine", "theirs").agg(F.count(F.lit(1)).alias("hits"))
-    each = shared.join(kinds, "theirs").select("mine", "hits", F.explode("items").alias(item))
-    best = _ranked(each, ["mine"], item, top).groupBy("mine").agg(F.collect_list(F.struct(item, "hits")).alias("best"))
-    # A list may be that of very many keys: they are dealt over salts.
-    salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    keyed = mine.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
-    alone = keyed.join(salted, (F.col("heavy") == F.col("mine")) & (keyed["salt"] == salted["salt"])).select(*keys, F.inline("best"))
+    kinds = smallest.groupBy("heavy").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("kind", F.get("items", F.lit(0)))
+    # Lists are told apart by their first key or item, so that pairs of lists are pairs of these; all of one list stay in a partition.
+    asked = mine.groupBy("heavy").agg(F.min(F.struct(*keys)).alias("asked"), F.count(F.lit(1)).alias("n"))
+    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = asked.select("asked", "heavy").repartition(parts, "asked").select("asked", F.explode("heavy").alias("gram")).join(near(kinds.select("kind", F.explode("heavy").alias("gram"))), "gram")
+    # An item behind ``top`` lists with a smaller one of as many hits is not among the best.
+    leading = _ranked(shared.groupBy("asked", "kind").agg(F.count(F.lit(1)).alias("hits")), ["asked"], "kind", top)
+    each = leading.drop("rn").join(near(kinds.select("kind", "items")), "kind").select("asked", "hits", F.explode("items").alias(item))
+    found = _ranked(each, ["asked"], item, top).groupBy("asked").agg(F.collect_list(F.struct(item, "hits")).alias("best"))
+    best = written(asked.join(found, "asked").drop("asked"), "heavy-best")
+    # A list of very many keys is broadcast: there are few of these.
+    often = F.broadcast(best.filter(F.col("n") > OFTEN))
+    rare = mine.join(often, "heavy", "left_anti").join(best.filter(F.col("n") <= OFTEN), "heavy")
+    alone = mine.join(often, "heavy").unionByName(rare).select(*keys, F.inline("best"))
     return _ranked(met.unionByName(alone.select(*keys, item, "hits")).groupBy(*keys, item).agg(F.max("hits").alias("hits")), keys, item, top)
 
 
