@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import let
 from ..functions.similarity import ratio_udf
+from ..sources.scratch import written
 
 #: Fixed value: brackets with nothing inside, and the space before them, are no part of a text's letters.
 EMPTY_BRACKETS = "(?U)\\s*\\(\\s*\\)"
@@ -89,7 +90,7 @@ def with_notes(segments: DataFrame, notes: DataFrame) -> DataFrame:
     return host.select("doc_id", "para", F.lit(0).alias("k"), F.col("ord").cast("int").alias("ord"), F.coalesce(marked, "content").alias("content"), F.lit(False).alias("footnote")).unionByName(behind)
 
 
-def aligned_windows(queries: DataFrame, corpus: DataFrame, key: list[str], least: float = ALIKE, similarity: Callable[[Column, Column], Column] = ratio_udf) -> DataFrame:
+def aligned_windows(queries: DataFrame, corpus: DataFrame, key: list[str], least: float = ALIKE, similarity: Callable[[Column, Column], Column] = ratio_udf, unlike: float = 100.0) -> DataFrame:
     """(key, start, n_words, score): the window of the corpus that best fits each query's words, if their mean similarity is ``least`` or more.
 
     queries(key, group, words) and corpus(group, words), one row for each group,
@@ -97,16 +98,30 @@ def aligned_windows(queries: DataFrame, corpus: DataFrame, key: list[str], least
     diagonals; only windows on a diagonal with an equal word are scored, word by
     word.  A window that has none is not found.  Of equal scores the first
     window wins.  Empty queries, and groups shorter than a query, give nothing.
+
+    ``unlike`` is the most that ``similarity`` gives two different words.  It
+    bounds how many words of a window may differ: one word more than that, the
+    rarest of the corpus, are looked up, as one of them must be equal.  Null words
+    are like none.
     """
+    # Both are read several times: they are worked out once and stored.
+    queries, corpus = written(queries.select(*{*key, "group", "words"}), "queries"), written(corpus.select("group", "words"), "corpus")
     sized = queries.withColumn("m", F.size("words")).filter("m > 0")
-    asked = sized.select(*key, "group", "m", F.posexplode("words").alias("q", "word"))
-    canon = corpus.select("group", F.size("words").alias("size"), F.posexplode("words").alias("c", "word"))
-    at = F.col("c") - F.col("q")
-    starts = asked.join(canon, ["group", "word"]).select(*key, "group", "m", at.alias("start"), "size").filter("start >= 0 and start + m <= size").select(*key, "group", "start").distinct()
-    cells = starts.join(asked, [*key, "group"]).withColumn("c", F.col("start") + F.col("q"))
-    pairs = cells.join(canon.select("group", "c", F.col("word").alias("other")), ["group", "c"])
+    looked = sized.select(*key, "group", "m", F.posexplode("words").alias("q", "word"))
+    canon = corpus.select("group", F.posexplode("words").alias("c", "word"))
+    if unlike < least:
+        often = canon.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+        rare = F.row_number().over(Window.partitionBy(*key, "group").orderBy(F.coalesce("often", F.lit(0)), "q"))
+        # A little more may differ than the quotient says, as it is rounded.
+        differ = F.floor(F.col("m") * ((100.0 - least) / (100.0 - unlike)) + 1e-6)
+        looked = looked.join(often, "word", "left").withColumn("rare", rare).filter(F.col("rare") <= differ + 1)
+    starts = looked.join(canon, ["group", "word"]).select(*key, "group", (F.col("c") - F.col("q")).alias("start")).filter("start >= 0").distinct()
+    # A window is cut out of its group's words: these are not dealt out once more.
+    windows = starts.join(sized, list(dict.fromkeys([*key, "group"]))).join(corpus.withColumnRenamed("words", "canon"), "group").filter(F.col("start") + F.col("m") <= F.size("canon"))
+    windows = windows.select(*key, "start", "m", "words", F.slice("canon", F.col("start") + 1, F.col("m")).alias("said"))
+    pairs = windows.select(*key, "start", "m", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("said").alias("other"))).alias("p")).select(*key, "start", "m", "p.word", "p.other")
     # Similarity is worked out once for a pair of words.
     unequal = pairs.filter("word <> other").select("word", "other").distinct().withColumn("alike", similarity(F.col("word"), F.col("other")))
-    scored = pairs.join(unequal, ["word", "other"], "left").groupBy(*key, "start", "m").agg((F.sum(F.coalesce("alike", F.lit(100.0))) / F.col("m")).alias("score"))
+    scored = pairs.join(unequal, ["word", "other"], "left").groupBy(*key, "start", "m").agg((F.sum(F.when(F.col("word") == F.col("other"), 100.0).otherwise(F.coalesce("alike", F.lit(0.0)))) / F.col("m")).alias("score"))
     best = scored.groupBy(*key, F.col("m").alias("n_words")).agg(F.max(F.struct("score", (-F.col("start")).alias("back"))).alias("b"))
     return best.select(*key, (-F.col("b.back")).alias("start"), "n_words", "b.score").filter(F.col("score") >= least)

@@ -60,7 +60,7 @@ def window_alignment(spark: SparkSession, folder: str) -> DataFrame:
     corpus = words.groupBy(F.col("doc_id").alias("group")).agg(F.flatten(in_order["words"]).alias("words"))
     read = F.transform(F.slice("words", 2, 8), lambda w, i: F.when(i == 2, "misread").otherwise(w))
     queries = words.filter(F.size("words") >= 9).select("doc_id", "para", F.col("doc_id").alias("group"), read.alias("words"))
-    return align.aligned_windows(queries, corpus, ["doc_id", "para"], similarity=lambda a, b: F.when(a == b, 100.0).otherwise(0.0))
+    return align.aligned_windows(queries, corpus, ["doc_id", "para"], similarity=lambda a, b: F.when(a == b, 100.0).otherwise(0.0), unlike=0.0)
 
 
 @query(
