@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,17 +142,25 @@ def run_verified(spark_rows: DataFrame, reply, size: int = 20, max_attempts: int
     the groups' tasks, spread over the cluster, which only look whether every
     row is answered; answers become findings in SQL functions.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        rows, text, attempt, done = frame.sort_values("seq").to_dict("records"), None, 0, False
+    kind = pa.schema([("document_id", pa.int64()), ("seqs", pa.list_(pa.int32())), ("text", pa.string()), ("attempts", pa.int32()), ("status", pa.string())])
+
+    def asked(rows: list[dict]) -> dict:
+        rows, text, attempt, done = sorted(rows, key=lambda r: r["seq"]), None, 0, False
         ids = [int(r["seq"]) for r in rows]
         while not done and attempt < max_attempts:
             text, attempt = reply(rows), attempt + 1
             done = set(ids) <= answered(text)
-        return pd.DataFrame({"document_id": [rows[0]["document_id"]], "seqs": [ids], "text": [text if done else None], "attempts": [attempt], "status": ["done" if done else "failed"]})
+        return {"document_id": rows[0]["document_id"], "seqs": ids, "text": text if done else None, "attempts": attempt, "status": "done" if done else "failed"}
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pylist([asked(rows) for rows in batch.column("rows").to_pylist()], kind)
 
-    calls = groups(spark_rows, size).groupBy("group_key").applyInPandas(ask, "document_id long, seqs array<int>, text string, attempts int, status string")
+    grouped = groups(spark_rows, size)
+    # A group is a row of its own few rows: a call of Python for each group would cost more than the answer.
+    calls = grouped.groupBy("group_key").agg(F.collect_list(F.struct(*grouped.columns)).alias("rows")).select("rows").mapInArrow(ask, "document_id long, seqs array<int>, text string, attempts int, status string")
     # One lineage: an answer that is read twice would be asked for twice.
     rows = calls.withColumn("items", items_of(F.col("text"))).select("document_id", F.explode("seqs").alias("seq"), "items", "attempts", "status")
     item = F.try_element_at(F.filter("items", lambda x: F.trim(x["id"]).try_cast("long") == F.col("seq")), F.lit(-1))

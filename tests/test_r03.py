@@ -6,7 +6,7 @@ import __spark_entry__
 import pytest
 from pyspark.sql import functions as F
 
-from glosstream.operators import align, boundary, segment
+from glosstream.operators import align, audit, boundary, segment
 from glosstream.operators import verses as V
 
 
@@ -112,3 +112,16 @@ def test_a_long_chain_is_one_chain(spark):
     got = V.chain_verses(given, corpus).orderBy("ord").collect()
     assert [r["source"].removeprefix("سورة A — ") for r in got] == [*map(str, range(6, 51)), ""]
     assert {r["score"] for r in got[:16]} == {1.0} and [r["score"] for r in got[16:20]] == [1.0, 1.0, 0.9, 1.0]
+
+
+def test_groups_are_asked_without_a_call_of_python_for_each(spark):
+    rows = spark.range(1, 61).selectExpr("id % 3 AS document_id", "CAST(id AS int) AS seq", "CAST(NULL AS string) AS skip", "IF(id % 2 = 0, CAST(id AS int), NULL) AS even")
+
+    def reply(given):
+        # Rows come in order, and what is null is none.
+        fits = [r["seq"] for r in given] == sorted(r["seq"] for r in given) and all(r["even"] == (r["seq"] if r["seq"] % 2 == 0 else None) for r in given)
+        return str([{"id": r["seq"], "summary": "fits" if fits else "no"} for r in given]).replace("'", '"')
+
+    asked = audit.run_verified(rows, reply, size=7)
+    assert "FlatMapGroupsInPandas" not in _explains(asked)
+    assert sorted((r["seq"], r["summary"], r["attempts"], r["status"]) for r in asked.collect()) == [(i, "fits", 1, "done") for i in range(1, 61)]
