@@ -20,19 +20,15 @@ ALIKE = 85.0
 
 def letters(content: Column) -> Column:
     """What anchors are compared with: no white space, guillemets or empty brackets."""
-    return T.anchor_key(T.replace(content, EMPTY_BRACKETS))
+    # Most texts have no bracket: they are not searched for empty ones.
+    return T.anchor_key(F.when(content.contains("("), T.replace(content, EMPTY_BRACKETS)).otherwise(content))
 
 
 def offset_behind(content: Column, k: Column) -> Column:
     """How many characters of the content stand before the end of its k-th letter (see :func:`letters`)."""
-    pieces = F.regexp_extract_all(content, F.lit("(?Us)(\\s*\\(\\s*\\)|.)"))
-    start = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("offset"))
-
-    def step(done: Column, piece: Column) -> Column:
-        letter = (letters(piece) != "").cast("int")
-        return F.when(done["kept"] >= k, done).otherwise(F.struct((done["kept"] + letter).alias("kept"), (done["offset"] + F.length(piece)).alias("offset")))
-
-    return F.aggregate(pieces, start, step, lambda done: done["offset"])
+    # Each letter with what is none before it; brackets with nothing inside are tried first.
+    pieces = F.regexp_extract_all(content, F.lit("(?Us)((?:\\s*\\(\\s*\\)|[\\s«»])*+.)"))
+    return F.length(F.array_join(F.slice(pieces, F.lit(1), k.cast("int")), ""))
 
 
 def place_notes(segments: DataFrame, notes: DataFrame) -> DataFrame:
