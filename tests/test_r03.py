@@ -146,3 +146,8 @@ def test_offsets_are_found_without_a_pattern_for_each_letter(spark):
     df = spark.createDataFrame([(t, k, at) for t in texts for k, at in enumerate(walk(t), 1)], "t string, k int, want int").select("t", "want", align.offset_behind(F.col("t"), F.col("k")).alias("got"), "k")
     assert "lambda" not in _explains(df)
     assert df.filter("got <> want").count() == 0 and df.filter("got is null").count() == 0 and df.count() > 1000
+
+
+def test_words_of_paragraphs_without_candidates_are_not_joined(spark):
+    scored = __spark_entry__.queries()["coverage_score"](spark, "/root/testdata/sf0.001")
+    assert "LeftSemi" in _explains(scored) and scored.filter("hits is null or coverage is null").count() == 0
