@@ -6,6 +6,7 @@ Patterns that mean white space, digits or word characters in Unicode carry
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,11 +48,25 @@ def strip(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return strip(replace(text, "(?U)\\s+", " "))
+    return F.btrim(replace(text, "(?U)\\s+", " "))
 
 
 def _bare(text: Column) -> Column:
-    return replace(replace(text, SCRIPTURE_MARKS), DIACRITICS)
+    return replace(text, SCRIPTURE_MARKS[:-1] + DIACRITICS[1:])
+
+
+def _signs(pattern: str) -> str:
+    """The signs of a character class."""
+    return "".join(c for c in map(chr, range(0x10000)) if re.match(pattern, c))
+
+
+#: A translation is one look at each sign; a class of many signs asks for them one by one.
+BARED, PARTED = _signs(SCRIPTURE_MARKS[:-1] + DIACRITICS[1:]), _signs(PUNCTUATION)
+
+
+def _spelled(text: Column, old: str, new: str) -> Column:
+    """Bare, in one spelling and without punctuation, words apart by one space."""
+    return collapse(F.translate(text, old + PARTED + BARED, new + " " * len(PARTED)))
 
 
 def light(text: Column) -> Column:
@@ -67,12 +82,12 @@ def diacritic_density(text: Column) -> Column:
 
 def lexical(text: Column) -> Column:
     """Form for dictionary lookup: unified spelling, no punctuation; the feminine ending stays apart from the pronoun."""
-    return collapse(replace(F.translate(_bare(text), SPELLING_FROM, SPELLING_TO), PUNCTUATION, " "))
+    return _spelled(text, SPELLING_FROM, SPELLING_TO)
 
 
 def normalize(text: Column) -> Column:
     """Form for matching: as :func:`lexical`, with both endings unified."""
-    return collapse(replace(F.translate(_bare(text), SPELLING_FROM + "ة", SPELLING_TO + "ه"), PUNCTUATION, " "))
+    return _spelled(text, SPELLING_FROM + "ة", SPELLING_TO + "ه")
 
 
 def words(text: Column) -> Column:
@@ -80,6 +95,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, "(?U)\\s+"), lambda w: w != "")
 
 
+def spaced_words(text: Column) -> Column:
+    """As :func:`words`, of a text whose words are one space apart."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
 def tokens(text: Column) -> Column:
     return words(normalize(text))
 
@@ -109,6 +129,20 @@ def ngrams(items: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))
 
 
+def places(items: Column) -> Column:
+    """Places (from 0) of an array's items; none of null."""
+    return F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1))
+
+
+def gram(items: Column, place: Column, n: int) -> Column:
+    """The n items from a place on, joined by a space.
+
+    At places that were exploded before this runs in generated code, which
+    :func:`ngrams` with its lambda does not.
+    """
+    return F.concat_ws(" ", *(F.get(items, place + i) for i in range(n)))
+
+
 def affix_forms(word: Column) -> Column:
     """Forms of a word with prefixes and suffixes off, the least reduced first, then by spelling."""
     prefixed = [F.when(word.startswith(p) & (F.length(word) - len(p) >= 3), F.substring(word, len(p) + 1, 1000)) for p in PREFIXES]

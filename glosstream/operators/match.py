@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as T
 from ..functions.similarity import combined_udf, partial_ratio_udf, ratio_udf
+from ..sources.scratch import written
 from . import phrases as P
 from .ngram import small, top_hits
 
@@ -48,20 +49,23 @@ def match_texts(queries: DataFrame, corpus: DataFrame, config: Config = Config()
     refs = reference_forms(corpus)
     first = F.struct(F.lit(0).alias("attempt"), T.normalize(F.col("text")).alias("query"))
     second = F.when(T.has_old_spelling(F.col("text")), F.struct(F.lit(1).alias("attempt"), T.normalize(T.expand_dagger(F.col("text"))).alias("query")))
-    tries = queries.select(key, "short", "prefer", F.explode(F.array_compact(F.array(first, second))).alias("t")).select(key, "short", "prefer", "t.attempt", "t.query")
-    tries = tries.withColumn("qwords", T.words(F.col("query")))
-    tries = tries.filter(F.size("qwords") >= F.when(F.col("short"), 1).otherwise(2))
+    tries = lambda asked: asked.select(key, "short", "prefer", F.explode(F.array_compact(F.array(first, second))).alias("t")).select(key, "short", "prefer", "t.attempt", "t.query")
     # All sizes in one pass over the queries; the longest size with a hit counts.
     sizes = {config.ngram: refs, config.ngram_fallback: refs if every_record else refs.filter(F.col("n_words") <= config.fallback_max_words), 1: refs.filter(F.col("n_words") <= config.unigram_max_words)}
     index = reduce(DataFrame.unionByName, (records.select("ref_id", _grams(F.col("spellings"), n).alias("gram")).withColumn("gram", F.concat(F.lit(f"{n} "), "gram")) for n, records in sizes.items()))
     single = F.col("short") & (F.size("qwords") <= config.unigram_max_words)
-    nothing = F.array().cast("array<struct<n:int,gram:string>>")
-    tagged = lambda n: F.transform(T.ngrams(F.col("qwords"), n), lambda g: F.struct(F.lit(n).alias("n"), F.concat(F.lit(f"{n} "), g).alias("gram")))
-    grams = tries.select(key, "attempt", F.explode(F.concat(tagged(config.ngram), tagged(config.ngram_fallback), F.when(single, tagged(1)).otherwise(nothing))).alias("g")).select(key, "attempt", "g.n", "g.gram")
+    # Grams are made at each place, in generated code that the join with the index goes on in, and not in lambdas.
+    starts = tries(queries).withColumn("qwords", T.spaced_words(F.col("query"))).select(key, "attempt", "qwords", single.alias("single"), F.explode(T.places(F.col("qwords"))).alias("i"))
+    here = lambda n: F.when((F.size("qwords") - F.col("i") >= n) & (F.lit(True) if n > 1 else F.col("single")), F.concat(F.lit(f"{n} "), T.gram(F.col("qwords"), F.col("i"), n)))
+    grams = starts.select(key, "attempt", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), here(n).alias("gram")) for n in sizes))).alias("g")).select(key, "attempt", "g.n", "g.gram").filter("gram is not null")
     hits = top_hits(grams, index, [key, "attempt", "n"], "ref_id", config.candidates)
     longest = F.max("n").over(Window.partitionBy(key, "attempt"))
-    top = hits.withColumn("__n", longest).filter(F.col("n") == F.col("__n")).select(key, "attempt", "ref_id")
-    pairs = top.join(tries, [key, "attempt"])
+    top = written(hits.withColumn("__n", longest).filter(F.col("n") == F.col("__n")).select(key, "attempt", "ref_id"), "match-top")
+    # Similarity is worth a task for each core, however few bytes its pairs have.
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Only queries with a candidate are normalised once more.
+    asked = tries(queries.join(small(top.select(key).distinct()), key, "left_semi"))
+    pairs = small(top).join(asked, [key, "attempt"]).repartition(parts, key, "attempt")
     details = refs.select("ref_id", F.array("norm", "norm2").alias("forms"), "words", T.normalize(F.col("surah").cast("string")).alias("group"))
     scored = pairs.join(small(details), "ref_id").withColumn("score", combined_udf(least)("query", "forms", "words")).filter("score > 0")
     wanted = F.coalesce(T.normalize(F.col("prefer")), F.lit(""))

@@ -6,6 +6,7 @@ tables and alias every column.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,11 +44,13 @@ PARAGRAPHS = """
 
 ACCENTS, PLAIN = "áéíóúàèìòùâêîôûäëïöüñçÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜÑÇ", "aeiouaeiouaeiouaeiouncAEIOUAEIOUAEIOUAEIOUNC"
 MARKS = "[^A-Za-z0-9ß]+"
+#: The same class sign by sign, which the JVM looks up in a table; ranges it asks one after the other.
+LISTED = f"[^{string.ascii_letters}{string.digits}ß]+"
 
 
 def plain_form(text: Column) -> Column:
     """The normal form's shape on Latin letters: accents folded, punctuation to spaces, collapsed, lower case."""
-    return F.lower(F.btrim(F.regexp_replace(F.translate(text, ACCENTS, PLAIN), MARKS, " ")))
+    return F.lower(F.btrim(F.regexp_replace(F.translate(text, ACCENTS, PLAIN), LISTED, " ")))
 
 
 def plain_sql(text: str) -> str:
