@@ -248,19 +248,25 @@ def _search(index: SeedIndex, min_tokens: int, min_identity: float, schema: str)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, min_identity: float = MIN_IDENTITY, masks: tuple[str, ...] = MASKS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``docs`` without the rows whose text overlaps a benchmark item; columns stay as they are."""
-    at = docs.columns.index("text")
-    for ids, texts in _blocks(benchmark, block_tokens):
-        docs = docs.mapInArrow(_cleaner(SeedIndex(ids, texts, masks), at, min_tokens, min_identity), docs.schema)
-    return docs
+    blocks = list(_blocks(benchmark, block_tokens))
+    return docs.mapInArrow(_cleaner(blocks, docs.columns.index("text"), min_tokens, min_identity, masks), docs.schema) if blocks else docs
+
 
+def _cleaner(blocks: list[tuple[list, list]], at: int, min_tokens: int, min_identity: float, masks: tuple[str, ...] = MASKS):
+    """All blocks in one pass, so that a task has one Python worker; it holds one index at a time, and beside that the items' texts."""
 
-def _cleaner(index: SeedIndex, at: int, min_tokens: int, min_identity: float):
     def run(batches):
+        index = None
         for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for block in blocks:
+                if index is None or len(blocks) > 1:
+                    index = SeedIndex(*block, masks)
+                for start, n in slices(batch.column(at)):
+                    left = np.flatnonzero(keep[start : start + n])
+                    words = Words(*text_buffer(batch.column(at).slice(start, n).take(pa.array(left))), True, TOKENS)
+                    keep[start + left[[f[0] for f in index.overlaps(words, min_tokens, min_identity)]]] = False
             for start, n in slices(batch.column(at)):
-                part = batch.slice(start, n)
-                keep = np.ones(n, bool)
-                keep[[f[0] for f in index.overlaps(Words(*text_buffer(part.column(at)), True, TOKENS), min_tokens, min_identity)]] = False
-                yield part.filter(pa.array(keep))
+                yield batch.slice(start, n).filter(pa.array(keep[start : start + n]))
 
     return run

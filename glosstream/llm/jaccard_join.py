@@ -41,6 +41,10 @@ SHARD_TEXT = 12 << 20
 REGION_SHINGLES = 3_000_000
 LEAF = 48
 CLASSES = 64
+#: Keys that are packed at a time: with one owner for each they take 100 bytes each.
+PACKED_KEYS = 1 << 18
+#: Bytes of cell keys, with their heads, that one shard holds; a shingle of a candidate sends up to so many where every key has a shard of its own.
+CELL_BYTES, CELL_SHINGLE = 16 << 20, 64
 #: Candidates whose ids are broadcast at most; beyond it they are shuffled.
 BROADCAST_IDS = 1_000_000
 _C1, _C2, _C3, _C4 = (np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89))
@@ -157,29 +161,38 @@ def _unpack(blobs: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _smallest_keys(rule: Rule, shards: int):
-    """Of each point the absent + overlap smallest shingles, by shard."""
+    """Of each point the absent + overlap smallest shingles, by shard.
+
+    Slices are packed together until they have PACKED_KEYS keys: the more shards
+    there are, the more often a point's head is sent.
+    """
+
+    def pack(sets: list[tuple], fps: list[np.ndarray], least: list[np.ndarray]):
+        fps, least = np.concatenate(fps), np.concatenate(least)
+        _, where = np.unique(fps, return_index=True)
+        keys, take = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
+        mine = np.zeros(len(take), bool)  # copies among them add nothing
+        mine[where] = True
+        keys, owner = keys[np.repeat(mine, take)], np.repeat(np.arange(len(take)), np.where(mine, take, 0))
+        return _pack((keys % np.uint64(shards)).astype(np.int64), owner, keys, np.stack([fps, least], 1).view(np.uint8), shards)
 
     def run(batches):
         for batch in batches:
-            sets, fps, least = [], [], []
+            sets, fps, least, held = [], [], [], 0
             for at, n in slices(batch.column(0)):
                 hashes, first = shingle_sets(batch.column(0).slice(at, n), rule.k)
-                fp = fingerprints(hashes, first)
                 size = np.diff(first)
                 take = np.minimum(size, rule.absent(size) + rule.overlap(size))
                 rank = np.arange(len(hashes)) - np.repeat(first[:-1], size)
                 sets.append((hashes[rank < np.repeat(take, size)], take))
-                fps.append(fp)
+                fps.append(fingerprints(hashes, first))
                 least.append(rule.overlap(rule.smallest(size)).astype(np.uint64))
-            fps_all, where = np.unique(np.concatenate(fps), return_index=True) if fps else (np.zeros(0, np.uint64), np.zeros(0, int))
-            if not len(fps_all):
-                continue
-            keys, take = np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets])
-            mine = np.zeros(len(take), bool)  # copies within the batch add nothing
-            mine[where] = True
-            keys, owner = keys[np.repeat(mine, take)], np.repeat(np.arange(len(take)), np.where(mine, take, 0))
-            heads = np.stack([np.concatenate(fps), np.concatenate(least)], 1).view(np.uint8)
-            yield _pack((keys % np.uint64(shards)).astype(np.int64), owner, keys, heads, shards)
+                held += len(sets[-1][0])
+                if held >= PACKED_KEYS:
+                    yield pack(sets, fps, least)
+                    sets, fps, least, held = [], [], [], 0
+            if sets:
+                yield pack(sets, fps, least)
 
     return run
 
@@ -263,21 +276,31 @@ def _sketch(items: np.ndarray) -> np.ndarray:
 
 
 def _cell_keys(rule: Rule, bounds: np.ndarray, shards: int):
+    """The cells of each point, by shard; some points are packed at a time, as a head goes to each shard that has a key of its point."""
+
+    def pack(heads: list[bytes], keys: list[np.ndarray]):
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        return _pack((keys % np.uint64(shards)).astype(np.int64), owner, keys, np.frombuffer(b"".join(heads), np.uint8).reshape(-1, 12 + CLASSES), shards)
+
     def run(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             sizes = batch.column(1).to_numpy(zero_copy_only=False)
-            heads, keys, counts = np.zeros((len(fps), 12 + CLASSES), np.uint8), [], []
+            heads, keys, held = [], [], 0
             for i, raw in enumerate(batch.column(2)):
                 items = np.frombuffer(raw.as_buffer(), np.uint64)
-                heads[i] = np.frombuffer(fps[i].tobytes() + np.uint32(sizes[i]).tobytes() + _sketch(items).tobytes(), np.uint8)
+                if not len(items):
+                    continue
                 ring = int(np.searchsorted(bounds, sizes[i], "right")) - 1
-                mine = np.concatenate([signatures(items, r, bounds, rule) for r in (ring - 1, ring) if r >= 0]) if len(items) else np.zeros(0, np.uint64)
-                keys.append(mine)
-                counts.append(len(mine))
-            keys, owner = np.concatenate(keys or [np.zeros(0, np.uint64)]), np.repeat(np.arange(len(fps)), counts)
-            if len(keys):
-                yield _pack((keys % np.uint64(shards)).astype(np.int64), owner, keys, heads, shards)
+                heads.append(fps[i].tobytes() + np.uint32(sizes[i]).tobytes() + _sketch(items).tobytes())
+                keys.append(np.concatenate([signatures(items, r, bounds, rule) for r in (ring - 1, ring) if r >= 0]))
+                held += len(keys[-1])
+                if held >= PACKED_KEYS:
+                    yield pack(heads, keys)
+                    heads, keys, held = [], [], 0
+            if held:
+                yield pack(heads, keys)
 
     return run
 
@@ -431,13 +454,16 @@ def _join_regions(rule: Rule):
 
 
 def _far_apart(rule: Rule, pivots: dict[int, list[np.ndarray]]):
-    """Copies of each point of a large region to the cells where a neighbour may have its home.  Cells that stay too large are dealt into pairs of blocks."""
+    """Copies of each point of a large region to the cells where a neighbour may have its home, some points at a time."""
+
+    def rows(fps: list, regions: list, items: list, sizes: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(regions, pa.int64()), pa.array(items, pa.binary()), pa.array(sizes, pa.int64())], names=["fp", "region", "items", "n"])
 
     def run(batches):
         for batch in batches:
-            fps, regions, items, out = [], [], [], []
+            fps, regions, items, out, held = [], [], [], [], 0
             for fp, region, raw in zip(batch.column(0), batch.column(1), batch.column(2)):
-                mine = np.frombuffer(raw.as_buffer(), np.uint64)
+                mine, whole = np.frombuffer(raw.as_buffer(), np.uint64), raw.as_py()
                 far = []
                 for p in pivots[region.as_py()]:
                     at = np.minimum(np.searchsorted(p, mine), len(p) - 1)
@@ -446,10 +472,14 @@ def _far_apart(rule: Rule, pivots: dict[int, list[np.ndarray]]):
                 far = np.array(far)
                 for j in np.flatnonzero(far <= far.min() + 2 * rule.radius + 1e-9):
                     fps.append(fp.as_py())
-                    items.append(raw)
+                    items.append(whole)
                     regions.append(int(mix(np.array([region.as_py()], np.int64).view(np.uint64) + np.uint64(j + 1)).view(np.int64)[0]))
                     out.append(len(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(regions, pa.int64()), pa.array([i.as_py() for i in items], pa.binary()), pa.array(out, pa.int64())], names=["fp", "region", "items", "n"])
+                if (held := held + len(mine) * len(far)) >= PACKED_KEYS:
+                    yield rows(fps, regions, items, out)
+                    fps, regions, items, out, held = [], [], [], [], 0
+            if out:
+                yield rows(fps, regions, items, out)
 
     return run
 
@@ -469,23 +499,26 @@ def _regions_to_links(placed: DataFrame, rule: Rule) -> DataFrame:
     small = placed
     for level in range(3):
         large = stored(sizes.filter(F.col("total") > REGION_SHINGLES), "large-regions")
-        n_large = large.count()
+        n_large, most, whole = large.agg(F.count(F.lit(1)), F.max("total"), F.sum("total")).first()
         if not n_large:
             break
         keep = small.join(large.select("region"), "region", "left_anti").select("fp", "region", "items", "n")
         split = small.join(large.select("region"), "region", "left_semi").select("fp", "region", "items", "n")
-        if level == 2 or n_large > 64:
-            most = large.agg(F.max("total")).first()[0]
-            split = _block_pairs(split, int(-(-2 * most // REGION_SHINGLES)))
-            small = keep.unionByName(split)
+        blocks, cells = int(-(-2 * most // REGION_SHINGLES)), None
+        if level < 2 and n_large <= 64:
+            # Pivots: the points of a region with the smallest hashes, in proportion to its size (at most 32).
+            found = {}
+            for r in large.collect():
+                rows = split.filter(F.col("region") == r["region"]).orderBy(F.xxhash64("fp")).limit(int(min(32, 2 + 2 * r["total"] // REGION_SHINGLES))).select("items").collect()
+                found[r["region"]] = [np.frombuffer(bytes(x["items"]), np.uint64) for x in rows]
+            cells = split.mapInArrow(_far_apart(rule, found), kinds)
+            # Points that are near to all pivots go to all cells, which pivots do not make smaller: pairs of blocks copy them less often.
+            if cells.agg(F.sum("n")).first()[0] > blocks * whole:
+                cells = None
+        if cells is None:
+            small = keep.unionByName(_block_pairs(split, blocks))
             break
-        # Pivots: the points of a region with the smallest hashes, in proportion to its size (at most 32).
-        picks = {r["region"]: min(32, 2 + 2 * r["total"] // REGION_SHINGLES) for r in large.collect()}
-        found = {}
-        for region, n in picks.items():
-            rows = split.filter(F.col("region") == region).orderBy(F.xxhash64("fp")).limit(int(n)).select("items").collect()
-            found[region] = [np.frombuffer(bytes(r["items"]), np.uint64) for r in rows]
-        small = stored(keep.unionByName(split.mapInArrow(_far_apart(rule, found), kinds)), "split-regions")
+        small = stored(keep.unionByName(cells), "split-regions")
         sizes = small.groupBy("region").agg(F.sum("n").alias("total"))
     total = small.agg(F.sum("n")).first()[0] or 0
     bins = max(parts_for(int(total), REGION_SHINGLES // 2), int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -520,7 +553,7 @@ def linked_points(docs: DataFrame, rule: Rule, digests: bool = False) -> tuple[D
         forget(sets)
         sets = once
     bounds = rings(rule, int(most or 1))
-    few = max(parts_for(8 * int(total or 0), 16 << 20), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    few = max(parts_for(CELL_SHINGLE * int(total or 0), CELL_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = sets.filter("n > 0 and n <= %d" % int(most or 1)).mapInArrow(_cell_keys(rule, bounds, few), "shard int, blob binary")
     regions = components(keyed.groupBy("shard").applyInArrow(_meet(rule), "a long, b long"))
     placed = sets.join(regions, sets["fp"] == regions["node"]).select("fp", F.col("root").alias("region"), "items", "n")
