@@ -97,14 +97,20 @@ def exact_anchors(forms: DataFrame, verses: DataFrame) -> DataFrame:
     verses has the four derived columns.  Containment is looked up in an index
     of positions (see phrases.py), without meeting all verses.
     """
-    by_name = parse_references(forms.select("phrase_id", "reference"), verses).filter("surah_no is not null").select("phrase_id", "surah_no", "ayah_no", F.lit(1).alias("rank"))
+    # Phrases are few beside verses: these are not shuffled by their names, and only those of a number that is asked for are normalised.
+    parts = reference_parts(F.col("reference"))
+    asked = forms.select("phrase_id", T.normalize(parts["name"]).alias("__name"), parts["number"].alias("__a")).filter("__a is not null")
+    numbers = small(asked.select("__a").distinct())
+    names = verses.join(numbers, F.col("ayah_no") == F.col("__a"), "left_semi").filter("surah_no is not null").select("surah_no", "ayah_no", T.normalize(F.col("surah_name")).alias("__named"))
+    by_name = names.join(small(asked), (F.col("__named") == F.col("__name")) & (F.col("ayah_no") == F.col("__a"))).select("phrase_id", "surah_no", "ayah_no", F.lit(1).alias("rank"))
     fields = {"clean_imlaei": 2, "clean_uthmani": 2, "normalized_imlaei": 3, "normalized_uthmani": 3}
     # Fields of one rank that are equal are looked up once.
     texts = verses.select("surah_no", "ayah_no", F.posexplode(F.array_distinct(F.array(*(F.struct(F.lit(rank).alias("rank"), F.col(c).alias("text")) for c, rank in fields.items())))).alias("field", "t"))
     texts = texts.select("surah_no", "ayah_no", "field", "t.rank", "t.text")
     wanted = F.explode(F.array_distinct(F.array(*(F.struct(F.lit(rank).alias("rank"), F.col(f"q.{form}").alias("needle")) for form, rank in (("clean", 2), ("normal", 3), ("expanded", 3))))))
     needles = forms.select("phrase_id", wanted.alias("w")).select("phrase_id", "w.rank", "w.needle")
-    found = P.containing(texts, needles, ["surah_no", "ayah_no", "field"], ["phrase_id", "rank"], "rank")
+    # What comes several times is one in the end: it is not made distinct before.
+    found = P.meetings(texts, needles, ["surah_no", "ayah_no", "field"], ["phrase_id", "rank"], "rank")
     anchors = by_name.unionByName(found.select(*by_name.columns))
     return anchors.groupBy("phrase_id", "surah_no", "ayah_no").agg(F.min("rank").alias("rank"))
 
