@@ -36,7 +36,7 @@ def phrase_positions(spark: SparkSession, folder: str) -> DataFrame:
     texts = paragraphs_of(table(spark, folder, "documents")).select(F.lit("").alias("scope"), "doc_id", "para", F.lower("text").alias("text"))
     needles = _needles(spark, folder).withColumn("scope", F.lit(""))
     found = phrases.occurrences(texts, needles, ["doc_id", "para"])
-    return found.join(needles.filter("needle <> ''"), ["scope", "needle"]).select("doc_id", "para", "item_id", "part", F.col("start").cast("long").alias("start"))
+    return found.join(ngram.small(needles.filter("needle <> ''")), ["scope", "needle"]).select("doc_id", "para", "item_id", "part", F.col("start").cast("long").alias("start"))
 
 
 @query(
