@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import let
 from ..functions.similarity import ratio_udf
-from ..sources.scratch import written
 
 #: Fixed value: brackets with nothing inside, and the space before them, are no part of a text's letters.
 EMPTY_BRACKETS = "(?U)\\s*\\(\\s*\\)"
 #: Fixed value: mean similarity of words from which a window counts.
 ALIKE = 85.0
+#: Queries of a group that meet its words in one row, and words that are looked up at once.
+ASKED, AT_ONCE = 10_000, 1 << 18
 
 
 def letters(content: Column) -> Column:
@@ -97,27 +101,83 @@ def aligned_windows(queries: DataFrame, corpus: DataFrame, key: list[str], least
 
     ``unlike`` is the most that ``similarity`` gives two different words.  It
     bounds how many words of a window may differ: one word more than that, the
-    rarest of the corpus, are looked up, as one of them must be equal.  Null words
-    are like none.
+    rarest of the group, are looked up, as one of them must be equal.  Null words
+    are like none.  A key is one query's.
     """
-    # Both are read several times: they are worked out once and stored.
-    queries, corpus = written(queries.select(*{*key, "group", "words"}), "queries"), written(corpus.select("group", "words"), "corpus")
-    sized = queries.withColumn("m", F.size("words")).filter("m > 0")
-    looked = sized.select(*key, "group", "m", F.posexplode("words").alias("q", "word"))
-    canon = corpus.select("group", F.posexplode("words").alias("c", "word"))
-    if unlike < least:
-        often = canon.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-        rare = F.row_number().over(Window.partitionBy(*key, "group").orderBy(F.coalesce("often", F.lit(0)), "q"))
-        # A little more may differ than the quotient says, as it is rounded.
-        differ = F.floor(F.col("m") * ((100.0 - least) / (100.0 - unlike)) + 1e-6)
-        looked = looked.join(often, "word", "left").withColumn("rare", rare).filter(F.col("rare") <= differ + 1)
-    starts = looked.join(canon, ["group", "word"]).select(*key, "group", (F.col("c") - F.col("q")).alias("start")).filter("start >= 0").distinct()
-    # A window is cut out of its group's words: these are not dealt out once more.
-    windows = starts.join(sized, list(dict.fromkeys([*key, "group"]))).join(corpus.withColumnRenamed("words", "canon"), "group").filter(F.col("start") + F.col("m") <= F.size("canon"))
-    windows = windows.select(*key, "start", "m", "words", F.slice("canon", F.col("start") + 1, F.col("m")).alias("said"))
-    pairs = windows.select(*key, "start", "m", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("said").alias("other"))).alias("p")).select(*key, "start", "m", "p.word", "p.other")
-    # Similarity is worked out once for a pair of words.
-    unequal = pairs.filter("word <> other").select("word", "other").distinct().withColumn("alike", similarity(F.col("word"), F.col("other")))
-    scored = pairs.join(unequal, ["word", "other"], "left").groupBy(*key, "start", "m").agg((F.sum(F.when(F.col("word") == F.col("other"), 100.0).otherwise(F.coalesce("alike", F.lit(0.0)))) / F.col("m")).alias("score"))
+    # A group's words and its queries are shuffled once, as they are; places of words are found where both have come together.
+    sized = queries.select(*key, "group", "words").filter(F.size("words") > 0)
+    salts = (sized.groupBy("group").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) // ASKED + 1
+    salt = [F.pmod(F.xxhash64(*key), F.lit(salts)).alias("salt")] if salts > 1 else []
+    asked = sized.groupBy("group", *salt).agg(F.collect_list(F.struct(F.struct(*key).alias("key"), "words")).alias("asked"))
+    both = asked.join(corpus.select("group", F.col("words").alias("canon")), "group").select("asked", "canon")
+    kinds = sized.select(F.struct(*key).alias("key")).schema[0].dataType.simpleString()
+    found = both.mapInArrow(_windows(least, unlike), f"key {kinds}, start int, m int, equal int, words array<string>, said array<string>")
+    windows = found.select(*(F.col(f"key.{k}").alias(k) for k in key), "start", "m", "equal", "words", "said")
+    if unlike <= 0:
+        scored = windows.select(*key, "start", "m", (F.col("equal") * 100.0 / F.col("m")).alias("score"))
+    else:
+        pairs = windows.select(*key, "start", "m", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("said").alias("other"))).alias("p")).select(*key, "start", "m", "p.word", "p.other")
+        # Similarity is worked out once for a pair of words.
+        unequal = pairs.filter("word <> other").select("word", "other").distinct().withColumn("alike", similarity(F.col("word"), F.col("other")))
+        scored = pairs.join(unequal, ["word", "other"], "left").groupBy(*key, "start", "m").agg((F.sum(F.when(F.col("word") == F.col("other"), 100.0).otherwise(F.coalesce("alike", F.lit(0.0)))) / F.col("m")).alias("score"))
     best = scored.groupBy(*key, F.col("m").alias("n_words")).agg(F.max(F.struct("score", (-F.col("start")).alias("back"))).alias("b"))
     return best.select(*key, (-F.col("b.back")).alias("start"), "n_words", "b.score").filter(F.col("score") >= least)
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[i] .. first[i] + n[i] - 1, one behind the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _windows(least: float, unlike: float):
+    """Of rows (asked(key, words), canon) the windows that may score ``least``: (key, start, m, equal, words, said), with the words of both."""
+
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        asked, canon = batch.column(0), batch.column(1)
+        queries = asked.flatten()
+        words = queries.field("words")
+        m, size = (pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, canon))
+        row = np.repeat(np.arange(len(batch)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+        said = canon.flatten()
+        # Words as numbers; -1 is null, which is like none.
+        number = pa.concat_arrays([words.flatten(), said]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        mine, theirs = number[: m.sum()], number[m.sum() :]
+        first, begin = np.cumsum(m) - m, np.cumsum(size) - size
+        known = int(number.max(initial=0)) + 1
+        keys = np.where(theirs >= 0, np.repeat(np.arange(len(batch)), size) * known + theirs, -1)
+        order = np.argsort(keys, kind="stable")
+        # How often each word of a query stands in its group, and where.
+        query = np.repeat(np.arange(len(m)), m)
+        at = np.arange(len(mine)) - np.repeat(first, m)
+        wanted = np.where(mine >= 0, row[query] * known + mine, -2)
+        lo = np.searchsorted(keys[order], wanted, "left")
+        often = np.searchsorted(keys[order], wanted, "right") - lo
+        # A little more may differ than the quotient says, as it is rounded.
+        differ = np.floor(m * ((100.0 - least) / (100.0 - unlike)) + 1e-6).astype(np.int64) if unlike < least else m
+        by = np.lexsort((at, often, query))
+        rare = np.sort(by[np.arange(len(by)) - np.repeat(first, m) <= np.repeat(differ, m)])
+        place = order[_runs(lo[rare], often[rare])]
+        owner = np.repeat(query[rare], often[rare])
+        start = place - begin[row[owner]] - np.repeat(at[rare], often[rare])
+        fits = (start >= 0) & (start + m[owner] <= size[row[owner]])
+        owner, start = np.unique(np.stack([owner[fits], start[fits]]), axis=1) if fits.any() else (owner[:0], start[:0])
+        # Windows are compared number by number; the others could not reach the score.
+        a, b, n = _runs(first[owner], m[owner]), _runs(begin[row[owner]] + start, m[owner]), m[owner]
+        equal = np.bincount(np.repeat(np.arange(len(owner)), n)[(mine[a] == theirs[b]) & (mine[a] >= 0)], minlength=len(owner))
+        may = (100.0 * equal + max(unlike, 0.0) * (n - equal)) >= (least - 1e-6) * n
+        owner, start, equal, n = owner[may], start[may], equal[may], n[may]
+        offsets = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+        there = pa.ListArray.from_arrays(offsets, said.take(pa.array(_runs(begin[row[owner]] + start, n))))
+        ints = (pa.array(x, pa.int32()) for x in (start, n, equal))
+        return pa.RecordBatch.from_arrays([queries.field("key").take(pa.array(owner)), *ints, words.take(pa.array(owner)), there], names=["key", "start", "m", "equal", "words", "said"])
+
+    def run(batches):
+        for batch in batches:
+            # Some rows at a time, by the words of their groups and queries.
+            size = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False) + 8 * pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            part = (np.cumsum(size) - size) // AT_ONCE
+            bounds = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else []
+            for lo, hi in zip(bounds, bounds[1:]):
+                yield find(batch.slice(lo, hi - lo))
+
+    return run

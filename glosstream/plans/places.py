@@ -55,10 +55,12 @@ def note_places(spark: SparkSession, folder: str) -> DataFrame:
 )
 def window_alignment(spark: SparkSession, folder: str) -> DataFrame:
     """Eight words of each paragraph, one of them misread, in the words of their document."""
-    words = paragraphs_of(table(spark, folder, "documents")).select("doc_id", "para", F.split(plain_form(F.col("text")), " ").alias("words"))
-    in_order = F.array_sort(F.collect_list(F.struct("para", "words")))
-    corpus = words.groupBy(F.col("doc_id").alias("group")).agg(F.flatten(in_order["words"]).alias("words"))
+    forms = paragraphs_of(table(spark, folder, "documents")).select("doc_id", "para", plain_form(F.col("text")).alias("form"))
+    # Forms are gathered whole and split then: lists of words take twice their room.
+    in_order = F.array_sort(F.collect_list(F.struct("para", "form")))
+    corpus = forms.groupBy(F.col("doc_id").alias("group")).agg(F.split(F.array_join(in_order["form"], " "), " ").alias("words"))
     read = F.transform(F.slice("words", 2, 8), lambda w, i: F.when(i == 2, "misread").otherwise(w))
+    words = forms.select("doc_id", "para", F.split("form", " ").alias("words"))
     queries = words.filter(F.size("words") >= 9).select("doc_id", "para", F.col("doc_id").alias("group"), read.alias("words"))
     return align.aligned_windows(queries, corpus, ["doc_id", "para"], similarity=lambda a, b: F.when(a == b, 100.0).otherwise(0.0), unlike=0.0)
 
